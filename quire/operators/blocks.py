@@ -27,6 +27,12 @@ MARKER_META = r"^[ \t]*#[ \t]?-{2,}[ \t]*([^\n]*)"
 COMMENT = r"^[ \t]*#"
 INDENT = r"^([ \t]*)"
 
+# W-4: the strict marker, exactly two dashes and nothing after them.
+STRICT_MARKER = r"^[ \t]*#[ \t]?--\n?$"
+# W-3: a typed-block marker allows any blanks between '#' and the dashes.
+TYPED_MARKER = r"^[ \t]*#\s*--"
+TYPED_META = r"^[ \t]*#\s*-{2,}([^\n]*)"
+
 KEYS = ["path"]
 ORDER = ["number"]
 
@@ -41,7 +47,8 @@ def _with_offset(lines: DataFrame) -> DataFrame:
     return scan(lines, KEYS, ORDER, sums={"offset": (F.length("text").cast("bigint"), False)})
 
 
-def classify_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def classify_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS, *, marker: str = MARKER,
+                   marker_meta: str = MARKER_META) -> DataFrame:
     """W-1: adds ``kind`` ('coda' | 'text'), ``meta`` and ``block_no``.
 
     A marker opens a run; following comment lines with the same indent
@@ -52,7 +59,7 @@ def classify_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     df = _chunked(lines, chunk_rows)
     text = F.col("text")
     df = df.withColumns({"_c": text.rlike(COMMENT), "_s": F.regexp_extract(text, INDENT, 1),
-                         "_m": text.rlike(MARKER)})
+                         "_m": text.rlike(marker)})
     df = scan(df, KEYS, ORDER, prev={"_pc": F.col("_c"), "_ps": F.col("_s"), "_has_prev": F.lit(True)})
     adj = F.col("_c") & F.coalesce(F.col("_pc") & (F.col("_s") == F.col("_ps")), F.lit(False))
     c, m = F.col("_c"), F.col("_m")
@@ -74,7 +81,7 @@ def classify_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     df = df.withColumns({"_run": run, "_start": F.col("_first") | (run != run_before)})
     df = df.withColumns({
         "kind": F.when(F.col("_run"), F.lit("coda")).otherwise(F.lit("text")),
-        "meta": F.when(F.col("_run") & F.col("_start"), F.regexp_extract(text, MARKER_META, 1)),
+        "meta": F.when(F.col("_run") & F.col("_start"), F.regexp_extract(text, marker_meta, 1)),
     })
     df = scan(df, KEYS, ORDER, sums={"block_no": F.col("_start").cast("bigint")})
     return df.withColumn("block_no", F.col("block_no") - 1).drop(
@@ -106,3 +113,122 @@ def blocks(classified: DataFrame) -> DataFrame:
         F.min("number").alias("line"),
         F.count(F.lit(1)).alias("n_lines"),
     )
+
+
+def strict_blocks(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """W-4: W-1 with the strict marker; the breaking line and the text after
+    it share one block (W-2 merges them).  Meta is always empty."""
+    return blocks(classify_lines(lines, chunk_rows, marker=STRICT_MARKER, marker_meta="^()"))
+
+
+def typed_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """W-3: ``kind`` in text / comment / code, ``meta`` and ``block_no`` per line.
+
+    A marker always opens a text block; a comment line continues a text or
+    comment block, else opens a comment block; any other line is code.  So a
+    comment line is text iff the last marker-or-code line at or before it is
+    a marker -- one "last non-null" -- and blocks start at markers and where
+    the comment/code class changes.
+    """
+    df = _chunked(lines, chunk_rows)
+    text = F.col("text")
+    df = df.withColumns({"_m": text.rlike(TYPED_MARKER), "_c": text.rlike(COMMENT)})
+    df = scan(df, KEYS, ORDER, prev={"_pc": F.col("_c"), "_has_prev": F.lit(True)},
+              lasts={"_lm": F.when(F.col("_m") | ~F.col("_c"), F.col("_m"))})
+    kind = (F.when(~F.col("_c"), F.lit("code"))
+            .when(F.coalesce(F.col("_lm"), F.lit(False)), F.lit("text"))
+            .otherwise(F.lit("comment")))
+    start = F.col("_has_prev").isNull() | F.col("_m") | (F.col("_c") != F.col("_pc"))
+    df = df.withColumns({"kind": kind, "_start": start,
+                         "meta": F.when(F.col("_m"), F.regexp_replace(F.regexp_extract(text, TYPED_META, 1), r"^\s+|\s+$", ""))})
+    sums = {"block_no": F.col("_start").cast("bigint")}
+    if "offset" not in df.columns:
+        sums["offset"] = (F.length("text").cast("bigint"), False)
+    df = scan(df, KEYS, ORDER, sums=sums)
+    return df.withColumn("block_no", F.col("block_no") - 1).drop("_m", "_c", "_pc", "_has_prev", "_lm", "_start")
+
+
+def typed_blocks(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """W-3 blocks: kind, meta, start and end offsets, first line, line count."""
+    return typed_lines(lines, chunk_rows).groupBy("path", "block_no").agg(
+        F.min("kind").alias("kind"),
+        F.max("meta").alias("meta"),
+        F.min("offset").alias("start"),
+        (F.min("offset") + F.sum(F.length("text"))).cast("bigint").alias("end"),
+        F.min("number").alias("line"),
+        F.count(F.lit(1)).alias("n_lines"),
+    )
+
+
+# W-5 prose rules, first match wins, in this order (fixed values of the note
+# syntax).  Line rules make a one-line block; list rules make a block of one
+# item; a fence opens a code block that runs to the next fence line.
+PROSE_LINE_RULES = [
+    ("Title", r"^==+"),
+    ("Heading", r"^#+"),
+    ("Meta", r"^--"),
+    ("Comment", r"^# --"),
+]
+PROSE_FENCE = r"^```(\s.+)*$"
+PROSE_LIST_RULES = [
+    ("TodoList", r"^[ \t]*-[ ]*\[[ xX]\][ ]*"),
+    ("OrderedList", r"^[ \t]*[0-9a-zA-Z][).][ ]*"),
+    ("UnorderedList", r"^[ \t]*[-*][ ]*"),
+]
+BLANK = r"^[ \t]*$"
+
+
+def prose_rule(text: Column) -> Column:
+    """Name of the first line or list rule that matches, null for plain text."""
+    rule = None
+    for name, rx in PROSE_LINE_RULES + PROSE_LIST_RULES:
+        rule = F.when(text.rlike(rx), F.lit(name)) if rule is None else rule.when(text.rlike(rx), F.lit(name))
+    return rule
+
+
+def prose_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """W-5: ``kind`` and ``block_no`` per line of a note.
+
+    Code state is the parity of the running count of fence lines (a fence
+    opens when the count becomes odd and the next one closes); outside code,
+    the first rule in order wins and makes a block of its own; remaining
+    lines merge into text blocks.  Blank lines do not split text.
+    """
+    df = _chunked(lines, chunk_rows)
+    text = F.col("text")
+    df = df.withColumns({"_f": text.rlike(PROSE_FENCE), "_r": prose_rule(text)})
+    df = scan(df, KEYS, ORDER, sums={"_k": F.col("_f").cast("bigint")},
+              prev={"_pf": F.col("_f"), "_pr": F.col("_r"), "_has_prev": F.lit(True)})
+    in_code = ((F.col("_k") % 2) == 1) | F.col("_f")
+    k_prev = F.col("_k") - F.col("_f").cast("bigint")
+    prev_code = ((k_prev % 2) == 1) | F.coalesce(F.col("_pf"), F.lit(False))
+    prev_text = F.col("_has_prev").isNotNull() & ~prev_code & F.col("_pr").isNull()
+    opener = F.col("_f") & ((F.col("_k") % 2) == 1)
+    kind = F.when(in_code, F.lit("Code")).when(F.col("_r").isNotNull(), F.col("_r")).otherwise(F.lit("Text"))
+    start = opener | (~in_code & F.col("_r").isNotNull()) | (~in_code & F.col("_r").isNull() & ~prev_text)
+    df = df.withColumns({"kind": kind, "_start": start})
+    sums = {"block_no": F.col("_start").cast("bigint")}
+    if "offset" not in df.columns:
+        sums["offset"] = (F.length("text").cast("bigint"), False)
+    df = scan(df, KEYS, ORDER, sums=sums)
+    return df.withColumn("block_no", F.col("block_no") - 1).drop("_f", "_r", "_k", "_pf", "_pr", "_has_prev", "_start")
+
+
+def prose_blocks(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    return prose_lines(lines, chunk_rows).groupBy("path", "block_no").agg(
+        F.min("kind").alias("kind"),
+        F.min("number").alias("line"),
+        F.count(F.lit(1)).alias("n_lines"),
+    )
+
+
+def trim_blank_lines(lines: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
+    """F-6: drop leading and trailing blank lines of each file (or block).
+
+    First and last non-blank line per key come from a partial aggregate (one
+    row per key) joined back on the key; AQE splits a hot key on the big side.
+    """
+    nonblank = ~F.col("text").rlike(BLANK)
+    bounds = lines.where(nonblank).groupBy(*by).agg(F.min("number").alias("_lo"), F.max("number").alias("_hi"))
+    return lines.join(bounds, list(by), "inner").where(F.col("number").between(F.col("_lo"), F.col("_hi"))).drop(
+        "_lo", "_hi")
