@@ -6,9 +6,8 @@ sequence of items, each an atom name with an optional cardinality ``?``,
 Matching is greedy, leftmost and non-overlapping; at a position the first
 rule in order that matches wins (as in a regex alternation; the reference's
 hand-built machine lets the later rule win).  Atoms break a match
-(``contiguous``): an atom no rule can use is never inside a match.  Rules
-that can match nothing (all items optional) are rejected: empty matches are
-not emitted.
+(``contiguous``): an atom no rule can use is never inside a match.  Empty
+matches (``T?`` on another atom) are not emitted.
 
 Plan: atoms are numbered per key with :func:`quire.plans.scan.number_rows`
 (range slices, no per-key window), each atom becomes one private-use
@@ -52,17 +51,23 @@ class Compiled:
         firsts = {n: its[0][0] for n, its in items.items()}
         self.regex: dict[str, str] = {}
         for n, its in items.items():
-            if all(c in ("?", "*") for _, c in its):
-                raise ValueError(f"rule {n!r} can match nothing; empty matches are not emitted")
-            parts = []
-            for a, c in its:
-                if a == "_":
-                    banned = "".join(self.code[f] for m, f in firsts.items() if m != n and f != "_")
-                    cls = f"[^{banned}]" if banned else "."
-                else:
-                    cls = self.code[a]
-                parts.append(f"(?:{cls}){c}")
-            self.regex[n] = "".join(parts)
+            def atom_rx(a: str) -> str:
+                if a != "_":
+                    return self.code[a]
+                banned = "".join(self.code[f] for m, f in firsts.items() if m != n and f != "_")
+                return f"[^{banned}]" if banned else "."
+
+            body = [(atom_rx(a), c) for a, c in its]
+            if all(c in ("?", "*") for _, c in body):
+                # Only the non-empty matches are emitted: the first present item
+                # becomes mandatory (``A? B*`` -> ``A B*|B+``), earlier ones absent.
+                alts = []
+                for i, (rx, c) in enumerate(body):
+                    first = f"(?:{rx})" + ("+" if c == "*" else "")
+                    alts.append(first + "".join(f"(?:{r}){cc}" for r, cc in body[i + 1:]))
+                self.regex[n] = "(?:" + "|".join(alts) + ")"
+            else:
+                self.regex[n] = "".join(f"(?:{rx}){c}" for rx, c in body)
 
     @staticmethod
     def _item(tok: str) -> tuple[str, str]:
