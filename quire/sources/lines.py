@@ -48,3 +48,11 @@ def position_of(lines: DataFrame, points: DataFrame) -> DataFrame:
     idx = lines.select("path", F.col("number").alias("line"), F.col("offset").alias("_line_offset"))
     return points.join(idx, ["path", "line"], "left").withColumn(
         "offset", F.col("_line_offset") + F.col("column")).drop("_line_offset")
+
+
+def with_offsets(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``offset`` (characters before the line in its file) to a lines table."""
+    if "offset" in lines.columns:
+        return lines
+    df = lines if CHUNK in lines.columns else chunk_by_position(lines, "number", chunk_rows)
+    return scan(df, ["path"], ["number"], sums={"offset": (F.length("text").cast("bigint"), False)})
