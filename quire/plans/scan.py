@@ -63,6 +63,7 @@ def scan(
     next: Mapping[str, Column] | None = None,
     sums: Mapping[str, _Spec] | None = None,
     lasts: Mapping[str, _Spec] | None = None,
+    reverse: bool = False,
 ) -> DataFrame:
     """One sequential pass over ``df`` ordered by ``order`` within ``keys``.
 
@@ -71,28 +72,33 @@ def scan(
     ``(expr, inclusive)``; exclusive sums start at 0.  ``lasts``: last non-null
     value of an expression up to this row (``inclusive``) or before it.
     Expressions may only use columns of ``df``.  ``df`` needs ``_chunk``.
+    ``reverse=True`` runs the pass from the end of each key backwards (same
+    slices, same partitioning): ``lasts`` then give the next non-null value.
     """
     prev, next, sums, lasts = dict(prev or {}), dict(next or {}), dict(sums or {}), dict(lasts or {})
     keys = list(keys)
     part = [*keys, CHUNK]
-    w = Window.partitionBy(*part).orderBy(*order)
+    ords = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
+    w = Window.partitionBy(*part).orderBy(*ords)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    slices = Window.partitionBy(*keys).orderBy(CHUNK)
+    slices = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc())
     slices_before = slices.rowsBetween(Window.unboundedPreceding, -1)
     ordkey = F.struct(*[F.col(c) for c in order])
 
     # -- per-slice summary, aggregated where the data already sits
     aggs: list[Column] = []
+    hi_by, lo_by = (F.min_by, F.max_by) if reverse else (F.max_by, F.min_by)
+    hi = F.min if reverse else F.max
     if prev:
-        aggs.append(F.max_by(F.struct(*[e.alias(n) for n, e in prev.items()]), ordkey).alias("_s_last_row"))
+        aggs.append(hi_by(F.struct(*[e.alias(n) for n, e in prev.items()]), ordkey).alias("_s_last_row"))
     if next:
-        aggs.append(F.min_by(F.struct(*[e.alias(n) for n, e in next.items()]), ordkey).alias("_s_first_row"))
+        aggs.append(lo_by(F.struct(*[e.alias(n) for n, e in next.items()]), ordkey).alias("_s_first_row"))
     for n, spec in sums.items():
         aggs.append(F.sum(_spec(spec)[0]).alias(f"_s_sum_{n}"))
     for n, spec in lasts.items():
         e = _spec(spec)[0]
-        aggs.append(F.max(F.when(e.isNotNull(), F.struct(ordkey.alias("o"), e.alias("v")))).alias(f"_s_last_{n}"))
+        aggs.append(hi(F.when(e.isNotNull(), F.struct(ordkey.alias("o"), e.alias("v")))).alias(f"_s_last_{n}"))
 
     carry_cols: list[Column] = []
     if prev:
