@@ -23,26 +23,28 @@ def parse_groups(col: Column | str, pattern: str) -> Column:
     """E-1: match ``pattern`` at the start of the string (multi-line mode) and
     nest its named groups into a struct; ``_`` in a group name is a path
     separator (``args_0`` -> ``args.0``).  A group that did not take part in
-    the match is null (``regexp_instr`` tells "unmatched" from "empty");
-    the whole struct is null when the pattern does not match.
+    the match is null; so is an empty group (Spark's regex functions do not
+    tell the two apart).  The whole struct is null when the pattern does not
+    match.
 
     Java group names may not hold ``_``, so groups are renamed on the driver
     and addressed by number.
     """
-    names = _NAMED.findall(pattern)
+    groups = _capturing_groups(pattern)
     plain = _NAMED.sub("(", pattern)
     rx = f"(?m)^(?:{plain})"
-    numbers = _group_numbers(plain)
     s = _c(col)
     tree: dict = {}
-    for name, idx in zip(names, numbers):
+    for idx, name in groups:
+        if name is None:
+            continue
         node = tree
         parts = name.split("_")
         for p in parts[:-1]:
             node = node.setdefault(p, {})
             if not isinstance(node, dict):
                 raise ValueError(f"group {name} nests under a value")
-        node[parts[-1]] = F.when(F.regexp_instr(s, F.lit(rx), F.lit(idx)) > 0, F.regexp_extract(s, rx, idx))
+        node[parts[-1]] = F.nullif(F.regexp_extract(s, rx, idx), F.lit(""))
 
     def build(node: dict) -> Column:
         return F.struct(*[(build(v) if isinstance(v, dict) else v).alias(k) for k, v in node.items()])
@@ -50,6 +52,30 @@ def parse_groups(col: Column | str, pattern: str) -> Column:
     return F.when(s.rlike(rx), build(tree))
 
 
+def _capturing_groups(pattern: str) -> list[tuple[int, str | None]]:
+    """``(number, name or None)`` of every capturing group, in order of its '('."""
+    out, n, i, cls = [], 0, 0, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 2
+            continue
+        if cls:
+            cls = ch != "]"
+        elif ch == "[":
+            cls = True
+        elif ch == "(":
+            m = _NAMED.match(pattern, i)
+            if m:
+                n += 1
+                out.append((n, m.group(1)))
+            elif pattern[i + 1:i + 2] != "?":
+                n += 1
+                out.append((n, None))
+        i += 1
+    return out
+
+
 def _group_numbers(pattern: str) -> list[int]:
     """1-based numbers of the capturing groups, in order of their '('."""
     out, n, i, cls = [], 0, 0, False
@@ -132,6 +158,10 @@ MICROFORMATS = [
 BARE = {"email": r"([A-Za-z0-9_.\-]+@[A-Za-z0-9_.\-]+)", "url": r"([A-Za-z]+://[^\s>]+)"}
 
 
+def _tagger(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+
 def microformats(col: Column | str, bracketed: bool = True) -> Column:
     """E-8: array of ``struct(kind, value)`` for every microformat in the text."""
     s = _c(col)
@@ -139,8 +169,7 @@ def microformats(col: Column | str, bracketed: bool = True) -> Column:
     for kind, rx in MICROFORMATS:
         if not bracketed and kind in BARE:
             rx = BARE[kind]
-        parts.append(F.transform(F.regexp_extract_all(s, F.lit(rx), 1),
-                                 lambda v, k=kind: F.struct(F.lit(k).alias("kind"), v.alias("value"))))
+        parts.append(F.transform(F.regexp_extract_all(s, F.lit(rx), 1), _tagger(kind)))
     return F.concat(*parts)
 
 
