@@ -149,3 +149,13 @@ FROM w3
 @register("weave", WEAVE_SQL)
 def q_weave(spark, sf):
     return weave(code_lines(table(spark, sf, "events")))
+
+
+@register("json_rows")
+def q_json_rows(spark, sf):
+    """K-1: events as JSON objects (rows-only check: JSON text formatting
+    differs between engines; the values are checked by ``json_values``)."""
+    from ..functions.export import to_json_rows
+    e = table(spark, sf, "events")
+    return to_json_rows(e, ["event_id", "user_id", "event_type", "value", "props"]).withColumn(
+        "event_id", F.get_json_object("json", "$.event_id").cast("bigint"))
