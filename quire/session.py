@@ -8,6 +8,7 @@ summary joins into broadcasts at run time, after the real size is known).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,8 +43,9 @@ def get_spark(master: str | None = None, partitions: int | None = None, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) is a fresh scratch folder created and set.
+    ``spark.checkpoint.dir`` is read from the session.  Only a session whose
+    master is local gets a scratch folder when it is unset; elsewhere that is
+    an error, as executors would each write to a disk of their own.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -52,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return conf
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="quire-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
