@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing
+from . import exact, packing, simhash, spans
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +35,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_digest(pieces)
 
 
+@register("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the sentences of passages that an earlier place already has."""
+    return spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @register("op6_exact_dedup", exact.EXACT_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose texts are equal after folding white space."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op7_simhash_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components at 2 bits or fewer."""
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
