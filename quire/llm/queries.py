@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, simhash, spans
+from . import exact, licenses, packing, simhash, spans
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their components at 2 bits or fewer."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases, licence detections, labels and score of every document."""
+    return licenses.scan_licences(table(spark, sf_dir, "documents"))
