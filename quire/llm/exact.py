@@ -19,7 +19,8 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " ")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 carry: list[str] | None = None) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Rows are grouped by the MD5 of the normalised text *and* that text, so Spark
@@ -33,15 +34,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     * null id: never the smallest unless all ids of the group are null;
     * repeated rows: rows with the same id and text are one document and get the
       same answer, each counts in ``group_size``;
-    * empty table: no rows.  Other columns are ignored.
+    * empty table: no rows.  Columns not named are ignored.
+
+    ``carry`` names input columns to hand through in a struct ``rest``.
     """
-    rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", normalised(F.col("text")).alias("text"))
+    names = {f"r{i}": n for i, n in enumerate(carry or [])}
+    rest = [F.struct(*[F.col(a).alias(n) for a, n in names.items()]).alias("rest")] if names else []
+    rows = pick(docs, doc_id=id_col, text=text_col, **names).select("doc_id", normalised(F.col("text")).alias("text"), *rest)
     rows = rows.withColumn("h", F.unhex(F.md5("text"))).withColumn("s", F.sha2("text", 256))
     groups = (rows.groupBy("h", "s", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
               .select("h", "s", "keep_id", "group_size"))
-    out = rows.select("doc_id", "h", "s").join(groups, ["h", "s"])
+    kept_columns = ["rest"] if names else []
+    out = rows.select("doc_id", "h", "s", *kept_columns).join(groups, ["h", "s"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-                      F.col("s").alias("text_sha256"))
+                      F.col("s").alias("text_sha256"), *kept_columns)
 
 
 EXACT_SQL = r"""
