@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, licenses, packing, simhash, spans, toxicity
-from .common import table
+from . import exact, licenses, packing, simhash, spans, toxicity, warc
+from .common import fresh_folder, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,6 +42,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@register("op3_warc", warc.WARC_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records, looked up in the capture index and read back."""
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages, fresh_folder(spark, "warc"))
+    keys = pick(pages, url="url").select(warc.surt(F.col("url")).alias("key"))
+    records = warc.read_records(spark, archive, warc.lookup(spark, archive, keys))
+    kind = pages.schema["page_id"].dataType
+    return records.select(F.col("page_id").try_cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 @register("op6_exact_dedup", exact.EXACT_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose texts are equal after folding white space."""
