@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, packing, simhash, spans, toxicity, warc
+from . import exact, licenses, lines, packing, simhash, spans, toxicity, warc
 from .common import fresh_folder, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@register("op9_line_dedup", lines.LINES_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of every page without the lines that are boilerplate of its host."""
+    return lines.drop_boilerplate(table(spark, sf_dir, "pages"))
+
+
 @register("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases, licence detections, labels and score of every document."""
