@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, lines, packing, simhash, spans, toxicity, warc
+from . import exact, licenses, lines, packing, simhash, spans, toxicity, vectors, warc
 from .common import fresh_folder, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+@register("op4_embedding_near_dedup", vectors.EMBEDDINGS_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with equal labels at cosine 0.93 or more."""
+    return vectors.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 @register("op6_exact_dedup", exact.EXACT_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose texts are equal after folding white space."""
