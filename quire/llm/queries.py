@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, lines, packing, simhash, spans, toxicity, vectors, warc
+from . import exact, licenses, lines, packing, pieces, simhash, spans, toxicity, vectors, warc
 from .common import fresh_folder, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+@register("op5_sentencepiece")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document, and whether decoding them gives its text back."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 @register("op6_exact_dedup", exact.EXACT_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose texts are equal after folding white space."""
