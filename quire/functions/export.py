@@ -40,9 +40,8 @@ def weave(lines: DataFrame) -> DataFrame:
     stripped (escaped too), joined by newlines, inside ``<em>``.
     """
     tl = typed_lines(lines)
-    tl = scan(tl, ["path"], ["number"], prev={"_pb": F.col("block_no")}, next={"_nb": F.col("block_no")})
-    first = F.col("_pb").isNull() | (F.col("_pb") != F.col("block_no"))
-    last = F.col("_nb").isNull() | (F.col("_nb") != F.col("block_no"))
+    tl = scan(tl, ["path"], ["number"], prev={"_pf": F.col("starts")}, next={"_ns": F.col("starts")})
+    first, last = F.col("starts"), F.coalesce("_ns", F.lit(True))
     kind = F.col("kind")
 
     def tag(i: int) -> Column:
@@ -52,9 +51,6 @@ def weave(lines: DataFrame) -> DataFrame:
         return out
 
     # in a text block the line after the marker is shown without a leading newline
-    tl = tl.withColumns({"_first": first, "_last": last})
-    tl = scan(tl, ["path"], ["number"], prev={"_pf": F.col("_first")})
-    first, last = F.col("_first"), F.col("_last")
     body = (F.when(kind != "text", html_escape("text"))
             .when(first, F.lit(""))
             .otherwise(F.concat(F.when(F.coalesce(F.col("_pf"), F.lit(False)), F.lit("")).otherwise(F.lit("\n")),

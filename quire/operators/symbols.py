@@ -171,7 +171,7 @@ def enclosing(syms: DataFrame) -> DataFrame:
                     (F.size("_p") - F.col("_k")).cast("bigint").alias("distance"))
 
 
-def attach_docs(blocks_df: DataFrame, doc_kind: str = "coda", code_kind: str = "text") -> DataFrame:
+def attach_docs(blocks_df: DataFrame, doc_kind: str = "doc", code_kind: str = "text") -> DataFrame:
     """J-6: each doc block with the block that follows it in the same file
     (``block_no + 1``, an equi join), when that block is code."""
     doc = blocks_df.where(F.col("kind") == doc_kind).select(

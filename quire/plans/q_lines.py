@@ -65,7 +65,7 @@ j AS (
          LAG(st.run) OVER (PARTITION BY l.path ORDER BY l.number) AS prev_run
   FROM l JOIN st ON l.path = st.path AND l.number = st.number)
 SELECT path, block_no,
-       CASE WHEN bool_or(run) THEN 'coda' ELSE 'text' END AS kind,
+       CASE WHEN bool_or(run) THEN 'doc' ELSE 'text' END AS kind,
        max(CASE WHEN run AND NOT COALESCE(prev_run, false)
                 THEN regexp_extract(text, '^[ \t]*#[ \t]?-{2,}[ \t]*([^\n]*)', 1) END) AS meta,
        CAST(min(off) AS BIGINT) AS "offset", CAST(sum(length(text)) AS BIGINT) AS length,
@@ -101,7 +101,7 @@ j AS (
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
   FROM l JOIN st ON l.path = st.path AND l.number = st.number)
 SELECT path, block_no,
-       CASE WHEN bool_or(run) THEN 'coda' ELSE 'text' END AS kind,
+       CASE WHEN bool_or(run) THEN 'doc' ELSE 'text' END AS kind,
        CASE WHEN bool_or(run) THEN '' END AS meta,
        CAST(min(off) AS BIGINT) AS "offset", CAST(sum(length(text)) AS BIGINT) AS length,
        CAST(min(number) AS BIGINT) AS line, CAST(count(*) AS BIGINT) AS n_lines

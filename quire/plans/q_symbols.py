@@ -147,7 +147,7 @@ def _block_state_sql() -> str:
 
 DEFINED_IN_SQL = _block_state_sql().replace("WITH RECURSIVE code_lines AS", "WITH RECURSIVE code_lines AS", 1) + \
     MENTIONS_CTE.format(src="code_lines").replace("WITH ln AS", ", ln AS", 1) + """
-SELECT m.name, m.path, m.line, j.block_no, CASE WHEN j.run THEN 'coda' ELSE 'text' END AS block_kind
+SELECT m.name, m.path, m.line, j.block_no, CASE WHEN j.run THEN 'doc' ELSE 'text' END AS block_kind
 FROM m LEFT JOIN j ON j.path = m.path AND j.number = m.line WHERE m.type = 'asn'
 """
 
@@ -164,7 +164,7 @@ ATTACH_DOCS_SQL = BLOCKS_SQL.replace("SELECT path, block_no,\n", ", b AS (SELECT
 SELECT d.path, d.block_no AS doc_block, d.meta AS doc_meta, d.line AS doc_line, c.block_no AS code_block,
        c.line AS code_line, c.n_lines AS code_lines
 FROM b d JOIN b c ON c.path = d.path AND c.block_no = d.block_no + 1
-WHERE d.kind = 'coda' AND c.kind = 'text'
+WHERE d.kind = 'doc' AND c.kind = 'text'
 """
 
 

@@ -108,7 +108,7 @@ st(path, number, s, run, block_no) AS (
 j AS (
   SELECT l.path, l.number, l.text, st.run, st.block_no
   FROM l JOIN st ON l.path = st.path AND l.number = st.number)
-SELECT path, block_no, CASE WHEN bool_or(run) THEN 'coda' ELSE 'text' END AS kind,
+SELECT path, block_no, CASE WHEN bool_or(run) THEN 'doc' ELSE 'text' END AS kind,
        string_agg(text, '' ORDER BY number) AS fragment_text
 FROM j GROUP BY path, block_no
 """, "code_lines", recursive=True)

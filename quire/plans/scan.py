@@ -12,6 +12,7 @@ bounded number of rows:
   a range repartition on ``(keys, order)`` splits a hot key over many
   partitions and the partition id becomes the chunk (written once with
   ``checkpoint()``: a partition id is not data, two readers may disagree).
+  The number of ranges follows from the size of the input.
 
 What a row needs from earlier or later slices (previous row, next row, running
 total, last non-null value) comes from a per-slice summary: one row per slice,
@@ -19,6 +20,14 @@ total, last non-null value) comes from a per-slice summary: one row per slice,
 over the summary, and joined back on ``(keys..., _chunk)`` -- the partitioning
 the data already has, so the big side never moves again.  AQE turns that join
 into a broadcast when the summary is small enough at run time.
+
+A pass reads its input twice (summary and rows), so passes are not chained:
+an operator with dependent steps computes all of them inside the slice, once
+for each state a slice can begin in, and settles the states on the summary
+(:mod:`quire.operators.blocks`).
+
+Keys are compared through one string column in which null is a value of its
+own, so rows with a null key form a sequence like any other.
 """
 
 from __future__ import annotations
@@ -28,8 +37,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 CHUNK = "_chunk"
 CHUNK_ROWS = 1 << 16
+RANGE_BYTES = 64 << 20
 
 _Spec = Column | tuple[Column, bool]
 
@@ -46,10 +58,34 @@ def chunk_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], par
     of all rows is cut into about a third of the partitions.  Partition ids
     are monotone in the sort order, also after AQE coalesces neighbours.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _ranges_for(df))
     return df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id().cast("bigint"))
 
 
+def _ranges_for(df: DataFrame) -> int:
+    """Ranges of about ``RANGE_BYTES`` by the optimizer's estimate; 1 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return -(-size // RANGE_BYTES) if size < 1 << 60 else 1
+
+
+def key_name(keys: Sequence[str]) -> str:
+    return "_key_" + "_".join(keys)
+
+
+def with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the column that slices are partitioned by: never null, different for null and any value."""
+    if key_name(keys) in df.columns:
+        return df
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys]
+    return df.withColumn(key_name(keys), parts[0] if len(parts) == 1 else F.array(*parts))
+
+
+def slice_windows(keys: Sequence[str], order: Sequence[str]):
+    """``(partition columns, rows of a slice, slices of a key)`` for a frame with key and chunk columns."""
+    part = [key_name(keys), CHUNK]
+    return part, Window.partitionBy(*part).orderBy(*order), Window.partitionBy(key_name(keys)).orderBy(CHUNK)
+
+
 def _spec(v: _Spec) -> tuple[Column, bool]:
     return v if isinstance(v, tuple) else (v, True)
 
@@ -76,13 +112,14 @@ def scan(
     slices, same partitioning): ``lasts`` then give the next non-null value.
     """
     prev, next, sums, lasts = dict(prev or {}), dict(next or {}), dict(sums or {}), dict(lasts or {})
-    keys = list(keys)
-    part = [*keys, CHUNK]
+    columns = df.columns
+    df = with_key(df, keys)
+    part = [key_name(keys), CHUNK]
     ords = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     w = Window.partitionBy(*part).orderBy(*ords)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    slices = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc())
+    slices = Window.partitionBy(key_name(keys)).orderBy(F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc())
     slices_before = slices.rowsBetween(Window.unboundedPreceding, -1)
     ordkey = F.struct(*[F.col(c) for c in order])
 
@@ -127,7 +164,7 @@ def scan(
         local.append(F.last(e, ignorenulls=True).over(upto if inclusive else before).alias(f"_l_last_{n}"))
     out = df.select(*local).join(summary, part, "left")
 
-    final: list[Column] = [F.col(c) for c in df.columns]
+    final: list[Column] = [F.col(c) for c in columns]
     for n in prev:
         final.append(F.when(F.col("_l_first"), F.col(f"_c_prev.{n}")).otherwise(F.col(f"_l_prev_{n}")).alias(n))
     for n in next:
@@ -142,13 +179,14 @@ def scan(
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "number", partitions: int | None = None) -> DataFrame:
     """Dense 0-based row number within ``keys`` by ``order`` without a per-key window.
 
-    The result keeps ``_chunk``, so later scans over the same keys reuse the
-    slices and the partitioning.
+    The result keeps ``_chunk`` and the key column, so later scans over the
+    same keys reuse the slices and the partitioning.
     """
     one = "_one"
     # The partition id is a physical property: two readers of the same range
     # shuffle may see it coalesced differently.  Materialise it once, in the
     # checkpoint folder, so the slice summary and the rows agree (and a lost
     # executor cannot re-derive other ids).
+    ensure_checkpoint_dir(df.sparkSession)
     ranged = chunk_by_range(df, keys, order, partitions).checkpoint(eager=True).withColumn(one, F.lit(1))
-    return scan(ranged, keys, order, sums={out: (F.col(one), False)}).drop(one)
+    return scan(with_key(ranged, keys), keys, order, sums={out: (F.col(one), False)}).drop(one)

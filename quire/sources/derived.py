@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import CHUNK, number_rows
+from ..plans.scan import CHUNK, key_name, number_rows
 
 
 def _s(c: Column | str) -> Column:
@@ -22,7 +22,7 @@ def _s(c: Column | str) -> Column:
 def _numbered(events: DataFrame, path: Column, text: Column) -> DataFrame:
     base = events.select(path.alias("path"), "ts", "event_id", text.alias("text"))
     out = number_rows(base, ["path"], ["ts", "event_id"])
-    return out.select("path", "number", "text", CHUNK)
+    return out.select("path", "number", "text", CHUNK, key_name(["path"]))
 
 
 def _module_path() -> Column:

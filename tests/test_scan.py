@@ -34,3 +34,12 @@ def test_number_rows_is_dense_per_key(spark):
     for k in range(3):
         ts = sorted(r.t for r in got if r.k == k)
         assert sorted((r.t, r.number) for r in got if r.k == k) == [(t, i) for i, t in enumerate(ts)]
+
+
+def test_null_keys_are_a_sequence_of_their_own(spark):
+    rows = [(k, i) for k in (None, "", "a") for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, t long")
+    got = number_rows(df, ["k"], ["t"], partitions=4).collect()
+    assert sorted((str(r.k), r.t, r.number) for r in got) == sorted((str(k), t, t) for k, t in rows)
+    both = scan(chunk_by_position(df.withColumn("j", F.col("t") % 1), "t", 2), ["k", "j"], ["t"], sums={"s": F.col("t")}).collect()
+    assert all(r.s == sum(range(r.t + 1)) for r in both)

@@ -5,25 +5,25 @@ from quire.operators.tags import find_fragments, read_tags
 from quire.operators.trees import catalogue, detach, siblings, subtree, walk
 from quire.sources.lines import scan_lines
 
-PATHS = ["py/coda/model.py", "py/coda/parser/blocks.py", "py/coda/parser/ctags.py", "py/coda/utils/export.py"]
+PATHS = ["lib/app/main.py", "lib/app/read/lines.py", "lib/app/read/marks.py", "lib/app/write/out.py"]
 
 
 def test_catalogue_walk_and_subtree(spark):
     files = spark.createDataFrame([(p,) for p in PATHS], "path string")
     nodes = catalogue(files)
     ids = {r.id: r for r in nodes.collect()}
-    assert set(ids) == set(PATHS) | {"py", "py/coda", "py/coda/parser", "py/coda/utils"}
-    assert ids["py"].parent is None and ids["py/coda/parser"].parent == "py/coda"
+    assert set(ids) == set(PATHS) | {"lib", "lib/app", "lib/app/read", "lib/app/write"}
+    assert ids["lib"].parent is None and ids["lib/app/read"].parent == "lib/app"
     order = [r.id for r in walk(nodes).orderBy("preorder").collect()]
-    assert order == ["py", "py/coda", "py/coda/model.py", "py/coda/parser", "py/coda/parser/blocks.py",
-                     "py/coda/parser/ctags.py", "py/coda/utils", "py/coda/utils/export.py"]
-    tops = nodes.where(F.col("id") == "py/coda/parser")
-    assert {r.id for r in subtree(nodes, tops).collect()} == {"py/coda/parser", "py/coda/parser/blocks.py",
-                                                               "py/coda/parser/ctags.py"}
-    assert "py/coda/parser/ctags.py" not in {r.id for r in detach(nodes, tops).collect()}
+    assert order == ["lib", "lib/app", "lib/app/main.py", "lib/app/read", "lib/app/read/lines.py",
+                     "lib/app/read/marks.py", "lib/app/write", "lib/app/write/out.py"]
+    tops = nodes.where(F.col("id") == "lib/app/read")
+    assert {r.id for r in subtree(nodes, tops).collect()} == {"lib/app/read", "lib/app/read/lines.py",
+                                                               "lib/app/read/marks.py"}
+    assert "lib/app/read/marks.py" not in {r.id for r in detach(nodes, tops).collect()}
     sib = {r.id: r for r in siblings(nodes).collect()}
-    assert sib["py/coda/parser/blocks.py"].next_sibling == "py/coda/parser/ctags.py"
-    assert sib["py/coda/parser"].n_children == 2 and sib["py/coda/model.py"].is_leaf
+    assert sib["lib/app/read/lines.py"].next_sibling == "lib/app/read/marks.py"
+    assert sib["lib/app/read"].n_children == 2 and sib["lib/app/main.py"].is_leaf
 
 
 SOURCE = "class A:\n    def m(self):\n        x = 1\n\n    def n(self):\n        pass\n\ndef g():\n    return A\n"
