@@ -61,7 +61,7 @@ def weave(lines: DataFrame) -> DataFrame:
 
 def glob_regex(patterns: Sequence[str]) -> str:
     """Shell globs (``* ? [seq] [!seq]``) to one anchored regex, on the driver."""
-    return "|".join(f"(?:{fnmatch.translate(p)})" for p in patterns)
+    return "^(?:" + "|".join(f"(?:{fnmatch.translate(p)})" for p in patterns) + ")"
 
 
 def filter_glob(files: DataFrame, includes: Sequence[str] = (), excludes: Sequence[str] = (),

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.blocks import MARKER_META
+
 _NAMED = re.compile(r"\(\?P?<([A-Za-z][A-Za-z0-9_]*)>")
 
 
@@ -96,15 +98,16 @@ def _group_numbers(pattern: str) -> list[int]:
     return out
 
 
-def split_list(col: Column | str, sep: str = ",", max_items: int = 16) -> Column:
-    """E-2: separated items, at most ``max_items`` (the reference's list width)."""
-    return F.slice(F.split(_c(col), re.escape(sep), -1), 1, max_items)
+def split_list(col: Column | str, sep: str = ",", max_items: int | None = None) -> Column:
+    """E-2: separated items, all of them unless ``max_items`` says otherwise."""
+    items = F.split(_c(col), re.escape(sep), -1)
+    return items if max_items is None else F.slice(items, 1, max_items)
 
 
 # ---------------------------------------------------------------- E-3 .. E-7
 def block_meta(col: Column | str, strip: bool = False) -> Column:
     """E-3: text after a block marker, '' when the line is a marker without it."""
-    meta = F.regexp_extract(_c(col), r"^[ \t]*#[ \t]?-{2,}[ \t]*([^\n]*)", 1)
+    meta = F.regexp_extract(_c(col), MARKER_META, 1)
     return F.regexp_replace(meta, r"^\s+|\s+$", "") if strip else meta
 
 
@@ -112,8 +115,12 @@ def unescape_pattern(col: Column | str) -> Column:
     """E-4: a tag address ``/^text$/;"`` to its text: strip the delimiters,
     then ``\\/`` -> ``/`` and ``\\\\`` -> ``\\``."""
     s = _c(col)
-    body = F.regexp_replace(F.regexp_replace(s, r'^/\^?', ""), r'\$?/;"$', "")
-    return F.regexp_replace(F.regexp_replace(body, r"\\/", "/"), r"\\\\", "\\\\")
+    return unescape(F.regexp_replace(F.regexp_replace(s, r'^/\^?', ""), r'\$?/;"$', ""))
+
+
+def unescape(col: Column) -> Column:
+    """Tag addresses escape slashes and backslashes by a backslash."""
+    return F.replace(F.replace(col, F.lit("\\/"), F.lit("/")), F.lit("\\\\"), F.lit("\\"))
 
 
 def extract(text: Column | str, offset: Column | str, length: Column | str) -> Column:
@@ -173,6 +180,7 @@ def microformats(col: Column | str, bracketed: bool = True) -> Column:
     return F.concat(*parts)
 
 
+# Fixed patterns of the note syntax: list items.
 TODO_ITEM = r"^[ \t]*-[ ]*\[([ xX])\][ ]*(.*)$"
 ORDERED_ITEM = r"^[ \t]*([0-9a-zA-Z])[).][ ]*(.*)$"
 BULLET_ITEM = r"^[ \t]*([-*])[ ]*(.*)$"
@@ -201,8 +209,67 @@ def list_item(col: Column | str) -> Column:
                                                  F.regexp_extract(s, BULLET_ITEM, 2).alias("text"))))
 
 
+# ---------------------------------------------------------------- E-9
+# Fixed delimiters of inline spans, in order: at one place the first wins.
+INLINE = [
+    ("strong", r"\*\*(.+?)\*\*"),
+    ("emphasis", r"\*(.+?)\*"),
+    ("term", r"_(.+?)_"),
+    ("code", r"`(.+?)`"),
+    ("quote", r"<<(.+?)>>"),
+    ("link", r"\[([^\]]*?)\)\[[^\]]*\]"),
+    ("anchor", r"\[([^\]]+)\]"),
+]
+INLINE_ANY = "|".join(rx for _, rx in INLINE)
+
+
+def inline_spans(col: Column | str, levels: int = 3) -> Column:
+    """E-9: array of ``struct(level, kind, start, end, text)`` for the inline spans of a line.
+
+    The earliest start wins; ``text`` is what stands between the delimiters and
+    is searched again, ``levels`` deep.  ``start`` and ``end`` count characters
+    of the whole line, delimiters included.
+    """
+    return _spans(_c(col), F.lit(0), 1, levels)
+
+
+def _spans(s: Column, base: Column, level: int, levels: int) -> Column:
+    hits, gaps = F.regexp_extract_all(s, F.lit(INLINE_ANY), 0), F.split(s, INLINE_ANY, -1)
+
+    def kind_of(hit: Column) -> Column:
+        out = F.when(hit.rlike(f"^(?:{INLINE[0][1]})$"), F.lit(INLINE[0][0]))
+        for name, rx in INLINE[1:]:
+            out = out.when(hit.rlike(f"^(?:{rx})$"), F.lit(name))
+        return out
+
+    def inner(hit: Column) -> Column:
+        out = F.when(hit.rlike(f"^(?:{INLINE[0][1]})$"), F.regexp_extract(hit, INLINE[0][1], 1))
+        for _, rx in INLINE[1:]:
+            out = out.when(hit.rlike(f"^(?:{rx})$"), F.regexp_extract(hit, rx, 1))
+        return out
+
+    kind = "array<struct<level:int,kind:string,start:int,end:int,text:string,inside:int>>"
+    start = F.struct(base.cast("int").alias("at"), F.array().cast(kind).alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin, text = acc["at"] + F.length(x["gap"]), inner(x["hit"])
+        span = F.struct(F.lit(level).alias("level"), kind_of(x["hit"]).alias("kind"), begin.alias("start"),
+                        (begin + F.length(x["hit"])).alias("end"), text.alias("text"),
+                        (begin + F.when(x["hit"].rlike(r"^(\*\*|<<)"), 2).otherwise(1)).alias("inside"))
+        return F.struct((begin + F.length(x["hit"])).alias("at"), F.concat(acc["all"], F.array(span)).alias("all"))
+
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    own = F.aggregate(pairs, start, step, lambda acc: acc["all"])
+    plain = lambda x: F.struct(x["level"].alias("level"), x["kind"].alias("kind"), x["start"].alias("start"),
+                               x["end"].alias("end"), x["text"].alias("text"))
+    if level == levels:
+        return F.transform(own, plain)
+    return F.flatten(F.transform(own, lambda x: F.concat(F.array(plain(x)), _spans(x["text"], x["inside"], level + 1, levels))))
+
+
 # ---------------------------------------------------------------- E-12, E-13
 TOKEN_EXPR = r"\$\{([^}]+)\}"
+# Fixed patterns of the token syntax.
 # A token is dot-separated chunks: key+factor (``gap2``), value+unit (``1.5em``) or a name.
 TOKEN_CHUNK = r"([A-Za-z_]+[0-9]+|[0-9]+(\.[0-9]+)?[A-Za-z]+|[A-Za-z_]+)"
 TOKEN_WHOLE = rf"^{TOKEN_CHUNK}(\.{TOKEN_CHUNK})*$"
@@ -224,8 +291,9 @@ def expand_tokens(col: Column | str, context: Column, on_missing: str = "error")
             return F.when(ok, found).otherwise(F.concat(F.lit("${"), name, F.lit("}")))
         return F.when(ok, found).otherwise(F.raise_error(F.concat(F.lit("Undefined or malformed token: "), name)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(names)), F.element_at(gaps, 1),
-                       lambda acc, i: F.concat(acc, value(F.element_at(names, i)), F.element_at(gaps, i + 1)))
+    expanded = F.aggregate(F.sequence(F.lit(1), F.size(names)), F.element_at(gaps, 1),
+                           lambda acc, i: F.concat(acc, value(F.element_at(names, i)), F.element_at(gaps, i + 1)))
+    return F.when(F.size(names) > 0, expanded).otherwise(s)
 
 
 _FIELD = re.compile(r"\{([A-Za-z_][A-Za-z0-9_.]*)\}")

@@ -7,20 +7,20 @@ holding the tail.  Rules are data: an ordered list of ``(name, regex)``;
 names starting with ``STA_`` / ``END_`` give start / end events.
 
 Matches come from ``regexp_extract_all`` and the gaps from ``split`` on the
-same pattern, so no sentinel character is injected into the text; the rule
-that matched is read per rule group (exact even for rules with anchors).
-Offsets are running sums over the pieces, computed by the sliced scan.
+same pattern, so no sentinel character is injected into the text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import starts
 from ..functions.text import _group_numbers
-from ..plans.scan import CHUNK, CHUNK_ROWS, chunk_by_position, scan
+from ..plans.scan import CHUNK_ROWS, chunk_by_position, scan
 
 Rules = Sequence[tuple[str, str]]
 
@@ -39,63 +39,65 @@ def event_of(name: str) -> str:
     return "+" if name.startswith("STA_") else "-" if name.startswith("END_") else "="
 
 
-def marks(docs: DataFrame, rules: Rules, *, key: str = "doc_id", text: str = "text",
-          chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+#: What makes a rule depend on the text around its match.
+LOOKS_AROUND = re.compile(r"\(\?[=!]|\(\?<[=!]|\\[bBAzZG]|(?<![\[\\])[$^]")
+
+
+def marks(docs: DataFrame, rules: Rules, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, piece, type, event, text, start, end)``; ``piece`` orders the
-    marks of a document (gap ``2i``, match ``2i+1``, ``#eos`` last)."""
+    marks of a document (gap ``2i``, match ``2i+1``, ``#eos`` last).
+
+    One row in, its marks out: matches and gaps come from one pattern each, a
+    match is named by the first rule that fits it whole, and starts are summed
+    up inside the row.  Only rules that look around are read from their group
+    instead.  Nothing is shuffled, so it runs on streams too (ST-2).
+    """
+    for name, rx in rules:
+        if re.compile(rx).fullmatch(""):
+            raise ValueError(f"rule {name!r} matches the empty text")
     rx, groups = combined(rules)
-    s = F.col(text)
-    names = [n for n, _ in rules]
-    tokens = F.regexp_extract_all(s, F.lit(rx), 0)
-    per_rule = [F.regexp_extract_all(s, F.lit(rx), g) for g in groups]
-    typed = F.arrays_zip(tokens.alias("t"), *[a.alias(f"g{i}") for i, a in enumerate(per_rule)])
-
-    def rule_name(x):
-        out = None
-        for i, n in enumerate(names):
-            hit = x.getField(f"g{i}") != ""
-            out = F.when(hit, F.lit(n)) if out is None else out.when(hit, F.lit(n))
-        return out
-
-    base = docs.select(F.col(key).alias("_key"), F.split(s, rx, -1).alias("_gaps"),
-                       F.transform(typed, lambda x: F.struct(x.getField("t").alias("t"), rule_name(x).alias("n")))
-                       .alias("_toks"))
-    gaps = base.select("_key", F.size("_gaps").alias("_ng"), F.posexplode("_gaps").alias("_i", "_t")).select(
-        "_key", (F.col("_i") * 2).cast("bigint").alias("piece"),
-        F.when(F.col("_i") == F.col("_ng") - 1, F.lit("#eos")).otherwise(F.lit("#text")).alias("type"),
-        F.col("_t").alias("text"))
-    toks = base.select("_key", F.posexplode("_toks").alias("_i", "_x")).select(
-        "_key", (F.col("_i") * 2 + 1).cast("bigint").alias("piece"), F.col("_x.n").alias("type"),
-        F.col("_x.t").alias("text"))
-    pieces = chunk_by_position(gaps.unionByName(toks), "piece", chunk_rows)
-    pieces = scan(pieces, ["_key"], ["piece"], sums={"start": (F.length("text").cast("bigint"), False)})
+    s = F.col("_s")
+    around = {i: g for i, ((_, r), g) in enumerate(zip(rules, groups)) if LOOKS_AROUND.search(r)}
+    base = docs.select(F.col(key).alias("_key"), F.col(text).alias("_s"))
+    base = base.select("_key", F.split(s, rx, -1).alias("_gaps"), F.regexp_extract_all(s, F.lit(rx), 0).alias("_toks"),
+                       *[F.regexp_extract_all(s, F.lit(rx), g).alias(f"_g{i}") for i, g in around.items()])
+    # gap 0, match 0, gap 1, ...: one array, so that one running sum gives every start
+    pieces = F.transform(F.sequence(F.lit(0), 2 * F.size("_toks")), lambda i: F.when(
+        i % 2 == 0, F.get("_gaps", (i / 2).cast("int"))).otherwise(F.get("_toks", (i / 2).cast("int"))))
+    base = base.withColumn("_pieces", pieces).withColumn("_starts", starts(F.transform("_pieces", lambda x: F.length(x))))
+    rows = base.select("_key", F.size("_toks").alias("_n"), *[f"_g{i}" for i in around],
+                       F.posexplode(F.arrays_zip("_pieces", "_starts")).alias("piece", "_x"))
+    body, is_match = F.col("_x._pieces"), F.col("piece") % 2 == 1
+    kind = F.when(F.col("piece") == 2 * F.col("_n"), F.lit("#eos")).when(~is_match, F.lit("#text"))
+    for i, (name, r) in enumerate(rules):
+        whole = F.get(f"_g{i}", (F.col("piece") / 2).cast("int")) != "" if i in around else body.rlike(f"(?m)\\A(?:{r})\\z")
+        kind = kind.when(whole, F.lit(name))
+    rows = rows.select("_key", F.col("piece").cast("bigint").alias("piece"), kind.alias("type"), body.alias("text"),
+                       F.col("_x._starts").alias("start"))
     ev = F.when(F.col("type") == "#eos", F.lit(".")).when(F.col("type") == "#text", F.lit("="))
-    for n in names:
-        ev = ev.when(F.col("type") == n, F.lit(event_of(n)))
-    out = pieces.where((F.col("type") != "#text") | (F.col("text") != "")).select(
+    for name, _ in rules:
+        ev = ev.when(F.col("type") == name, F.lit(event_of(name)))
+    return rows.where((F.col("type") != "#text") | (F.col("text") != "")).select(
         F.col("_key").alias(key), "piece", "type", ev.alias("event"), "text", "start",
-        (F.col("start") + F.length("text")).cast("bigint").alias("end"), CHUNK)
-    return out
+        (F.col("start") + F.length("text")).cast("bigint").alias("end"))
 
 
-def pair_marks(mk: DataFrame, *, key: str = "doc_id", name: str | None = None) -> DataFrame:
-    """W-7: nesting depth and the matching end of every start mark.
+def pair_marks(mk: DataFrame, *, key: str = "doc_id", name: str | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """W-7: nesting level and the matching end of every start mark.
 
-    ``depth`` is the running sum of +1/-1 events (depth after the mark);
-    a start at depth ``d`` is closed by the next end mark that returns to
-    ``d - 1``: the next row in the ``(key, level)`` sequence, where a start's
-    level is its depth after and an end's level its depth before.  ``name``
-    is an optional column holding the tag name to match on as well.
+    A start at level ``d`` is closed by the next end mark that returns to
+    ``d - 1``: the next row in the ``(key, name, level)`` sequence, where a
+    start's level is the running sum of +1/-1 events after it and an end's the
+    one before.  ``name`` is a column with the tag name: starts and ends then
+    pair by name, so crossed and unclosed tags of other names do not matter.
     """
-    step = F.when(F.col("event") == "+", 1).when(F.col("event") == "-", -1).otherwise(0).cast("bigint")
-    paired = mk.where(F.col("event").isin("+", "-"))
-    d = scan(paired, [key], ["piece"], sums={"depth": step})
-    level = F.when(F.col("event") == "+", F.col("depth")).otherwise(F.col("depth") + 1)
-    d = d.withColumn("level", level)
-    nxt = scan(d, [key, "level"], ["piece"],
-               next={"_ne": F.col("event"), "_np": F.col("piece"), "_nend": F.col("end")})
-    starts = nxt.where(F.col("event") == "+")
+    by = [key] if name is None else [key, name]
+    step = F.when(F.col("event") == "+", 1).otherwise(-1).cast("bigint")
+    paired = chunk_by_position(mk.where(F.col("event").isin("+", "-")), "piece", chunk_rows)
+    d = scan(paired, by, ["piece"], sums={"depth": step})
+    d = d.withColumn("level", F.when(F.col("event") == "+", F.col("depth")).otherwise(F.col("depth") + 1))
+    nxt = scan(d, [*by, "level"], ["piece"], next={"_ne": F.col("event"), "_np": F.col("piece"), "_nend": F.col("end")})
     closed = F.col("_ne") == "-"
-    return starts.select(key, "piece", "type", "text", "start", "level",
-                         F.when(closed, F.col("_np")).alias("end_piece"),
-                         F.when(closed, F.col("_nend")).alias("span_end"))
+    return nxt.where(F.col("event") == "+").select(
+        *by, "piece", "type", "text", "start", "level", F.when(closed, F.col("_np")).alias("end_piece"),
+        F.when(closed, F.col("_nend")).alias("span_end"))

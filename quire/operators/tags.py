@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extract
+from ..functions.text import extract, unescape
 
 # Tag kind codes and names (fixed values of the tag format).
 TAG_KINDS = [
@@ -29,8 +29,8 @@ TAG_KINDS = [
 _LINE = r'^([^\t]*)\t([^\t]*)\t(.*?;")\t([^\t\n]*)(\t(.*))?$'
 _PLAIN = r"^([^\t]*)\t([^\t]*)\t(.*)\t([^\t\n]*)$"
 
-# Largest pattern table joined by broadcast (rows, checked with a count).
-BROADCAST_PATTERNS = 100_000
+# Longest gram a pattern is looked up by.
+LONGEST_GRAM = 32
 
 
 def tag_kinds(spark) -> DataFrame:
@@ -47,28 +47,27 @@ def read_tags(raw: DataFrame, value: str = "value") -> DataFrame:
     """S-3 / F-5: tag lines to ``(symbol, path, pattern, kind_code, extras, kind)``.
 
     Header lines (``!``) are dropped.  The address runs to its ``;"``; the
-    field after it is the kind code and later ``k:v`` fields go to ``extras``.
-    Lines without ``;"`` split the address at their last tab.
+    field after it is the kind code and later ``k:v`` fields go to ``extras``
+    (of a repeated key the last counts).  Lines without ``;"`` split the address
+    at their last tab; lines of neither form are not tags and are dropped.
     """
     v = F.regexp_replace(F.col(value), r"\n$", "")
     rows = raw.select(v.alias("_v")).where(~F.col("_v").startswith("!"))
+    rows = rows.where(F.col("_v").rlike(_LINE) | F.col("_v").rlike(_PLAIN))
     full = F.col("_v").rlike(_LINE)
 
     def field(i: int):
         return F.when(full, F.regexp_extract("_v", _LINE, i)).otherwise(F.regexp_extract("_v", _PLAIN, i))
 
-    extras = F.when(full & (F.regexp_extract("_v", _LINE, 6) != ""),
-                    F.map_from_entries(F.transform(F.split(F.regexp_extract("_v", _LINE, 6), "\t"), lambda kv: F.struct(
-                        F.regexp_extract(kv, "^([^:]*)", 1).alias("k"), F.regexp_extract(kv, "^[^:]*:?(.*)$", 1).alias("v")))))
+    pairs = F.transform(F.split(F.regexp_extract("_v", _LINE, 6), "\t"), lambda kv: F.struct(
+        F.regexp_extract(kv, "^([^:]*)", 1).alias("k"), F.regexp_extract(kv, "^[^:]*:?(.*)$", 1).alias("v")))
+    last_of_key = F.filter(pairs, lambda kv, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["k"] == kv["k"]))
+    extras = F.when(full & (F.regexp_extract("_v", _LINE, 6) != ""), F.map_from_entries(last_of_key))
     out = rows.select(field(1).alias("symbol"), field(2).alias("path"), field(3).alias("pattern"),
                       field(4).alias("kind_code"), extras.alias("extras"))
     return kind_lookup(out)
 
 
-def _unescape(p):
-    return F.replace(F.replace(p, F.lit("\\/"), F.lit("/")), F.lit("\\\\"), F.lit("\\"))
-
-
 def find_fragments(lines: DataFrame, tags: DataFrame) -> DataFrame:
     """J-1: one row per (tag, hit); tags without a hit keep one row with nulls.
 
@@ -79,7 +78,7 @@ def find_fragments(lines: DataFrame, tags: DataFrame) -> DataFrame:
     """
     # a tag is identified by its own fields (duplicate tag lines keep their count)
     t = tags.groupBy("symbol", "kind", "kind_code", "path", "pattern").agg(F.count(F.lit(1)).alias("_copies"))
-    t = t.withColumn("_p", _unescape(F.col("pattern")))
+    t = t.withColumn("_p", unescape(F.col("pattern")))
     exact = F.col("_p").startswith("/^") & F.col("_p").endswith('$/;"')
     t = t.withColumn("_exact", exact).withColumn(
         "_pat", F.when(exact, F.expr("substring(_p, 3, length(_p) - 6)")).otherwise(F.col("_p")))
@@ -111,30 +110,38 @@ def fragments_by_tag(frags: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("offset").isNotNull(), frag))).alias("fragments"))
 
 
-def find_substrings(lines: DataFrame, patterns: DataFrame, *, pattern: str = "pattern", pid: str = "pattern_id",
-                    broadcast_limit: int = BROADCAST_PATTERNS, gram: int = 8) -> DataFrame:
-    """J-1 without paths: every line holding a pattern, first occurrence per line.
+def find_substrings(files: DataFrame, patterns: DataFrame, *, path: str = "path", content: str = "content",
+                    pattern: str = "pattern", pid: str = "pattern_id") -> DataFrame:
+    """J-1 without paths: ``(path, pattern_id, line, column, offset, length)``, the first place of
+    each pattern in each text, also where it spans lines.
 
-    A pattern table of at most ``broadcast_limit`` rows (counted first) is
-    broadcast to a nested-loop ``contains`` join.  Larger tables use an exact
-    k-gram equi join: each line explodes its k-grams, each pattern its first
-    k characters; candidates are checked with ``locate``.
+    A pattern of length L is looked up by grams of ``g`` characters, the largest
+    power of two with ``2g - 1 <= L`` (at most 32).  Texts list their grams at
+    multiples of ``g`` only; wherever a pattern lies, one of its first ``g``
+    grams falls on such a place.  So texts give len/g rows, patterns g rows, the
+    grams meet in an equi join, and the whole pattern is compared where they do.
+    Which ``g`` occur is a one-row aggregate of the patterns.  Empty patterns
+    and null texts match nothing; repeated patterns count once.
     """
-    pats = patterns.select(F.col(pid).alias("pattern_id"), F.col(pattern).alias("_pat")).where(F.length("_pat") > 0)
-    ln = lines.select("path", "number", "offset", "text")
-    n = pats.count()
-    if n <= broadcast_limit:
-        j = ln.join(F.broadcast(pats), ln.text.contains(F.col("_pat")))
-    else:
-        k = min(gram, pats.agg(F.min(F.length("_pat"))).first()[0])
-        grams = ln.select("path", "number", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - k + 1, F.lit(1))))
-                          .alias("_i"), "text").select("path", "number", F.substring("text", F.col("_i"), k).alias("_g"))
-        cand = grams.join(pats.withColumn("_g", F.substring("_pat", 1, k)), "_g").select(
-            "path", "number", "pattern_id", "_pat").distinct()
-        j = cand.join(ln, ["path", "number"]).where(F.col("text").contains(F.col("_pat")))
-    col0 = F.expr("locate(_pat, text) - 1").cast("bigint")
-    return j.select("path", F.col("number").alias("line"), "pattern_id", col0.alias("column"),
-                    (F.col("offset") + col0).alias("offset"), F.length("_pat").cast("bigint").alias("length"))
+    pats = patterns.select(F.col(pid).alias("pattern_id"), F.col(pattern).alias("_pat")).where(F.length("_pat") > 0).distinct()
+    gram = F.pow(F.lit(2), F.floor(F.log2((F.length("_pat") + 1) / 2))).cast("int")
+    pats = pats.withColumn("_g", F.least(F.lit(LONGEST_GRAM), gram))
+    texts = files.select(F.col(path).alias("path"), F.col(content).alias("_text"))
+    sizes = pats.agg(F.collect_set("_g").alias("_sizes"))       # one row, at most six numbers
+    listed = texts.crossJoin(F.broadcast(sizes)).select("path", "_text", F.explode("_sizes").alias("_g"))
+    grams = listed.select("path", "_g", F.posexplode(F.regexp_extract_all(
+        "_text", F.concat(F.lit("(?s).{"), F.col("_g").cast("string"), F.lit("}")), F.lit(0))).alias("_i", "_gram"))
+    asked = pats.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).select(
+        "pattern_id", "_pat", "_g", "_r", F.expr("substring(_pat, _r + 1, _g)").alias("_gram"))
+    near = grams.join(asked, ["_g", "_gram"]).select("path", "pattern_id", "_pat", (F.col("_i") * F.col("_g") - F.col("_r")).alias("_at"))
+    near = near.where("_at >= 0").distinct()
+    found = near.join(texts, "path").where(F.expr("substring(_text, _at + 1, length(_pat)) = _pat"))
+    first = found.groupBy("path", "pattern_id", "_pat").agg(F.min("_at").alias("_at"))
+    head = F.expr("left(_text, _at)")
+    return first.join(texts, "path").select(
+        "path", "pattern_id", (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).cast("bigint").alias("line"),
+        F.length(F.substring_index(head, "\n", -1)).cast("bigint").alias("column"), F.col("_at").cast("bigint").alias("offset"),
+        F.length("_pat").cast("bigint").alias("length"))
 
 
 def read_fragments(fragments: DataFrame, lines: DataFrame) -> DataFrame:

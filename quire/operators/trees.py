@@ -83,8 +83,9 @@ def walk(nodes: DataFrame, sep: str = SEP) -> DataFrame:
 
 
 def outline_numbered(walked: DataFrame) -> Column:
-    """K-5 numbering: 3-digit pre-order position before the outline text."""
-    return F.concat(F.lpad(F.col("preorder").cast("string"), 3, "0"), F.lit(" "), F.col("outline"))
+    """K-5 numbering: pre-order position, padded to 3 digits, before the outline text."""
+    number = F.col("preorder").cast("string")
+    return F.concat(F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number), F.lit(" "), F.col("outline"))
 
 
 def siblings(nodes: DataFrame) -> DataFrame:

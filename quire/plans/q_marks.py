@@ -15,14 +15,6 @@ HTML_RULES = [
     ("STA_tag", r"<[A-Za-z][A-Za-z0-9]*[^>]*>"),
 ]
 
-# Elements that are always closed in the test pages (p, br, b, meta stay open).
-BALANCED = "li|a|ul|head|title|style|script|nav|div|article|h1|footer"
-BALANCED_RULES = [
-    ("END_el", rf"</({BALANCED})>"),
-    ("STA_el", rf"<({BALANCED})( [^>]*)?>"),
-]
-
-
 def _marks_sql(rules, with_cols: str = "") -> str:
     rx, groups = combined(rules)
     names = [n for n, _ in rules]
@@ -61,20 +53,21 @@ HTML_MARKS_SQL = _marks_sql(HTML_RULES) + "SELECT page_id, piece, type, event, t
 @register("html_marks", HTML_MARKS_SQL)
 def q_html_marks(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "html")
-    return marks(pages, HTML_RULES, key="page_id", text="html").drop("_chunk")
+    return marks(pages, HTML_RULES, key="page_id", text="html")
 
 
-HTML_DEPTH_SQL = _marks_sql(BALANCED_RULES, """,
+HTML_DEPTH_SQL = _marks_sql(HTML_RULES, """,
 d AS (
-  SELECT *, SUM(CASE WHEN event = '+' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY piece
-            ROWS UNBOUNDED PRECEDING) AS depth
-  FROM mk WHERE event IN ('+', '-')),
-lv AS (SELECT *, CASE WHEN event = '+' THEN depth ELSE depth + 1 END AS level FROM d),
+  SELECT *, lower(regexp_extract(text, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS name FROM mk WHERE event IN ('+', '-')),
+lv AS (
+  SELECT *, SUM(CASE WHEN event = '+' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id, name ORDER BY piece
+            ROWS UNBOUNDED PRECEDING) + CASE WHEN event = '+' THEN 0 ELSE 1 END AS level
+  FROM d),
 nx AS (
   SELECT *, LEAD(event) OVER w AS ne, LEAD(piece) OVER w AS np, LEAD("end") OVER w AS nend
-  FROM lv WINDOW w AS (PARTITION BY page_id, level ORDER BY piece))
+  FROM lv WINDOW w AS (PARTITION BY page_id, name, level ORDER BY piece))
 """) + """
-SELECT page_id, piece, type, text, start, CAST(level AS BIGINT) AS level,
+SELECT page_id, name, piece, type, text, start, CAST(level AS BIGINT) AS level,
        CASE WHEN ne = '-' THEN np END AS end_piece, CASE WHEN ne = '-' THEN nend END AS span_end
 FROM nx WHERE event = '+'
 """
@@ -83,5 +76,6 @@ FROM nx WHERE event = '+'
 @register("html_depth", HTML_DEPTH_SQL)
 def q_html_depth(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "html")
-    return pair_marks(marks(pages, BALANCED_RULES, key="page_id", text="html"), key="page_id").withColumn(
-        "level", F.col("level").cast("bigint"))
+    tags = marks(pages, HTML_RULES, key="page_id", text="html").withColumn(
+        "name", F.lower(F.regexp_extract("text", "^</?([A-Za-z][A-Za-z0-9]*)", 1)))
+    return pair_marks(tags, key="page_id", name="name").withColumn("level", F.col("level").cast("bigint"))

@@ -8,7 +8,7 @@ from ..catalog import register, table
 from ..operators.blocks import blocks, classify_lines
 from ..operators.tags import find_fragments, find_substrings, read_fragments, read_tags, tags_by_kind
 from ..sources.derived import code_lines, scope_lines, tag_lines, with_tables
-from ..sources.lines import scan_lines, with_offsets
+from ..sources.lines import with_offsets
 
 # Tag-line parsing and the kind table, in SQL.
 TAGS_SQL = r"""
@@ -54,40 +54,25 @@ FROM t2 LEFT JOIN ln ON ln.path = t2.path AND ln.body = t2.pat
 def q_fragments_exact(spark, sf):
     scope = scope_lines(table(spark, sf, "events"))
     tags = read_tags(tag_lines(scope))
-    return find_fragments(with_offsets(scope), tags).drop()
-
-
-DOC_LINES_SQL = r"""
-WITH pieces AS (
-  SELECT CAST(doc_id AS VARCHAR) AS path,
-         string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS p
-  FROM documents),
-raw AS (SELECT path, len(p) AS n, generate_subscripts(p, 1) AS i, unnest(p) AS piece FROM pieces),
-l0 AS (SELECT path, CAST(i - 1 AS BIGINT) AS number, CASE WHEN i = n THEN piece ELSE piece || chr(10) END AS text
-       FROM raw WHERE NOT (i = n AND piece = '')),
-l AS (SELECT *, COALESCE(SUM(length(text)) OVER (PARTITION BY path ORDER BY number
-               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l0)
-"""
-
-FRAGMENTS_SUBSTRING_SQL = DOC_LINES_SQL + """,
-pat AS (SELECT item_id AS pattern_id, substr(text, 1, 60) AS p FROM benchmark WHERE length(substr(text, 1, 60)) > 0)
-SELECT l.path, l.number AS line, pat.pattern_id, CAST(strpos(l.text, pat.p) - 1 AS BIGINT) AS "column",
-       CAST(l.off + strpos(l.text, pat.p) - 1 AS BIGINT) AS "offset", CAST(length(pat.p) AS BIGINT) AS length
-FROM l JOIN pat ON contains(l.text, pat.p)
-"""
+    return find_fragments(with_offsets(scope), tags)
 
 
-def _doc_lines(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"),
-                                                 F.col("text").alias("content"))
-    return scan_lines(docs)
+FRAGMENTS_SUBSTRING_SQL = """
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, text FROM documents),
+pat AS (SELECT DISTINCT item_id AS pattern_id, text AS p FROM benchmark WHERE length(text) > 0),
+h AS (SELECT path, pattern_id, p, text[:strpos(text, p) - 1] AS head FROM d JOIN pat ON contains(text, p))
+SELECT path, pattern_id, CAST(len(string_split(head, chr(10))) - 1 AS BIGINT) AS line,
+       CAST(length(string_split(head, chr(10))[-1]) AS BIGINT) AS "column",
+       CAST(length(head) AS BIGINT) AS "offset", CAST(length(p) AS BIGINT) AS length
+FROM h
+"""
 
 
 @register("fragments_substring", FRAGMENTS_SUBSTRING_SQL)
 def q_fragments_substring(spark, sf):
-    pats = table(spark, sf, "benchmark").select(F.col("item_id").alias("pattern_id"),
-                                                F.substring("text", 1, 60).alias("pattern"))
-    return find_substrings(_doc_lines(spark, sf), pats)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    pats = table(spark, sf, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
+    return find_substrings(docs, pats)
 
 
 READ_FRAGMENTS_SQL = with_tables(r"""
@@ -117,6 +102,6 @@ FROM j GROUP BY path, block_no
 @register("read_fragments", READ_FRAGMENTS_SQL)
 def q_read_fragments(spark, sf):
     lines = with_offsets(code_lines(table(spark, sf, "events")))
-    bl = blocks(classify_lines(lines)).withColumnRenamed("length", "length")
+    bl = blocks(classify_lines(lines))
     out = read_fragments(bl.select("path", "block_no", "kind", "offset", "length", "line", "n_lines"), lines)
     return out.select("path", "block_no", "kind", "fragment_text")

@@ -26,7 +26,7 @@ SELECT page_id,
        CASE WHEN ok THEN NULLIF(regexp_extract(url, {_PG}, 3), '') END AS path,
        CASE WHEN ok THEN NULLIF(regexp_extract(url, {_PG}, 5), '') END AS query,
        CASE WHEN ok AND NULLIF(regexp_extract(url, {_PG}, 5), '') IS NOT NULL
-            THEN array_to_string(string_split(regexp_extract(url, {_PG}, 5), '&')[1:16], '|') END AS params
+            THEN array_to_string(string_split(regexp_extract(url, {_PG}, 5), '&'), '|') END AS params
 FROM u
 """)
 def q_parse_groups(spark, sf):

@@ -9,6 +9,7 @@ shared file system the paths point to.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,36 +25,53 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     df = reader.load(root)
-    base = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + base.replace(".", r"\."), "")
+    base = re.sub(r"^file:/*(?=/)", "", root).rstrip("/") + "/"
+    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/*(?=/)", ""), "^" + re.escape(base), "")
     return df.select(rel.alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
+#: Characters of content handed on at once.
+BATCH_CHARS = 8 << 20
+
+
 def read_manifest(manifest: DataFrame, root: str = "", path: str = "path") -> DataFrame:
-    """S-1 for listed files: ``(path, content)`` read inside the tasks; a
-    missing file gives a null ``content``."""
-    base = root.rstrip("/") + "/" if root else ""
+    """S-1 for listed files: ``(path, content)`` read inside the tasks.
+
+    ``root`` may be a folder or a URI that ``pyarrow.fs`` knows (HDFS, S3, GCS).
+    A missing file gives a null ``content``; any other failure to read fails
+    the task, so that it is tried again.  Contents are handed on whenever
+    ``BATCH_CHARS`` have been read.
+    """
+    from pyarrow import fs
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        base = base.rstrip("/") + "/" if base else ""
         for b in batches:
-            out = []
+            paths, out, size = [], [], 0
             for p in b[path]:
                 try:
-                    with open(base + p, encoding="utf-8", newline="") as fh:
-                        out.append(fh.read())
-                except OSError:
-                    out.append(None)
-            yield pd.DataFrame({"path": b[path], "content": out})
+                    with system.open_input_stream(base + p, compression=None) as f:
+                        text = f.read().decode("utf-8")
+                except FileNotFoundError:
+                    text = None
+                paths.append(p)
+                out.append(text)
+                size += len(text or "")
+                if size >= BATCH_CHARS:
+                    yield pd.DataFrame({"path": paths, "content": out})
+                    paths, out, size = [], [], 0
+            yield pd.DataFrame({"path": paths, "content": out}, dtype=object)
 
     return manifest.select(path).mapInPandas(read, "path string, content string")
 
 
-def read_json_tree(spark: SparkSession, source: str, max_depth: int = 32) -> DataFrame:
+def read_json_tree(spark: SparkSession, source: str) -> DataFrame:
     """S-4: nested ``{id, value, children}`` JSON (a list of roots) to node
     rows ``(id, parent, ord, depth, value)``; ``value`` as JSON text.
 
     Level by level: ``posexplode(children)`` of the level above, one step per
-    level of the data (the schema itself says how deep it is).
+    level of the data (the schema itself says how deep it is, and ends the loop).
     """
     df = spark.read.option("multiLine", "true").json(source)
     level = df.select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("parent"),
@@ -62,7 +80,7 @@ def read_json_tree(spark: SparkSession, source: str, max_depth: int = 32) -> Dat
                       *([F.col("children")] if "children" in df.columns else []))
     out = level.drop("children")
     d = 0
-    while "children" in level.columns and d < max_depth:
+    while "children" in level.columns:
         d += 1
         kids = level.select(F.col("id").alias("_pid"), F.posexplode("children").alias("_ord", "_c"))
         fields = kids.schema["_c"].dataType.fieldNames() if isinstance(kids.schema["_c"].dataType, T.StructType) else []

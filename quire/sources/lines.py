@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import starts
 from ..plans.scan import CHUNK, CHUNK_ROWS, chunk_by_position, scan
 
 
@@ -15,22 +16,27 @@ def scan_lines(files: DataFrame, *, path: str = "path", content: str = "content"
     ``eol=True`` follows ``readlines()``: each line keeps its ``\\n`` and a
     trailing empty piece is dropped.  ``eol=False`` follows ``split('\\n')``
     with ``\\n`` appended to every piece, the last empty one included.
-    ``offset`` counts characters (code points) from the start of the file.
+    ``offset`` counts characters (code points) from the start of the file; it
+    is summed up inside the file's row, so nothing is shuffled.
     """
     body = F.col(content)
     if universal_newlines:
         body = F.regexp_replace(body, "\r\n?", "\n")
-    pieces = files.select(F.col(path).alias("path"), F.split(body, "\n", -1).alias("_p"))
-    lines = pieces.select("path", F.size("_p").alias("_n"), F.posexplode("_p").alias("number", "_piece"))
-    last = F.col("number") == F.col("_n") - 1
-    if eol:
-        lines = lines.where(~(last & (F.col("_piece") == ""))).select(
-            "path", "number", F.when(last, F.col("_piece")).otherwise(F.concat("_piece", F.lit("\n"))).alias("text"))
-    else:
-        lines = lines.select("path", "number", F.concat("_piece", F.lit("\n")).alias("text"))
-    lines = chunk_by_position(lines.withColumn("number", F.col("number").cast("bigint")), "number", chunk_rows)
-    out = scan(lines, ["path"], ["number"], sums={"offset": (F.length("text").cast("bigint"), False)})
-    return out.select("path", "number", "offset", "text", CHUNK)
+    rows = _line_rows(files, path, F.split(body, "\n", -1), eol)
+    rows = rows.withColumn("_o", starts(F.transform("_t", lambda x: F.length(x))))
+    lines = rows.select("path", F.posexplode(F.arrays_zip("_t", "_o")).alias("number", "_x")).select(
+        "path", F.col("number").cast("bigint").alias("number"), F.col("_x._o").alias("offset"), F.col("_x._t").alias("text"))
+    return chunk_by_position(lines, "number", chunk_rows)
+
+
+def _line_rows(files: DataFrame, path: str, pieces, eol: bool) -> DataFrame:
+    """``(path, _t)`` with the lines of each file as an array, ends of line restored."""
+    rows = files.select(F.col(path).alias("path"), pieces.alias("_p"))
+    if not eol:
+        return rows.select("path", F.transform("_p", lambda x: F.concat(x, F.lit("\n"))).alias("_t"))
+    last = F.element_at("_p", -1)
+    whole = F.transform(F.slice("_p", 1, F.size("_p") - 1), lambda x: F.concat(x, F.lit("\n")))
+    return rows.select("path", F.when(last == "", whole).otherwise(F.concat(whole, F.array(last))).alias("_t"))
 
 
 def line_index(lines: DataFrame) -> DataFrame:
@@ -50,6 +56,23 @@ def position_of(lines: DataFrame, points: DataFrame) -> DataFrame:
         "offset", F.col("_line_offset") + F.col("column")).drop("_line_offset")
 
 
+def line_of(lines: DataFrame, points: DataFrame) -> DataFrame:
+    """W-11 (reverse form): ``(path, offset)`` points to line and column.
+
+    Offsets are cut into buckets of 4096 characters and lines listed under every
+    bucket they touch, so the range condition is an equi join on ``(path, bucket)``.
+    An offset past the end of its file keeps nulls.
+    """
+    size = 4096
+    spans = lines.where(F.length("text") > 0).select(
+        "path", F.col("number").alias("line"), F.col("offset").alias("_lo"), (F.col("offset") + F.length("text")).alias("_hi"))
+    spans = spans.withColumn("_b", F.explode(F.sequence(F.expr(f"_lo div {size}"), F.expr(f"(_hi - 1) div {size}"))))
+    asked = points.withColumn("_b", F.expr(f"offset div {size}"))
+    own = (asked["path"] == spans["path"]) & (asked["_b"] == spans["_b"]) & (asked["offset"] >= F.col("_lo")) & (asked["offset"] < F.col("_hi"))
+    return asked.join(spans, own, "left").select(*[asked[c] for c in points.columns], F.col("line"),
+                                                 (asked["offset"] - F.col("_lo")).alias("column"))
+
+
 def with_offsets(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``offset`` (characters before the line in its file) to a lines table."""
     if "offset" in lines.columns:
