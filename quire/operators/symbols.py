@@ -17,11 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import starts
 from ..plans.scan import CHUNK, CHUNK_ROWS, chunk_by_position, scan
 
 DECL = r"^([ \t]*)(async[ \t]+)?(class|def)[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
-IMPORT = r"^[ \t]*import[ \t]+(.+?)[ \t]*$"
-FROM_IMPORT = r"^[ \t]*from[ \t]+([A-Za-z_][A-Za-z0-9_.]*)[ \t]+import[ \t]+(.+?)[ \t]*$"
+IMPORT = r"^import[ \t]+(.+?)[ \t]*$"
+FROM_IMPORT = r"^from[ \t]+([.]*[A-Za-z_][A-Za-z0-9_.]*|[.]+)[ \t]+import[ \t]*(.+?)[ \t]*$"
+IMPORTED = r"^([A-Za-z_][A-Za-z0-9_.]*|[*])([ \t]+as[ \t]+([A-Za-z_][A-Za-z0-9_]*))?$"
+RECORD_CLASS = r"^[ \t]*class[ \t]+[A-Za-z_][A-Za-z0-9_]*[ \t]*\(([^)]*[^A-Za-z0-9_])?(NamedTuple|dataclass)([^A-Za-z0-9_][^)]*)?\)"
+FIELD = r"^[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*:[ \t]*[^ \t\n=]"
+QUOTES = ['"""', "'''"]
+SCOPES = "array<struct<line:bigint,name:string,kind:string,record:boolean,indent:bigint>>"
 IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
 BLANK = r"^[ \t]*\n?$"
 
@@ -46,11 +52,9 @@ def _levels(decl_lines: DataFrame) -> list[int]:
     return sorted(r[0] for r in decl_lines.select("_ind").distinct().collect())
 
 
-def declarations(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Y-1 / Y-2: class and def symbols with span, parent and qualname.
-
-    ``(path, kind, name, qualname, parent, line, end_line, indent)``; ``end_line``
-    is exclusive; module rows are added by :func:`symbols`.
+def scoped_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Every line with ``scopes``, the declarations open at it from the outside in, as
+    ``struct(line, name, kind, record, indent)``; ``record`` marks classes whose fields are annotations.
     """
     df = lines if CHUNK in lines.columns else chunk_by_position(lines, "number", chunk_rows)
     text = F.col("text")
@@ -59,82 +63,167 @@ def declarations(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         "_ind": F.length(F.regexp_extract(text, r"^([ \t]*)", 1)).cast("bigint"),
         "_name": F.regexp_extract(text, DECL, 4), "_kind": F.regexp_extract(text, DECL, 3)})
     levels = _levels(df.where("_decl"))
-    fwd, bwd = {}, {}
+    fwd = {}
     for lv in levels:
-        at = ~F.col("_blank") & (F.col("_ind") <= lv)
-        mark = F.struct(F.col("number").alias("n"), (F.col("_decl") & (F.col("_ind") == lv)).alias("d"),
-                        F.col("_name").alias("name"))
-        fwd[f"_o{lv}"] = (F.when(at, mark), False)
-        bwd[f"_e{lv}"] = (F.when(at, F.col("number")), False)
+        mark = F.struct(F.col("number").alias("line"), F.col("_name").alias("name"), F.col("_kind").alias("kind"),
+                        text.rlike(RECORD_CLASS).alias("record"), F.col("_ind").alias("indent"),
+                        (F.col("_decl") & (F.col("_ind") == lv)).alias("is_decl"))
+        fwd[f"_o{lv}"] = (F.when(~F.col("_blank") & (F.col("_ind") <= lv), mark), False)
     df = scan(df, ["path"], ["number"], lasts=fwd)
-    df = scan(df, ["path"], ["number"], lasts=bwd, reverse=True)
-    decl = df.where("_decl")
+    open_at = [F.when((F.lit(lv) < F.col("_ind")) & F.col(f"_o{lv}.is_decl"), F.col(f"_o{lv}").dropFields("is_decl")) for lv in levels]
+    scopes = F.array_compact(F.array(*open_at)) if levels else F.array().cast(SCOPES)
+    return df.select(*[c for c in df.columns if not c.startswith("_o")], scopes.alias("scopes"))
+
+
+def declarations(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Y-1 / Y-2: class and def symbols with span, parent and qualname.
+
+    ``(path, kind, name, qualname, parent, line, end_line, indent, scopes)``; ``end_line``
+    is exclusive; module rows are added by :func:`symbols`.
+    """
+    df = scoped_lines(lines, chunk_rows)
+    levels = _levels(df.where("_decl"))
+    bwd = {f"_e{lv}": (F.when(~F.col("_blank") & (F.col("_ind") <= lv), F.col("number")), False) for lv in levels}
+    decl = scan(df, ["path"], ["number"], lasts=bwd, reverse=True).where("_decl")
     n_lines = lines.groupBy("path").agg((F.max("number") + 1).alias("_n"))
     end = F.lit(None).cast("bigint")
     for lv in levels:
         end = F.when(F.col("_ind") == lv, F.col(f"_e{lv}")).otherwise(end)
-    chain = F.filter(F.array(*[F.when((F.lit(lv) < F.col("_ind")) & F.col(f"_o{lv}.d"), F.col(f"_o{lv}.name"))
-                               for lv in levels]), lambda x: x.isNotNull()) if levels else F.array()
-    mod = module_name("path")
-    out = decl.join(n_lines, "path").select(
+    chain = F.concat(F.array(module_name("path")), F.transform("scopes", lambda x: x["name"]))
+    return decl.join(n_lines, "path").select(
         "path", F.when(F.col("_kind") == "class", F.lit("class")).otherwise(F.lit("function")).alias("kind"),
-        F.col("_name").alias("name"),
-        F.array_join(F.concat(F.array(mod), chain, F.array(F.col("_name"))), ".").alias("qualname"),
-        F.array_join(F.concat(F.array(mod), chain), ".").alias("parent"),
-        F.col("number").alias("line"), F.coalesce(end, F.col("_n")).alias("end_line"), F.col("_ind").alias("indent"))
-    return out
+        F.col("_name").alias("name"), F.array_join(F.concat(chain, F.array("_name")), ".").alias("qualname"),
+        F.array_join(chain, ".").alias("parent"),
+        F.col("number").alias("line"), F.coalesce(end, F.col("_n")).alias("end_line"), F.col("_ind").alias("indent"), "scopes")
 
 
-def symbols(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def symbols(lines: DataFrame, chunk_rows: int = CHUNK_ROWS, *, with_scopes: bool = False) -> DataFrame:
     """Y-1: declarations plus one module row per file."""
     decl = declarations(lines, chunk_rows)
     mods = lines.groupBy("path").agg((F.max("number") + 1).alias("end_line")).select(
         "path", F.lit("module").alias("kind"), F.element_at(F.split(module_name("path"), r"\."), -1).alias("name"),
         module_name("path").alias("qualname"), F.lit(None).cast("string").alias("parent"),
         F.lit(0).cast("bigint").alias("line"), "end_line", F.lit(0).cast("bigint").alias("indent"))
-    return decl.unionByName(mods)
-
-
-def imports(lines: DataFrame) -> DataFrame:
-    """Y-3: ``import a, b`` -> one row per module; ``from x import y, z`` -> ``x.y``, ``x.z``."""
-    t = F.regexp_replace(F.col("text"), r"\n$", "")
-    plain = lines.where(t.rlike(IMPORT)).select(
-        "path", "number", F.explode(F.split(F.regexp_extract(t, IMPORT, 1), r"[ \t]*,[ \t]*")).alias("_m"))
-    frm = lines.where(t.rlike(FROM_IMPORT)).select(
-        "path", "number", F.regexp_extract(t, FROM_IMPORT, 1).alias("_pkg"),
-        F.explode(F.split(F.regexp_extract(t, FROM_IMPORT, 2), r"[ \t]*,[ \t]*")).alias("_m"))
-    alias = r"^([A-Za-z_][A-Za-z0-9_.]*)([ \t]+as[ \t]+([A-Za-z_][A-Za-z0-9_]*))?$"
-    a = plain.select("path", "number", F.regexp_extract("_m", alias, 1).alias("module"),
-                     F.regexp_extract("_m", alias, 3).alias("alias"))
-    b = frm.select("path", "number", F.concat("_pkg", F.lit("."), F.regexp_extract("_m", alias, 1)).alias("module"),
-                   F.regexp_extract("_m", alias, 3).alias("alias"))
-    return a.unionByName(b).where(F.col("module") != "").withColumn(
-        "alias", F.when(F.col("alias") == "", None).otherwise(F.col("alias")))
+    if with_scopes:
+        return decl.unionByName(mods.withColumn("scopes", F.array().cast(SCOPES)))
+    return decl.drop("scopes").unionByName(mods)
+
+
+def imports(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Y-3: ``(path, number, module, alias)``, one row per imported name.
+
+    ``import a, b`` names modules; ``from x import y, z`` gives ``x.y`` and
+    ``x.z``, ``from . import z`` gives ``.z``.  Comments are left out, and a
+    parenthesised list may run over several lines: the line that opens it
+    carries its package forward until the one that closes it.
+    """
+    df = lines if CHUNK in lines.columns else chunk_by_position(lines, "number", chunk_rows)
+    code = F.regexp_replace(F.regexp_replace("text", r"[ \t]*(#.*)?\n?$", ""), r"^[ \t]+", "")
+    df = df.withColumn("_t", code)
+    package, listed = F.regexp_extract("_t", FROM_IMPORT, 1), F.regexp_extract("_t", FROM_IMPORT, 2)
+    opens = F.col("_t").rlike(FROM_IMPORT) & listed.contains("(") & ~listed.contains(")")
+    df = scan(df, ["path"], ["number"], lasts={"_open": (F.when(opens, package).when(F.col("_t").contains(")"), F.lit("")), False)})
+    inside = F.coalesce("_open", F.lit("")) != ""
+    head = F.when(inside, F.col("_open")).when(F.col("_t").rlike(FROM_IMPORT), package).when(F.col("_t").rlike(IMPORT), F.lit(""))
+    body = F.when(inside, F.substring_index("_t", ")", 1)).when(F.col("_t").rlike(FROM_IMPORT), listed).otherwise(F.regexp_extract("_t", IMPORT, 1))
+    rows = df.select("path", "number", head.alias("_pkg"), body.alias("_b")).where("_pkg is not null")
+    rows = rows.select("path", "number", "_pkg", F.explode(F.split(F.regexp_replace("_b", "[()]", ""), ",")).alias("_m"))
+    name, alias = F.regexp_extract(F.trim("_m"), IMPORTED, 1), F.regexp_extract(F.trim("_m"), IMPORTED, 3)
+    joint = F.when((F.col("_pkg") == "") | F.col("_pkg").endswith("."), F.lit("")).otherwise(F.lit("."))
+    return rows.where(name != "").select("path", "number", F.concat("_pkg", joint, name).alias("module"),
+                                         F.when(alias != "", alias).alias("alias"))
+
+
+def fields(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Y-4: ``(path, name, qualname, line)`` of annotated names directly in the body of a class
+    with the base ``NamedTuple`` or ``dataclass``."""
+    owner = F.try_element_at("scopes", F.lit(-1))
+    df = scoped_lines(lines, chunk_rows).where(F.col("text").rlike(FIELD) & (F.size("scopes") > 0))
+    df = df.where(owner["record"] & (owner["kind"] == "class"))
+    name = F.regexp_extract("text", FIELD, 1)
+    chain = F.concat(F.array(module_name("path")), F.transform("scopes", lambda x: x["name"]), F.array(name))
+    return df.select("path", name.alias("name"), F.array_join(chain, ".").alias("qualname"), F.col("number").alias("line"))
+
+
+def docstrings(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Y-5: ``(path, qualname, line, doc_line, documentation)`` of declarations whose body begins with a string.
+
+    The string opens on the first non-blank line after the declaration and
+    closes on that line or the next one with the same quotes; its lines are
+    joined by an equi join on the line numbers it covers, less the indent of
+    the first.  A string that never closes is no documentation.
+    """
+    df = scoped_lines(lines, chunk_rows)
+    after = {f"_close{i}": (F.when(F.col("text").contains(q), F.col("number")), False) for i, q in enumerate(QUOTES)}
+    df = scan(df, ["path"], ["number"], lasts=after, reverse=True)
+    here = F.struct("number", "text", *after)
+    df = scan(df, ["path"], ["number"], lasts={"_body": (F.when(~F.col("_blank"), here), False)}, reverse=True).where("_decl")
+    chain = F.concat(F.array(module_name("path")), F.transform("scopes", lambda x: x["name"]), F.array("_name"))
+    out = None
+    for i, q in enumerate(QUOTES):
+        start = rf"^([ \t]*)[rRuU]?{q}"
+        found = df.where(F.col("_body.text").rlike(start)).select(
+            "path", F.array_join(chain, ".").alias("qualname"), F.col("number").alias("line"), F.col("_body.number").alias("doc_line"),
+            F.length(F.regexp_extract("_body.text", start, 1)).alias("_margin"),
+            F.when(F.regexp_replace("_body.text", start, "").contains(q), F.col("_body.number")).otherwise(F.col(f"_body._close{i}")).alias("_to"))
+        cover = found.where("_to is not null").withColumn("number", F.explode(F.sequence("doc_line", "_to")))
+        own = cover.join(lines.select("path", "number", "text"), ["path", "number"])
+        body = F.when(F.col("number") == F.col("doc_line"), F.regexp_replace("text", start, "")).otherwise(
+            F.regexp_replace("text", F.concat(F.lit(r"^[ \t]{0,"), F.col("_margin").cast("string"), F.lit("}")), F.lit("")))
+        part = F.when(F.col("number") == F.col("_to"), F.substring_index(body, q, 1)).otherwise(body)
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", part.alias("t")))), lambda x: x["t"]), "")
+        one = own.groupBy("path", "qualname", "line", "doc_line").agg(whole.alias("_d")).withColumn(
+            "documentation", F.regexp_replace("_d", r"^\s+|\s+$", "")).drop("_d")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def submodules(files: DataFrame, root: str, path: str = "path", prefix: str = "") -> DataFrame:
+    """F-4: ``(path, module)`` of the modules below the package ``root``, itself included.
+
+    Files whose name begins with ``__`` are not modules of their own, and a
+    folder counts only if it and every folder between it and the root hold an
+    ``__init__.py``: a semi join of each file's folders with the packages.
+    """
+    rows = files.select(F.col(path).alias("path")).where(F.col("path").endswith(".py")).distinct()
+    rows = rows.withColumn("module", module_name("path", prefix))
+    rows = rows.where((F.col("module") == root) | F.col("module").startswith(root + "."))
+    stem = F.regexp_extract("path", r"([^/]*)\.py$", 1)
+    package = rows.where(stem == "__init__").select(F.col("module").alias("package"))
+    kept = rows.where((stem == "__init__") | ~stem.startswith("__"))
+    parts, depth = F.split("module", r"\."), len(root.split("."))
+    # packages that must exist: from the root down to the folder the file lies in
+    last = F.size(parts) - F.when(stem == "__init__", 0).otherwise(1)
+    need = kept.select("path", F.explode(F.when(last >= depth, F.sequence(F.lit(depth), last)).otherwise(F.array())).alias("_n"),
+                       parts.alias("_p")).select("path", F.array_join(F.slice("_p", 1, F.col("_n")), ".").alias("package"))
+    missing = need.join(package, "package", "left_anti").select("path").distinct()
+    return kept.join(missing, "path", "left_anti")
 
 
 def mentions(lines: DataFrame) -> DataFrame:
     """Y-6: identifier occurrences with type ``def`` (after class/def),
     ``asn`` (left of a single ``=``) or ``ref``; keywords excluded.
 
-    ``(name, type, path, line, column, offset, length)``; ``lines`` needs ``offset``.
+    ``(name, type, path, line, column, offset, length)``; ``lines`` needs
+    ``offset``.  A line is tokenised once and its columns are one running sum,
+    so long lines stay linear.
     """
     t = F.col("text")
-    toks = lines.select("path", "number", "offset", "text",
-                        F.posexplode(F.regexp_extract_all(t, F.lit(IDENT), 0)).alias("_i", "name"))
-    # column of the i-th identifier: length of the text before it, via the i-th split piece
-    gaps = F.split(t, IDENT, -1)
-    before = F.aggregate(F.slice(F.transform(F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(t, F.lit(IDENT), 0).alias("w")),
-                                             lambda x: F.length(x["g"]) + F.coalesce(F.length(x["w"]), F.lit(0))),
-                                 1, F.col("_i")), F.lit(0), lambda a, b: a + b)
-    col = (before + F.length(F.element_at(gaps, F.col("_i") + 1))).cast("bigint")
-    def_col = (F.length(F.regexp_extract(t, r"^([ \t]*(async[ \t]+)?(class|def)[ \t]+)", 1))).cast("bigint")
-    asn_col = F.length(F.regexp_extract(t, r"^([ \t]*)[A-Za-z_][A-Za-z0-9_]*[ \t]*=[^=]", 1)).cast("bigint")
-    is_def = t.rlike(DECL) & (col == def_col)
-    is_asn = t.rlike(r"^[ \t]*[A-Za-z_][A-Za-z0-9_]*[ \t]*=[^=]") & (col == asn_col)
-    out = toks.select("name", F.when(is_def, "def").when(is_asn, "asn").otherwise("ref").alias("type"), "path",
-                      F.col("number").alias("line"), col.alias("column"), (F.col("offset") + col).alias("offset"),
-                      F.length("name").cast("bigint").alias("length"))
-    return out.where(~F.col("name").isin(*KEYWORDS))
+    words, gaps = F.regexp_extract_all(t, F.lit(IDENT), 0), F.split(t, IDENT, -1)
+    rows = lines.select("path", "number", "offset", "text", words.alias("_w"), gaps.alias("_g")).where(F.size("_w") > 0)
+    # gap and word as one step: a word stands after the steps before it and its own gap
+    steps = F.zip_with(F.slice("_g", 1, F.size("_w")), "_w", lambda g, w: F.length(g) + F.length(w))
+    rows = rows.withColumn("_s", starts(steps)).withColumns({
+        "_def": F.when(t.rlike(DECL), F.length(F.regexp_extract(t, r"^([ \t]*(async[ \t]+)?(class|def)[ \t]+)", 1))),
+        "_asn": F.when(t.rlike(r"^[ \t]*[A-Za-z_][A-Za-z0-9_]*[ \t]*=[^=]"),
+                       F.length(F.regexp_extract(t, r"^([ \t]*)[A-Za-z_][A-Za-z0-9_]*[ \t]*=[^=]", 1)))})
+    rows = rows.withColumn("_z", F.arrays_zip("_w", "_s", F.slice("_g", 1, F.size("_w")).alias("_h")))
+    toks = rows.select("path", "number", "offset", "_def", "_asn", F.explode("_z").alias("_x"))
+    col = (F.col("_x._s") + F.length("_x._h")).cast("bigint")
+    kind = F.when(col == F.col("_def"), F.lit("def")).when(col == F.col("_asn"), F.lit("asn")).otherwise(F.lit("ref"))
+    return toks.where(~F.col("_x._w").isin(*KEYWORDS)).select(
+        F.col("_x._w").alias("name"), kind.alias("type"), "path", F.col("number").alias("line"), col.alias("column"),
+        (F.col("offset") + col).alias("offset"), F.length("_x._w").cast("bigint").alias("length"))
 
 
 def mentions_by_symbol(m: DataFrame) -> DataFrame:
@@ -145,12 +234,31 @@ def mentions_by_symbol(m: DataFrame) -> DataFrame:
                                  F.count_distinct("path").alias("n_paths"))
 
 
-def references(m: DataFrame, syms: DataFrame) -> DataFrame:
-    """J-5: each ``ref`` mention -> the symbols of that name, same file first
-    (``same_path``); equi join on ``name``."""
-    refs = m.where(F.col("type") == "ref")
-    s = syms.select("name", F.col("path").alias("sym_path"), "qualname")
-    return refs.join(s, "name").withColumn("same_path", F.col("path") == F.col("sym_path"))
+def references(m: DataFrame, lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """J-5: each ``ref`` mention with the one symbol it means: ``(name, path, line, column, qualname, found)``.
+
+    ``found`` is ``scope`` for a symbol declared in the nearest scope open at
+    the mention (module level last), ``file`` for another one of the file,
+    ``global`` for a name that exactly one symbol of all files has; else null.
+    Each step is an equi join against one row per key (the last declaration
+    wins), so a name that very many places use never meets all its namesakes.
+    """
+    syms = symbols(lines, chunk_rows, with_scopes=True).where("kind <> 'module'")
+    outer = F.coalesce(F.get("scopes", F.size("scopes") - 1)["line"], F.lit(-1).cast("bigint"))
+    last = F.max_by("qualname", "line").alias("qualname")
+    in_scope = syms.groupBy("path", outer.alias("scope"), "name").agg(last)
+    in_file = syms.groupBy("path", "name").agg(last).withColumnRenamed("qualname", "_file")
+    anywhere = syms.groupBy("name").agg(F.max("qualname").alias("_global"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    open_at = scoped_lines(lines, chunk_rows).select("path", F.col("number").alias("line"), F.transform("scopes", lambda x: x["line"]).alias("_open"))
+    refs = m.where(F.col("type") == "ref").select("name", "path", "line", "column").join(open_at, ["path", "line"], "left")
+    chain = F.concat(F.array(F.lit(-1).cast("bigint")), F.coalesce("_open", F.array().cast("array<bigint>")))
+    tries = refs.select("name", "path", "line", "column", F.posexplode(chain).alias("_depth", "scope"))
+    near = tries.join(in_scope, ["path", "scope", "name"], "left").groupBy("name", "path", "line", "column").agg(
+        F.max_by("qualname", F.when(F.col("qualname").isNotNull(), F.col("_depth"))).alias("_scope"))
+    out = near.join(in_file, ["path", "name"], "left").join(anywhere, "name", "left")
+    found = F.when(F.col("_scope").isNotNull(), F.lit("scope")).when(F.col("_file").isNotNull(), F.lit("file")).when(
+        F.col("_global").isNotNull(), F.lit("global"))
+    return out.select("name", "path", "line", "column", F.coalesce("_scope", "_file", "_global").alias("qualname"), found.alias("found"))
 
 
 def defined_in(points: DataFrame, classified: DataFrame) -> DataFrame:
@@ -161,14 +269,24 @@ def defined_in(points: DataFrame, classified: DataFrame) -> DataFrame:
     return points.join(blk, ["path", "line"], "left")
 
 
-def enclosing(syms: DataFrame) -> DataFrame:
-    """J-4: (symbol, enclosing symbol) pairs from the qualname chain -- the
-    scopes whose span strictly contains the symbol's span."""
-    parts = F.split("qualname", r"\.")
-    d = syms.where(F.col("kind") != "module").select(
-        "path", "qualname", parts.alias("_p"), F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("_k"))
-    return d.select("path", "qualname", F.array_join(F.slice("_p", 1, F.col("_k")), ".").alias("enclosing"),
-                    (F.size("_p") - F.col("_k")).cast("bigint").alias("distance"))
+def enclosing(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """J-4: ``(path, qualname, line, enclosing, enclosing_line, distance)``: the symbols whose span
+    strictly contains each declaration, the nearest at distance 1, the module farthest."""
+    decl = declarations(lines, chunk_rows)
+    outer = F.concat(F.array(F.struct(F.lit(0).cast("bigint").alias("line"), module_name("path").alias("name"))),
+                     F.transform("scopes", lambda x: F.struct(x["line"].alias("line"), x["name"].alias("name"))))
+    rows = decl.select("path", "qualname", "line", outer.alias("_o"), F.posexplode(outer).alias("_i", "_x"))
+    name = F.array_join(F.transform(F.slice("_o", 1, F.col("_i") + 1), lambda x: x["name"]), ".")
+    return rows.select("path", "qualname", "line", name.alias("enclosing"), F.col("_x.line").alias("enclosing_line"),
+                       (F.size("_o") - F.col("_i")).cast("bigint").alias("distance"))
+
+
+def block_scopes(blocks_df: DataFrame, lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """J-4 for blocks: each block with the innermost symbol open at its first line."""
+    open_at = scoped_lines(lines, chunk_rows).select(
+        "path", F.col("number").alias("line"),
+        F.array_join(F.concat(F.array(module_name("path")), F.transform("scopes", lambda x: x["name"])), ".").alias("enclosing"))
+    return blocks_df.join(open_at, ["path", "line"], "left")
 
 
 def attach_docs(blocks_df: DataFrame, doc_kind: str = "doc", code_kind: str = "text") -> DataFrame:
@@ -183,11 +301,11 @@ def attach_docs(blocks_df: DataFrame, doc_kind: str = "doc", code_kind: str = "t
 
 
 def slots(syms: DataFrame) -> DataFrame:
-    """A-2: per parent, its slot names -> child qualnames as a sorted entry list
-    (rendered ``name=qualname`` joined by ','); module rows have no parent."""
+    """A-2: ``(parent, slot, qualname, line)``, one row per name a scope holds; of several
+    declarations of one name the last counts.  Module rows have no parent."""
     kids = syms.where(F.col("parent").isNotNull())
-    return kids.groupBy("parent").agg(F.count(F.lit(1)).alias("n_slots"),
-                                      F.min("name").alias("first_slot"), F.max("name").alias("last_slot"))
+    return kids.groupBy("parent", F.col("name").alias("slot")).agg(
+        F.max_by("qualname", F.struct("line", "path")).alias("qualname"), F.max("line").alias("line"))
 
 
 def register_symbols(syms: DataFrame, seq: str = "line") -> DataFrame:

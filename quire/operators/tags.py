@@ -26,6 +26,76 @@ TAG_KINDS = [
     ("t", "Type"),
 ]
 
+# Symbol kind codes and names (fixed values, those of docset indexes).
+SYMBOL_KINDS = [
+    ("Ann", "Annotation"),
+    ("Atr", "Attribute"),
+    ("Bnd", "Binding"),
+    ("Blt", "Builtin"),
+    ("Cal", "Callback"),
+    ("Cat", "Category"),
+    ("Cls", "Class"),
+    ("Cmd", "Command"),
+    ("Cmp", "Component"),
+    ("Cst", "Constant"),
+    ("Ctor", "Constructor"),
+    ("Del", "Delegate"),
+    ("Dir", "Directive"),
+    ("Ele", "Element"),
+    ("Enm", "Enum"),
+    ("Env", "Environment"),
+    ("Err", "Error"),
+    ("Evt", "Event"),
+    ("Exc", "Exception"),
+    ("Ext", "Extension"),
+    ("Fld", "Field"),
+    ("File", "File"),
+    ("Flt", "Filter"),
+    ("Frm", "Framework"),
+    ("Fun", "Function"),
+    ("Glb", "Global"),
+    ("Hck", "Hook"),
+    ("Ins", "Instance"),
+    ("Int", "Interface"),
+    ("Kwd", "Keyword"),
+    ("Lib", "Library"),
+    ("Ltl", "Literal"),
+    ("Mcr", "Macro"),
+    ("Mtd", "Method"),
+    ("Mxn", "Mixin"),
+    ("Mod", "Modifier"),
+    ("Mdl", "Module"),
+    ("Nsp", "Namespace"),
+    ("Obj", "Object"),
+    ("Opr", "Operator"),
+    ("Opt", "Option"),
+    ("Pkg", "Package"),
+    ("Prm", "Parameter"),
+    ("Pgn", "Plugin"),
+    ("Prc", "Procedure"),
+    ("Prp", "Property"),
+    ("Ptl", "Protocol"),
+    ("Prv", "Provider"),
+    ("Qry", "Query"),
+    ("Rcd", "Record"),
+    ("Rsc", "Resource"),
+    ("Sec", "Section"),
+    ("Svc", "Service"),
+    ("Stg", "Setting"),
+    ("Sct", "Shortcut"),
+    ("Stm", "Statement"),
+    ("Str", "Struct"),
+    ("Sty", "Style"),
+    ("Sub", "Subroutine"),
+    ("Tag", "Tag"),
+    ("Tst", "Test"),
+    ("Trt", "Trait"),
+    ("Typ", "Type"),
+    ("Unn", "Union"),
+    ("Val", "Value"),
+    ("Var", "Variable"),
+]
+
 _LINE = r'^([^\t]*)\t([^\t]*)\t(.*?;")\t([^\t\n]*)(\t(.*))?$'
 _PLAIN = r"^([^\t]*)\t([^\t]*)\t(.*)\t([^\t\n]*)$"
 
@@ -33,14 +103,10 @@ _PLAIN = r"^([^\t]*)\t([^\t]*)\t(.*)\t([^\t\n]*)$"
 LONGEST_GRAM = 32
 
 
-def tag_kinds(spark) -> DataFrame:
-    return spark.createDataFrame(TAG_KINDS, "kind_code string, kind string")
-
-
-def kind_lookup(df: DataFrame, code: str = "kind_code") -> DataFrame:
-    """J-7: code -> kind name, null when unknown (broadcast of a fixed 9-row table)."""
-    kinds = F.broadcast(tag_kinds(df.sparkSession).withColumnRenamed("kind_code", code))
-    return df.join(kinds, code, "left")
+def kind_lookup(df: DataFrame, code: str = "kind_code", kinds: list[tuple[str, str]] = TAG_KINDS) -> DataFrame:
+    """J-7: code -> kind name, null when unknown (broadcast of a fixed table, 9 or 66 rows)."""
+    names = df.sparkSession.createDataFrame(kinds, f"`{code}` string, kind string")
+    return df.join(F.broadcast(names), code, "left")
 
 
 def read_tags(raw: DataFrame, value: str = "value") -> DataFrame:

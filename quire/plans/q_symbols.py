@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import register, table
 from ..operators.blocks import blocks, classify_lines
-from ..operators.symbols import (attach_docs, check_unique, defined_in, enclosing, imports, mentions,
-                                 mentions_by_symbol, register_symbols, slots, symbols)
-from ..sources.derived import code_lines, scope_lines, with_tables
+from ..operators.symbols import (attach_docs, check_unique, defined_in, docstrings, enclosing, fields, imports, mentions,
+                                 mentions_by_symbol, references, register_symbols, slots, submodules, symbols)
+from ..operators.tags import SYMBOL_KINDS, kind_lookup
+from ..sources.derived import code_lines, module_files, scope_lines, with_tables
 from ..sources.lines import with_offsets
 from .q_lines import BLOCKS_SQL
 from .q_trees import NODES_SQL, url_nodes
@@ -49,23 +50,83 @@ def q_symbols(spark, sf):
     return symbols(scope_lines(table(spark, sf, "events")))
 
 
-@register("contains", with_tables(SYMBOLS_CTE + r""",
-parts AS (SELECT path, qualname, string_split(qualname, '.') AS p FROM syms WHERE kind <> 'module'),
-ks AS (SELECT path, qualname, p, unnest(range(1, len(p))) AS k FROM parts)
-SELECT path, qualname, array_to_string(p[1:k], '.') AS enclosing, CAST(len(p) - k AS BIGINT) AS distance FROM ks
-""", "scope_lines"))
+@register("contains", with_tables(SYMBOLS_CTE + '''
+SELECT s.path, s.qualname, s.line, e.qualname AS enclosing, e.line AS enclosing_line,
+       CAST(row_number() OVER (PARTITION BY s.path, s.line ORDER BY e.kind = 'module', e.line DESC) AS BIGINT) AS distance
+FROM syms s JOIN syms e ON e.path = s.path AND s.kind <> 'module'
+ AND (e.kind = 'module' OR (e.line < s.line AND s.end_line <= e.end_line))
+''', "scope_lines"))
 def q_contains(spark, sf):
-    return enclosing(symbols(scope_lines(table(spark, sf, "events"))))
+    return enclosing(scope_lines(table(spark, sf, "events")))
 
 
-@register("slots", with_tables(SYMBOLS_CTE + """
-SELECT parent, CAST(count(*) AS BIGINT) AS n_slots, min(name) AS first_slot, max(name) AS last_slot
-FROM syms WHERE parent IS NOT NULL GROUP BY parent
-""", "scope_lines"))
+@register("slots", with_tables(SYMBOLS_CTE + '''
+SELECT parent, name AS slot, arg_max(qualname, line) AS qualname, max(line) AS line
+FROM syms WHERE parent IS NOT NULL GROUP BY parent, name
+''', "scope_lines"))
 def q_slots(spark, sf):
     return slots(symbols(scope_lines(table(spark, sf, "events"))))
 
 
+@register("symbol_kinds", with_tables(SYMBOLS_CTE + ''',
+c AS (SELECT path, qualname, line, CASE kind WHEN 'class' THEN 'Cls' WHEN 'function' THEN 'Fun' ELSE 'Mdl' END AS kind_code FROM syms)
+SELECT path, qualname, line, kind_code, CASE kind_code WHEN 'Cls' THEN 'Class' WHEN 'Fun' THEN 'Function' ELSE 'Module' END AS kind FROM c
+''', "scope_lines"))
+def q_symbol_kinds(spark, sf):
+    kind = F.col("kind")
+    code = F.when(kind == "class", F.lit("Cls")).when(kind == "function", F.lit("Fun")).otherwise(F.lit("Mdl"))
+    coded = symbols(scope_lines(table(spark, sf, "events"))).select("path", "qualname", "line", code.alias("kind_code"))
+    return kind_lookup(coded, kinds=SYMBOL_KINDS).select("path", "qualname", "line", "kind_code", "kind")
+
+
+@register("fields", with_tables(SYMBOLS_CTE + r''',
+f AS (SELECT l.path, l.number, regexp_extract(l.text, '^[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*:[ \t]*[^ \t\n=]', 1) AS fname
+      FROM l WHERE regexp_matches(l.text, '^[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*:[ \t]*[^ \t\n=]')),
+o AS (SELECT f.path, f.number, f.fname, arg_max(syms.qualname, syms.line) AS owner, max(syms.line) AS owner_line
+      FROM f JOIN syms ON syms.path = f.path AND syms.kind <> 'module' AND syms.line < f.number AND f.number < syms.end_line
+      GROUP BY f.path, f.number, f.fname)
+SELECT o.path, o.fname AS name, o.owner || '.' || o.fname AS qualname, CAST(o.number AS BIGINT) AS line
+FROM o JOIN l ON l.path = o.path AND l.number = o.owner_line
+WHERE regexp_matches(l.text, '^[ \t]*class[ \t]+[A-Za-z0-9_]+\(NamedTuple\):')
+''', "scope_lines"))
+def q_fields(spark, sf):
+    return fields(scope_lines(table(spark, sf, "events")))
+
+
+@register("docstrings", with_tables(SYMBOLS_CTE + r''',
+b AS (SELECT s.path, s.qualname, s.line,
+        (SELECT min(l.number) FROM l WHERE l.path = s.path AND l.number > s.line AND l.nb) AS doc_line
+      FROM syms s WHERE s.kind <> 'module'),
+o AS (SELECT b.*, length(regexp_extract(l.text, '^([ \t]*)[rRuU]?["]["]["]', 1)) AS margin,
+        regexp_replace(l.text, '^([ \t]*)[rRuU]?["]["]["]', '') AS rest
+      FROM b JOIN l ON l.path = b.path AND l.number = b.doc_line AND regexp_matches(l.text, '^([ \t]*)[rRuU]?["]["]["]')),
+c AS (SELECT *, CASE WHEN contains(rest, repeat('"', 3)) THEN doc_line ELSE
+        (SELECT min(l.number) FROM l WHERE l.path = o.path AND l.number > o.doc_line AND contains(l.text, repeat('"', 3))) END AS last FROM o),
+dl AS (SELECT c.path, c.qualname, c.line, c.doc_line, l.number, c.last,
+        CASE WHEN l.number = c.doc_line THEN c.rest ELSE regexp_replace(l.text, '^[ \t]{0,' || CAST(margin AS VARCHAR) || '}', '') END AS t
+      FROM c JOIN l ON l.path = c.path AND l.number BETWEEN c.doc_line AND c.last)
+SELECT path, qualname, line, CAST(doc_line AS BIGINT) AS doc_line,
+  regexp_replace(string_agg(CASE WHEN number = last THEN split_part(t, repeat('"', 3), 1) ELSE t END, '' ORDER BY number), '^\s+|\s+$', '', 'g')
+    AS documentation
+FROM dl GROUP BY path, qualname, line, doc_line
+''', "scope_lines"))
+def q_docstrings(spark, sf):
+    return docstrings(scope_lines(table(spark, sf, "events")))
+
+
+@register("submodules", with_tables(r'''
+WITH m AS (SELECT path, replace(regexp_replace(regexp_replace(path, '\.py$', ''), '/__init__$', ''), '/', '.') AS module,
+                  string_split(path, '/') AS p FROM module_files),
+k AS (SELECT path, module, p FROM m WHERE module = 'src' OR starts_with(module, 'src.')),
+need AS (SELECT path, p, unnest(range(1, len(p))) AS n FROM k),
+bad AS (SELECT path FROM need WHERE array_to_string(p[1:n], '/') || '/__init__.py' NOT IN (SELECT path FROM module_files))
+SELECT path, module FROM k
+WHERE (p[-1] = '__init__.py' OR NOT starts_with(p[-1], '__')) AND path NOT IN (SELECT path FROM bad)
+''', "module_files"))
+def q_submodules(spark, sf):
+    return submodules(module_files(table(spark, sf, "events")), "src")
+
+
 @register("register_symbols", with_tables(SYMBOLS_CTE + """
 SELECT qualname, arg_max(path, line) AS path, arg_max(kind, line) AS kind, arg_max(name, line) AS name,
        arg_max(parent, line) AS parent, max(line) AS line, arg_max(end_line, line) AS end_line,
@@ -83,15 +144,23 @@ def q_check_unique(spark, sf):
     return check_unique(url_nodes(spark, sf), "name")
 
 
-IMPORTS_SQL = with_tables(r"""
-WITH t AS (SELECT path, number, regexp_replace(text, '\n$', '') AS s FROM scope_lines),
-p AS (SELECT path, number, unnest(string_split_regex(regexp_extract(s, '^[ \t]*import[ \t]+(.+?)[ \t]*$', 1),
-                                                      '[ \t]*,[ \t]*')) AS m
-      FROM t WHERE regexp_matches(s, '^[ \t]*import[ \t]+(.+?)[ \t]*$'))
-SELECT path, number, regexp_extract(m, '^([A-Za-z_][A-Za-z0-9_.]*)([ \t]+as[ \t]+([A-Za-z_][A-Za-z0-9_]*))?$', 1) AS module,
-       NULLIF(regexp_extract(m, '^([A-Za-z_][A-Za-z0-9_.]*)([ \t]+as[ \t]+([A-Za-z_][A-Za-z0-9_]*))?$', 3), '') AS alias
-FROM p WHERE regexp_extract(m, '^([A-Za-z_][A-Za-z0-9_.]*)([ \t]+as[ \t]+([A-Za-z_][A-Za-z0-9_]*))?$', 1) <> ''
-""", "scope_lines")
+_FROM = r"^from[ \t]+([.]*[A-Za-z_][A-Za-z0-9_.]*|[.]+)[ \t]+import[ \t]*(.+?)[ \t]*$"
+_NAME = r"^([A-Za-z_][A-Za-z0-9_.]*|[*])([ \t]+as[ \t]+([A-Za-z_][A-Za-z0-9_]*))?$"
+IMPORTS_SQL = with_tables(rf'''
+WITH t AS (SELECT path, number, regexp_replace(regexp_replace(text, '[ \t]*(#.*)?\n?$', ''), '^[ \t]+', '') AS s FROM scope_lines),
+f AS (SELECT *, regexp_matches(s, '{_FROM}') AS is_from, regexp_extract(s, '{_FROM}', 1) AS pkg, regexp_extract(s, '{_FROM}', 2) AS lst FROM t),
+o AS (SELECT *, COALESCE(last_value(CASE WHEN is_from AND contains(lst, '(') AND NOT contains(lst, ')') THEN pkg
+                                         WHEN contains(s, ')') THEN '' END IGNORE NULLS)
+        OVER (PARTITION BY path ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS open FROM f),
+h AS (SELECT path, number,
+        CASE WHEN open <> '' THEN open WHEN is_from THEN pkg WHEN regexp_matches(s, '^import[ \t]+(.+?)[ \t]*$') THEN '' END AS head,
+        CASE WHEN open <> '' THEN split_part(s, ')', 1) WHEN is_from THEN lst ELSE regexp_extract(s, '^import[ \t]+(.+?)[ \t]*$', 1) END AS body
+      FROM o),
+i AS (SELECT path, number, head, trim(unnest(string_split(regexp_replace(body, '[()]', '', 'g'), ',')), ' ') AS m FROM h WHERE head IS NOT NULL)
+SELECT path, number, head || CASE WHEN head = '' OR head LIKE '%.' THEN '' ELSE '.' END || regexp_extract(m, '{_NAME}', 1) AS module,
+       NULLIF(regexp_extract(m, '{_NAME}', 3), '') AS alias
+FROM i WHERE regexp_extract(m, '{_NAME}', 1) <> ''
+''', "scope_lines")
 
 
 @register("imports", IMPORTS_SQL)
@@ -139,6 +208,27 @@ def q_mention_rows(spark, sf):
     return mentions(with_offsets(scope_lines(table(spark, sf, "events"))))
 
 
+@register("references", with_tables(SYMBOLS_CTE + MENTIONS_CTE.format(src="scope_lines").replace("WITH ln AS", ", ln AS", 1) + """,
+s2 AS (SELECT s.*, COALESCE((SELECT max(p.line) FROM syms p WHERE p.path = s.path AND p.kind <> 'module'
+              AND p.line < s.line AND s.line < p.end_line), -1) AS scope FROM syms s WHERE s.kind <> 'module'),
+r AS (SELECT name, path, line, "column" FROM m WHERE type = 'ref'),
+cand AS (SELECT r.name, r.path, r.line, r."column", s2.qualname, s2.scope, s2.line AS s_line
+         FROM r JOIN s2 ON s2.path = r.path AND s2.name = r.name
+         LEFT JOIN syms p ON p.path = r.path AND p.kind <> 'module' AND p.line = s2.scope
+         WHERE s2.scope = -1 OR (p.line < r.line AND r.line < p.end_line)),
+near AS (SELECT name, path, line, "column", arg_max(qualname, (scope, s_line)) AS q FROM cand GROUP BY name, path, line, "column"),
+fl AS (SELECT path, name, arg_max(qualname, line) AS q FROM s2 GROUP BY path, name),
+gl AS (SELECT name, max(qualname) AS q FROM s2 GROUP BY name HAVING count(*) = 1)
+SELECT r.name, r.path, r.line, r."column", COALESCE(near.q, fl.q, gl.q) AS qualname,
+       CASE WHEN near.q IS NOT NULL THEN 'scope' WHEN fl.q IS NOT NULL THEN 'file' WHEN gl.q IS NOT NULL THEN 'global' END AS found
+FROM r LEFT JOIN near ON near.name = r.name AND near.path = r.path AND near.line = r.line AND near."column" = r."column"
+LEFT JOIN fl ON fl.path = r.path AND fl.name = r.name LEFT JOIN gl ON gl.name = r.name
+""", "scope_lines"))
+def q_references(spark, sf):
+    lines = with_offsets(scope_lines(table(spark, sf, "events")))
+    return references(mentions(lines), lines)
+
+
 def _block_state_sql() -> str:
     """The W-1 recursive state CTEs of BLOCKS_SQL, without its final SELECT."""
     body = BLOCKS_SQL
