@@ -6,16 +6,18 @@ sequence of items, each an atom name with an optional cardinality ``?``,
 Matching is greedy, leftmost and non-overlapping; at a position the first
 rule in order that matches wins (as in a regex alternation; the reference's
 hand-built machine lets the later rule win).  Atoms break a match
-(``contiguous``): an atom no rule can use is never inside a match.  Empty
-matches (``T?`` on another atom) are not emitted.
-
-Plan: atoms are numbered per key with :func:`quire.plans.scan.number_rows`
-(range slices, no per-key window), each atom becomes one private-use
-character, and the key's sequence is cut into *segments* at atoms no rule
-can consume -- a match can never cross such an atom.  Each segment is
-concatenated into one string, sorted by position, and the rules, compiled to
-one alternation, are run over it by the W-6 tokenizer, whose offsets are the
-atom positions.
+(``contiguous``): an atom no rule can use is never inside a match, and
+neither is a null atom.
+
+Plan: atoms are numbered once per key with :func:`quire.plans.scan.number_rows`
+(range slices, no per-key window), for all machines together, and each becomes
+one private-use character per machine.  A key's sequence is cut into *segments*
+wherever no rule can hold the two neighbouring atoms side by side, so a match
+never crosses a cut.  A run of one atom that a rule repeats without bound is
+cut no further, but shortened: beyond the length at which repetition alone
+decides, its atoms add nothing, so a run of any length is a few characters and
+its true length.  Each segment is one short string, and the rules, compiled to
+one alternation, run over it by the W-6 tokenizer.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scan import number_rows, scan
@@ -39,25 +41,24 @@ class Compiled:
     def __init__(self, rules: Mapping[str, str]):
         self.rules = dict(rules)
         items = {n: [self._item(t) for t in r.split()] for n, r in self.rules.items()}
-        atoms: list[str] = []
-        for its in items.values():
-            for a, _ in its:
-                if a != "_" and a not in atoms:
-                    atoms.append(a)
-        self.atoms = atoms
-        self.code = {a: chr(BASE_CHAR + i) for i, a in enumerate(atoms)}
-        self.other = chr(BASE_CHAR + len(atoms))
+        self.atoms = list(dict.fromkeys(a for its in items.values() for a, _ in its if a != "_"))
+        self.code = {a: chr(BASE_CHAR + i) for i, a in enumerate(self.atoms)}
+        self.other = chr(BASE_CHAR + len(self.atoms))
         self.wild = any(a == "_" for its in items.values() for a, _ in its)
         firsts = {n: its[0][0] for n, its in items.items()}
+        every = [*self.code.values(), self.other]
+
+        def chars(rule: str, atom: str) -> str:
+            if atom != "_":
+                return self.code[atom]
+            banned = {self.code[f] for m, f in firsts.items() if m != rule and f != "_"}
+            return "".join(c for c in every if c not in banned)
+
+        #: Per rule its items as (characters, least count, unbounded).
+        self.items = {n: [(chars(n, a), 1 if c in ("", "+") else 0, c in ("+", "*")) for a, c in its] for n, its in items.items()}
         self.regex: dict[str, str] = {}
         for n, its in items.items():
-            def atom_rx(a: str) -> str:
-                if a != "_":
-                    return self.code[a]
-                banned = "".join(self.code[f] for m, f in firsts.items() if m != n and f != "_")
-                return f"[^{banned}]" if banned else "."
-
-            body = [(atom_rx(a), c) for a, c in its]
+            body = [(f"[{chars(n, a)}]" if len(chars(n, a)) > 1 else chars(n, a), c) for a, c in its]
             if all(c in ("?", "*") for _, c in body):
                 # Only the non-empty matches are emitted: the first present item
                 # becomes mandatory (``A? B*`` -> ``A B*|B+``), earlier ones absent.
@@ -68,6 +69,8 @@ class Compiled:
                 self.regex[n] = "(?:" + "|".join(alts) + ")"
             else:
                 self.regex[n] = "".join(f"(?:{rx}){c}" for rx, c in body)
+        #: Rules that also match nothing.
+        self.empty = [n for n, its in items.items() if all(c in ("?", "*") for _, c in its)]
 
     @staticmethod
     def _item(tok: str) -> tuple[str, str]:
@@ -76,15 +79,55 @@ class Compiled:
             raise ValueError(f"bad rule item {tok!r}")
         return m.group(1), m.group(2)
 
-    def encode(self, atom_col):
+    def encode(self, atom_col: Column) -> Column:
         out = None
         for a, ch in self.code.items():
             out = F.when(atom_col == a, F.lit(ch)) if out is None else out.when(atom_col == a, F.lit(ch))
         return F.lit(self.other) if out is None else out.otherwise(F.lit(self.other))
 
-    def consumable(self, atom_col):
-        """Atoms some rule can use; the others cut the sequence into segments."""
-        return F.lit(True) if self.wild else atom_col.isin(*self.atoms)
+    def consumable(self, atom_col: Column) -> Column:
+        """Atoms some rule can use; never null ones."""
+        return atom_col.isNotNull() if self.wild else F.coalesce(atom_col.isin(*self.atoms), F.lit(False))
+
+    def neighbours(self) -> list[str]:
+        """Pairs of characters that can stand side by side inside a match."""
+        pairs = set()
+        for items in self.items.values():
+            for i, (chars, _, unbounded) in enumerate(items):
+                if unbounded:
+                    pairs |= {a + b for a in chars for b in chars}
+                for after, least, _ in items[i + 1:]:
+                    pairs |= {a + b for a in chars for b in after}
+                    if least:
+                        break
+        return sorted(pairs)
+
+    def shortened(self) -> dict[str, int]:
+        """Characters whose runs may be shortened, with the length they keep.
+
+        A character qualifies if, in every rule, each stretch of items that
+        accept it accepts nothing else and repeats without bound.  A match then
+        takes a whole run or none of it, by the least count of the stretch alone.
+        """
+        keep: dict[str, int] = {}
+        for ch in [*self.code.values(), self.other]:
+            most, fits = 0, True
+            for items in self.items.values():
+                stretch: list[tuple[str, int, bool]] = []
+                for item in [*items, None]:
+                    if item is not None and ch in item[0]:
+                        stretch.append(item)
+                        continue
+                    if stretch:
+                        fits &= any(x[2] for x in stretch) and all(x[0] == ch for x in stretch)
+                        most = max(most, sum(x[1] for x in stretch))
+                    if item is not None:
+                        # an optional item between two stretches would let them touch
+                        fits &= not (stretch and item[1] == 0 and any(ch in x[0] for x in items[items.index(item) + 1:]))
+                    stretch = []
+            if fits and most:
+                keep[ch] = most + 1
+        return keep
 
     def sql_encode(self, atom_sql: str) -> str:
         whens = " ".join(f"WHEN {atom_sql} = '{a}' THEN chr({ord(ch)})" for a, ch in self.code.items())
@@ -95,33 +138,80 @@ class Compiled:
 
 
 def match_sequence(df: DataFrame, key: str, order: Sequence[str], atom: str, rules: Mapping[str, str],
-                   partitions: int | None = None) -> DataFrame:
-    """W-8: ``(key, rule, start, end)`` with ``end`` exclusive, in atom positions."""
-    comp = Compiled(rules)
+                   partitions: int | None = None, *, contiguous: bool = True, emit_empty: bool = False) -> DataFrame:
+    """W-8: ``(key, rule, start, end)`` with ``end`` exclusive, in atom positions.
+
+    ``contiguous=False`` passes over atoms that no rule can use instead of
+    letting them end a match.  ``emit_empty`` adds a match of length 0 at each
+    atom that no match covers, for the first rule that also matches nothing.
+    """
+    return match_each(df, key, order, atom, {"": rules}, partitions, contiguous=contiguous, emit_empty=emit_empty).drop("machine")
+
+
+def match_each(df: DataFrame, key: str, order: Sequence[str], atom: str, machines: Mapping[str, Mapping[str, str]],
+               partitions: int | None = None, *, contiguous: bool = True, emit_empty: bool = False) -> DataFrame:
+    """W-9: several independent matchers over one stream: ``(key, machine, rule, start, end)``."""
+    compiled = {name: Compiled(rules) for name, rules in machines.items()}
     seq = number_rows(df.select(key, *order, atom), [key], order, out="pos", partitions=partitions)
-    seq = seq.withColumn("_cut", ~comp.consumable(F.col(atom)))
-    seq = scan(seq, [key], ["pos"], sums={"_seg": F.col("_cut").cast("bigint")})
-    live = seq.where(~F.col("_cut")).select(key, "_seg", "pos", comp.encode(F.col(atom)).alias("_ch"))
-    segs = live.groupBy(key, "_seg").agg(
-        F.min("pos").alias("_base"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_ch"))), lambda x: x["_ch"]), "")
-        .alias("_s"))
-    segs = segs.select(F.struct(F.col(key).alias("k"), F.col("_seg").alias("s"), "_base").alias("_id"), "_s")
-    mk = marks(segs, comp.ordered_rules(), key="_id", text="_s")
-    hits = mk.where(F.col("event") == "=").where(~F.col("type").startswith("#"))
-    return hits.select(F.col("_id.k").alias(key), F.col("type").alias("rule"),
-                       (F.col("_id._base") + F.col("start")).alias("start"),
-                       (F.col("_id._base") + F.col("end")).alias("end"))
-
-
-def match_each(df: DataFrame, key: str, order: Sequence[str], atom: str,
-               machines: Mapping[str, Mapping[str, str]], partitions: int | None = None) -> DataFrame:
-    """W-9: several independent matchers over one stream; union of their matches."""
     out = None
-    for name, rules in machines.items():
-        m = match_sequence(df, key, order, atom, rules, partitions).withColumn("machine", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return out.select(key, "machine", "rule", "start", "end")
+    for group in ([list(compiled)] if contiguous else [[n] for n in compiled]):
+        rows = seq
+        if not contiguous:
+            rows = rows.where(compiled[group[0]].consumable(F.col(atom)))
+        hits = _matches(rows, key, atom, {n: compiled[n] for n in group}, contiguous)
+        out = hits if out is None else out.unionByName(hits)
+    if emit_empty:
+        covered = out.select(key, "machine", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+        for name, c in compiled.items():
+            if c.empty:
+                free = seq.select(key, "pos").withColumn("machine", F.lit(name)).join(covered, [key, "machine", "pos"], "left_anti")
+                out = out.unionByName(free.select(key, "machine", F.lit(c.empty[0]).alias("rule"), F.col("pos").alias("start"),
+                                                  F.col("pos").alias("end")))
+    return out
+
+
+def _matches(seq: DataFrame, key: str, atom: str, machines: Mapping[str, Compiled], contiguous: bool) -> DataFrame:
+    """Matches of all machines over numbered atoms."""
+    names = list(machines)
+    # what a machine sees of an atom: its character, or nothing if no rule can use it
+    seen = {f"_ch{i}": F.when(c.consumable(F.col(atom)), c.encode(F.col(atom))) for i, c in enumerate(machines.values())}
+    rows = seq.withColumns(seen)
+    rows = scan(rows, [key], ["pos"], prev={f"_p{i}": F.col(f"_ch{i}") for i in range(len(names))})
+    # a run begins where the character changes or may not be shortened; a segment where two may not touch
+    flags = {}
+    for i, c in enumerate(machines.values()):
+        ch, before = F.col(f"_ch{i}"), F.col(f"_p{i}")
+        touch = F.coalesce(F.concat(before, ch).isin(*c.neighbours()), F.lit(False)) if c.neighbours() else F.lit(False)
+        short = F.coalesce(ch.isin(*c.shortened()), F.lit(False)) if c.shortened() else F.lit(False)
+        flags[f"_cut{i}"] = ~touch
+        flags[f"_run{i}"] = ~(touch & short & (ch == before))
+    rows = rows.withColumns(flags)
+    sums = {f"_{n}{i}": F.col(f"_{f}{i}").cast("bigint") for i in range(len(names)) for n, f in (("seg", "cut"), ("no", "run"))}
+    rows = scan(rows, [key], ["pos"], sums=sums)
+    views = F.array(*[F.struct(F.lit(i).alias("m"), F.col(f"_seg{i}").alias("seg"), F.col(f"_no{i}").alias("no"), F.col(f"_ch{i}").alias("ch"))
+                      for i in range(len(names))])
+    live = rows.select(key, "pos", F.explode(F.filter(views, lambda x: x["ch"].isNotNull())).alias("_v")).select(key, "pos", "_v.*")
+    runs = live.groupBy(key, "m", "seg", "no").agg(F.min("pos").alias("at"), F.max("pos").alias("to"), F.count(F.lit(1)).alias("n"),
+                                                 F.min("ch").alias("ch"))
+    kept = F.col("n")
+    for i, c in enumerate(machines.values()):
+        for ch, most in c.shortened().items():
+            kept = F.when((F.col("m") == i) & (F.col("ch") == ch), F.least(F.col("n"), F.lit(most))).otherwise(kept)
+    runs = runs.withColumn("kept", kept.cast("int"))
+    segs = runs.groupBy(key, "m", "seg").agg(F.array_sort(F.collect_list(F.struct("at", "to", "kept", "ch"))).alias("_runs"))
+    # first and last atom position behind each character of the string
+    spread = F.flatten(F.transform("_runs", lambda r: F.transform(F.sequence(F.lit(1), r["kept"]), lambda j: F.struct(
+        (r["at"] + j - 1).alias("first"), F.when(j == r["kept"], r["to"]).otherwise(r["at"] + j - 1).alias("last")))))
+    text = F.array_join(F.transform("_runs", lambda r: F.repeat(r["ch"], r["kept"])), "")
+    segs = segs.select(F.struct(F.col(key).alias("k"), "m", spread.alias("at")).alias("_id"), text.alias("_s"))
+    out = None
+    for i, (name, c) in enumerate(machines.items()):
+        found = marks(segs.where(F.col("_id.m") == i), c.ordered_rules(), key="_id", text="_s").where(~F.col("type").startswith("#"))
+        own = found.select(F.col("_id.k").alias(key), F.lit(name).alias("machine"), F.col("type").alias("rule"),
+                           F.get("_id.at", F.col("start").cast("int"))["first"].alias("start"),
+                           (F.get("_id.at", (F.col("end") - 1).cast("int"))["last"] + 1).alias("end"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def sequence_sql(comp: Compiled, table: str, key: str, order: str, atom: str, machine: str | None = None) -> str:

@@ -1,15 +1,23 @@
 """Streaming rule matching (ST-1) and stateless streaming marks (ST-2).
 
 ST-1 runs the same compiled rules as :mod:`quire.operators.sequence` over a
-stream of atoms with ``applyInPandasWithState`` keyed by ``key``.  Per key
-the state holds only the *pending* tail: atoms after the last atom that no
-rule can use.  Everything before such an atom is final (no match can cross
-it), so it is matched and emitted at once; the tail waits for more atoms or
-for the event-time timeout, which flushes it when the watermark passes the
-key's last event.  Batch and stream agree once the watermark has passed.
-
-Atoms of a key are expected in order across micro-batches (event time of a
-key never goes back); within a micro-batch they are sorted.
+stream of atoms with ``applyInPandasWithState`` keyed by ``key``.  Per key the
+state holds the position of the next atom and the *pending* tail: the atoms
+after the last place where no rule lets two neighbours stand side by side.
+Everything before that place is final, since no match can cross it, and is
+matched and emitted at once; the tail waits for further atoms.
+
+The position is never given up, so a key that pauses continues where it was and
+its matches are those of the batch operator, however long the pause.  Only with
+``idle_limit_ms`` is a tail closed without a following atom: once the watermark
+has passed the key's last event by that much, its sequence counts as ended
+there, and later atoms start a match of their own.  Batch and stream then agree
+if no match spans a longer pause.
+
+A tail is as long as the open match: with rules that repeat an atom without
+bound it grows while that atom keeps coming.  Atoms of a key are expected in
+order across micro-batches (event time of a key never goes back); within a
+micro-batch they are sorted.
 """
 
 from __future__ import annotations
@@ -25,40 +33,42 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..operators.marks import marks
 from ..operators.sequence import Compiled
 
+BREAK = "\uf8ff"  # stands for an atom that no rule can use
 
-def match_sequence_stream(stream: DataFrame, key: str, ts: str, order: Sequence[str], atom: str,
-                          rules: Mapping[str, str], *, delay: str = "0 seconds",
-                          flush_after_ms: int = 0) -> DataFrame:
+
+def match_sequence_stream(stream: DataFrame, key: str, ts: str, order: Sequence[str], atom: str, rules: Mapping[str, str], *,
+                          delay: str = "0 seconds", idle_limit_ms: int | None = None) -> DataFrame:
     """Streaming W-8: ``(key, rule, start, end)`` rows in append mode.
 
-    ``ts`` must be a TIMESTAMP column (cast TIMESTAMP_NTZ first); ``delay`` is
-    the watermark delay; a key's pending tail is flushed once the watermark
-    passes its last event time plus ``flush_after_ms``.
+    ``ts`` must be a TIMESTAMP column (cast TIMESTAMP_NTZ first); ``delay`` is the watermark delay.
     """
     comp = Compiled(rules)
     names = [n for n, _ in comp.ordered_rules()]
     pattern = re.compile("|".join(f"(?P<r{i}>{rx})" for i, (_, rx) in enumerate(comp.ordered_rules())))
-    code, other, wild = dict(comp.code), comp.other, comp.wild
+    code, other, wild, touching = dict(comp.code), comp.other, comp.wild, frozenset(comp.neighbours())
 
     def emit(k, s: str, base: int) -> list[tuple]:
         return [(k, names[int(m.lastgroup[1:])], base + m.start(), base + m.end()) for m in pattern.finditer(s)]
 
+    def seen(a) -> str:
+        return code.get(a) or (other if wild and not pd.isna(a) else BREAK)
+
     def step(keys, pdfs, state):
         k = keys[0]
+        pending, base = state.get if state.exists else ("", 0)
         if state.hasTimedOut:
-            pending, base = state.get
             rows = emit(k, pending, base)
-            state.remove()
+            state.update(("", base + len(pending)))
         else:
             batch = pd.concat(list(pdfs), ignore_index=True).sort_values(list(order), kind="stable")
-            enc = "".join(batch[atom].map(code).fillna(other).tolist())
-            pending, base = state.get if state.exists else ("", 0)
-            buf = pending + enc
-            cut = -1 if wild else buf.rfind(other)
-            rows = emit(k, buf[:cut + 1], base) if cut >= 0 else []
-            state.update((buf[cut + 1:], base + cut + 1))
-            last_ms = int(pd.Timestamp(batch[ts].max()).value // 1_000_000)
-            state.setTimeoutTimestamp(max(last_ms + flush_after_ms, state.getCurrentWatermarkMs() + 1))
+            buf = pending + "".join(map(seen, batch[atom]))
+            cut = next((i for i in range(len(buf) - 1, max(len(pending) - 1, 0), -1) if buf[i - 1:i + 1] not in touching), 0)
+            cut = len(buf) if buf.endswith(BREAK) else cut
+            rows = emit(k, buf[:cut], base)
+            state.update((buf[cut:], base + cut))
+            if idle_limit_ms is not None and cut < len(buf):
+                last_ms = int(pd.Timestamp(batch[ts].max()).value // 1_000_000)
+                state.setTimeoutTimestamp(max(last_ms + idle_limit_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[key, "rule", "start", "end"])
 
     key_type = dict(stream.dtypes)[key]
@@ -70,9 +80,8 @@ def match_sequence_stream(stream: DataFrame, key: str, ts: str, order: Sequence[
 
 
 def marks_stream(stream: DataFrame, rules, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """ST-2: per-text tokenising is stateless, so W-6 runs as it is on a stream
-    (its offsets come from a per-document scan inside each micro-batch)."""
-    return stream.select(key, text).transform(lambda d: marks(d, rules, key=key, text=text))
+    """ST-2: W-6 works inside each row, so it runs on a stream as it is and keeps no state."""
+    return marks(stream.select(key, text), rules, key=key, text=text)
 
 
 def events_as_stream(spark, source_dir: str, schema) -> DataFrame:

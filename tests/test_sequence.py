@@ -4,10 +4,9 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.sequence import Compiled, match_sequence
-from quire.plans.q_sequence import EVENT_RULES
-from quire.streaming.sequence import events_as_stream, match_sequence_stream
-from tests.conftest import SF01
+from quire.operators.sequence import Compiled, match_each, match_sequence
+from quire.operators.marks import marks
+from quire.streaming.sequence import events_as_stream, marks_stream, match_sequence_stream
 
 
 def _atoms(spark, *seqs):
@@ -49,32 +48,133 @@ def test_optional_rules_emit_only_non_empty(spark):
     assert _run(spark, {"M": "T*"}, "A T T A") == [(0, "M", 1, 3)]
 
 
-def test_stream_equals_batch(spark):
-    ev = spark.read.parquet(f"{SF01}/events.parquet").select("user_id", "ts", "event_id", "event_type")
-    batch = sorted(tuple(r) for r in match_sequence(ev, "user_id", ["ts", "event_id"], "event_type",
-                                                     EVENT_RULES).collect())
+def _run_stream(spark, df, batches, name):
+    """All rows of ``df`` (column ``b`` says in which micro-batch) through the stream."""
     src = tempfile.mkdtemp(prefix="quire-stream-")
-    bounds = ev.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0]
-    cuts = [None, *bounds, None]
-    for i in range(4):
-        part = ev.withColumn("_u", F.unix_micros(F.col("ts").cast("timestamp")))
-        if cuts[i] is not None:
-            part = part.where(F.col("_u") > cuts[i])
-        if cuts[i + 1] is not None:
-            part = part.where(F.col("_u") <= cuts[i + 1])
-        part.drop("_u").coalesce(1).write.parquet(os.path.join(src, f"b{i}"))
-    # a last far-future event of another key pushes the watermark past every key
-    last = spark.createDataFrame([(-1, "2100-01-01 00:00:00", -1, "signup")],
-                                 "user_id long, ts string, event_id long, event_type string")
-    last.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(os.path.join(src, "b9"))
-    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(src) for f in fs if f.endswith(".parquet"))
+    for b in range(batches):
+        df.where(F.col("b") == b).drop("b").coalesce(1).write.parquet(os.path.join(src, f"b{b}"))
     flat = tempfile.mkdtemp(prefix="quire-stream-flat-")
-    for j, f in enumerate(files):
-        os.link(f, os.path.join(flat, f"part-{j:03d}.parquet"))
-    stream = events_as_stream(spark, flat, ev.schema)
-    out = match_sequence_stream(stream, "user_id", "ts", ["ts", "event_id"], "event_type", EVENT_RULES)
-    q = (out.writeStream.outputMode("append").format("memory").queryName("st1_out")
-         .option("checkpointLocation", tempfile.mkdtemp(prefix="quire-st1-ckpt-")).trigger(availableNow=True).start())
+    for b in range(batches):
+        for f in os.listdir(os.path.join(src, f"b{b}")):
+            if f.endswith(".parquet"):
+                os.link(os.path.join(src, f"b{b}", f), os.path.join(flat, f"part-{b:03d}.parquet"))
+                os.utime(os.path.join(flat, f"part-{b:03d}.parquet"), (1000 + b, 1000 + b))
+
+    def run(rules, **more):
+        stream = events_as_stream(spark, flat, df.drop("b").schema)
+        out = match_sequence_stream(stream, "k", "ts", ["ts", "i"], "a", rules, **more)
+        q = (out.writeStream.outputMode("append").format("memory").queryName(name)
+             .option("checkpointLocation", tempfile.mkdtemp(prefix="quire-st1-ckpt-")).trigger(availableNow=True).start())
+        q.awaitTermination(600)
+        return sorted(tuple(r) for r in spark.sql(f"SELECT * FROM {name} WHERE k >= 0").collect())
+    return run
+
+
+def test_stream_equals_batch_with_idle_keys(spark):
+    import datetime
+    import random
+
+    rng = random.Random(5)
+    start, rows, n = datetime.datetime(2024, 1, 1), [], {}
+    for b in range(6):
+        for k in range(12):
+            if rng.random() < 0.6:               # a key often skips whole micro-batches
+                for _ in range(rng.randint(1, 5)):
+                    n[k] = n.get(k, -1) + 1
+                    rows.append((k, n[k], start + datetime.timedelta(hours=6 * b, seconds=n[k]), rng.choice(["T", "T", "U", "x", None]), b))
+        rows.append((-1, b, start + datetime.timedelta(hours=6 * b + 1), "x", b))
+    rows += [(0, 10 ** 6, start + datetime.timedelta(hours=40), "T", 6), (0, 10 ** 6 + 1, start + datetime.timedelta(hours=40, seconds=1), "x", 6)]
+    rows += [(k, 10 ** 6 + 2, start + datetime.timedelta(hours=41), "x", 7) for k in n]      # ends every open match
+    df = spark.createDataFrame(rows, "k long, i long, ts timestamp_ntz, a string, b int")
+    run = _run_stream(spark, df, 8, "st1_out")
+    for rules in ({"A": "T+", "B": "T U"}, {"A": "T T+", "B": "_+"}):
+        batch = match_sequence(df.where("k >= 0"), "k", ["ts", "i"], "a", rules).collect()
+        want = sorted(tuple(r) for r in batch)
+        ended = [w for w in want if w[3] < max(x[3] for x in want if x[0] == w[0])] if "B" in rules and rules["B"] == "_+" else want
+        got = run(rules)
+        assert set(ended) <= set(got) <= set(want)
+    limited = run({"A": "T+"}, idle_limit_ms=3 * 3600 * 1000)
+    ends = [r for r in match_sequence(df.where("k >= 0"), "k", ["ts", "i"], "a", {"A": "T+"}).collect()]
+    assert sum(r[3] - r[2] for r in limited) == sum(r.end - r.start for r in ends)    # same atoms, cut at pauses
+    assert {(r[0], p) for r in limited for p in range(r[2], r[3])} == {(r.k, p) for r in ends for p in range(r.start, r.end)}
+
+
+def test_marks_stream_equals_batch(spark):
+    rules = [("END_tag", "</[a-z]+>"), ("STA_tag", "<[a-z]+>"), ("word", r"\bx\b")]
+    docs = spark.createDataFrame([(i, f"<a>x{i} x </a> é<b>" * i) for i in range(20)], "doc_id long, text string")
+    src = tempfile.mkdtemp(prefix="quire-st2-")
+    docs.repartition(3).write.mode("overwrite").parquet(src)
+    stream = marks_stream(spark.readStream.schema(docs.schema).parquet(src), rules)
+    q = (stream.writeStream.outputMode("append").format("memory").queryName("st2_out")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="quire-st2-ckpt-")).trigger(availableNow=True).start())
     q.awaitTermination(600)
-    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM st1_out WHERE user_id >= 0").collect())
-    assert got == batch
+    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM st2_out").collect())
+    assert got == sorted(tuple(r) for r in marks(docs, rules).collect()) and len(got) > 400
+    with pytest.raises(ValueError):
+        marks(docs, [("any", "x*")])
+
+
+def _walk(rules, atoms, contiguous=True):
+    """Plain search at each position: items greedy with backtracking, first rule wins."""
+    parsed = [(n, [(t.rstrip("?+*"), t[-1] if t[-1] in "?+*" else "") for t in r.split()]) for n, r in rules.items()]
+    firsts = {n: its[0][0] for n, its in parsed}
+
+    def fits(rule, item, atom):
+        if atom is None:
+            return False
+        return atom not in {f for m, f in firsts.items() if m != rule and f != "_"} if item == "_" else atom == item
+
+    def ends(rule, items, at):
+        if not items:
+            yield at
+            return
+        (item, card), rest = items[0], items[1:]
+        n = 0
+        while at + n < len(atoms) and fits(rule, item, atoms[at + n]) and (n == 0 or card in ("+", "*")):
+            n += 1
+        for took in range(n, (0 if card in ("?", "*") else 1) - 1, -1):
+            yield from ends(rule, rest, at + took)
+
+    out, at = [], 0
+    while at < len(atoms):
+        hit = next(((n, e) for n, its in parsed for e in ends(n, its, at) if e > at), None)
+        if hit:
+            out.append((hit[0], at, hit[1]))
+        at = hit[1] if hit else at + 1
+    return out
+
+
+RULE_SETS = [
+    {"A": "a+", "B": "b c"}, {"A": "a+ b", "C": "c"}, {"A": "a a+", "B": "a"}, {"X": "a b? c*", "Y": "_+"}, {"X": "a* b", "Y": "c+"},
+    {"M": "a? b*"}, {"A": "a b+", "B": "b+ c", "C": "_"}, {"A": "a+ a", "B": "b"}, {"A": "a b a+", "C": "c* b"}, {"A": "_+ a"},
+]
+
+
+def test_matches_equal_plain_search(spark):
+    import random
+
+    rng = random.Random(11)
+    seqs = [[rng.choice(["a", "b", "c", "d", None, "a", "a"]) for _ in range(rng.randint(0, 40))] for _ in range(60)]
+    df = spark.createDataFrame([(k, i, a) for k, s in enumerate(seqs) for i, a in enumerate(s)], "k long, i long, a string")
+    got = match_each(df, "k", ["i"], "a", {str(n): r for n, r in enumerate(RULE_SETS)}, partitions=6).collect()
+    want = [(k, str(n), *m) for n, r in enumerate(RULE_SETS) for k, s in enumerate(seqs) for m in _walk(r, s)]
+    assert sorted((r.k, r.machine, r.rule, r.start, r.end) for r in got) == sorted(want)
+
+
+def test_null_atoms_break_a_match(spark):
+    df = spark.createDataFrame([(0, 0, "T"), (0, 1, None), (0, 2, "T")], "k long, i long, a string")
+    got = match_sequence(df, "k", ["i"], "a", {"M": "T+"}).collect()
+    assert sorted((r.start, r.end) for r in got) == [(0, 1), (2, 3)]
+
+
+def test_not_contiguous_and_empty(spark):
+    assert [(r.start, r.end) for r in match_sequence(_atoms(spark, "T x T y T"), "k", ["i"], "a", {"M": "T+"}, contiguous=False).collect()] == [(0, 5)]
+    got = match_sequence(_atoms(spark, "A T T A"), "k", ["i"], "a", {"M": "T*"}, emit_empty=True).collect()
+    assert sorted((r.start, r.end) for r in got) == [(0, 0), (1, 3), (3, 3)]
+
+
+def test_one_key_with_all_rows_keeps_runs_short(spark):
+    long = spark.range(200000).selectExpr("0L AS k", "id AS i", "CASE WHEN id % 50000 = 49999 THEN 'stop' ELSE 'go' END AS a")
+    got = match_sequence(long, "k", ["i"], "a", {"Run": "go+ stop", "Any": "_+"}, partitions=8).collect()
+    assert sorted((r.rule, r.start, r.end) for r in got) == [("Run", n * 50000, (n + 1) * 50000) for n in range(4)]
+    assert Compiled({"Run": "go+ stop", "Any": "_+"}).shortened() == {chr(0xE000): 2}
