@@ -42,7 +42,7 @@ def catalogue(paths: DataFrame, path: str = "path", full: bool = True, sep: str
     files = paths.select(F.col(path).alias("id")).where(F.col("id").isNotNull() & (F.col("id") != "")).distinct()
     segs = F.split("id", sep)
     if full:
-        dirs = files.select(F.explode(F.sequence(F.lit(1), F.size(segs) - 1)).alias("_k"), segs.alias("_s")).select(
+        dirs = files.where(F.size(segs) > 1).select(F.explode(F.sequence(F.lit(1), F.size(segs) - 1)).alias("_k"), segs.alias("_s")).select(
             F.array_join(F.slice("_s", 1, F.col("_k")), sep).alias("id"))
     else:
         dirs = files.select(F.regexp_extract("id", rf"^(.*){sep}[^{sep}]*$", 1).alias("id")).where(F.col("id") != "")
@@ -67,7 +67,8 @@ def roots(nodes: DataFrame) -> DataFrame:
 def ancestors(nodes: DataFrame, sep: str = SEP) -> DataFrame:
     """T-3: one row per (node, ancestor) with the distance; ``root_of`` is the farthest."""
     segs = F.split("id", sep)
-    return nodes.select("id", segs.alias("_s"), F.explode(F.sequence(F.lit(1), F.size(segs) - 1)).alias("_k")).select(
+    inner = nodes.where(F.size(segs) > 1)       # a root has no ancestor (and sequence(1, 0) counts down)
+    return inner.select("id", segs.alias("_s"), F.explode(F.sequence(F.lit(1), F.size(segs) - 1)).alias("_k")).select(
         "id", F.array_join(F.slice("_s", 1, F.col("_k")), sep).alias("ancestor"),
         (F.size("_s") - F.col("_k")).cast("bigint").alias("distance"))
 
@@ -141,29 +142,48 @@ def edges_dot(nodes: DataFrame) -> DataFrame:
     return labels.unionByName(edges)
 
 
-def nest_tree(nodes: DataFrame, value: Column, max_depth: int) -> DataFrame:
-    """K-3: ``{id, value, children|null}`` JSON per root, built bottom-up one
-    level at a time (``max_depth`` levels; one aggregate and one join each).
-    The output is one JSON document per root, so its size is that root's
-    subtree; write it with ``write.text``."""
-    cur = nodes.select("id", "parent", "depth", F.to_json(value).alias("_v"))
-    below = None
-    for d in range(max_depth, -1, -1):
-        level = cur.where(F.col("depth") == d)
-        if below is not None:
-            level = level.join(below, "id", "left")
-        else:
-            level = level.withColumn("_kids", F.lit(None).cast("string"))
-        level = level.withColumn("json", F.concat(
-            F.lit('{"id":'), F.regexp_replace(F.to_json(F.array("id")), r"^\[|\]$", ""),
-            F.lit(',"value":'), F.coalesce(F.col("_v"), F.lit("null")),
-            F.lit(',"children":'), F.coalesce(F.col("_kids"), F.lit("null")), F.lit("}")))
-        if d == 0:
-            return level.select("id", "json")
-        below = level.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(
-            F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "json"))),
-                                                          lambda x: x["json"]), ","), F.lit("]")).alias("_kids"))
-    raise ValueError("max_depth must be >= 0")
+def nest_tree(nodes: DataFrame, value: Column, sep: str = SEP) -> DataFrame:
+    """K-3: nested ``{id, value, children|null}`` JSON as lines ``(root, preorder, json)``.
+
+    A node's line opens it and closes every node that ends there, which only
+    takes the depths of its neighbours in pre-order, so nothing is gathered: the
+    lines of a root in order of ``preorder`` are its document.
+    """
+    segs = F.split("id", sep)
+    w = nodes.withColumns({"root": F.element_at(segs, 1), "_key": F.array_join(segs, KEY_SEP), "_v": F.to_json(value)})
+    ranked = number_rows(w, ["root"], ["_key"], out="preorder")
+    nb = scan(ranked, ["root"], ["preorder"], prev={"_pd": F.col("depth")}, next={"_nd": F.col("depth")})
+    below = F.coalesce("_nd", F.lit(0))
+    opened = F.concat(F.when(F.col("_pd") >= F.col("depth"), F.lit(",")).otherwise(F.lit("")), F.lit('{"id":'),
+                      F.regexp_replace(F.to_json(F.array("id")), r"^\[|\]$", ""), F.lit(',"value":'), F.coalesce("_v", F.lit("null")),
+                      F.lit(',"children":'))
+    closed = F.concat(F.lit("null}"), F.repeat(F.lit("]}"), (F.col("depth") - below).cast("int")))
+    return nb.select("root", "preorder", F.concat(opened, F.when(below > F.col("depth"), F.lit("[")).otherwise(closed)).alias("json"))
+
+
+def leaf_flags(nodes: DataFrame, has_attributes: Column | None = None) -> DataFrame:
+    """T-5: ``id`` with ``is_leaf, is_node, is_empty, is_tree, is_subtree``, ``first_child`` and
+    ``last_child`` (by name); empty is a leaf without attributes."""
+    kids = nodes.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(
+        F.min_by("id", F.struct("name", "id")).alias("first_child"), F.max_by("id", F.struct("name", "id")).alias("last_child"))
+    has = F.lit(False) if has_attributes is None else has_attributes
+    out = nodes.withColumn("_has", has).join(kids, "id", "left")
+    leaf = F.col("first_child").isNull()
+    return out.select("id", leaf.alias("is_leaf"), (~leaf).alias("is_node"), (leaf & ~F.col("_has")).alias("is_empty"),
+                      F.col("parent").isNull().alias("is_tree"), F.col("parent").isNotNull().alias("is_subtree"), "first_child", "last_child")
+
+
+def siblings_of(ranked: DataFrame, asked: DataFrame) -> DataFrame:
+    """W-10: all previous and all next siblings of the asked ids: ``(id, sibling, side, distance)``.
+
+    ``ranked`` comes from :func:`siblings`; previous ones count backwards from
+    the node.  Rows appear only for asked nodes, an equi join on the parent.
+    """
+    one = ranked.join(asked.select("id"), "id", "left_semi").select("id", "parent", F.col("index").alias("_i"))
+    both = one.where("parent is not null").join(ranked.select("parent", F.col("id").alias("sibling"), "index"), "parent")
+    gap = F.col("index") - F.col("_i")
+    return both.where(gap != 0).select("id", "sibling", F.when(gap < 0, F.lit("previous")).otherwise(F.lit("next")).alias("side"),
+                                       F.abs(gap).alias("distance"))
 
 
 def name_tree(col: Column | str) -> Column:

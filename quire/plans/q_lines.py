@@ -7,7 +7,7 @@ from ..functions.text import list_item, todo_item
 from ..operators.blocks import (blocks, classify_lines, prose_blocks, prose_lines, strict_blocks, trim_blank_lines,
                                 typed_blocks)
 from ..sources.derived import code_lines, nota_lines, with_tables
-from ..sources.lines import line_index, scan_lines
+from ..sources.lines import line_index, line_of, position_of, scan_lines
 
 from pyspark.sql import functions as F
 
@@ -41,6 +41,23 @@ def q_line_index(spark, sf):
     return line_index(scan_lines(docs))
 
 
+POSITIONS_SQL = "WITH x AS (" + LINE_INDEX_SQL + """)
+SELECT path, number AS line, CAST(3 AS BIGINT) AS "column", "offset" + 3 AS "offset", number AS found_line, CAST(3 AS BIGINT) AS found_column
+FROM x WHERE length > 3
+"""
+
+
+@register("positions", POSITIONS_SQL)
+def q_positions(spark, sf):
+    """W-11 both ways: the fourth character of each line as an offset, and back."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    lines = scan_lines(docs)
+    points = lines.where(F.length("text") > 3).select("path", F.col("number").alias("line"), F.lit(3).cast("bigint").alias("column"))
+    there = position_of(lines, points).withColumnsRenamed({"line": "asked_line", "column": "asked_column"})
+    return line_of(lines, there).select("path", F.col("asked_line").alias("line"), F.col("asked_column").alias("column"), "offset",
+                                        F.col("line").alias("found_line"), F.col("column").alias("found_column"))
+
+
 # ---------------------------------------------------------------- blocks (W-1, W-2)
 # The oracle is the literal line-by-line state machine as a recursive CTE.
 BLOCKS_SQL = with_tables(r"""

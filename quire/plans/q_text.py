@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register, table
-from ..functions.export import filter_glob, merge_attributes, weave
-from ..functions.text import (apply_template, clamp, expand_tokens, get_json, lerp, microformats, parse_groups, prel,
-                              split_list, time_tuple)
+from ..functions.export import filter_glob, merge_attributes, to_json_rows, weave
+from ..functions.text import (INLINE, INLINE_ANY, apply_template, attr_quote, block_meta, clamp, expand_tokens, get_json, inline_spans,
+                              lerp, microformats, parse_groups, prel, split_list, steps, time_tuple, unescape_pattern)
 from ..operators.symbols import module_name
-from ..sources.derived import code_lines, with_tables
+from ..operators.tags import read_tags
+from ..sources.derived import code_lines, nota_lines, scope_lines, tag_lines, with_tables
 from .q_lines import TYPED_BLOCKS_SQL
 
 URL_GROUPS = r"(?P<scheme>[A-Za-z]+)://(?P<host_name>[^/?#:]+)(?P<path>[^?#]*)(\?(?P<query>[^#]*))?"
@@ -151,11 +152,79 @@ def q_weave(spark, sf):
     return weave(code_lines(table(spark, sf, "events")))
 
 
-@register("json_rows")
+@register("json_rows", """
+SELECT event_id, user_id, event_type, value, props FROM events
+""")
 def q_json_rows(spark, sf):
-    """K-1: events as JSON objects (rows-only check: JSON text formatting
-    differs between engines; the values are checked by ``json_values``)."""
-    from ..functions.export import to_json_rows
-    e = table(spark, sf, "events")
-    return to_json_rows(e, ["event_id", "user_id", "event_type", "value", "props"]).withColumn(
-        "event_id", F.get_json_object("json", "$.event_id").cast("bigint"))
+    """K-1: events as JSON objects, read back by their fields."""
+    cols = ["event_id", "user_id", "event_type", "value", "props"]
+    rows = to_json_rows(table(spark, sf, "events"), cols)
+    return rows.select(F.from_json("json", "event_id bigint, user_id bigint, event_type string, value double, props string").alias("j")).select("j.*")
+
+
+def _inline_sql(levels: int = 3) -> str:
+    rx = INLINE_ANY
+    kinds = " ".join(f"WHEN regexp_matches(hit, '^(?:{r})$') THEN '{n}'" for n, r in INLINE)
+    inner = " ".join(f"WHEN regexp_matches(hit, '^(?:{r})$') THEN regexp_extract(hit, '{r}', 1)" for _, r in INLINE)
+    out = "WITH s0 AS (SELECT path, number, 0 AS base, text FROM nota_lines)"
+    for k in range(1, levels + 1):
+        out += f""",
+a{k} AS (SELECT path, number, base, regexp_extract_all(text, '{rx}') AS hits, regexp_split_to_array(text, '{rx}') AS gaps FROM s{k - 1}),
+u{k} AS (SELECT *, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i FROM a{k}),
+c{k} AS (SELECT path, number, hit, base + COALESCE(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
+           + COALESCE(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start FROM u{k}),
+f{k} AS (SELECT path, number, {k} AS level, CASE {kinds} END AS kind, CAST(start AS INTEGER) AS start,
+           CAST(start + length(hit) AS INTEGER) AS "end", CASE {inner} END AS text,
+           start + CASE WHEN regexp_matches(hit, '^([*][*]|<<)') THEN 2 ELSE 1 END AS inside FROM c{k}),
+s{k} AS (SELECT path, number, inside AS base, text FROM f{k})"""
+    return out + "\n" + "\nUNION ALL\n".join(f'SELECT path, number, level, kind, start, "end", text FROM f{k}' for k in range(1, levels + 1))
+
+
+@register("inline_spans", with_tables(_inline_sql(), "nota_lines"))
+def q_inline_spans(spark, sf):
+    return nota_lines(table(spark, sf, "events")).select("path", "number", F.explode(inline_spans("text")).alias("x")).select(
+        "path", "number", "x.*")
+
+
+@register("microformats_marked", """
+WITH d AS (SELECT c_custkey, 'see <c' || c_custkey || '@shop.org> or <http://shop/' || c_custkey || '> #n' || c_nationkey || ' #{ref '
+                  || c_custkey || '} c@bare.org' AS t FROM customer)
+SELECT c_custkey, 'email' AS kind, 'c' || c_custkey || '@shop.org' AS value FROM d
+UNION ALL SELECT c_custkey, 'url', 'http://shop/' || c_custkey FROM d
+UNION ALL SELECT c_custkey, 'tag', regexp_extract(t, '#(n[0-9]+)', 1) FROM d
+UNION ALL SELECT c_custkey, 'ref', 'ref ' || c_custkey FROM d
+""")
+def q_microformats_marked(spark, sf):
+    key, s = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("see <c"), s, F.lit("@shop.org> or <http://shop/"), s, F.lit("> #n"), F.col("c_nationkey").cast("string"),
+                    F.lit(" #{ref "), s, F.lit("} c@bare.org"))
+    return table(spark, sf, "customer").select(key, F.explode(microformats(text)).alias("m")).select("c_custkey", "m.kind", "m.value")
+
+
+@register("attributes", """
+SELECT p_partkey, replace(replace(p_name || ' & "' || p_brand || '"', '&', '&amp;'), '"', '&quot;') AS quoted,
+       array_to_string(list_transform(range(0, p_size % 5 + 2), lambda i: printf('%.4f', i / (p_size % 5 + 1))), ',') AS steps
+FROM part
+""")
+def q_attributes(spark, sf):
+    text = F.concat("p_name", F.lit(' & "'), "p_brand", F.lit('"'))
+    stops = F.transform(steps(F.col("p_size") % 5 + 1), lambda x: F.format_string("%.4f", x))
+    return table(spark, sf, "part").select("p_partkey", attr_quote(text).alias("quoted"), F.array_join(stops, ",").alias("steps"))
+
+
+@register("block_metas", with_tables(r"""
+SELECT path, number, CASE WHEN regexp_matches(text, '^[ \t]*#[ \t]?--') THEN trim(regexp_replace(text, '^[ \t]*#[ \t]?-+', ''), ' ' || chr(9) || chr(10)) ELSE '' END AS meta
+FROM code_lines
+""", "code_lines"))
+def q_block_metas(spark, sf):
+    return code_lines(table(spark, sf, "events")).select("path", "number", block_meta("text", strip=True).alias("meta"))
+
+
+@register("tag_texts", with_tables(r"""
+SELECT string_split(value, chr(9))[1] AS symbol, string_split(value, chr(9))[2] AS path,
+       regexp_extract(value, '/\^(.*)\$/;"', 1) AS text
+FROM tag_lines
+""", "scope_lines", "tag_lines"))
+def q_tag_texts(spark, sf):
+    tags = read_tags(tag_lines(scope_lines(table(spark, sf, "events"))))
+    return tags.select("symbol", "path", unescape_pattern("pattern").alias("text"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register, table
-from ..operators.trees import (catalogue, children, detach, edges_dot, nest_tree, path_parts, siblings, subtree,
-                               walk)
+from ..operators.symbols import module_name
+from ..operators.trees import (ancestors, catalogue, children, detach, edges_dot, leaf_flags, name_tree, nest_tree,
+                               outline_numbered, path_parts, roots, siblings, siblings_of, subtree, tree_filter, walk)
+from ..sources.derived import module_files, with_tables
 
 URL_PATH_SQL = r"""regexp_replace(regexp_replace(
     regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1),
@@ -137,8 +139,78 @@ def q_dot_edges(spark, sf):
     return edges_dot(url_nodes(spark, sf))
 
 
-@register("nest_tree")
+@register("nest_tree", NODES_SQL + """,
+w AS (SELECT *, string_split(id, '/')[1] AS root FROM nodes),
+n AS (SELECT *, row_number() OVER x - 1 AS preorder, lag(depth) OVER x AS pd, COALESCE(lead(depth) OVER x, 0) AS nd
+      FROM w WINDOW x AS (PARTITION BY root ORDER BY replace(id, '/', chr(1))))
+SELECT root, CAST(preorder AS BIGINT) AS preorder,
+  CASE WHEN pd >= depth THEN ',' ELSE '' END || '{"id":' || CAST(to_json(id) AS VARCHAR) || ',"value":{"name":'
+  || CAST(to_json(name) AS VARCHAR) || ',"is_file":' || CAST(is_file AS VARCHAR) || '},"children":'
+  || CASE WHEN nd > depth THEN '[' ELSE 'null}' || repeat(']}', CAST(depth - nd AS INTEGER)) END AS json
+FROM n
+""")
 def q_nest_tree(spark, sf):
-    n = url_nodes(spark, sf)
-    depth = n.agg(F.max("depth")).first()[0]
-    return nest_tree(n, F.struct("id", "parent", "name", "is_file"), depth)
+    return nest_tree(url_nodes(spark, sf), F.struct("name", "is_file"))
+
+
+@register("tree_roots", NODES_SQL + "SELECT id, name, is_file FROM nodes WHERE parent IS NULL")
+def q_tree_roots(spark, sf):
+    return roots(url_nodes(spark, sf)).select("id", "name", "is_file")
+
+
+@register("tree_ancestors", NODES_SQL + """
+SELECT n.id, a.id AS ancestor, CAST(n.depth - a.depth AS BIGINT) AS distance
+FROM nodes n JOIN nodes a ON starts_with(n.id, a.id || '/')
+""")
+def q_tree_ancestors(spark, sf):
+    return ancestors(url_nodes(spark, sf))
+
+
+@register("tree_filter", NODES_SQL + """
+SELECT id, name FROM nodes n WHERE is_file AND NOT EXISTS (
+  SELECT 1 FROM nodes p WHERE p.name = 'fr' AND (n.id = p.id OR starts_with(n.id, p.id || '/')))
+""")
+def q_tree_filter(spark, sf):
+    return tree_filter(url_nodes(spark, sf), F.col("is_file"), F.col("name") != "fr").select("id", "name")
+
+
+@register("tree_flags", NODES_SQL + """,
+k AS (SELECT parent AS id, arg_min(id, (name, id)) AS first_child, arg_max(id, (name, id)) AS last_child
+      FROM nodes WHERE parent IS NOT NULL GROUP BY parent)
+SELECT n.id, first_child IS NULL AS is_leaf, first_child IS NOT NULL AS is_node, first_child IS NULL AND NOT is_file AS is_empty,
+       parent IS NULL AS is_tree, parent IS NOT NULL AS is_subtree, first_child, last_child
+FROM nodes n LEFT JOIN k ON k.id = n.id
+""")
+def q_tree_flags(spark, sf):
+    return leaf_flags(url_nodes(spark, sf), F.col("is_file"))
+
+
+@register("sibling_lists", NODES_SQL + """,
+r AS (SELECT id, parent, row_number() OVER (PARTITION BY parent ORDER BY name, id) AS i, depth FROM nodes WHERE parent IS NOT NULL)
+SELECT a.id, b.id AS sibling, CASE WHEN b.i < a.i THEN 'previous' ELSE 'next' END AS side, CAST(abs(b.i - a.i) AS BIGINT) AS distance
+FROM r a JOIN r b ON a.parent = b.parent AND a.i <> b.i WHERE a.depth = 1
+""")
+def q_sibling_lists(spark, sf):
+    nodes = url_nodes(spark, sf)
+    return siblings_of(siblings(nodes), nodes.where("depth = 1"))
+
+
+@register("outline_numbers", NODES_SQL + """,
+z AS (SELECT id, row_number() OVER (PARTITION BY string_split(id, '/')[1] ORDER BY replace(id, '/', chr(1))) - 1 AS n,
+             repeat('  ', CAST(depth AS INTEGER)) || name AS o FROM nodes)
+SELECT id, CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END || ' ' || o AS outline FROM z
+""")
+def q_outline_numbers(spark, sf):
+    walked = walk(url_nodes(spark, sf))
+    return walked.select("id", outline_numbered(walked).alias("outline"))
+
+
+@register("name_tree", with_tables("""
+WITH n AS (SELECT DISTINCT replace(replace(replace(path, '/__init__.py', ''), '.py', ''), '/', '.') AS name FROM module_files)
+SELECT name, CASE WHEN contains(name, '.') THEN array_to_string(string_split(name, '.')[:-2], '.') END AS parent,
+       CAST(len(string_split(name, '.')) AS BIGINT) AS depth FROM n
+""", "module_files"))
+def q_name_tree(spark, sf):
+    names = module_files(table(spark, sf, "events")).select(module_name("path", "").alias("name")).distinct()
+    tree = name_tree("name")
+    return names.select("name", tree["parent"].alias("parent"), tree["depth"].alias("depth"))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions.export import filter_glob, to_json_rows
-from quire.functions.text import (attr_quote, block_meta, clamp, expand_tokens, html_escape, lerp, map_literal,
+from quire.functions.text import (attr_quote, block_meta, clamp, expand_tokens, html_escape, inline_spans, lerp, map_literal,
                                   parse_groups, split_list, steps, strip_comment, time_tuple, unescape_pattern)
 from quire.operators.marks import marks
 
@@ -11,14 +11,39 @@ def _one(spark, col, value="x", schema="s string"):
 
 
 def test_parse_groups_call_text(spark):
-    # f(A,B,C,D) -> {name: f, args: {0: A, 1: B, 2: C, 3: D}}
+    # f(A,B,C,D) -> {name: f, args: {0: A, 1: B, 2: C, 3: D}}
     items = "".join(f"(,(?P<args_{i}>[A-Z]+))?" if i else "(?P<args_0>[A-Z]+)" for i in range(4))
     r = _one(spark, parse_groups(F.col("s"), rf"(?P<name>[a-z]+)\({items}\)"), "f(A,B,C,D)")
     assert r["name"] == "f" and [r["args"][str(i)] for i in range(4)] == ["A", "B", "C", "D"]
 
 
-def test_split_list_caps_at_16(spark):
-    assert len(_one(spark, split_list(F.col("s")), ",".join(str(i) for i in range(20)))) == 16
+def test_split_list_keeps_all_items(spark):
+    text = ",".join(str(i) for i in range(20))
+    assert len(_one(spark, split_list(F.col("s")), text)) == 20
+    assert _one(spark, split_list(F.col("s"), max_items=3), text) == ["0", "1", "2"]
+
+
+def test_tokens_over_rows_with_and_without(spark):
+    ctx = F.create_map(F.lit("a.b"), F.lit("X"))
+    df = spark.createDataFrame([("plain",), ("${a.b}!",), ("",), (None,)], "s string")
+    assert [r[0] for r in df.select(expand_tokens("s", ctx)).collect()] == ["plain", "X!", "", None]
+
+
+def test_globs_are_anchored(spark):
+    files = spark.createDataFrame([("p/mod1.py",), ("p/xmod1.py",), ("p/my_file.py",), ("p/_my.py",), ("p/mod1.pyc",)], "path string")
+    assert {r.path for r in filter_glob(files, includes=["mod1*.py"]).collect()} == {"p/mod1.py"}
+    assert {r.path for r in filter_glob(files, excludes=["_*", "*.pyc"]).collect()} == {"p/mod1.py", "p/xmod1.py", "p/my_file.py"}
+
+
+def test_inline_spans_nested(spark):
+    # The nested example text and its reading.
+    got = _one(spark, inline_spans(F.col("s")), "_term*emphasis`code`*_")
+    assert [(r.level, r.kind, r.start, r.end, r.text) for r in got] == [
+        (1, "term", 0, 22, "term*emphasis`code`*"), (2, "emphasis", 5, 21, "emphasis`code`"), (3, "code", 14, 20, "code")]
+    got = _one(spark, inline_spans(F.col("s")), "é **s** <<q _t_>> [l)[to] [a] *open")
+    assert [(r.level, r.kind, r.start, r.end, r.text) for r in got] == [
+        (1, "strong", 2, 7, "s"), (1, "quote", 8, 17, "q _t_"), (2, "term", 12, 15, "t"), (1, "link", 18, 25, "l"), (1, "anchor", 26, 29, "a")]
+    assert _one(spark, inline_spans(F.col("s")), "none") == []
 
 
 def test_escape_and_quote(spark):

@@ -1,33 +1,53 @@
 import json
-import os
-import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.sources.files import read_json_tree, read_manifest, scan_files
+from quire.sources.lines import line_of, position_of, scan_lines
 
 
-def test_scan_files_and_manifest(spark):
-    root = tempfile.mkdtemp(prefix="quire-src-")
-    os.makedirs(os.path.join(root, "pkg"))
-    for name, body in [("pkg/a.py", "x = 1\n"), ("pkg/__init__.py", "# init\n"), ("b.txt", "hé\n")]:
-        with open(os.path.join(root, name), "w", encoding="utf-8") as fh:
-            fh.write(body)
-    listed = {r.path: r.content for r in scan_files(spark, root).collect()}
-    assert listed == {"pkg/a.py": "x = 1\n", "b.txt": "hé\n"}  # Spark's listing skips __init__.py
-    man = spark.createDataFrame([("pkg/__init__.py",), ("pkg/a.py",), ("gone.py",)], "path string")
-    got = {r.path: r.content for r in read_manifest(man, root).collect()}
-    assert got == {"pkg/__init__.py": "# init\n", "pkg/a.py": "x = 1\n", "gone.py": None}
-
-
-def test_read_json_tree(spark):
-    tree = [{"id": "lib/app", "value": {"name": "app"}, "children": [
-        {"id": "lib/app/main.py", "value": {"name": "main.py"}, "children": None},
-        {"id": "lib/app/read", "value": {"name": "read"}, "children": [
-            {"id": "lib/app/read/lines.py", "value": {"name": "lines.py"}}]}]}]
-    path = os.path.join(tempfile.mkdtemp(prefix="quire-json-"), "files.json")
-    with open(path, "w") as fh:
-        json.dump(tree, fh)
-    rows = {r.id: (r.parent, r.ord, r.depth) for r in read_json_tree(spark, path).collect()}
-    assert rows == {"lib/app": (None, 0, 0), "lib/app/main.py": ("lib/app", 0, 1),
-                    "lib/app/read": ("lib/app", 1, 1), "lib/app/read/lines.py": ("lib/app/read", 0, 2)}
+def test_scan_files_and_manifest(spark, tmp_path):
+    root = tmp_path / "so.rce (1)"
+    for name, body in {"one/a.py": "x = 1\n", "one/__init__.py": "# init\n", "b.txt": "hé\n"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body, encoding="utf-8")
+    listed = {r.path: r.content for r in scan_files(spark, str(root)).collect()}
+    assert listed == {"one/a.py": "x = 1\n", "b.txt": "hé\n"}    # Spark's listing skips names with a leading underscore
+    names = spark.createDataFrame([("one/__init__.py",), ("one/a.py",), ("gone.py",)], "path string")
+    for base in (str(root), f"file://{tmp_path}/so.rce%20(1)"):
+        got = {r.path: r.content for r in read_manifest(names, base).collect()}
+        assert got == {"one/__init__.py": "# init\n", "one/a.py": "x = 1\n", "gone.py": None}
+    with pytest.raises(Exception):
+        read_manifest(spark.createDataFrame([("one",)], "path string"), str(root)).collect()     # a folder is no file
+
+
+def test_read_json_tree_of_any_depth(spark, tmp_path):
+    deep = {"id": "n40"}
+    for i in range(39, -1, -1):
+        deep = {"id": f"n{i}", "value": {"size": i}, "children": [deep] if i % 2 else [deep, {"id": f"side{i}"}]}
+    (tmp_path / "tree.json").write_text(json.dumps([deep, {"id": "alone"}]))
+    rows = {r.id: (r.parent, r.ord, r.depth) for r in read_json_tree(spark, f"{tmp_path}/tree.json").collect()}
+    assert rows["n40"] == ("n39", 0, 40) and rows["side38"] == ("n38", 1, 39) and rows["alone"] == (None, 0, 0)
+    assert len(rows) == 41 + 20 + 1
+
+
+def test_lines_and_positions(spark):
+    files = spark.createDataFrame([("a", "é\r\nxy\n\nlast"), ("b", ""), ("c", "\n"), ("d", None)], "path string, content string")
+    got = sorted((r.path, r.number, r.offset, r.text) for r in scan_lines(files).collect())
+    assert got == [("a", 0, 0, "é\n"), ("a", 1, 2, "xy\n"), ("a", 2, 5, "\n"), ("a", 3, 6, "last"), ("c", 0, 0, "\n")]
+    pieces = sorted((r.path, r.number, r.offset, r.text) for r in scan_lines(files, eol=False).collect())
+    assert pieces == [("a", 0, 0, "é\n"), ("a", 1, 2, "xy\n"), ("a", 2, 5, "\n"), ("a", 3, 6, "last\n"), ("b", 0, 0, "\n"),
+                      ("c", 0, 0, "\n"), ("c", 1, 1, "\n")]
+    assert "Exchange" not in scan_lines(files)._jdf.queryExecution().executedPlan().toString()
+    lines = scan_lines(files)
+    asked = spark.createDataFrame([("a", n) for n in range(12)] + [("c", 0), ("z", 0)], "path string, offset long")
+    where = {(r.path, r.offset): (r.line, r.column) for r in line_of(lines, asked).collect()}
+    assert [where["a", n] for n in range(10)] == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (2, 0), (3, 0), (3, 1), (3, 2), (3, 3)]
+    assert where["a", 10] == where["z", 0] == (None, None)
+    points = spark.createDataFrame([("a", 1, 1), ("a", 9, 0)], "path string, line long, column long")
+    assert {(r.line, r.offset) for r in position_of(lines, points).collect()} == {(1, 3), (9, None)}
+    long = spark.createDataFrame([("x", "y" * 10000 + "\nz")], "path string, content string")
+    back = line_of(scan_lines(long), spark.createDataFrame([("x", 9999), ("x", 10001)], "path string, offset long")).orderBy("offset").collect()
+    assert [(r.line, r.column) for r in back] == [(0, 9999), (1, 0)]
+    assert scan_lines(files).agg(F.sum(F.length("text"))).first()[0] == 11
