@@ -19,7 +19,8 @@ from quire import catalog  # noqa: E402
 from quire.session import get_spark  # noqa: E402
 
 HEADLINE = ["blocks", "html_marks", "event_sequences", "fragments_substring", "typed_blocks", "prose_blocks",
-            "event_patterns", "fragments_exact", "tree_walk", "line_index"]
+            "event_patterns", "fragments_exact", "tree_walk", "line_index", "weave", "defined_in", "symbols",
+            "mention_rows", "html_depth", "read_fragments", "references", "docstrings", "nest_tree"]
 
 
 def main() -> None:

@@ -152,12 +152,13 @@ def match_each(df: DataFrame, key: str, order: Sequence[str], atom: str, machine
                partitions: int | None = None, *, contiguous: bool = True, emit_empty: bool = False) -> DataFrame:
     """W-9: several independent matchers over one stream: ``(key, machine, rule, start, end)``."""
     compiled = {name: Compiled(rules) for name, rules in machines.items()}
-    seq = number_rows(df.select(key, *order, atom), [key], order, out="pos", partitions=partitions)
+    seq = number_rows(df.select(key, *order, atom), [key], order, out="pos", partitions=partitions, prev={"_before": F.col(atom)})
     out = None
     for group in ([list(compiled)] if contiguous else [[n] for n in compiled]):
         rows = seq
         if not contiguous:
-            rows = rows.where(compiled[group[0]].consumable(F.col(atom)))
+            rows = rows.drop("_before").where(compiled[group[0]].consumable(F.col(atom)))
+            rows = scan(rows, [key], ["pos"], prev={"_before": F.col(atom)})
         hits = _matches(rows, key, atom, {n: compiled[n] for n in group}, contiguous)
         out = hits if out is None else out.unionByName(hits)
     if emit_empty:
@@ -174,9 +175,8 @@ def _matches(seq: DataFrame, key: str, atom: str, machines: Mapping[str, Compile
     """Matches of all machines over numbered atoms."""
     names = list(machines)
     # what a machine sees of an atom: its character, or nothing if no rule can use it
-    seen = {f"_ch{i}": F.when(c.consumable(F.col(atom)), c.encode(F.col(atom))) for i, c in enumerate(machines.values())}
-    rows = seq.withColumns(seen)
-    rows = scan(rows, [key], ["pos"], prev={f"_p{i}": F.col(f"_ch{i}") for i in range(len(names))})
+    rows = seq.withColumns({f"{to}{i}": F.when(c.consumable(F.col(of)), c.encode(F.col(of)))
+                            for i, c in enumerate(machines.values()) for to, of in (("_ch", atom), ("_p", "_before"))})
     # a run begins where the character changes or may not be shortened; a segment where two may not touch
     flags = {}
     for i, c in enumerate(machines.values()):

@@ -176,8 +176,10 @@ def scan(
     return out.select(*final)
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "number", partitions: int | None = None) -> DataFrame:
-    """Dense 0-based row number within ``keys`` by ``order`` without a per-key window.
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "number", partitions: int | None = None,
+                prev: Mapping[str, Column] | None = None) -> DataFrame:
+    """Dense 0-based row number within ``keys`` by ``order`` without a per-key window; ``prev`` as in
+    :func:`scan`, in the same pass.
 
     The result keeps ``_chunk`` and the key column, so later scans over the
     same keys reuse the slices and the partitioning.
@@ -189,4 +191,4 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     # executor cannot re-derive other ids).
     ensure_checkpoint_dir(df.sparkSession)
     ranged = chunk_by_range(df, keys, order, partitions).checkpoint(eager=True).withColumn(one, F.lit(1))
-    return scan(with_key(ranged, keys), keys, order, sums={out: (F.col(one), False)}).drop(one)
+    return scan(with_key(ranged, keys), keys, order, sums={out: (F.col(one), False)}, prev=prev).drop(one)
