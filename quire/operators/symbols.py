@@ -56,6 +56,11 @@ def scoped_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Every line with ``scopes``, the declarations open at it from the outside in, as
     ``struct(line, name, kind, record, indent)``; ``record`` marks classes whose fields are annotations.
     """
+    return _scoped(lines, chunk_rows)[0]
+
+
+def _scoped(lines: DataFrame, chunk_rows: int) -> tuple[DataFrame, list[int]]:
+    """The lines with their scopes, and the indents at which declarations stand."""
     df = lines if CHUNK in lines.columns else chunk_by_position(lines, "number", chunk_rows)
     text = F.col("text")
     df = df.withColumns({
@@ -72,7 +77,7 @@ def scoped_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     df = scan(df, ["path"], ["number"], lasts=fwd)
     open_at = [F.when((F.lit(lv) < F.col("_ind")) & F.col(f"_o{lv}.is_decl"), F.col(f"_o{lv}").dropFields("is_decl")) for lv in levels]
     scopes = F.array_compact(F.array(*open_at)) if levels else F.array().cast(SCOPES)
-    return df.select(*[c for c in df.columns if not c.startswith("_o")], scopes.alias("scopes"))
+    return df.select(*[c for c in df.columns if not c.startswith("_o")], scopes.alias("scopes")), levels
 
 
 def declarations(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -81,8 +86,7 @@ def declarations(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     ``(path, kind, name, qualname, parent, line, end_line, indent, scopes)``; ``end_line``
     is exclusive; module rows are added by :func:`symbols`.
     """
-    df = scoped_lines(lines, chunk_rows)
-    levels = _levels(df.where("_decl"))
+    df, levels = _scoped(lines, chunk_rows)
     bwd = {f"_e{lv}": (F.when(~F.col("_blank") & (F.col("_ind") <= lv), F.col("number")), False) for lv in levels}
     decl = scan(df, ["path"], ["number"], lasts=bwd, reverse=True).where("_decl")
     n_lines = lines.groupBy("path").agg((F.max("number") + 1).alias("_n"))
@@ -97,15 +101,13 @@ def declarations(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         F.col("number").alias("line"), F.coalesce(end, F.col("_n")).alias("end_line"), F.col("_ind").alias("indent"), "scopes")
 
 
-def symbols(lines: DataFrame, chunk_rows: int = CHUNK_ROWS, *, with_scopes: bool = False) -> DataFrame:
+def symbols(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Y-1: declarations plus one module row per file."""
     decl = declarations(lines, chunk_rows)
     mods = lines.groupBy("path").agg((F.max("number") + 1).alias("end_line")).select(
         "path", F.lit("module").alias("kind"), F.element_at(F.split(module_name("path"), r"\."), -1).alias("name"),
         module_name("path").alias("qualname"), F.lit(None).cast("string").alias("parent"),
         F.lit(0).cast("bigint").alias("line"), "end_line", F.lit(0).cast("bigint").alias("indent"))
-    if with_scopes:
-        return decl.unionByName(mods.withColumn("scopes", F.array().cast(SCOPES)))
     return decl.drop("scopes").unionByName(mods)
 
 
@@ -243,16 +245,19 @@ def references(m: DataFrame, lines: DataFrame, chunk_rows: int = CHUNK_ROWS) ->
     Each step is an equi join against one row per key (the last declaration
     wins), so a name that very many places use never meets all its namesakes.
     """
-    syms = symbols(lines, chunk_rows, with_scopes=True).where("kind <> 'module'")
+    scoped = scoped_lines(lines, chunk_rows)
+    chain = F.concat(F.array(module_name("path")), F.transform("scopes", lambda x: x["name"]), F.array("_name"))
+    syms = scoped.where("_decl").select("path", F.col("_name").alias("name"), F.array_join(chain, ".").alias("qualname"),
+                                        F.col("number").alias("line"), "scopes")
     outer = F.coalesce(F.get("scopes", F.size("scopes") - 1)["line"], F.lit(-1).cast("bigint"))
     last = F.max_by("qualname", "line").alias("qualname")
     in_scope = syms.groupBy("path", outer.alias("scope"), "name").agg(last)
     in_file = syms.groupBy("path", "name").agg(last).withColumnRenamed("qualname", "_file")
     anywhere = syms.groupBy("name").agg(F.max("qualname").alias("_global"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
-    open_at = scoped_lines(lines, chunk_rows).select("path", F.col("number").alias("line"), F.transform("scopes", lambda x: x["line"]).alias("_open"))
+    open_at = scoped.select("path", F.col("number").alias("line"), F.transform("scopes", lambda x: x["line"]).alias("_open"))
     refs = m.where(F.col("type") == "ref").select("name", "path", "line", "column").join(open_at, ["path", "line"], "left")
-    chain = F.concat(F.array(F.lit(-1).cast("bigint")), F.coalesce("_open", F.array().cast("array<bigint>")))
-    tries = refs.select("name", "path", "line", "column", F.posexplode(chain).alias("_depth", "scope"))
+    around = F.concat(F.array(F.lit(-1).cast("bigint")), F.coalesce("_open", F.array().cast("array<bigint>")))
+    tries = refs.select("name", "path", "line", "column", F.posexplode(around).alias("_depth", "scope"))
     near = tries.join(in_scope, ["path", "scope", "name"], "left").groupBy("name", "path", "line", "column").agg(
         F.max_by("qualname", F.when(F.col("qualname").isNotNull(), F.col("_depth"))).alias("_scope"))
     out = near.join(in_file, ["path", "name"], "left").join(anywhere, "name", "left")
@@ -316,6 +321,11 @@ def register_symbols(syms: DataFrame, seq: str = "line") -> DataFrame:
     return best.select("qualname", "_s.*", "registrations")
 
 
+def order_by_position(rows: DataFrame, line: str = "line", column: str = "column") -> DataFrame:
+    """O-1: rows in order of file, line and column (the pair, not its sum)."""
+    return rows.orderBy("path", line, column)
+
+
 def check_unique(nodes: DataFrame, key: str = "id") -> DataFrame:
     """A-4: ids registered more than once, with their count."""
     return nodes.groupBy(key).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1)

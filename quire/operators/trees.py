@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scan import number_rows, scan
+from ..session import ensure_checkpoint_dir
 
 SEP = "/"
 # Sort key separator below every printable character: pre-order = key order.
@@ -186,6 +187,43 @@ def siblings_of(ranked: DataFrame, asked: DataFrame) -> DataFrame:
                                        F.abs(gap).alias("distance"))
 
 
+def ancestors_by_parent(nodes: DataFrame) -> DataFrame:
+    """T-3 for any ids: one row per (id, ancestor) with the distance, from ``id`` and ``parent`` alone.
+
+    Doubling: with all ancestors up to distance d known, one equi join gives
+    those up to 2d, so a tree of depth D takes log2(D) joins.  Rounds are
+    checkpointed.  A parent that is not a node counts as an ancestor and ends
+    the chain; a cycle raises.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    known = nodes.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("distance"))
+    known, reach = known.distinct().checkpoint(eager=True), 1
+    while True:
+        if not known.where("id = ancestor").isEmpty():
+            raise ValueError("the parents of these nodes form a cycle")
+        far = known.where(F.col("distance") == reach).select("id", F.col("ancestor").alias("_at"))
+        more = far.join(known.select(F.col("id").alias("_at"), "ancestor", "distance"), "_at").select(
+            "id", "ancestor", (F.col("distance") + reach).alias("distance"))
+        more = more.checkpoint(eager=True)
+        if more.isEmpty():
+            return known
+        known, reach = known.unionByName(more).checkpoint(eager=True), reach * 2
+
+
+def walk_by_parent(nodes: DataFrame, ord: str = "ord") -> DataFrame:
+    """T-4 for any ids: ``(id, root, depth, preorder)`` with siblings in the order of ``ord``, then id.
+
+    A node's sort key is the list of ``(ord, id)`` from its root down, as long
+    as the node is deep; positions come from the range-sliced numbering.
+    """
+    step = nodes.select(F.col("id").alias("ancestor"), F.struct(F.col(ord).alias("o"), F.col("id").alias("i")).alias("_step"))
+    chain = ancestors_by_parent(nodes).unionByName(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("distance")))
+    keys = chain.join(step, "ancestor").groupBy("id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "_step"))), lambda x: x["_step"]).alias("_key"))
+    keyed = keys.select("id", F.get("_key", F.lit(0))["i"].alias("root"), (F.size("_key") - 1).cast("bigint").alias("depth"), "_key")
+    return number_rows(keyed, ["root"], ["_key"], out="preorder").select("id", "root", "depth", "preorder")
+
+
 def name_tree(col: Column | str) -> Column:
     """T-8: struct(parent, depth) of a dotted name (``a.b.c`` -> ``a.b``, 3)."""
     q = F.col(col) if isinstance(col, str) else col

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import register, table
 from ..operators.symbols import module_name
 from ..operators.trees import (ancestors, catalogue, children, detach, edges_dot, leaf_flags, name_tree, nest_tree,
-                               outline_numbered, path_parts, roots, siblings, siblings_of, subtree, tree_filter, walk)
+                               outline_numbered, path_parts, roots, siblings, siblings_of, subtree, tree_filter, walk, walk_by_parent)
 from ..sources.derived import module_files, with_tables
 
 URL_PATH_SQL = r"""regexp_replace(regexp_replace(
@@ -205,6 +205,18 @@ def q_outline_numbers(spark, sf):
     return walked.select("id", outline_numbered(walked).alias("outline"))
 
 
+@register("tree_walk_by_parent", NODES_SQL.replace("WITH files", "WITH RECURSIVE files", 1) + """,
+o AS (SELECT md5(id) AS id, md5(parent) AS parent, CAST(-length(name) AS BIGINT) AS ord FROM nodes),
+t AS (SELECT id, id AS root, 0 AS depth, [printf('%06d', ord + 100000) || id] AS k FROM o WHERE parent IS NULL
+      UNION ALL SELECT o.id, t.root, t.depth + 1, list_append(t.k, printf('%06d', o.ord + 100000) || o.id) FROM t JOIN o ON o.parent = t.id)
+SELECT id, root, CAST(depth AS BIGINT) AS depth, CAST(row_number() OVER (PARTITION BY root ORDER BY k) - 1 AS BIGINT) AS preorder FROM t
+""")
+def q_tree_walk_by_parent(spark, sf):
+    """T-3, T-4 on ids that say nothing about their place (hashes of the paths), longest names first."""
+    nodes = url_nodes(spark, sf).select(F.md5("id").alias("id"), F.md5("parent").alias("parent"), (-F.length("name")).cast("bigint").alias("ord"))
+    return walk_by_parent(nodes)
+
+
 @register("name_tree", with_tables("""
 WITH n AS (SELECT DISTINCT replace(replace(replace(path, '/__init__.py', ''), '.py', ''), '/', '.') AS name FROM module_files)
 SELECT name, CASE WHEN contains(name, '.') THEN array_to_string(string_split(name, '.')[:-2], '.') END AS parent,

@@ -63,9 +63,11 @@ def chunk_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], par
 
 
 def _ranges_for(df: DataFrame) -> int:
-    """Ranges of about ``RANGE_BYTES`` by the optimizer's estimate; 1 where it has none."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return -(-size // RANGE_BYTES) if size < 1 << 60 else 1
+    """Ranges of about ``RANGE_BYTES`` of what the plan reads (the estimate of a join is a product and
+    says nothing); at most 100,000, ranges grow beyond that."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return min(100_000, -(-sum(n for n in sizes if n < 1 << 55) // RANGE_BYTES))
 
 
 def key_name(keys: Sequence[str]) -> str:

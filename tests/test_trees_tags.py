@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from quire.functions.export import to_json_rows
 from quire.operators.marks import marks, pair_marks
-from quire.operators.symbols import (block_scopes, docstrings, enclosing, fields, imports, mentions, references, slots, submodules, symbols)
+from quire.operators.symbols import (block_scopes, docstrings, enclosing, fields, imports, mentions, order_by_position, references, slots,
+                                     submodules, symbols)
 from quire.operators.tags import find_fragments, find_substrings, kind_lookup, read_tags, SYMBOL_KINDS
-from quire.operators.trees import (ancestors, catalogue, detach, leaf_flags, nest_tree, outline_numbered, siblings, siblings_of, subtree,
-                                   tree_filter, walk)
+from quire.operators.trees import (ancestors, ancestors_by_parent, catalogue, detach, leaf_flags, nest_tree, outline_numbered, siblings, siblings_of, subtree,
+                                   tree_filter, walk, walk_by_parent)
 from quire.sources.lines import scan_lines, with_offsets
 
 PATHS = ["garden/tools/rake.md", "garden/tools/spade.md", "garden/beds/north/roses.md", "garden/plan.md", "alone.md"]
@@ -33,6 +34,24 @@ def test_catalogue_walk_and_subtree(spark):
     assert {(r.id, r.ancestor) for r in ancestors(nodes).where("id in ('alone.md', 'garden/plan.md')").collect()} == {("garden/plan.md", "garden")}
 
 
+def test_trees_without_paths(spark):
+    import pytest
+
+    rows = [("r", None, 0)] + [(f"n{i}", "r" if i == 0 else f"n{i - 1}", 0) for i in range(20)] + [("z", "r", -1), ("y", "r", 5), ("s", None, 0)]
+    nodes = spark.createDataFrame(rows, "id string, parent string, ord long")
+    got = {(r.id, r.ancestor): r.distance for r in ancestors_by_parent(nodes).collect()}
+    assert got["n19", "r"] == 20 and got["n19", "n0"] == 19 and len(got) == sum(range(1, 21)) + 2
+    order = [(r.id, r.depth) for r in walk_by_parent(nodes).where("root = 'r'").orderBy("preorder").collect()]
+    assert order == [("r", 0), ("z", 1)] + [(f"n{i}", i + 1) for i in range(20)] + [("y", 1)]
+    with pytest.raises(ValueError):
+        ancestors_by_parent(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent string"))
+
+
+def test_order_by_position(spark):
+    rows = spark.createDataFrame([("b", 0, 0), ("a", 2, 1), ("a", 1, 9)], "path string, line long, column long")
+    assert [(r.path, r.line) for r in order_by_position(rows).collect()] == [("a", 1), ("a", 2), ("b", 0)]
+
+
 def test_siblings_and_flags(spark):
     nodes = nodes_of(spark)
     ranked = siblings(nodes)
