@@ -139,8 +139,8 @@ def find_fragments(lines: DataFrame, tags: DataFrame) -> DataFrame:
 
     ``/^text$/;"`` addresses hit lines equal to ``text`` (column 0): an equi
     join on ``(path, text)``.  Other addresses hit the first occurrence of the
-    literal in each line of the tag's file: equi join on ``path`` plus
-    ``contains``.  ``lines`` needs ``offset`` (see ``scan_lines``).
+    literal in each line of the tag's file, looked up by grams within the file
+    (:func:`find_substrings`).  ``lines`` needs ``offset`` (see ``scan_lines``).
     """
     # a tag is identified by its own fields (duplicate tag lines keep their count)
     t = tags.groupBy("symbol", "kind", "kind_code", "path", "pattern").agg(F.count(F.lit(1)).alias("_copies"))
@@ -157,12 +157,12 @@ def find_fragments(lines: DataFrame, tags: DataFrame) -> DataFrame:
     ex = ex.select(F.col("t.path").alias("path"), F.col("t.pattern").alias("pattern"),
                    F.col("l.offset").alias("offset"), F.length("t._pat").cast("bigint").alias("length"),
                    F.col("l.number").alias("line"), F.lit(0).cast("bigint").alias("column"))
-    sub = pt.where(~F.col("t._exact")).join(
-        ln, (F.col("t.path") == F.col("l.path")) & F.col("l.text").contains(F.col("t._pat")))
-    col0 = F.expr("locate(t._pat, l.text) - 1").cast("bigint")
-    sub = sub.select(F.col("t.path").alias("path"), F.col("t.pattern").alias("pattern"),
-                     (F.col("l.offset") + col0).alias("offset"), F.length("t._pat").cast("bigint").alias("length"),
-                     F.col("l.number").alias("line"), col0.alias("column"))
+    plain = pt.where(~F.col("t._exact")).select("path", "pattern", "_pat")
+    texts = lines.select(F.struct("path", "number", "offset").alias("at"), "text", "path")
+    sub = find_substrings(texts, plain, path="at", content="text", pattern="_pat", pid="pattern", within="path")
+    sub = sub.select(F.col("path.path").alias("path"), F.col("pattern_id").alias("pattern"),
+                     (F.col("path.offset") + F.col("offset")).alias("offset"), "length", F.col("path.number").alias("line"),
+                     F.col("offset").alias("column"))
     hits = ex.unionByName(sub)
     out = t.join(hits, tk, "left").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
     return out.select("symbol", "kind", "path", "pattern", "offset", "length", "line", "column",
@@ -177,7 +177,7 @@ def fragments_by_tag(frags: DataFrame) -> DataFrame:
 
 
 def find_substrings(files: DataFrame, patterns: DataFrame, *, path: str = "path", content: str = "content",
-                    pattern: str = "pattern", pid: str = "pattern_id") -> DataFrame:
+                    pattern: str = "pattern", pid: str = "pattern_id", within: str | None = None) -> DataFrame:
     """J-1 without paths: ``(path, pattern_id, line, column, offset, length)``, the first place of
     each pattern in each text, also where it spans lines.
 
@@ -187,20 +187,23 @@ def find_substrings(files: DataFrame, patterns: DataFrame, *, path: str = "path"
     grams falls on such a place.  So texts give len/g rows, patterns g rows, the
     grams meet in an equi join, and the whole pattern is compared where they do.
     Which ``g`` occur is a one-row aggregate of the patterns.  Empty patterns
-    and null texts match nothing; repeated patterns count once.
+    and null texts match nothing; repeated patterns count once.  ``within``
+    names a column of both inputs that must be equal, too.
     """
-    pats = patterns.select(F.col(pid).alias("pattern_id"), F.col(pattern).alias("_pat")).where(F.length("_pat") > 0).distinct()
+    same = F.lit(0) if within is None else F.col(within)
+    pats = patterns.select(F.col(pid).alias("pattern_id"), F.col(pattern).alias("_pat"), same.alias("_w")).where(F.length("_pat") > 0).distinct()
     gram = F.pow(F.lit(2), F.floor(F.log2((F.length("_pat") + 1) / 2))).cast("int")
     pats = pats.withColumn("_g", F.least(F.lit(LONGEST_GRAM), gram))
-    texts = files.select(F.col(path).alias("path"), F.col(content).alias("_text"))
+    texts = files.select(F.col(path).alias("path"), F.col(content).alias("_text"), same.alias("_w"))
     sizes = pats.agg(F.collect_set("_g").alias("_sizes"))       # one row, at most six numbers
-    listed = texts.crossJoin(F.broadcast(sizes)).select("path", "_text", F.explode("_sizes").alias("_g"))
-    grams = listed.select("path", "_g", F.posexplode(F.regexp_extract_all(
+    listed = texts.crossJoin(F.broadcast(sizes)).select("path", "_text", "_w", F.explode("_sizes").alias("_g"))
+    grams = listed.select("path", "_w", "_g", F.posexplode(F.regexp_extract_all(
         "_text", F.concat(F.lit("(?s).{"), F.col("_g").cast("string"), F.lit("}")), F.lit(0))).alias("_i", "_gram"))
     asked = pats.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).select(
-        "pattern_id", "_pat", "_g", "_r", F.expr("substring(_pat, _r + 1, _g)").alias("_gram"))
-    near = grams.join(asked, ["_g", "_gram"]).select("path", "pattern_id", "_pat", (F.col("_i") * F.col("_g") - F.col("_r")).alias("_at"))
+        "pattern_id", "_pat", "_w", "_g", "_r", F.expr("substring(_pat, _r + 1, _g)").alias("_gram"))
+    near = grams.join(asked, ["_w", "_g", "_gram"]).select("path", "pattern_id", "_pat", (F.col("_i") * F.col("_g") - F.col("_r")).alias("_at"))
     near = near.where("_at >= 0").distinct()
+    texts = texts.drop("_w")
     found = near.join(texts, "path").where(F.expr("substring(_text, _at + 1, length(_pat)) = _pat"))
     first = found.groupBy("path", "pattern_id", "_pat").agg(F.min("_at").alias("_at"))
     head = F.expr("left(_text, _at)")
