@@ -25,9 +25,8 @@ def parse_groups(col: Column | str, pattern: str) -> Column:
     """E-1: match ``pattern`` at the start of the string (multi-line mode) and
     nest its named groups into a struct; ``_`` in a group name is a path
     separator (``args_0`` -> ``args.0``).  A group that did not take part in
-    the match is null; so is an empty group (Spark's regex functions do not
-    tell the two apart).  The whole struct is null when the pattern does not
-    match.
+    the match is null, an empty one is empty.  The whole struct is null when
+    the pattern does not match.
 
     Java group names may not hold ``_``, so groups are renamed on the driver
     and addressed by number.
@@ -46,7 +45,10 @@ def parse_groups(col: Column | str, pattern: str) -> Column:
             node = node.setdefault(p, {})
             if not isinstance(node, dict):
                 raise ValueError(f"group {name} nests under a value")
-        node[parts[-1]] = F.nullif(F.regexp_extract(s, rx, idx), F.lit(""))
+        # an empty group took part if a back reference to it matches; a group that did not fails there
+        took_part = F.regexp_extract(s, rx, 0).rlike(f"(?m)\\A(?>{plain})\\{idx}")
+        value = F.regexp_extract(s, rx, idx)
+        node[parts[-1]] = F.when((value != "") | took_part, value)
 
     def build(node: dict) -> Column:
         return F.struct(*[(build(v) if isinstance(v, dict) else v).alias(k) for k, v in node.items()])

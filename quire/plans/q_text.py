@@ -22,11 +22,11 @@ _PG = r"'^(?:([A-Za-z]+)://([^/?#:]+)([^?#]*)(\?([^#]*))?)'"
 @register("parse_groups", f"""
 WITH u AS (SELECT page_id, url, regexp_matches(url, {_PG}) AS ok FROM pages)
 SELECT page_id,
-       CASE WHEN ok THEN NULLIF(regexp_extract(url, {_PG}, 1), '') END AS scheme,
-       CASE WHEN ok THEN NULLIF(regexp_extract(url, {_PG}, 2), '') END AS host_name,
-       CASE WHEN ok THEN NULLIF(regexp_extract(url, {_PG}, 3), '') END AS path,
-       CASE WHEN ok THEN NULLIF(regexp_extract(url, {_PG}, 5), '') END AS query,
-       CASE WHEN ok AND NULLIF(regexp_extract(url, {_PG}, 5), '') IS NOT NULL
+       CASE WHEN ok THEN regexp_extract(url, {_PG}, 1) END AS scheme,
+       CASE WHEN ok THEN regexp_extract(url, {_PG}, 2) END AS host_name,
+       CASE WHEN ok THEN regexp_extract(url, {_PG}, 3) END AS path,
+       CASE WHEN ok AND regexp_extract(url, {_PG}, 4) <> '' THEN regexp_extract(url, {_PG}, 5) END AS query,
+       CASE WHEN ok AND regexp_extract(url, {_PG}, 4) <> ''
             THEN array_to_string(string_split(regexp_extract(url, {_PG}, 5), '&'), '|') END AS params
 FROM u
 """)

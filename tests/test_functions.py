@@ -17,6 +17,13 @@ def test_parse_groups_call_text(spark):
     assert r["name"] == "f" and [r["args"][str(i)] for i in range(4)] == ["A", "B", "C", "D"]
 
 
+def test_parse_groups_tells_empty_from_absent(spark):
+    groups = parse_groups("s", r"(?P<key>[a-z]+)(=(?P<value>[a-z]*))?(;(?P<rest>.*))?")
+    df = spark.createDataFrame([("a=b;c",), ("a=",), ("a",), ("a;",), ("1",), (None,)], "s string")
+    assert [None if r[0] is None else tuple(r[0]) for r in df.select(groups).collect()] == [
+        ("a", "b", "c"), ("a", "", None), ("a", None, None), ("a", None, ""), None, None]
+
+
 def test_split_list_keeps_all_items(spark):
     text = ",".join(str(i) for i in range(20))
     assert len(_one(spark, split_list(F.col("s")), text)) == 20
