@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, cut, pick, short_batches
 
@@ -101,8 +102,11 @@ def link_group(x: np.ndarray, own: np.ndarray, side: np.ndarray, copies: np.ndar
         root = after
 
 
-def links_of(classes: DataFrame, least: float, tables: int) -> DataFrame:
-    """``class_id, links, root``: per class and group the vectors linked to it, and a class it is connected with."""
+def links_of(classes: DataFrame, least: float, tables: int, number: str = "<f8") -> DataFrame:
+    """``class_id, links, root``: per class and group the vectors linked to it, and a class it is connected with.
+
+    ``number`` is the type the components came in: single precision moves half the bytes and loses none.
+    """
     short_batches(classes.sparkSession)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +119,7 @@ def links_of(classes: DataFrame, least: float, tables: int) -> DataFrame:
                 own = cells(x, tables)
                 packed = pa.array([row.tobytes() for row in own.astype("<i4")], pa.binary())
                 row = np.repeat(np.arange(len(x)), own.shape[1])
-                vectors = pa.array([v.tobytes() for v in x], pa.binary())
+                vectors = pa.array([v.tobytes() for v in x.astype(number)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(n).take(pa.array(row)) for n in ("class_id", "label", "width", "copies")]
                     + [pa.array(own.ravel().astype(np.int64)), packed.take(pa.array(row)), vectors.take(pa.array(row))],
@@ -139,12 +143,12 @@ def links_of(classes: DataFrame, least: float, tables: int) -> DataFrame:
         def close_group() -> list:
             if len(rows) < 2:
                 return []
-            x = np.frombuffer(b"".join(r["v"] for r in rows)).reshape(len(rows), -1)
+            x = np.frombuffer(b"".join(r["v"] for r in rows), number).reshape(len(rows), -1).astype(np.float64)
             own = np.frombuffer(b"".join(r["own"] for r in rows), "<i4").reshape(len(rows), -1)
-            number = np.array([r["class_id"] for r in rows])
+            ids = np.array([r["class_id"] for r in rows])
             links, root = link_group(x / np.linalg.norm(x, axis=1, keepdims=True), own, np.array([r["side"] for r in rows]),
                                      np.array([r["copies"] for r in rows]), key[2], least, key[3] != key[4])
-            return [(int(number[i]), int(links[i]), int(number[root[i]])) for i in np.flatnonzero(links)]
+            return [(int(ids[i]), int(links[i]), int(ids[root[i]])) for i in np.flatnonzero(links)]
 
         def batch_of(found: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in range(3)],
@@ -185,7 +189,8 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     folded = cut(rows.filter("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("copies")))
     classes = cut(folded.select(F.monotonically_increasing_id().alias("class_id"), "label", F.size("v").alias("width"), "v",
                                 "smallest", "copies"))
-    found = cut(links_of(classes.select("class_id", "label", "width", "v", "copies"), least, tables))
+    single = isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    found = cut(links_of(classes.select("class_id", "label", "width", "v", "copies"), least, tables, "<f4" if single else "<f8"))
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class_id")
     member = (classes.join(links, "class_id", "left").join(roots, "class_id", "left")
