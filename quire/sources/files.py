@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 
 def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """S-1: ``(path, content)`` for every file under ``root``; ``path`` is
@@ -82,6 +84,9 @@ def read_json_tree(spark: SparkSession, source: str) -> DataFrame:
     d = 0
     while "children" in level.columns:
         d += 1
+        if d % 8 == 0:  # keeps the plans of deep trees short
+            ensure_checkpoint_dir(spark)
+            level = level.checkpoint(eager=True)
         kids = level.select(F.col("id").alias("_pid"), F.posexplode("children").alias("_ord", "_c"))
         fields = kids.schema["_c"].dataType.fieldNames() if isinstance(kids.schema["_c"].dataType, T.StructType) else []
         level = kids.select(F.col("_c.id").cast("string").alias("id"), F.col("_pid").alias("parent"),

