@@ -6,7 +6,13 @@ occurrence but the first are removed.
 
 Sentences are cut fine, at every stop, comma, colon or line break, so that a
 passage pasted into the middle of a sentence still has most of its sentences
-whole.  A run starts at every sentence and is the shortest one of at least
+whole.  One of ``WINDOW`` words or more is cut further, after the word of the
+lowest rank in each window of so many words.  Where it is cut depends on no
+word outside the window, so equal passages are cut alike wherever they stand,
+and no piece has more than ``WINDOW`` words.  Of a passage of n words at least
+n - 4 * ``WINDOW`` + 4 lie in whole common pieces, with or without stops.
+
+A run starts at every sentence and is the shortest one of at least
 ``sentences`` sentences and ``words`` words: short sentences extend it, so
 stock phrases of a few words do not count as a repeat.
 """
@@ -14,8 +20,10 @@ stock phrases of a few words do not count as a repeat.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,30 +33,82 @@ from .common import pick, short_batches
 
 BREAKS = ".!?,;:\n。！？，；：…"
 _SENTENCE = re.compile(rf"[^{BREAKS}]*[{BREAKS}]+\s*|[^{BREAKS}]+\Z")
+_WORD = re.compile(r"\S+")
+#: Longest piece in words: 8 is the most that leaves 20 words of any 48 in whole pieces.
+WINDOW = 8
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 RESULT = "n_sentences long, n_removed long, removed array<struct<start: long, end: long>>"
 
 
+class _Ranks(dict):
+    """Rank of a word by its content alone; bare punctuation comes last."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        rank = zlib.crc32(word.encode("utf-8", "surrogatepass")) if word.isalnum() or any(map(str.isalnum, word)) else 1 << 32
+        self[word] = rank
+        return rank
+
+
+_rank = _Ranks().__getitem__
+
+
+def cuts_of(words: list[str]) -> list[int]:
+    """Where a sentence is cut further: the number of words before each cut, in order.
+
+    Of each window the last word of the lowest rank ends a piece.
+    """
+    ranks, found, place, least = list(map(_rank, words)), [], -1, 0
+    for last in range(WINDOW - 1, len(ranks)):
+        if place <= last - WINDOW:
+            window = ranks[last:last - WINDOW:-1] if last >= WINDOW else ranks[last::-1]
+            least = min(window)
+            place = last - window.index(least)
+        elif ranks[last] <= least:
+            place, least = last, ranks[last]
+        else:
+            continue
+        found.append(place + 1)
+    if found and found[-1] == len(words):
+        found.pop()
+    return found
+
+
 def sentences_of(text: str) -> list[tuple[int, int, bytes, int]]:
-    """``(start, end, folded text, words)`` of each sentence; together they cover the text.
+    """``(start, end, folded text, words)`` of each sentence, long ones in pieces; together they cover the text.
 
-    Folding lower-cases and joins words with one space; a piece without a word
-    (bare punctuation) belongs to the sentence before it.
+    Folding lower-cases and joins words with one space; a sentence without a word
+    (bare punctuation) belongs to the one before it.
     """
     found: list[tuple[int, int, bytes, int]] = []
     begin = 0
     for m in _SENTENCE.finditer(text):
-        words = m.group().lower().split()
-        if any(map(str.isalnum, "".join(words))) or not found:
-            found.append((begin, m.end(), " ".join(words).encode(), len(words)))
+        lowered, end = m.group().lower(), m.end()
+        words = lowered.split()
+        folded = " ".join(words)
+        if folded[:1].isalnum() or any(map(str.isalnum, folded)) or not found:
+            cuts = cuts_of(words) if len(words) >= WINDOW else None
+            if cuts:
+                plain = len(lowered) == end - begin and lowered.startswith(folded)
+                starts = None if plain else [w.start() for w in _WORD.finditer(text, begin, end)]
+                done = 0
+                for cut in cuts:
+                    folded = " ".join(words[done:cut])
+                    after = begin + len(folded) + 1 if plain else starts[cut]
+                    found.append((begin, after, folded.encode(), cut - done))
+                    begin, done = after, cut
+                words = words[done:]
+                folded = " ".join(words)
+            found.append((begin, end, folded.encode(), len(words)))
         else:
-            found[-1] = (found[-1][0], m.end(), *found[-1][2:])
-        begin = m.end()
+            found[-1] = (found[-1][0], end, *found[-1][2:])
+        begin = end
     return found
 
 
-def runs_of(units: list[tuple[int, int, bytes, int]], sentences: int, words: int) -> Iterator[tuple[int, int, int]]:
+def runs_of(units: list[tuple[int, int, bytes, int]], sentences: int, words: int) -> Iterator[tuple[int, int, bytes]]:
     """``(first, last, hash)`` of the run starting at each sentence, while one fits."""
     folded = [u[2] for u in units]
     buffer, at = b"\n".join(folded), []
@@ -63,12 +123,13 @@ def runs_of(units: list[tuple[int, int, bytes, int]], sentences: int, words: int
             if last >= len(units):
                 return
             have += units[last][3]
-        yield first, last, xxhash.xxh3_128_intdigest(buffer[at[first]:at[last] + len(folded[last])])
+        yield first, last, xxhash.xxh3_128_digest(buffer[at[first]:at[last] + len(folded[last])])
         have -= units[first][3]
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+def _halves(hashes: list[bytes]) -> np.ndarray:
+    """High and low half of each 128-bit hash as signed numbers."""
+    return np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
 
 
 def repeated_runs(rows: DataFrame, sentences: int, words: int) -> DataFrame:
@@ -76,15 +137,15 @@ def repeated_runs(rows: DataFrame, sentences: int, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, high, low = [], [], []
-            for number, text in enumerate(batch.column("text")):
-                for value in {h for _, _, h in runs_of(sentences_of(text.as_py() or ""), sentences, words)}:
-                    row.append(number)
-                    high.append(_signed(value >> 64))
-                    low.append(_signed(value & (1 << 64) - 1))
+            counts, hashes = [], []
+            for text in batch.column("text"):
+                mine = {h for _, _, h in runs_of(sentences_of(text.as_py() or ""), sentences, words)}
+                counts.append(len(mine))
+                hashes += mine
+            halves = _halves(hashes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(high, pa.int64()), pa.array(low, pa.int64())],
-                names=["doc_id", "high", "low"])
+                [batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(halves[:, 0]),
+                 pa.array(halves[:, 1])], names=["doc_id", "high", "low"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     runs = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, high long, low long")
@@ -125,10 +186,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             texts, counts, gone, spans = [], [], [], []
             for text, hashes in zip(batch.column("text"), batch.column("hashes")):
-                text, listed = text.as_py(), set(hashes.as_py() or ())
+                text, listed = text.as_py(), {low.to_bytes(8, "big", signed=True) for low in hashes.as_py() or ()}
                 units, seen, drop, covered = sentences_of(text or ""), set(), [], 0
                 for first, last, value in runs_of(units, sentences, words):
-                    if value in seen or _signed(value & (1 << 64) - 1) in listed:
+                    if value in seen or value[8:] in listed:
                         drop += range(max(first, covered), last + 1)
                         covered = max(covered, last + 1)
                     seen.add(value)

@@ -75,3 +75,36 @@ def test_spans_carry_and_empty(spark):
     assert got[2].text == "Other words, End." and got[2].rest.source == "b"
     assert [(s.start, s.end) for s in got[2].removed] == [(13, 13 + len(passage) + 1)]
     assert remove_repeats(docs.filter("false")).count() == 0
+
+
+def test_passages_pasted_into_sentences(spark):
+    """51 words with 0, 1, 2 or many stops, pasted into running text, go from all but the first place."""
+    rng, docs, limits = random.Random(8), [], {}
+    for n in range(80):
+        stops = rng.sample(range(5, 46), [0, 1, 2, 9][n % 4])
+        passage = [f"p{n}x{rng.randrange(400)}" + "." * (i in stops) for i in range(51)]
+        for copy in range(2):
+            around = [f"d{n}c{copy}x{i}" for i in range(60)]
+            docs.append((2 * n + copy, " ".join(around[:30] + passage + around[30:])))
+            limits[2 * n + copy] = (around, passage)
+    docs += [(1000, "start " + "the " * 51 + "end"), (1001, "begin " + "the " * 51 + "stop")]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for doc, (around, passage) in limits.items():
+        left = got[doc].text.split()
+        assert [w for w in left if w.startswith("d")] == around
+        kept = len(left) - len(around)
+        assert kept == 51 if doc % 2 == 0 else kept <= 31, (doc, passage, left)
+    assert got[1001].text.split().count("the") < 31
+
+
+def test_long_sentences_are_cut_by_content():
+    rng = random.Random(3)
+    for _ in range(300):
+        words = [f"w{rng.randrange(rng.choice([1, 2, 5, 1000]))}" for _ in range(rng.randint(1, 90))]
+        text = "  " + " \t".join(words) + " "
+        units = sentences_of(text)
+        assert "".join(text[u[0]:u[1]] for u in units) == text and b" ".join(u[2] for u in units).decode().split() == words
+        assert all(0 < u[3] <= 8 for u in units)
+        inner = sentences_of(" ".join([f"a{rng.randrange(99)}" for _ in range(40)] + words + ["z"] * 40))
+        common = {u[2] for u in inner} & {u[2] for u in units}
+        assert sum(u[3] for u in units if u[2] in common) >= len(words) - 4 * 8 + 4
