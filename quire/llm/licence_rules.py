@@ -7,7 +7,8 @@ License, Version 2.0" reads ``apache license version 2 0``.
 One rule a line: tier, keyword, label, expression.  Tier 1 holds declared
 identifiers, 2 names with a version and distinctive sentences, 3 families, 4
 general notices.  The keyword gates the rule: the expression is tried only on
-texts that contain it (``_`` stands for a space, so ``_mit_`` is a whole word).
+texts that contain it, so every match must contain it too (``_`` stands for a
+space, so ``_mit_`` is a whole word).
 An expression always begins and ends at word borders.
 """
 
@@ -204,9 +205,9 @@ RULES_TEXT = r"""
 2 ncsa ncsa (university of illinois )?ncsa open source licen[cs]e
 2 x11 x11 x11 licen[cs]e
 2 unencumbered unlicense this is free and unencumbered software released into the public domain
-2 wtfpl wtfpl do what the f[a-z]+ you want to public licen[cs]e
-2 beerware beerware (the )?beer ?ware licen[cs]e( revision 42)?
-2 json_licen json the software shall be used for good not evil
+2 you_want_to_public wtfpl do what the f[a-z]+ you want to public licen[cs]e
+2 beer beerware (the )?beer ?ware licen[cs]e( revision 42)?
+2 good_not_evil json the software shall be used for good not evil
 2 creative_commons cc-by-nc-nd creative commons( licen[cs]e)? attribution non ?commercial no ?deriv(ative)?s?( works)?( [1-4] [05])?( international| unported)?
 2 creative_commons cc-by-nc-sa creative commons( licen[cs]e)? attribution non ?commercial share ?alike( [1-4] [05])?( international| unported)?
 2 creative_commons cc-by-nc creative commons( licen[cs]e)? attribution non ?commercial( [1-4] [05])?( international| unported)?
@@ -244,7 +245,7 @@ RULES_TEXT = r"""
 3 artistic artistic artistic licen[cs]e
 3 perl perl same (licen[cs]e )?terms as perl( itself)?
 3 ruby_licen ruby ruby licen[cs]e
-3 python psf (psf|python) licen[cs]e
+3 licen psf (psf|python) licen[cs]e
 3 creative_commons cc (a )?creative commons( public)? licen[cs]es?
 3 creative_commons cc creative commons
 3 _cc_ cc-by cc by
@@ -265,8 +266,8 @@ RULES_TEXT = r"""
 3 non_commercial non-commercial (for )?non commercial (use|purposes)( only)?
 3 noncommercial non-commercial (for )?noncommercial (use|purposes)( only)?
 3 personal_use personal-use for personal use only
-3 academic_use academic-use (for )?(academic|research|educational)( and research)? (use|purposes) only
-3 without_permission reserved (may not|cannot|must not) be (reproduced|copied|distributed|republished)( [a-z]+){0,8} without( [a-z]+){0,3} permission
+3 _only_ academic-use (for )?(academic|research|educational)( and research)? (use|purposes) only
+3 permission reserved (may not|cannot|must not) be (reproduced|copied|distributed|republished)( [a-z]+){0,8} without( [a-z]+){0,3} permission
 3 no_part reserved no part of this [a-z]+ may be (reproduced|copied|distributed|transmitted)
 3 without_warranty no-warranty without warranty of any kind( express or implied)?
 3 without_warranties no-warranty without warranties or conditions of any kind( either express or implied)?
@@ -283,7 +284,7 @@ RULES_TEXT = r"""
 4 licen licence (licen[cs]ed|released|distributed|available) under( the)?( terms of)?( the)?( [a-z0-9]+){1,4} licen[cs]e
 4 licen licence licen[cs]ed under
 4 licen licence (see|read) the (accompanying )?licen[cs]e( file)?
-4 licen licence subject to the (following )?(terms|licen[cs]e)
+4 subject_to_the licence subject to the (following )?(terms|licen[cs]e)
 4 terms_of terms terms of (use|service)
 4 trademark trademark (is|are) (a )?(registered )?trademarks?
 4 patent patent patent pending

@@ -60,3 +60,43 @@ def test_scan_equals_brute_force(spark):
                 [(d.start, d.end, d.tier, d.number, d.label) for d in r.detections])
         assert mine == by_text[r.doc_id], (r.doc_id, rows[r.doc_id or 0][1][:300])
     assert scan_licences(docs.filter("false")).count() == 0
+
+
+def samples(parsed):
+    """Texts an expression matches: every alternative, with and without each optional part."""
+    texts = [""]
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            some = [chr(value)]
+        elif name == "IN":
+            some = sorted({chr(v) if str(k) == "LITERAL" else chr(v[0]) for k, v in value})
+        elif name == "SUBPATTERN":
+            some = samples(value[3])
+        elif name == "BRANCH":
+            some = [t for branch in value[1] for t in samples(branch)]
+        else:
+            assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
+            least, most, part = value
+            some = [t * n for n in {least, min(least + 1, int(most))} for t in samples(part)]
+        texts = [a + b for a in texts for b in dict.fromkeys(some)]
+    return texts
+
+
+def test_every_match_opens_its_gate():
+    closed = []
+    for r in RULES:
+        texts = samples(re._parser.parse(r.pattern))
+        assert texts and all(re.fullmatch(r.pattern, t) for t in texts), r
+        closed += [(r.number, r.keyword, t) for t in texts if r.keyword not in f" {t} "]
+    assert closed == []
+
+
+def test_matches_without_the_usual_keyword(spark):
+    texts = ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "THE BEER-WARE LICENSE (Revision 42)",
+             "The Software shall be used for Good, not Evil", "PSF License", "for research use only",
+             "may not be reproduced or distributed without prior written permission", "subject to the following terms"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in scan_licences(docs).collect():
+        mine = [(d.start, d.end, d.tier, d.number, d.label) for d in r.detections]
+        assert mine and mine == brute(texts[r.doc_id])[7]
