@@ -10,6 +10,7 @@ never held back: a row leaves the task as soon as its place is known.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,29 @@ def byte_bpe(path: str):
     return _encoders[path]
 
 
+def whole_bpe(path: str):
+    """The tokenizer in JSON form beside a rank file, loaded when the first text needs it."""
+    path = os.path.splitext(path)[0] + ".json"
+    if path not in _encoders:
+        from tokenizers import Tokenizer
+
+        _encoders[path] = Tokenizer.from_file(path)
+    return _encoders[path]
+
+
+def encode(path: str, text: str) -> np.ndarray:
+    """Token ids of a text.
+
+    The expression engine of the rank file's encoder gives up on white space of
+    hundreds of thousands of characters; the JSON form takes such texts and
+    gives the same ids.
+    """
+    try:
+        return byte_bpe(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(whole_bpe(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 class OpenBins:
     """A fixed number of open bins in a bitset keyed by free space."""
 
@@ -86,7 +110,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
          end_id: int = 2, open_bins: int = 4096) -> DataFrame:
     """Pieces of all documents with their place: ``doc_id, piece, start, length, sequence_id, offset, ids``.
 
-    ``vocabulary`` is a byte-level BPE rank file that every executor can open;
+    ``vocabulary`` is a byte-level BPE rank file that every executor can open,
+    with the same tokenizer in JSON form beside it (``.json``);
     ``ids`` holds the piece's token ids as little-endian unsigned 32-bit
     numbers (the real sequences are the pieces of a ``sequence_id`` in order
     of ``offset``, without gaps).  A document is its ids followed by
@@ -102,12 +127,12 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins = byte_bpe(vocabulary), OpenBins(capacity, open_bins)
+        bins = OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             tokens, pieces = [], []
             for row, text in enumerate(batch.column("text")):
-                ids = encoder.encode_to_numpy(text.as_py() or "", allowed_special="all")
+                ids = encode(vocabulary, text.as_py() or "")
                 tokens.append(np.append(ids, np.uint32(end_id)).astype("<u4"))
                 pieces += [(size, row, n, start) for n, (start, size) in enumerate(cuts(len(tokens[-1]), capacity))]
             pieces.sort(key=lambda p: (-p[0], p[1], p[2]))

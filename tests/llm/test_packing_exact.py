@@ -68,3 +68,20 @@ def test_bins_choose_least_space_and_close_fullest():
     assert bins.place(5) == (2, 5)
     assert bins.place(2) == (3, 8)
     assert bins.bits == 0 and bins.open == 0
+
+
+def test_pack_very_long_white_space(spark):
+    texts = ["a" + " " * 2_000_000 + "b <|endoftext|> c", "\n" * 1_000_000 + "end", "plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for doc, text in enumerate(texts):
+        mine = sorted((r.piece, bytes(r.ids)) for r in rows if r.doc_id == doc)
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        assert b"".join(b for _, b in mine) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_both_tokenizers_agree_on_white_space():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for text in ["x" + " " * 1000 + "y", "\t \n" * 700 + "z", "\u3000" * 500 + " a", " " * 999, "<|endoftext|> \n  b"]:
+        assert packing.encode(path, text).tolist() == packing.whole_bpe(path).encode(text, add_special_tokens=False).ids
