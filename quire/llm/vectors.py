@@ -58,9 +58,19 @@ def nearest_axes(x: np.ndarray, table: int, place: int) -> tuple[np.ndarray, np.
     return axis(first), axis(second)
 
 
+def padded(width: int) -> int:
+    """The power of two a vector's width is filled up to."""
+    return 1 << max(0, width - 1).bit_length()
+
+
+def cell_type(width: int, tables: int = TABLES) -> str:
+    """The integers that hold every cell of vectors of a width; 32 bits do up to 8,192 components and 8 tables."""
+    return "<i4" if tables * (2 * padded(width)) ** 2 <= 1 << 31 else "<i8"
+
+
 def cells(x: np.ndarray, tables: int = TABLES) -> np.ndarray:
     """Cells of each row, three for each table, in ascending order of table."""
-    width = 1 << max(0, x.shape[1] - 1).bit_length()
+    width = padded(x.shape[1])
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     out = []
@@ -117,7 +127,7 @@ def links_of(classes: DataFrame, least: float, tables: int, number: str = "<f8")
                 part = batch.take(pa.array(some))
                 x = np.array(part.column("v").to_pylist(), np.float64)
                 own = cells(x, tables)
-                packed = pa.array([row.tobytes() for row in own.astype("<i4")], pa.binary())
+                packed = pa.array([row.tobytes() for row in own.astype(cell_type(int(width), tables))], pa.binary())
                 row = np.repeat(np.arange(len(x)), own.shape[1])
                 vectors = pa.array([v.tobytes() for v in x.astype(number)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -144,7 +154,7 @@ def links_of(classes: DataFrame, least: float, tables: int, number: str = "<f8")
             if len(rows) < 2:
                 return []
             x = np.frombuffer(b"".join(r["v"] for r in rows), number).reshape(len(rows), -1).astype(np.float64)
-            own = np.frombuffer(b"".join(r["own"] for r in rows), "<i4").reshape(len(rows), -1)
+            own = np.frombuffer(b"".join(r["own"] for r in rows), cell_type(key[1], tables)).reshape(len(rows), -1)
             ids = np.array([r["class_id"] for r in rows])
             links, root = link_group(x / np.linalg.norm(x, axis=1, keepdims=True), own, np.array([r["side"] for r in rows]),
                                      np.array([r["copies"] for r in rows]), key[2], least, key[3] != key[4])

@@ -84,3 +84,15 @@ def test_recall_near_the_threshold(spark):
 def test_table_has_every_row(spark):
     data = table(spark, SF, "embeddings")
     assert vectors.embedding_groups(data).agg(F.countDistinct("vec_id")).first()[0] == data.count()
+
+
+def test_links_of_wide_vectors(spark):
+    """Cells of more than 8,192 components do not fit 32 bits; links are found in all tables."""
+    x = np.random.default_rng(5).normal(size=(4, 8200))
+    rows = [(2 * n + copy, "a", (v if copy == 0 else 2 * v + 1e-9).tolist()) for n, v in enumerate(x) for copy in range(2)]
+    docs = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.embedding_groups(docs).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(8)}
+    own = vectors.cells(x)
+    assert own.max() >= 1 << 31 and (own.astype(vectors.cell_type(8200)) == own).all()
+    assert vectors.cell_type(8192) == "<i4" and vectors.cell_type(8193) == "<i8"
