@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, lines, packing, pieces, simhash, spans, toxicity, vectors, warc
+from . import contamination, exact, licenses, lines, packing, pieces, simhash, spans, toxicity, vectors, warc
 from .common import fresh_folder, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels of held-out rows are not learned from."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op12_decontamination", contamination.CONTAMINATION_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a 10-word window of the benchmark."""
+    return contamination.with_digest(contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
