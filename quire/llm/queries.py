@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, exact, licenses, lines, packing, pieces, simhash, spans, toxicity, vectors, warc
+from . import contamination, conversations, exact, licenses, lines, packing, pieces, simhash, spans, toxicity, vectors, warc
 from .common import fresh_folder, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a 10-word window of the benchmark."""
     return contamination.with_digest(contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@register("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations with their faults and the cheapest edits that give a legal sequence of roles."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.with_digest(rows, conversations.repair(conversations.damage(rows)))
