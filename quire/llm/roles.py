@@ -147,6 +147,39 @@ class Repair:
             out.append((INSERT * min(ways)[0], min(ways)[1]) if ways else None)
         return out
 
+    @cached_property
+    def behind(self) -> list[list[int]] | None:
+        """``behind[y][x]``: the most that going on from ``y`` can cost more than going on from ``x``, whatever rows follow.
+
+        Value of the game in which ``x`` edits and ``y`` answers, over more and more rows until it
+        stays as it is; None if it does not.  A top that is further behind is on no best way.
+        """
+        n, worst = self.size, float("inf")
+        end = [e[0] if e else worst for e in self.ends]
+        steps = [(t, x, cost, row) for t in ROLES for x in range(n) for cost, row in (
+            [(KEEP, True)] + ([(REROLE, True), (INSERT, False)] if t in GIVEN else []))]
+        now = [[end[y] - end[x] if end[x] < worst else -worst for x in range(n)] for y in range(n)]
+        for _ in range(100):
+            new = [list(row) for row in now]
+            for y in range(n):
+                for x in range(n):
+                    values = []
+                    for mid, path in self.inserts[y].items():
+                        most = end[mid] - end[x] if end[x] < worst else -worst
+                        for t, from_x, cost, row in steps:
+                            for to in self.moves[from_x][t] if from_x == x else ():
+                                answers = [now[z][to] for z in self.moves[mid][t]]
+                                answers.append((DELETE if row else 0) - cost + now[mid][to])
+                                if row:
+                                    answers += [REROLE - cost + now[z][to] for g in GIVEN for z in self.moves[mid][g]]
+                                most = max(most, min(answers))
+                        values.append(INSERT * len(path) + most)
+                    new[y][x] = min(values)
+            if new == now:
+                return now
+            now = new
+        return None
+
     def ways(self, initial: str, fault: int) -> list[list[tuple[int, int, str, str, str]]]:
         """For each top: ``(top after, cost, letters, inserted roles, role given or "")`` over one row."""
         late = TRUNCATED if fault == CUT_OFF else 0
@@ -175,7 +208,8 @@ class Repair:
     def step(self, frontier: tuple, initial: str, fault: int):
         """``(frontier, cost added to each entry, back)``; ``back[entry][top]`` is ``(top before, letters, inserted, role)``.
 
-        Frontiers are relative, so few of them exist and each step is worked out once.
+        Frontiers are relative and hold no top that is too far behind, so few of them exist and each
+        step is worked out once.
         """
         key = (frontier, initial, fault)
         if key not in self._steps:
@@ -193,6 +227,8 @@ class Repair:
                     new = (cost + more, rank, letters, top, path, role)
                     if to not in best or new[:3] < best[to][:3]:
                         best[to] = new
+            if self.behind:
+                best = {to: w for to, w in best.items() if not any(w[0] > o[0] + self.behind[y][to] for y, o in best.items())}
             merged.append(best)
         ranks = {x: i for i, x in enumerate(sorted({w[1:3] for best in merged for w in best.values()}))}
         least = [min(w[0] for w in best.values()) for best in merged]
