@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, conversations, exact, licenses, lines, packing, pieces, simhash, spans, toxicity, vectors, warc
+from . import collocations, contamination, conversations, exact, licenses, lines, packing, pieces, simhash, spans, toxicity, vectors, warc
 from .common import fresh_folder, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged conversations with their faults and the cheapest edits that give a legal sequence of roles."""
     rows = table(spark, sf_dir, "conversations")
     return conversations.with_digest(rows, conversations.repair(conversations.damage(rows)))
+
+
+@register("op11_collocations", collocations.COLLOCATIONS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of 2 to 5 words that occur at least 100 times."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
