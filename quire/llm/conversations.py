@@ -58,6 +58,12 @@ def faults(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fault", fault).drop("alike", "first")
 
 
+def _by_slice(df: DataFrame) -> DataFrame:
+    """Rows of a slice in one task, in order.  Dealt by a hash: Spark leaves out a repartition by columns that a join
+    below it has dealt by already, and adaptive execution may then read that join's shuffle another way."""
+    return df.repartition(F.xxhash64(KEY, CHUNK)).sortWithinPartitions(KEY, CHUNK, "number")
+
+
 def _slices(batches, columns: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
     """``((key, chunk), columns of its rows)`` of batches sorted by key, chunk and number."""
     at, held = None, {c: [] for c in columns}
@@ -119,13 +125,12 @@ def repair(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     short_batches(spark)
     rows = faults(_rows(conversations, conv, turn, role, text))
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    sort = [KEY, CHUNK, "number"]
 
     # conversations in several slices: the tops that each slice begins and ends with
     parts = rows.groupBy(KEY, CHUNK).agg(F.lit(1).alias("one"))
     several = parts.groupBy(KEY).agg(F.count("*").alias("n")).filter("n > 1").select(KEY)
     narrow = rows.select(KEY, CHUNK, "number", "initial", "fault").join(several, KEY, "left_semi")
-    maps = narrow.repartition(KEY, CHUNK).sortWithinPartitions(*sort).mapInArrow(
+    maps = _by_slice(narrow).mapInArrow(
         _maps, f"{KEY} string, {CHUNK} bigint, cost array<array<bigint>>, rank array<array<bigint>>")
     chosen = maps.groupBy(KEY).applyInArrow(_chain, f"{KEY} string, {CHUNK} bigint, entry int, leave int, last boolean")
 
@@ -163,9 +168,8 @@ def repair(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     from pyspark.sql.pandas.types import to_arrow_schema
 
     wanted = rows.select(KEY, CHUNK, *[c for c in carried if c in rows.columns]).join(chosen, [KEY, CHUNK], "left")
-    ordered = wanted.repartition(KEY, CHUNK).sortWithinPartitions(*sort)
     schema = to_arrow_schema(spark.createDataFrame([], types).schema)
-    return ordered.mapInArrow(edit, types)
+    return _by_slice(wanted).mapInArrow(edit, types)
 
 
 def with_digest(conversations: DataFrame, edits: DataFrame, conv: str = "conv_id") -> DataFrame:
