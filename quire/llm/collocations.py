@@ -4,11 +4,12 @@
    themselves frequent can be frequent; a Bloom filter of fixed size holds those words.
 2. Every task sums up the hashes of its phrases and deals them by hash to partitions.
    There the summaries are merged into one Misra-Gries summary whose capacity exceeds the
-   partition's mass divided by the threshold: what merging takes off any counter stays
-   below the threshold, so every frequent phrase survives.  The mass comes ahead of the
-   counters in the sort order, so a partition is read as a stream.
+   partition's mass divided by the threshold (``SPARE`` times): what merging takes off any
+   counter stays below the threshold, so every frequent phrase survives.  The mass comes ahead
+   of the counters in the sort order, so a partition is read as a stream.
 3. A second pass counts, as words, the phrases whose hashes survived (again a
-   filter of fixed size, which lets none of them be missed), and Spark adds the counts up.
+   filter of fixed size, which lets none of them be missed).  Counts go in lists by hash partition,
+   are added up there in bounded room, and what did not fit is added up by Spark.
 
 Hashes only ever choose what is counted; every number returned is a count of words.
 """
@@ -30,8 +31,13 @@ END = b"\xff"
 #: Fixed value: what ends a piece (``.,;:!?`` and line breaks), what separates words, A-Z to a-z.
 _BYTES = bytes(255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words a task holds at a time, entries of a summary before it is sent on, mass dealt to a partition.
-BLOCK_WORDS, SUMMARY_ENTRIES, PARTITION_MASS = 1 << 20, 1 << 21, 1 << 23
+BLOCK_WORDS, SUMMARY_ENTRIES, PARTITION_MASS = 1 << 19, 1 << 21, 1 << 23
+#: Counts by word that a task holds before it sends them on.
+HELD_COUNTS = 300_000
 FILTER_BITS, PROBES = 27, 4
+#: Bits of a phrase's hash that are dealt (equal ones are counted together at first, never in the end),
+#: and how often a summary's capacity exceeds mass / threshold.
+KEY_BITS, SPARE = 48, 8
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -164,21 +170,73 @@ def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
                                                    F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
+def pack(keys: np.ndarray) -> bytes:
+    """Ascending keys as the first one, the bytes a gap needs, and the gaps byte by byte."""
+    if not len(keys):
+        return b""
+    gaps = np.diff(keys)
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return keys[:1].tobytes() + bytes([width]) + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, np.uint64)
+    gaps = np.frombuffer(data, np.uint8, offset=9).reshape(data[8], -1)
+    wide = np.zeros((gaps.shape[1], 8), np.uint8)
+    wide[:, :data[8]] = gaps.T
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), wide.view(np.uint64).ravel()]), dtype=np.uint64)
+
+
+class Totals:
+    """Counts of ``(lang, words)`` held by a task; :meth:`take` empties it."""
+
+    def __init__(self):
+        self.counts: dict[tuple[str, bytes], int] = {}
+
+    def add(self, langs, words, counts) -> bool:
+        """Whether it is time to send the counts on."""
+        held, get = self.counts, self.counts.get
+        for key, n in zip(zip(langs, words), counts):
+            held[key] = get(key, 0) + n
+        return len(held) >= HELD_COUNTS
+
+    def take(self) -> dict[tuple[str, bytes], int]:
+        out, self.counts = self.counts, {}
+        return out
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
-    """``(lang, phrase, h, a)`` of every word of ``rows(lang, text as bytes)``; ``h`` is its hash."""
+    """``(lang, phrase, a)`` of every word of ``rows(lang, text as bytes)``."""
     def count(batches):
+        totals = Totals()
+
+        def send():
+            found = list(totals.take().items())
+            for i in range(0, len(found), 1 << 16):
+                some = found[i:i + (1 << 16)]
+                yield pa.record_batch([pa.array([k[0] for k, _ in some]), pa.array([k[1] for k, _ in some], pa.binary()),
+                                       pa.array([n for _, n in some], pa.int64())], names=["lang", "phrase", "a"])
+
         for b in blocks(batches):
-            keep = b.ids > 0
-            pairs, first, n = np.unique(b.lang[keep] * len(b.words) + b.ids[keep], return_index=True, return_counts=True)
-            h = b.hashes()[keep][first]
+            pairs, n = np.unique((b.lang * len(b.words) + b.ids)[b.ids > 0], return_counts=True)
             lang, word = pairs // len(b.words), pairs % len(b.words)
-            for i in range(0, len(pairs), 1 << 16):
-                at = slice(i, i + (1 << 16))
-                yield pa.record_batch([pa.array([b.langs[x] for x in lang[at]]), pa.array([b.words[x] for x in word[at]], pa.binary()),
-                                       pa.array(h[at].view(np.int64)), pa.array(n[at])], names=["lang", "phrase", "h", "a"])
+            if totals.add(map(b.langs.__getitem__, lang.tolist()), map(b.words.__getitem__, word.tolist()), n.tolist()):
+                yield from send()
+        yield from send()
 
-    counted = rows.mapInArrow(count, "lang string, phrase binary, h bigint, a bigint")
-    return counted.groupBy("lang", "phrase").agg(F.first("h").alias("h"), F.sum("a").alias("a"))
+    return rows.mapInArrow(count, "lang string, phrase binary, a bigint").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+
+
+def word_hashes(words: DataFrame) -> DataFrame:
+    """``h`` of ``words(lang, phrase)``, as :meth:`Block.hashes` has it."""
+    def run(batches):
+        for batch in batches:
+            pairs = zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
+            h = np.array([xxhash.xxh64_intdigest(w.encode()) + xxhash.xxh64_intdigest(x.encode(), 1) & (1 << 64) - 1 for x, w in pairs], np.uint64)
+            yield pa.record_batch([pa.array(_mix(h).view(np.int64))], names=["h"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "h bigint")
 
 
 def _phrases(b: Block, frequent: Filter, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -194,19 +252,19 @@ def _phrases(b: Block, frequent: Filter, longest: int) -> Iterator[tuple[int, np
 
 
 def surviving_hashes(rows: DataFrame, frequent, longest: int, threshold: int, partitions: int) -> DataFrame:
-    """``h`` of all phrases that may be frequent: merged Misra-Gries summaries, one a hash partition.
+    """``h`` (of the key that was dealt) of all phrases that may be frequent: merged Misra-Gries summaries, one a hash partition.
 
     ``frequent`` is the broadcast filter of frequent words.
     """
     def deal(parts):
         keys, counts = summed(parts)
-        part = ((keys >> np.uint64(32)) * np.uint64(partitions)) >> np.uint64(32)  # ascending with the key
+        part = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(partitions)) >> np.uint64(32)  # ascending with the key
         start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
         for i, j in zip(start, [*start[1:], len(keys)]):
             once = counts[i:j] == 1
             yield {"part": int(part[i]), "kind": 0, "mass": int(counts[i:j].sum()), "once": None, "keys": None, "counts": None}
-            yield {"part": int(part[i]), "kind": 1, "mass": 0, "once": keys[i:j][once].tobytes(),
-                   "keys": keys[i:j][~once].tobytes(), "counts": counts[i:j][~once].tobytes()}
+            yield {"part": int(part[i]), "kind": 1, "mass": 0, "once": pack(keys[i:j][once]),
+                   "keys": pack(keys[i:j][~once]), "counts": counts[i:j][~once].tobytes()}
 
     kind = "part int, kind int, mass bigint, once binary, keys binary, counts binary"
     fields = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("mass", pa.int64()), ("once", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -225,7 +283,7 @@ def surviving_hashes(rows: DataFrame, frequent, longest: int, threshold: int, pa
 
         for b in blocks(batches):
             found = np.concatenate([h[begins] for _, begins, h in _phrases(b, frequent.value, longest)])
-            held.append(np.unique(found, return_counts=True))
+            held.append(np.unique(found >> np.uint64(64 - KEY_BITS), return_counts=True))
             size += len(held[-1][0])
             if size >= SUMMARY_ENTRIES:
                 yield from send()
@@ -235,7 +293,7 @@ def surviving_hashes(rows: DataFrame, frequent, longest: int, threshold: int, pa
 
     def merge(batches):
         at, mass, summary = None, 0, None
-        out = lambda h: pa.record_batch([pa.array(h.view(np.int64))], names=["h"])
+        out = lambda keys: pa.record_batch([pa.array(_mix(keys).view(np.int64))], names=["h"])
         for batch in batches:
             for row in batch.to_pylist():
                 if row["part"] != at:
@@ -245,10 +303,10 @@ def surviving_hashes(rows: DataFrame, frequent, longest: int, threshold: int, pa
                 if row["kind"] == 0:
                     mass += row["mass"]
                     continue
-                summary = summary or MisraGries(mass // threshold + 1)
-                once = np.frombuffer(row["once"], np.uint64)
+                summary = summary or MisraGries(SPARE * mass // threshold + 1)
+                once = unpack(row["once"])
                 summary.add(once, np.ones(len(once), np.int64))
-                summary.add(np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64))
+                summary.add(unpack(row["keys"]), np.frombuffer(row["counts"], np.int64))
         if summary is not None:
             yield out(summary.frequent(threshold))
 
@@ -256,31 +314,69 @@ def surviving_hashes(rows: DataFrame, frequent, longest: int, threshold: int, pa
     return dealt.mapInArrow(merge, "h bigint")
 
 
-def phrase_counts(rows: DataFrame, frequent, survivors, longest: int) -> DataFrame:
-    """``(lang, phrase, size, a)``: exact counts of all phrases that pass both filters; words joined by a space."""
+def phrase_counts(rows: DataFrame, frequent, survivors, longest: int, threshold: int, partitions: int) -> DataFrame:
+    """``(lang, phrase, a)``: exact counts, from ``threshold`` on, of the phrases that pass both filters; words joined by a space."""
+    lists = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
+    flat = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("a", pa.int64())])
+
     def count(batches):
+        totals = Totals()
+
+        def send():
+            dealt: dict = {}
+            for (lang, phrase), n in totals.take().items():
+                phrases, counts = dealt.setdefault((xxhash.xxh64_intdigest(phrase) % partitions, lang), ([], []))
+                phrases.append(phrase)
+                counts.append(n)
+            found = [{"part": p, "lang": x, "phrases": v[0], "counts": v[1]} for (p, x), v in dealt.items()]
+            for i in range(0, len(found), 64):
+                yield pa.RecordBatch.from_pylist(found[i:i + 64], lists)
+
         for b in blocks(batches):
             prefix, number = None, None
             for n, begins, h in _phrases(b, frequent.value, longest):
                 at = np.flatnonzero(begins)
                 if prefix is not None:  # a frequent phrase begins and ends with a frequent one
                     at = at[prefix[at] & prefix[at + 1]]
-                at = at[survivors.value.has(h[at])]
+                at = at[survivors.value.has(_mix(h[at] >> np.uint64(64 - KEY_BITS)))]
                 head = b.lang[at] * len(b.words) + b.ids[at] if number is None else number[at]
-                pairs, own = np.unique(head, return_inverse=True)
-                keys, first, which, a = np.unique(own * np.int64(len(b.words)) + b.ids[at + n - 1], return_index=True,
-                                                  return_inverse=True, return_counts=True)
+                _, own = np.unique(head, return_inverse=True)
+                _, first, which, a = np.unique(own * np.int64(len(b.words)) + b.ids[at + n - 1], return_index=True,
+                                               return_inverse=True, return_counts=True)
                 prefix, number = np.zeros(len(b.ids), bool), np.zeros(len(b.ids), np.int64)
                 prefix[at], number[at] = True, which
                 spots = at[first]
-                for i in range(0, len(spots), 1 << 16):
-                    s = spots[i:i + (1 << 16)]
-                    yield pa.record_batch([pa.array([b.langs[x] for x in b.lang[s]], pa.string()),
-                                           pa.array([b" ".join([b.words[w] for w in b.ids[x:x + n]]) for x in s], pa.binary()),
-                                           pa.array([n] * len(s), pa.int32()), pa.array(a[i:i + (1 << 16)], pa.int64())],
-                                          names=["lang", "phrase", "size", "a"])
+                words = (b" ".join([b.words[w] for w in ids]) for ids in b.ids[spots[:, None] + np.arange(n)].tolist())
+                if totals.add(map(b.langs.__getitem__, b.lang[spots].tolist()), words, a.tolist()):
+                    yield from send()
+        yield from send()
+
+    def add(batches):
+        at, held, sent = None, {}, False
+
+        def send(least):
+            found = [(p, n) for p, n in held.items() if n >= least]
+            held.clear()
+            return pa.record_batch([pa.array([at[1]] * len(found), pa.string()), pa.array([p for p, _ in found], pa.binary()),
+                                    pa.array([n for _, n in found], pa.int64())], schema=flat)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["part"], row["lang"]) != at:
+                    if held:
+                        yield send(0 if sent else threshold)
+                    at, sent = (row["part"], row["lang"]), False
+                for phrase, n in zip(row["phrases"], row["counts"]):
+                    held[phrase] = held.get(phrase, 0) + n
+                if len(held) >= HELD_COUNTS:
+                    yield send(0)
+                    sent = True
+        if held:
+            yield send(0 if sent else threshold)
 
-    return rows.mapInArrow(count, "lang string, phrase binary, size int, a bigint").groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a"))
+    dealt = rows.mapInArrow(count, "part int, lang string, phrases array<binary>, counts array<bigint>").repartition(partitions, "part")
+    added = dealt.sortWithinPartitions("part", "lang").mapInArrow(add, "lang string, phrase binary, a bigint")
+    return added.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= threshold)
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, threshold: int = 100,
@@ -293,19 +389,17 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     spark = docs.sparkSession
     short_batches(spark)
     rows = _rows(docs, text_col, lang_col)
-    counted = word_counts(rows).select("lang", F.col("phrase").cast("string").alias("phrase"), "h", "a")
+    counted = word_counts(rows)
     # one pass gives the totals and the frequent words: rare words go to one row a language and task
-    rare = F.col("a") < threshold
-    kept = cut(counted.groupBy("lang", F.when(~rare, F.col("phrase")).alias("phrase"), F.when(~rare, F.col("h")).alias("h")).agg(F.sum("a").alias("a")))
+    kept = cut(counted.groupBy("lang", F.when(F.col("a") >= threshold, F.col("phrase").cast("string")).alias("phrase")).agg(F.sum("a").alias("a")))
     totals = kept.groupBy("lang").agg(F.sum("a").alias("n"))
     words = kept.filter("phrase is not null")
     n = totals.agg(F.sum("n")).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (longest - 1) // PARTITION_MASS))
-    frequent = spark.sparkContext.broadcast(build_filter(words.select("h"), filter_bits))
+    frequent = spark.sparkContext.broadcast(build_filter(word_hashes(words), filter_bits))
     survivors = spark.sparkContext.broadcast(build_filter(surviving_hashes(rows, frequent, longest, threshold, partitions), filter_bits))
-    exact = phrase_counts(rows, frequent, survivors, longest).filter(F.col("a") >= threshold)
-    found = exact.select("lang", F.col("phrase").cast("string").alias("phrase"), "size", "a")
-    return totals, cut(found.unionByName(words.select("lang", "phrase", F.lit(1).alias("size"), "a")))
+    exact = phrase_counts(rows, frequent, survivors, longest, threshold, partitions).select("lang", F.col("phrase").cast("string").alias("phrase"), "a")
+    return totals, cut(exact.unionByName(words).withColumn("size", F.size(F.split("phrase", " "))))
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, threshold: int = 100,

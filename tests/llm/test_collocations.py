@@ -98,3 +98,18 @@ def test_blocks_join_what_a_task_reads(spark):
     words = [b.words[i] for b in found for i in b.ids]
     assert words == 2 * [b"a", b"b", c.END, b"c", c.END, *[b"d"] * 10, c.END, b"\xc3\xa9", b"e", c.END, c.END]
     assert len(found) > 1 and all(len(b.ids) == len(b.lang) for b in found)
+
+
+def test_keys_pack_and_unpack():
+    rnd = np.random.default_rng(1)
+    for n, high in ((0, 10), (1, 1 << 48), (2, 1 << 63), (1000, 1 << 20), (1000, 1 << 48)):
+        keys = np.unique(rnd.integers(0, high, n).astype(np.uint64))
+        assert (c.unpack(c.pack(keys)) == keys).all()
+
+
+def test_counts_that_do_not_fit_are_added_up(spark, monkeypatch):
+    rows = cases()
+    monkeypatch.setattr(c, "HELD_COUNTS", 3)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = c.collocations(docs, threshold=6, filter_bits=12)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5, 6, 100, 2000)
