@@ -238,7 +238,7 @@ def _final(batches):
     statement = body = None
     for batch in batches:
         numbers, texts, entries = (batch.column(c).to_pylist() for c in ("number", "text", "_entry"))
-        starts, codes, closes, docs, says, decls, stacks, of = [], [], [], [], [], [], [], []
+        starts, codes, closes, docs, says, decls, opens, stacks, of = [], [], [], [], [], [], [], [], []
         last = None
         for key, begin, end in _runs(batch):
             if key != at:
@@ -258,14 +258,15 @@ def _final(batches):
                 closes.append(closed)
                 decls.append(reader.opens is not None)
                 docs.append(body)
+                opens.append(reader.mode > CONTINUED)
                 says.append(said if body is not None else None)
                 of.append(len(stacks) - 1)
                 reader.enter()
         kept = [c for c in batch.schema.names if c not in ("_entry",)]
         yield pa.record_batch([*[batch.column(c) for c in kept], pa.array(starts, pa.bool_()), pa.array(codes, pa.string()),
                                pa.array(decls, pa.bool_()), pa.array(closes, pa.list_(pa.int64())), pa.array(docs, pa.int64()),
-                               pa.array(says, pa.string()), _listed(stacks, of)],
-                              names=[*kept, "start", "code", "decl", "closes", "first", "said", "scopes"])
+                               pa.array(says, pa.string()), pa.array(opens, pa.bool_()), _listed(stacks, of)],
+                              names=[*kept, "start", "code", "decl", "closes", "first", "said", "open", "scopes"])
 
 
 def lexed_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -276,13 +277,16 @@ def lexed_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     * ``decl``: it declares a class or function; ``scopes``: the declarations open at it from the outside
       in, ``struct(line, name, kind, record, indent)``; ``closes``: lines of the declarations that end before it;
     * ``first``: for a line of the first statement in a declaration's body, the number of that statement's first
-      line; ``said``: what the strings on such a line say, without quotes.
+      line; ``said``: what the strings on such a line say, without quotes;
+    * ``open``: the line ends within a string.
 
     Comments and blank lines close no scope.  ``class`` or ``def`` at the begin of a line within brackets
     ends those brackets, so a bracket that is never closed loses no later declaration.  An unclosed
     one-line string ends with its line; one of three quotes lasts to the end of the file.
-    Null text: an empty line.  Lines may be of any length.
+    Null text: an empty line.  Lines may be of any length.  Lines that were read already are returned as they are.
     """
+    if "scopes" in lines.columns:
+        return lines
     df = lines if CHUNK in lines.columns else chunk_by_position(lines, "number", chunk_rows)
     df = with_key(df, ["path"])
     # dealt by a hash of its own: see the join below
@@ -293,4 +297,4 @@ def lexed_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     entries = maps.groupBy(KEY).applyInArrow(_chain, f"{KEY} string, {CHUNK} bigint, _entry string")
     rows = dealt(df.join(entries, [KEY, CHUNK], "left"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_entry")
-    return rows.mapInArrow(_final, f"{kinds}, start boolean, code string, decl boolean, closes array<bigint>, first bigint, said string, scopes {SCOPES}")
+    return rows.mapInArrow(_final, f"{kinds}, start boolean, code string, decl boolean, closes array<bigint>, first bigint, said string, open boolean, scopes {SCOPES}")

@@ -1,15 +1,8 @@
-"""Declarations as a scan over the lines table (Y-1 .. Y-6, J-3 .. J-6, A-2 .. A-5).
-
-Python's scoping is indentation: a ``class``/``def`` at indent ``L`` is open
-until the first later non-blank line with indent ``<= L``.  So for every
-indent level ``L`` used by a declaration, "the last non-blank line with
-indent ``<= L``" -- a last-non-null scan -- tells whether an ``L``-level
-declaration is still open at a line (it is, iff that last line *is* the
-declaration).  The same scan run backwards gives each declaration's end.
-No range join, and the scans are sliced like every other pass.
-
-The levels are the distinct indent widths of declaration lines, a handful
-of small integers read from the data.
+"""Declarations, documentation and mentions from lexed source lines (Y-1 .. Y-6, J-3 .. J-6, A-2 .. A-5).
+
+:func:`quire.operators.lexical.lexed_lines` gives every line its code, the declarations open at it and
+those that end before it.  What is here are projections, aggregations and equi joins of those rows;
+functions that take ``lines`` also take lines that were read already.
 """
 
 from __future__ import annotations
@@ -19,17 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import starts
 from ..plans.scan import CHUNK, CHUNK_ROWS, chunk_by_position, scan
+from .lexical import DECL, KEY, lexed_lines
 
-DECL = r"^([ \t]*)(async[ \t]+)?(class|def)[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
 IMPORT = r"^import[ \t]+(.+?)[ \t]*$"
 FROM_IMPORT = r"^from[ \t]+([.]*[A-Za-z_][A-Za-z0-9_.]*|[.]+)[ \t]+import[ \t]*(.+?)[ \t]*$"
 IMPORTED = r"^([A-Za-z_][A-Za-z0-9_.]*|[*])([ \t]+as[ \t]+([A-Za-z_][A-Za-z0-9_]*))?$"
-RECORD_CLASS = r"^[ \t]*class[ \t]+[A-Za-z_][A-Za-z0-9_]*[ \t]*\(([^)]*[^A-Za-z0-9_])?(NamedTuple|dataclass)([^A-Za-z0-9_][^)]*)?\)"
 FIELD = r"^[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*:[ \t]*[^ \t\n=]"
-QUOTES = ['"""', "'''"]
-SCOPES = "array<struct<line:bigint,name:string,kind:string,record:boolean,indent:bigint>>"
 IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
-BLANK = r"^[ \t]*\n?$"
+#: Code of a statement that is a string and nothing else, and how one begins that is text.
+ONLY_STRING, STRING_BEGIN = r"^[\s()\";\\]*$", r"^[ \t(]*[rRuU]?['\"]"
 
 # Python keywords are not mentions (fixed word list).
 KEYWORDS = [
@@ -48,57 +39,34 @@ def module_name(path: Column | str, prefix: str = "src/py/") -> Column:
     return F.regexp_replace(p, "/", ".")
 
 
-def _levels(decl_lines: DataFrame) -> list[int]:
-    return sorted(r[0] for r in decl_lines.select("_ind").distinct().collect())
-
-
-def scoped_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Every line with ``scopes``, the declarations open at it from the outside in, as
-    ``struct(line, name, kind, record, indent)``; ``record`` marks classes whose fields are annotations.
-    """
-    return _scoped(lines, chunk_rows)[0]
-
-
-def _scoped(lines: DataFrame, chunk_rows: int) -> tuple[DataFrame, list[int]]:
-    """The lines with their scopes, and the indents at which declarations stand."""
-    df = lines if CHUNK in lines.columns else chunk_by_position(lines, "number", chunk_rows)
-    text = F.col("text")
-    df = df.withColumns({
-        "_decl": text.rlike(DECL), "_blank": text.rlike(BLANK),
-        "_ind": F.length(F.regexp_extract(text, r"^([ \t]*)", 1)).cast("bigint"),
-        "_name": F.regexp_extract(text, DECL, 4), "_kind": F.regexp_extract(text, DECL, 3)})
-    levels = _levels(df.where("_decl"))
-    fwd = {}
-    for lv in levels:
-        mark = F.struct(F.col("number").alias("line"), F.col("_name").alias("name"), F.col("_kind").alias("kind"),
-                        text.rlike(RECORD_CLASS).alias("record"), F.col("_ind").alias("indent"),
-                        (F.col("_decl") & (F.col("_ind") == lv)).alias("is_decl"))
-        fwd[f"_o{lv}"] = (F.when(~F.col("_blank") & (F.col("_ind") <= lv), mark), False)
-    df = scan(df, ["path"], ["number"], lasts=fwd)
-    open_at = [F.when((F.lit(lv) < F.col("_ind")) & F.col(f"_o{lv}.is_decl"), F.col(f"_o{lv}").dropFields("is_decl")) for lv in levels]
-    scopes = F.array_compact(F.array(*open_at)) if levels else F.array().cast(SCOPES)
-    return df.select(*[c for c in df.columns if not c.startswith("_o")], scopes.alias("scopes")), levels
+def _chain() -> Column:
+    """Module and open scopes of a line, as names."""
+    return F.concat(F.array(module_name("path")), F.transform("scopes", lambda x: x["name"]))
 
 
 def declarations(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Y-1 / Y-2: class and def symbols with span, parent and qualname.
 
     ``(path, kind, name, qualname, parent, line, end_line, indent, scopes)``; ``end_line``
-    is exclusive; module rows are added by :func:`symbols`.
+    is exclusive: the next statement outside, or the number of lines of the file.  Each line tells what it
+    declares and what it ends, so both come from one read and meet by ``(file, line)``.
     """
-    df, levels = _scoped(lines, chunk_rows)
-    bwd = {f"_e{lv}": (F.when(~F.col("_blank") & (F.col("_ind") <= lv), F.col("number")), False) for lv in levels}
-    decl = scan(df, ["path"], ["number"], lasts=bwd, reverse=True).where("_decl")
+    df = lexed_lines(lines, chunk_rows)
+    own = F.struct("path", "scopes", "code")
+    none = F.when(F.lit(False), own)
+    begins = F.array(F.struct(F.col("number").alias("line"), F.lit(None).cast("bigint").alias("end"), own.alias("own")))
+    ends = F.transform("closes", lambda x: F.struct(x.alias("line"), F.col("number").alias("end"), none.alias("own")))
+    told = F.when(F.col("decl"), F.concat(begins, ends)).otherwise(ends)
+    rows = df.select(KEY, F.explode(told).alias("t")).select(KEY, "t.*")
+    met = rows.groupBy(KEY, "line").agg(F.any_value("own", F.lit(True)).alias("own"), F.max("end").alias("end"))
     n_lines = lines.groupBy("path").agg((F.max("number") + 1).alias("_n"))
-    end = F.lit(None).cast("bigint")
-    for lv in levels:
-        end = F.when(F.col("_ind") == lv, F.col(f"_e{lv}")).otherwise(end)
-    chain = F.concat(F.array(module_name("path")), F.transform("scopes", lambda x: x["name"]))
-    return decl.join(n_lines, "path").select(
-        "path", F.when(F.col("_kind") == "class", F.lit("class")).otherwise(F.lit("function")).alias("kind"),
-        F.col("_name").alias("name"), F.array_join(F.concat(chain, F.array("_name")), ".").alias("qualname"),
-        F.array_join(chain, ".").alias("parent"),
-        F.col("number").alias("line"), F.coalesce(end, F.col("_n")).alias("end_line"), F.col("_ind").alias("indent"), "scopes")
+    out = met.select("own.path", "own.scopes", "own.code", "line", "end")
+    out = out.join(n_lines.withColumnRenamed("path", "_path"), F.col("path").eqNullSafe(F.col("_path")))
+    name, chain = F.regexp_extract("code", DECL, 4), _chain()
+    return out.select(
+        "path", F.when(F.regexp_extract("code", DECL, 3) == "class", F.lit("class")).otherwise(F.lit("function")).alias("kind"),
+        name.alias("name"), F.array_join(F.concat(chain, F.array(name)), ".").alias("qualname"), F.array_join(chain, ".").alias("parent"),
+        "line", F.coalesce("end", "_n").alias("end_line"), F.length(F.regexp_extract("code", DECL, 1)).cast("bigint").alias("indent"), "scopes")
 
 
 def symbols(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -119,6 +87,11 @@ def imports(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     parenthesised list may run over several lines: the line that opens it
     carries its package forward until the one that closes it.
     """
+    return _imports(lines, chunk_rows).drop("listed")
+
+
+def _imports(lines: DataFrame, chunk_rows: int) -> DataFrame:
+    """:func:`imports` with ``listed``: the name is one of a ``from``."""
     df = lines if CHUNK in lines.columns else chunk_by_position(lines, "number", chunk_rows)
     code = F.regexp_replace(F.regexp_replace("text", r"[ \t]*(#.*)?\n?$", ""), r"^[ \t]+", "")
     df = df.withColumn("_t", code)
@@ -129,55 +102,48 @@ def imports(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     head = F.when(inside, F.col("_open")).when(F.col("_t").rlike(FROM_IMPORT), package).when(F.col("_t").rlike(IMPORT), F.lit(""))
     body = F.when(inside, F.substring_index("_t", ")", 1)).when(F.col("_t").rlike(FROM_IMPORT), listed).otherwise(F.regexp_extract("_t", IMPORT, 1))
     rows = df.select("path", "number", head.alias("_pkg"), body.alias("_b")).where("_pkg is not null")
-    rows = rows.select("path", "number", "_pkg", F.explode(F.split(F.regexp_replace("_b", "[()]", ""), ",")).alias("_m"))
+    rows = rows.select("path", "number", "_pkg", (F.col("_pkg") != "").alias("listed"), F.explode(F.split(F.regexp_replace("_b", "[()]", ""), ",")).alias("_m"))
     name, alias = F.regexp_extract(F.trim("_m"), IMPORTED, 1), F.regexp_extract(F.trim("_m"), IMPORTED, 3)
     joint = F.when((F.col("_pkg") == "") | F.col("_pkg").endswith("."), F.lit("")).otherwise(F.lit("."))
     return rows.where(name != "").select("path", "number", F.concat("_pkg", joint, name).alias("module"),
-                                         F.when(alias != "", alias).alias("alias"))
+                                         F.when(alias != "", alias).alias("alias"), "listed")
 
 
 def fields(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Y-4: ``(path, name, qualname, line)`` of annotated names directly in the body of a class
     with the base ``NamedTuple`` or ``dataclass``."""
     owner = F.try_element_at("scopes", F.lit(-1))
-    df = scoped_lines(lines, chunk_rows).where(F.col("text").rlike(FIELD) & (F.size("scopes") > 0))
+    df = lexed_lines(lines, chunk_rows).where(F.col("start") & F.col("code").rlike(FIELD) & (F.size("scopes") > 0))
     df = df.where(owner["record"] & (owner["kind"] == "class"))
-    name = F.regexp_extract("text", FIELD, 1)
-    chain = F.concat(F.array(module_name("path")), F.transform("scopes", lambda x: x["name"]), F.array(name))
-    return df.select("path", name.alias("name"), F.array_join(chain, ".").alias("qualname"), F.col("number").alias("line"))
+    name = F.regexp_extract("code", FIELD, 1)
+    return df.select("path", name.alias("name"), F.array_join(F.concat(_chain(), F.array(name)), ".").alias("qualname"), F.col("number").alias("line"))
 
 
-def docstrings(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Y-5: ``(path, qualname, line, doc_line, documentation)`` of declarations whose body begins with a string.
+def docstring_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Y-5: ``(path, qualname, line, doc_line, number, said)``, one row per line of a declaration's documentation.
 
-    The string opens on the first non-blank line after the declaration and
-    closes on that line or the next one with the same quotes; its lines are
-    joined by an equi join on the line numbers it covers, less the indent of
-    the first.  A string that never closes is no documentation.
+    The first statement of a body is documentation if it is strings and nothing else, of any quotes, with no prefix of
+    bytes or formatting.  ``said`` is what they say on the line, without quotes and, after the first line, without
+    the statement's own indent; escapes stay as they are written.  A string that never closes is none.
     """
-    df = scoped_lines(lines, chunk_rows)
-    after = {f"_close{i}": (F.when(F.col("text").contains(q), F.col("number")), False) for i, q in enumerate(QUOTES)}
-    df = scan(df, ["path"], ["number"], lasts=after, reverse=True)
-    here = F.struct("number", "text", *after)
-    df = scan(df, ["path"], ["number"], lasts={"_body": (F.when(~F.col("_blank"), here), False)}, reverse=True).where("_decl")
-    chain = F.concat(F.array(module_name("path")), F.transform("scopes", lambda x: x["name"]), F.array("_name"))
-    out = None
-    for i, q in enumerate(QUOTES):
-        start = rf"^([ \t]*)[rRuU]?{q}"
-        found = df.where(F.col("_body.text").rlike(start)).select(
-            "path", F.array_join(chain, ".").alias("qualname"), F.col("number").alias("line"), F.col("_body.number").alias("doc_line"),
-            F.length(F.regexp_extract("_body.text", start, 1)).alias("_margin"),
-            F.when(F.regexp_replace("_body.text", start, "").contains(q), F.col("_body.number")).otherwise(F.col(f"_body._close{i}")).alias("_to"))
-        cover = found.where("_to is not null").withColumn("number", F.explode(F.sequence("doc_line", "_to")))
-        own = cover.join(lines.select("path", "number", "text"), ["path", "number"])
-        body = F.when(F.col("number") == F.col("doc_line"), F.regexp_replace("text", start, "")).otherwise(
-            F.regexp_replace("text", F.concat(F.lit(r"^[ \t]{0,"), F.col("_margin").cast("string"), F.lit("}")), F.lit("")))
-        part = F.when(F.col("number") == F.col("_to"), F.substring_index(body, q, 1)).otherwise(body)
-        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", part.alias("t")))), lambda x: x["t"]), "")
-        one = own.groupBy("path", "qualname", "line", "doc_line").agg(whole.alias("_d")).withColumn(
-            "documentation", F.regexp_replace("_d", r"^\s+|\s+$", "")).drop("_d")
-        out = one if out is None else out.unionByName(one)
-    return out
+    df = lexed_lines(lines, chunk_rows).where(F.col("first").isNotNull() & ((F.col("number") == F.col("first")) | ~F.col("start")))
+    head = F.col("number") == F.col("first")
+    whole = df.groupBy(KEY, "first").agg(
+        (F.bool_and(F.col("code").rlike(ONLY_STRING)) & F.bool_or(head & F.col("text").rlike(STRING_BEGIN)) & ~F.max_by("open", "number")).alias("_ok"),
+        F.max(F.when(head, F.length(F.regexp_extract("text", r"^[ \t]*", 0)))).alias("_margin")).where("_ok")
+    lead = F.least(F.length(F.regexp_extract("said", r"^[ \t]*", 0)), F.col("_margin"))
+    said = F.when(head, F.col("said")).otherwise(F.substring("said", lead + 1, F.length("said")))
+    return df.join(whole, [KEY, "first"]).select(
+        "path", F.array_join(_chain(), ".").alias("qualname"), F.element_at("scopes", -1)["line"].alias("line"),
+        F.col("first").alias("doc_line"), "number", said.alias("said"))
+
+
+def docstrings(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Y-5: ``(path, qualname, line, doc_line, documentation)``, the lines of :func:`docstring_lines` as one
+    value without white space at its ends; a value is as large as its documentation."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "said"))), lambda x: x["said"]), "")
+    rows = docstring_lines(lines, chunk_rows).groupBy("path", "qualname", "line", "doc_line").agg(whole.alias("_d"))
+    return rows.withColumn("documentation", F.regexp_replace("_d", r"^\s+|\s+$", "")).drop("_d")
 
 
 def submodules(files: DataFrame, root: str, path: str = "path", prefix: str = "") -> DataFrame:
@@ -202,30 +168,30 @@ def submodules(files: DataFrame, root: str, path: str = "path", prefix: str = ""
     return kept.join(missing, "path", "left_anti")
 
 
-def mentions(lines: DataFrame) -> DataFrame:
-    """Y-6: identifier occurrences with type ``def`` (after class/def),
-    ``asn`` (left of a single ``=``) or ``ref``; keywords excluded.
+def mentions(lines: DataFrame, chunk_rows: int = CHUNK_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Y-6: identifier occurrences in code, outside strings and comments, with type ``def`` (after class/def),
+    ``asn`` (left of a single ``=`` where a statement begins) or ``ref``; keywords excluded.
 
-    ``(name, type, path, line, column, offset, length)``; ``lines`` needs
-    ``offset``.  A line is tokenised once and its columns are one running sum,
-    so long lines stay linear.
+    ``(name, type, path, line, column, offset, length)`` and the columns named in ``carry``; ``lines``
+    needs ``offset``.  A line is tokenised once and its columns are one running sum, so long lines stay linear.
     """
-    t = F.col("text")
+    df = lexed_lines(lines, chunk_rows)
+    t = F.col("code")
     words, gaps = F.regexp_extract_all(t, F.lit(IDENT), 0), F.split(t, IDENT, -1)
-    rows = lines.select("path", "number", "offset", "text", words.alias("_w"), gaps.alias("_g")).where(F.size("_w") > 0)
+    rows = df.select("path", "number", "offset", "code", "start", "decl", *carry, words.alias("_w"), gaps.alias("_g")).where(F.size("_w") > 0)
     # gap and word as one step: a word stands after the steps before it and its own gap
     steps = F.zip_with(F.slice("_g", 1, F.size("_w")), "_w", lambda g, w: F.length(g) + F.length(w))
     rows = rows.withColumn("_s", starts(steps)).withColumns({
-        "_def": F.when(t.rlike(DECL), F.length(F.regexp_extract(t, r"^([ \t]*(async[ \t]+)?(class|def)[ \t]+)", 1))),
-        "_asn": F.when(t.rlike(r"^[ \t]*[A-Za-z_][A-Za-z0-9_]*[ \t]*=[^=]"),
+        "_def": F.when(F.col("decl"), F.length(F.regexp_extract(t, r"^([ \t]*(async[ \t]+)?(class|def)[ \t]+)", 1))),
+        "_asn": F.when(F.col("start") & t.rlike(r"^[ \t]*[A-Za-z_][A-Za-z0-9_]*[ \t]*=[^=]"),
                        F.length(F.regexp_extract(t, r"^([ \t]*)[A-Za-z_][A-Za-z0-9_]*[ \t]*=[^=]", 1)))})
     rows = rows.withColumn("_z", F.arrays_zip("_w", "_s", F.slice("_g", 1, F.size("_w")).alias("_h")))
-    toks = rows.select("path", "number", "offset", "_def", "_asn", F.explode("_z").alias("_x"))
+    toks = rows.select("path", "number", "offset", "_def", "_asn", *carry, F.explode("_z").alias("_x"))
     col = (F.col("_x._s") + F.length("_x._h")).cast("bigint")
     kind = F.when(col == F.col("_def"), F.lit("def")).when(col == F.col("_asn"), F.lit("asn")).otherwise(F.lit("ref"))
     return toks.where(~F.col("_x._w").isin(*KEYWORDS)).select(
         F.col("_x._w").alias("name"), kind.alias("type"), "path", F.col("number").alias("line"), col.alias("column"),
-        (F.col("offset") + col).alias("offset"), F.length("_x._w").cast("bigint").alias("length"))
+        (F.col("offset") + col).alias("offset"), F.length("_x._w").cast("bigint").alias("length"), *carry)
 
 
 def mentions_by_symbol(m: DataFrame) -> DataFrame:
@@ -236,34 +202,52 @@ def mentions_by_symbol(m: DataFrame) -> DataFrame:
                                  F.count_distinct("path").alias("n_paths"))
 
 
-def references(m: DataFrame, lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def bindings(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``(path, number, name, qualname)``: the name each import binds and what it stands for.
+
+    ``import a.b`` binds ``a``; a relative module counts from the package the file lies in; ``*`` binds nothing.
+    """
+    rows = _imports(lines, chunk_rows)
+    dots, rest = F.length(F.regexp_extract("module", r"^(\.*)", 1)), F.regexp_replace("module", r"^\.+", "")
+    parts = F.split(module_name("path"), r"\.")
+    up = F.size(parts) - dots + F.when(F.col("path").endswith("/__init__.py"), 1).otherwise(0)
+    package = F.array_join(F.slice(parts, 1, F.greatest(up, F.lit(0))), ".")
+    whole = F.when(dots == 0, F.col("module")).when(package == "", rest).otherwise(F.concat(package, F.lit("."), rest))
+    plain = F.col("alias").isNull() & ~F.col("listed")
+    name = F.coalesce("alias", F.when(plain, F.substring_index("module", ".", 1)).otherwise(F.substring_index("module", ".", -1)))
+    return rows.where(~F.col("module").endswith("*")).select(
+        "path", "number", name.alias("name"), F.when(plain, F.substring_index("module", ".", 1)).otherwise(whole).alias("qualname"))
+
+
+def references(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """J-5: each ``ref`` mention with the one symbol it means: ``(name, path, line, column, qualname, found)``.
 
     ``found`` is ``scope`` for a symbol declared in the nearest scope open at
-    the mention (module level last), ``file`` for another one of the file,
-    ``global`` for a name that exactly one symbol of all files has; else null.
+    the mention (module level last), ``file`` for another one of the file, ``import`` for a name that an import
+    of the file binds, ``global`` for a name that exactly one symbol of all files has; else null.
     Each step is an equi join against one row per key (the last declaration
-    wins), so a name that very many places use never meets all its namesakes.
+    wins), so a name that very many places use never meets all its namesakes.  ``lines`` needs ``offset``.
     """
-    scoped = scoped_lines(lines, chunk_rows)
-    chain = F.concat(F.array(module_name("path")), F.transform("scopes", lambda x: x["name"]), F.array("_name"))
-    syms = scoped.where("_decl").select("path", F.col("_name").alias("name"), F.array_join(chain, ".").alias("qualname"),
-                                        F.col("number").alias("line"), "scopes")
+    df = lexed_lines(lines, chunk_rows)
+    name = F.regexp_extract("code", DECL, 4)
     outer = F.coalesce(F.get("scopes", F.size("scopes") - 1)["line"], F.lit(-1).cast("bigint"))
+    syms = df.where("decl").select("path", name.alias("name"), F.array_join(F.concat(_chain(), F.array(name)), ".").alias("qualname"),
+                                   F.col("number").alias("line"), outer.alias("scope"))
     last = F.max_by("qualname", "line").alias("qualname")
-    in_scope = syms.groupBy("path", outer.alias("scope"), "name").agg(last)
+    in_scope = syms.groupBy("path", "scope", "name").agg(last)
     in_file = syms.groupBy("path", "name").agg(last).withColumnRenamed("qualname", "_file")
+    bound = bindings(lines, chunk_rows).groupBy("path", "name").agg(F.max_by("qualname", F.struct("number", "qualname")).alias("_import"))
+    named = in_file.join(bound, ["path", "name"], "full")
     anywhere = syms.groupBy("name").agg(F.max("qualname").alias("_global"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
-    open_at = scoped.select("path", F.col("number").alias("line"), F.transform("scopes", lambda x: x["line"]).alias("_open"))
-    refs = m.where(F.col("type") == "ref").select("name", "path", "line", "column").join(open_at, ["path", "line"], "left")
-    around = F.concat(F.array(F.lit(-1).cast("bigint")), F.coalesce("_open", F.array().cast("array<bigint>")))
-    tries = refs.select("name", "path", "line", "column", F.posexplode(around).alias("_depth", "scope"))
-    near = tries.join(in_scope, ["path", "scope", "name"], "left").groupBy("name", "path", "line", "column").agg(
+    around = F.concat(F.array(F.lit(-1).cast("bigint")), F.transform("scopes", lambda x: x["line"]))
+    refs = mentions(df.withColumn("_open", around), chunk_rows, carry=("_open",)).where(F.col("type") == "ref")
+    tries = refs.select("name", "path", "line", "column", F.posexplode("_open").alias("_depth", "scope"))
+    near = tries.join(in_scope, ["path", "scope", "name"], "left").groupBy("path", "name", "line", "column").agg(
         F.max_by("qualname", F.when(F.col("qualname").isNotNull(), F.col("_depth"))).alias("_scope"))
-    out = near.join(in_file, ["path", "name"], "left").join(anywhere, "name", "left")
+    out = near.join(named, ["path", "name"], "left").join(anywhere, "name", "left")
     found = F.when(F.col("_scope").isNotNull(), F.lit("scope")).when(F.col("_file").isNotNull(), F.lit("file")).when(
-        F.col("_global").isNotNull(), F.lit("global"))
-    return out.select("name", "path", "line", "column", F.coalesce("_scope", "_file", "_global").alias("qualname"), found.alias("found"))
+        F.col("_import").isNotNull(), F.lit("import")).when(F.col("_global").isNotNull(), F.lit("global"))
+    return out.select("name", "path", "line", "column", F.coalesce("_scope", "_file", "_import", "_global").alias("qualname"), found.alias("found"))
 
 
 def defined_in(points: DataFrame, classified: DataFrame) -> DataFrame:
@@ -288,9 +272,7 @@ def enclosing(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 
 def block_scopes(blocks_df: DataFrame, lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """J-4 for blocks: each block with the innermost symbol open at its first line."""
-    open_at = scoped_lines(lines, chunk_rows).select(
-        "path", F.col("number").alias("line"),
-        F.array_join(F.concat(F.array(module_name("path")), F.transform("scopes", lambda x: x["name"])), ".").alias("enclosing"))
+    open_at = lexed_lines(lines, chunk_rows).select("path", F.col("number").alias("line"), F.array_join(_chain(), ".").alias("enclosing"))
     return blocks_df.join(open_at, ["path", "line"], "left")
 
 

@@ -50,8 +50,14 @@ def scope_lines(events: DataFrame) -> DataFrame:
             .when((t == "click") & (e % 4 == 0), F.concat(F.lit('        """Doc of '), i, F.lit('."""')))
             .when((t == "click") & (e % 4 == 1), F.concat(F.lit("    g"), i, F.lit(": int")))
             .when((t == "click") & (e % 4 == 2), F.concat(F.lit("        x = f"), f, F.lit("(y)")))
+            .when((t == "click") & (e % 12 == 3), F.concat(F.lit("    def h"), i, F.lit("(self,  # more")))
+            .when((t == "click") & (e % 12 == 7), F.concat(F.lit("        'Note "), i, F.lit(".'")))
             .when(t == "click", F.concat(F.lit("        x = "), i))
             .when((t == "error") & (e % 10 == 0), F.concat(F.lit('        """Open '), i))
+            .when((t == "error") & (e % 10 == 1), F.concat(F.lit("        q="), i, F.lit("):")))
+            .when((t == "error") & (e % 10 == 2), F.concat(F.lit("    s = 'part "), i, F.lit(" \\")))
+            .when((t == "error") & (e % 10 == 3), F.concat(F.lit("        r'''class R"), i, F.lit(": \\d'''")))
+            .when((t == "error") & (e % 10 == 4), F.lit('        """'))
             .when(t == "error", F.concat(F.lit("    y = "), i))
             .when(e % 4 == 0, F.concat(F.lit("import m"), i, F.lit("  # why")))
             .when(e % 4 == 1, F.concat(F.lit("from p import (a"), i, F.lit(", b as c"), i, F.lit(")")))
@@ -118,8 +124,15 @@ SELECT 'src/pkg' || CAST(user_id % 7 AS STRING) || '/mod' || CAST(user_id AS STR
             WHEN event_type = 'click' AND event_id % 4 = 0 THEN '        """Doc of ' || CAST(event_id AS STRING) || '."""'
             WHEN event_type = 'click' AND event_id % 4 = 1 THEN '    g' || CAST(event_id AS STRING) || ': int'
             WHEN event_type = 'click' AND event_id % 4 = 2 THEN '        x = f' || CAST(event_id % 20 AS STRING) || '(y)'
+            WHEN event_type = 'click' AND event_id % 12 = 3 THEN '    def h' || CAST(event_id AS STRING) || '(self,  # more'
+            WHEN event_type = 'click' AND event_id % 12 = 7 THEN '        ' || chr(39) || 'Note ' || CAST(event_id AS STRING) || '.' || chr(39)
             WHEN event_type = 'click' THEN '        x = ' || CAST(event_id AS STRING)
             WHEN event_type = 'error' AND event_id % 10 = 0 THEN '        """Open ' || CAST(event_id AS STRING)
+            WHEN event_type = 'error' AND event_id % 10 = 1 THEN '        q=' || CAST(event_id AS STRING) || '):'
+            WHEN event_type = 'error' AND event_id % 10 = 2 THEN '    s = ' || chr(39) || 'part ' || CAST(event_id AS STRING) || ' ' || chr(92)
+            WHEN event_type = 'error' AND event_id % 10 = 3
+              THEN '        r' || repeat(chr(39), 3) || 'class R' || CAST(event_id AS STRING) || ': ' || chr(92) || 'd' || repeat(chr(39), 3)
+            WHEN event_type = 'error' AND event_id % 10 = 4 THEN '        """'
             WHEN event_type = 'error' THEN '    y = ' || CAST(event_id AS STRING)
             WHEN event_id % 4 = 0 THEN 'import m' || CAST(event_id AS STRING) || '  # why'
             WHEN event_id % 4 = 1 THEN 'from p import (a' || CAST(event_id AS STRING) || ', b as c' || CAST(event_id AS STRING) || ')'

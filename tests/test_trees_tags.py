@@ -124,12 +124,46 @@ def test_fields_docstrings_and_references(spark):
     lines = lines_of(spark)
     assert [(r.qualname, r.line) for r in fields(lines).collect()] == [("pkg.mod.A.size", 3)]
     docs = {r.qualname: (r.doc_line, r.documentation) for r in docstrings(lines).collect()}
-    assert docs == {"pkg.mod.A": (1, "One\n  line."), "pkg.mod.A.n": (10, "Short.")}
-    found = {(r.name, r.line): (r.qualname, r.found) for r in references(mentions(lines), lines).collect()}
+    assert docs == {"pkg.mod.A": (1, "One\n  line."), "pkg.mod.A.m": (6, "plain"), "pkg.mod.A.n": (10, "Short.")}
+    found = {(r.name, r.line): (r.qualname, r.found) for r in references(lines).collect()}
     assert found["A", 7] == ("pkg.mod.A", "scope") and found["g", 12] == ("pkg.mod.A.n.g", "scope") and found["m", 12] == ("pkg.mod.A.m", "scope")
     assert found["A", 16] == ("pkg.mod.A", "scope") and found["self", 5] == (None, None)
 
 
+ODD = """from a.b import f as g, h
+import os.path, x.y as z
+from . import near
+from ..up import far
+def m(
+    self,
+):
+    (r'Odd \\d'
+     "one")
+    f = g(h, os.path, z, near, far, q='g')
+
+def n():
+    b"no"
+
+def o():
+    f'no'
+
+def p():
+    \"\"\"never closed
+class Q: pass
+"""
+
+
+def test_odd_documentation_and_references_through_imports(spark):
+    lines = lines_of(spark, ODD, "src/py/top/in/mod.py")
+    assert [(r.qualname, r.line, r.doc_line, r.documentation) for r in docstrings(lines).collect()] == [("top.in.mod.m", 4, 7, "Odd \\done")]
+    assert {r.name for r in symbols(lines).collect()} == {"mod", "m", "n", "o", "p"}
+    found = {r.name: (r.qualname, r.found) for r in references(lines).where("line = 9").collect()}
+    assert found == {"g": ("a.b.f", "import"), "h": ("a.b.h", "import"), "os": ("os", "import"), "path": (None, None), "z": ("x.y", "import"),
+                     "near": ("top.in.near", "import"), "far": ("top.up.far", "import"), "q": (None, None)}
+    kinds = {(r.name, r.type) for r in mentions(lines).collect()}
+    assert ("m", "def") in kinds and ("f", "asn") in kinds and not {n for n, _ in kinds} & {"Odd", "no", "Q", "r", "never"}
+
+
 def test_imports_in_all_forms(spark):
     text = ("import os  # c\nimport a.b as ab, sys\nfrom x import (y, z as w)\nfrom . import v\nfrom .q import u\n"
             "from p import (  # many\n    one,\n    two as t,  # second\n)\nfrom s import *\nx = 1\n")
