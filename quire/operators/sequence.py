@@ -9,27 +9,29 @@ hand-built machine lets the later rule win).  Atoms break a match
 (``contiguous``): an atom no rule can use is never inside a match, and
 neither is a null atom.
 
-Plan: atoms are numbered once per key with :func:`quire.plans.scan.number_rows`
-(range slices, no per-key window), for all machines together, and each becomes
-one private-use character per machine.  A key's sequence is cut into *segments*
-wherever no rule can hold the two neighbouring atoms side by side, so a match
-never crosses a cut.  A run of one atom that a rule repeats without bound is
-cut no further, but shortened: beyond the length at which repetition alone
-decides, its atoms add nothing, so a run of any length is a few characters and
-its true length.  Each segment is one short string, and the rules, compiled to
-one alternation, run over it by the W-6 tokenizer.
+Plan: atoms are dealt by a range repartition on ``(key, order)`` and written once, sorted, so a key that
+holds most of the rows lies in many slices and a slice is read as it lies.  All machines read it in
+one pass, as automata (:mod:`quire.operators.automaton`): no string, no list of a
+key's rows, two looks at each atom.  Keys within one slice, nearly all, need nothing else.  For the
+others each slice is summed up, first by what it makes of the set of states that can go on after it,
+then, with that set known, by what it makes of the state before it; one small row a
+slice and pass is put together per key.  There are at most two such rows a slice, and the number of
+slices is that of the ranges, so these rows are broadcast.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import number_rows, scan
-from .marks import marks
+from ..plans.scan import CHUNK, chunk_by_range, key_name, with_key
+from ..session import ensure_checkpoint_dir
+from .automaton import IDLE, Machine
 
 BASE_CHAR = 0xE000  # first private-use code point
 _ITEM = re.compile(r"^([A-Za-z0-9_.:\-]+?)([?+*]?)$")
@@ -102,32 +104,18 @@ class Compiled:
                         break
         return sorted(pairs)
 
-    def shortened(self) -> dict[str, int]:
-        """Characters whose runs may be shortened, with the length they keep.
-
-        A character qualifies if, in every rule, each stretch of items that
-        accept it accepts nothing else and repeats without bound.  A match then
-        takes a whole run or none of it, by the least count of the stretch alone.
-        """
-        keep: dict[str, int] = {}
-        for ch in [*self.code.values(), self.other]:
-            most, fits = 0, True
-            for items in self.items.values():
-                stretch: list[tuple[str, int, bool]] = []
-                for item in [*items, None]:
-                    if item is not None and ch in item[0]:
-                        stretch.append(item)
-                        continue
-                    if stretch:
-                        fits &= any(x[2] for x in stretch) and all(x[0] == ch for x in stretch)
-                        most = max(most, sum(x[1] for x in stretch))
-                    if item is not None:
-                        # an optional item between two stretches would let them touch
-                        fits &= not (stretch and item[1] == 0 and any(ch in x[0] for x in items[items.index(item) + 1:]))
-                    stretch = []
-            if fits and most:
-                keep[ch] = most + 1
-        return keep
+    def machine(self, symbols: Mapping[str, int], contiguous: bool = True) -> Machine:
+        """Automaton over the symbols that atoms have; ``symbols`` has one more for any other atom and one for null, ``""`` and ``None``."""
+        of: dict[str, set[int]] = {}
+        unusable = {symbols[None]}
+        for a, n in symbols.items():
+            if a is not None and (a in self.code or self.wild):
+                of.setdefault(self.code.get(a, self.other), set()).add(n)
+            else:
+                unusable.add(n)
+        items = [[(frozenset().union(*(of.get(c, ()) for c in chars)), least, unbounded) for chars, least, unbounded in its]
+                 for its in self.items.values()]
+        return Machine(items, len(symbols), *((unusable, frozenset()) if contiguous else (frozenset(), frozenset(unusable))))
 
     def sql_encode(self, atom_sql: str) -> str:
         whens = " ".join(f"WHEN {atom_sql} = '{a}' THEN chr({ord(ch)})" for a, ch in self.code.items())
@@ -150,68 +138,110 @@ def match_sequence(df: DataFrame, key: str, order: Sequence[str], atom: str, rul
 
 def match_each(df: DataFrame, key: str, order: Sequence[str], atom: str, machines: Mapping[str, Mapping[str, str]],
                partitions: int | None = None, *, contiguous: bool = True, emit_empty: bool = False) -> DataFrame:
-    """W-9: several independent matchers over one stream: ``(key, machine, rule, start, end)``."""
+    """W-9: several independent matchers over one stream: ``(key, machine, rule, start, end)``.
+
+    Null keys are one key, a null atom is one that no rule can use, rows that are equal in ``order`` stand in any order.
+    """
     compiled = {name: Compiled(rules) for name, rules in machines.items()}
-    seq = number_rows(df.select(key, *order, atom), [key], order, out="pos", partitions=partitions, prev={"_before": F.col(atom)})
-    out = None
-    for group in ([list(compiled)] if contiguous else [[n] for n in compiled]):
-        rows = seq
-        if not contiguous:
-            rows = rows.drop("_before").where(compiled[group[0]].consumable(F.col(atom)))
-            rows = scan(rows, [key], ["pos"], prev={"_before": F.col(atom)})
-        hits = _matches(rows, key, atom, {n: compiled[n] for n in group}, contiguous)
-        out = hits if out is None else out.unionByName(hits)
-    if emit_empty:
-        covered = out.select(key, "machine", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-        for name, c in compiled.items():
-            if c.empty:
-                free = seq.select(key, "pos").withColumn("machine", F.lit(name)).join(covered, [key, "machine", "pos"], "left_anti")
-                out = out.unionByName(free.select(key, "machine", F.lit(c.empty[0]).alias("rule"), F.col("pos").alias("start"),
-                                                  F.col("pos").alias("end")))
-    return out
-
-
-def _matches(seq: DataFrame, key: str, atom: str, machines: Mapping[str, Compiled], contiguous: bool) -> DataFrame:
-    """Matches of all machines over numbered atoms."""
-    names = list(machines)
-    # what a machine sees of an atom: its character, or nothing if no rule can use it
-    rows = seq.withColumns({f"{to}{i}": F.when(c.consumable(F.col(of)), c.encode(F.col(of)))
-                            for i, c in enumerate(machines.values()) for to, of in (("_ch", atom), ("_p", "_before"))})
-    # a run begins where the character changes or may not be shortened; a segment where two may not touch
-    flags = {}
-    for i, c in enumerate(machines.values()):
-        ch, before = F.col(f"_ch{i}"), F.col(f"_p{i}")
-        touch = F.coalesce(F.concat(before, ch).isin(*c.neighbours()), F.lit(False)) if c.neighbours() else F.lit(False)
-        short = F.coalesce(ch.isin(*c.shortened()), F.lit(False)) if c.shortened() else F.lit(False)
-        flags[f"_cut{i}"] = ~touch
-        flags[f"_run{i}"] = ~(touch & short & (ch == before))
-    rows = rows.withColumns(flags)
-    sums = {f"_{n}{i}": F.col(f"_{f}{i}").cast("bigint") for i in range(len(names)) for n, f in (("seg", "cut"), ("no", "run"))}
-    rows = scan(rows, [key], ["pos"], sums=sums)
-    views = F.array(*[F.struct(F.lit(i).alias("m"), F.col(f"_seg{i}").alias("seg"), F.col(f"_no{i}").alias("no"), F.col(f"_ch{i}").alias("ch"))
-                      for i in range(len(names))])
-    live = rows.select(key, "pos", F.explode(F.filter(views, lambda x: x["ch"].isNotNull())).alias("_v")).select(key, "pos", "_v.*")
-    runs = live.groupBy(key, "m", "seg", "no").agg(F.min("pos").alias("at"), F.max("pos").alias("to"), F.count(F.lit(1)).alias("n"),
-                                                 F.min("ch").alias("ch"))
-    kept = F.col("n")
-    for i, c in enumerate(machines.values()):
-        for ch, most in c.shortened().items():
-            kept = F.when((F.col("m") == i) & (F.col("ch") == ch), F.least(F.col("n"), F.lit(most))).otherwise(kept)
-    runs = runs.withColumn("kept", kept.cast("int"))
-    segs = runs.groupBy(key, "m", "seg").agg(F.array_sort(F.collect_list(F.struct("at", "to", "kept", "ch"))).alias("_runs"))
-    # first and last atom position behind each character of the string
-    spread = F.flatten(F.transform("_runs", lambda r: F.transform(F.sequence(F.lit(1), r["kept"]), lambda j: F.struct(
-        (r["at"] + j - 1).alias("first"), F.when(j == r["kept"], r["to"]).otherwise(r["at"] + j - 1).alias("last")))))
-    text = F.array_join(F.transform("_runs", lambda r: F.repeat(r["ch"], r["kept"])), "")
-    segs = segs.select(F.struct(F.col(key).alias("k"), "m", spread.alias("at")).alias("_id"), text.alias("_s"))
-    out = None
-    for i, (name, c) in enumerate(machines.items()):
-        found = marks(segs.where(F.col("_id.m") == i), c.ordered_rules(), key="_id", text="_s").where(~F.col("type").startswith("#"))
-        own = found.select(F.col("_id.k").alias(key), F.lit(name).alias("machine"), F.col("type").alias("rule"),
-                           F.get("_id.at", F.col("start").cast("int"))["first"].alias("start"),
-                           (F.get("_id.at", (F.col("end") - 1).cast("int"))["last"] + 1).alias("end"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    names = [None, ""] + [a for a in dict.fromkeys(a for c in compiled.values() for a in c.atoms) if a != ""]
+    symbols = {a: n for n, a in enumerate(names)}
+    symbol = F.when(F.col(atom).isNull(), F.lit(0))
+    for a, n in symbols.items():
+        if n > 1:
+            symbol = symbol.when(F.col(atom) == a, F.lit(n))
+    own = key_name([key])
+    rows = with_key(df.select(key, *order, symbol.otherwise(F.lit(1)).alias("_symbol")), [key])
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = (chunk_by_range(rows, [own], order, partitions).sortWithinPartitions(own, *order)
+            .select(own, CHUNK, F.col(key).alias("_k"), "_symbol").checkpoint(eager=True))
+    build = lambda: [c.machine(symbols, contiguous) for c in compiled.values()]
+    several = rows.groupBy(own).agg(F.min(CHUNK).alias("a"), F.max(CHUNK).alias("b")).where("a < b").select(own)
+    narrow = rows.join(F.broadcast(several), own, "left_semi")
+    ids = f"`{own}` string, {CHUNK} bigint"
+
+    def effects(batches):
+        found = build()
+        for k, chunk, _, _, seen in _sequences(batches, own):
+            yield pa.RecordBatch.from_pylist([{own: k, CHUNK: chunk, "n": len(seen), "sum": json.dumps([m.effect(seen) for m in found])}])
+
+    def sets(table: pa.Table) -> pa.Table:
+        table = table.sort_by(CHUNK)
+        after, out = None, []
+        for n, text in zip(reversed(table["n"].to_pylist()), reversed(table["sum"].to_pylist())):
+            each = json.loads(text)
+            after = [0] * len(each) if after is None else after
+            out.append({"n": n, "after": list(after)})
+            after = [Machine.applied(e, a) for e, a in zip(each, after)]
+        at = 0
+        for x in reversed(out):
+            x["base"], at = at, at + x["n"]
+        return pa.table({own: table[own], CHUNK: table[CHUNK], "known": [json.dumps(x) for x in reversed(out)]})
+
+    def passages(batches):
+        found = build()
+        for k, chunk, _, known, seen in _sequences(batches, own):
+            yield pa.RecordBatch.from_pylist([{own: k, CHUNK: chunk, "known": json.dumps(known), "sum": json.dumps(
+                [m.passage(seen, a) for m, a in zip(found, known["after"])])}])
+
+    def entries(table: pa.Table) -> pa.Table:
+        table = table.sort_by(CHUNK)
+        now, out = None, []
+        for text, summed in zip(table["known"].to_pylist(), table["sum"].to_pylist()):
+            known, each = json.loads(text), json.loads(summed)
+            now = [(IDLE, 0)] * len(each) if now is None else now
+            out.append(json.dumps(known | {"state": [s for s, _ in now], "begun": [b for _, b in now]}))
+            moved = [e[s] for e, (s, _) in zip(each, now)]      # the last entry is that of the idle state, -1
+            now = [(s, known["base"] + at if at >= 0 else b) for (s, at), (_, b) in zip(moved, now)]
+        return pa.table({own: table[own], CHUNK: table[CHUNK], "known": out})
+
+    def final(batches):
+        found, rules, free = build(), [list(c.rules) for c in compiled.values()], [c.empty for c in compiled.values()]
+        for _, _, k, known, seen in _sequences(batches, own):
+            out = []
+            for i, (name, m) in enumerate(zip(compiled, found)):
+                at = {"after": known["after"][i], "state": known["state"][i], "begun": known["begun"][i], "base": known["base"]} if known else {}
+                for rule, start, end in m.matches(seen, **at):
+                    if rule >= 0:
+                        out.append((name, rules[i][rule], start, end))
+                    elif emit_empty and free[i]:
+                        out.append((name, free[i][0], start, end))
+            for i in range(0, len(out), 1 << 16):
+                some = out[i:i + (1 << 16)]
+                yield pa.record_batch([pa.array([k] * len(some), key_type), *(pa.array([x[c] for x in some], t) for c, t in enumerate(
+                    (pa.string(), pa.string(), pa.int64(), pa.int64())))], names=[key, "machine", "rule", "start", "end"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    key_type = to_arrow_type(df.schema[key].dataType)
+    back = narrow.withColumn("known", F.lit(None).cast("string")).mapInArrow(effects, f"{ids}, n bigint, sum string").groupBy(own).applyInArrow(
+        sets, f"{ids}, known string")
+    ahead = narrow.join(F.broadcast(back), [own, CHUNK]).mapInArrow(passages, f"{ids}, known string, sum string").groupBy(own).applyInArrow(
+        entries, f"{ids}, known string")
+    out = f"`{key}` {df.schema[key].dataType.simpleString()}, machine string, rule string, start bigint, `end` bigint"
+    return rows.join(F.broadcast(ahead), [own, CHUNK], "left").mapInArrow(final, out)
+
+
+def _sequences(batches, own: str):
+    """``(key string, chunk, key, what is known of the slice, symbols)`` for each key of a partition, as its rows lie."""
+    at, first, seen = None, None, []
+    for batch in batches:
+        keys, chunks, ks, knowns = (batch.column(c) for c in (own, CHUNK, "_k", "known"))
+        ids, symbols = keys.to_pylist(), batch.column("_symbol").to_pylist()
+        begin = 0
+        while begin < len(ids):
+            # a batch is cut where the key changes; keys lie together
+            end = begin + 1
+            while end < len(ids) and ids[end] == ids[begin]:
+                end += 1
+            if at is None or ids[begin] != at:
+                if at is not None:
+                    yield at, *first, seen
+                known = knowns[begin].as_py()
+                at, first, seen = ids[begin], (chunks[begin].as_py(), ks[begin].as_py(), json.loads(known) if known else None), []
+            seen += symbols[begin:end]
+            begin = end
+    if at is not None:
+        yield at, *first, seen
 
 
 def sequence_sql(comp: Compiled, table: str, key: str, order: str, atom: str, machine: str | None = None) -> str:

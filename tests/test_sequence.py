@@ -177,4 +177,41 @@ def test_one_key_with_all_rows_keeps_runs_short(spark):
     long = spark.range(200000).selectExpr("0L AS k", "id AS i", "CASE WHEN id % 50000 = 49999 THEN 'stop' ELSE 'go' END AS a")
     got = match_sequence(long, "k", ["i"], "a", {"Run": "go+ stop", "Any": "_+"}, partitions=8).collect()
     assert sorted((r.rule, r.start, r.end) for r in got) == [("Run", n * 50000, (n + 1) * 50000) for n in range(4)]
-    assert Compiled({"Run": "go+ stop", "Any": "_+"}).shortened() == {chr(0xE000): 2}
+
+
+def test_one_key_of_alternating_atoms_is_read_in_slices(spark):
+    long = spark.range(1_000_000).selectExpr("0L AS k", "id AS i", "CASE WHEN id = 999999 THEN 'c' WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS a")
+    rules = {"Whole": "x a+", "Pair": "a b? c*", "Late": "b+ c"}
+    got = match_sequence(long, "k", ["i"], "a", rules, partitions=8)
+    plan = got._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+    found = got.groupBy("rule").agg(F.count("*").alias("n"), F.sum("start").alias("s"), F.max("end").alias("e")).collect()
+    assert {r.rule: (r.n, r.e) for r in found} == {"Pair": (500_000, 1_000_000)}
+    # what the first atom belongs to is decided by the last
+    ahead = spark.range(100_000).selectExpr("0L AS k", "id AS i", "CASE WHEN id = 99999 THEN 'c' ELSE 'a' END AS a")
+    got = match_sequence(ahead, "k", ["i"], "a", {"All": "a+ c", "One": "a"}, partitions=8).collect()
+    assert [(r.rule, r.start, r.end) for r in got] == [("All", 0, 100_000)]
+    got = match_sequence(ahead, "k", ["i"], "a", {"All": "a+ b", "One": "a"}, partitions=8)
+    assert got.where("rule = 'One' and end = start + 1").count() == 99_999 and got.count() == 99_999
+
+
+def test_slices_of_all_sizes_not_contiguous_and_empty(spark):
+    import random
+
+    rng = random.Random(13)
+    seqs = [[rng.choice(["a", "b", "c", "d", None, "a", "a"]) for _ in range(rng.randint(0, 30))] for _ in range(25)]
+    df = spark.createDataFrame([(k, i, a) for k, s in enumerate(seqs) for i, a in enumerate(s)], "k long, i long, a string")
+    machines = {str(n): r for n, r in enumerate(RULE_SETS)}
+    want = []
+    for n, r in enumerate(RULE_SETS):
+        atoms = {t.rstrip("?+*") for x in r.values() for t in x.split()}
+        usable = lambda a: a is not None and ("_" in atoms or a in atoms)
+        empty = [m for m, x in r.items() if all(t[-1] in "?*" for t in x.split())]
+        for k, s in enumerate(seqs):
+            at = [i for i, a in enumerate(s) if usable(a)]
+            hits = [(m, at[a], at[b - 1] + 1) for m, a, b in _walk(r, [s[i] for i in at])]
+            covered = {p for _, a, b in hits for p in range(a, b)}
+            want += [(k, str(n), *h) for h in hits] + [(k, str(n), empty[0], p, p) for p in range(len(s)) if empty and p not in covered]
+    for partitions in (1, 40):
+        got = match_each(df, "k", ["i"], "a", machines, partitions=partitions, contiguous=False, emit_empty=True).collect()
+        assert sorted((r.k, r.machine, r.rule, r.start, r.end) for r in got) == sorted(want)
