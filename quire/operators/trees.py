@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scan import number_rows, scan
 from ..session import ensure_checkpoint_dir
+from .spans import inside
 
 SEP = "/"
 # Sort key separator below every printable character: pre-order = key order.
@@ -74,11 +75,24 @@ def ancestors(nodes: DataFrame, sep: str = SEP) -> DataFrame:
         (F.size("_s") - F.col("_k")).cast("bigint").alias("distance"))
 
 
-def walk(nodes: DataFrame, sep: str = SEP) -> DataFrame:
-    """T-4 / K-5: pre-order position of every node within its root, and the
-    indented outline line.  Siblings are ordered by name."""
+def rooted(nodes: DataFrame, sep: str = SEP) -> DataFrame:
+    """Nodes with ``root``, the nearest of the node's own prefixes that is a node without a parent, and ``depth`` below it.
+
+    A root may stand at any depth of its path (``catalogue(full=False)``) and above another one.
+    """
     segs = F.split("id", sep)
-    w = nodes.withColumns({"root": F.element_at(segs, 1), "_key": F.array_join(segs, KEY_SEP)})
+    tops = roots(nodes).select(F.col("id").alias("root"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(segs)), lambda k: F.array_join(F.slice(segs, F.lit(1), k), sep))
+    near = nodes.select("id", F.explode(prefixes).alias("root")).join(tops, "root").groupBy("id").agg(
+        F.max_by("root", F.length("root")).alias("root"))
+    out = nodes.join(near, "id", "left").withColumn("root", F.coalesce("root", F.element_at(segs, 1)))
+    return out.withColumn("depth", (F.size(segs) - F.size(F.split("root", sep))).cast("bigint"))
+
+
+def walk(nodes: DataFrame, sep: str = SEP) -> DataFrame:
+    """T-4 / K-5: pre-order position of every node within its root, and the line
+    of the outline, indented from the root on.  Siblings are ordered by name."""
+    w = rooted(nodes, sep).withColumn("_key", F.array_join(F.split("id", sep), KEY_SEP))
     ranked = number_rows(w, ["root"], ["_key"], out="preorder")
     return ranked.select("id", "parent", "name", "depth", "root", "preorder",
                          F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.col("name")).alias("outline"))
@@ -150,8 +164,7 @@ def nest_tree(nodes: DataFrame, value: Column, sep: str = SEP) -> DataFrame:
     takes the depths of its neighbours in pre-order, so nothing is gathered: the
     lines of a root in order of ``preorder`` are its document.
     """
-    segs = F.split("id", sep)
-    w = nodes.withColumns({"root": F.element_at(segs, 1), "_key": F.array_join(segs, KEY_SEP), "_v": F.to_json(value)})
+    w = rooted(nodes.withColumn("_v", F.to_json(value)), sep).withColumn("_key", F.array_join(F.split("id", sep), KEY_SEP))
     ranked = number_rows(w, ["root"], ["_key"], out="preorder")
     nb = scan(ranked, ["root"], ["preorder"], prev={"_pd": F.col("depth")}, next={"_nd": F.col("depth")})
     below = F.coalesce("_nd", F.lit(0))
@@ -224,6 +237,66 @@ def walk_by_parent(nodes: DataFrame, ord: str = "ord") -> DataFrame:
     return number_rows(keyed, ["root"], ["_key"], out="preorder").select("id", "root", "depth", "preorder")
 
 
+def tour(nodes: DataFrame, ord: str = "ord") -> DataFrame:
+    """T-4 .. T-6 for any ids: ``(id, root, depth, preorder, size)``; siblings in the order of ``ord``, then id.
+
+    Every node is entered and left once; what comes next follows from its first child, next sibling and
+    parent.  This list is ranked by doubling: each round halves the steps that are left, so a tree of n
+    nodes takes log2(2 n) joins of 2 n rows, whatever its depth.  The subtree of a node is
+    the interval ``[preorder, preorder + size)`` of its root.  A parent that is not a node makes a root; a
+    cycle raises; rounds are checkpointed.  Ids must be unique and not null.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    base = nodes.select("id", "parent", F.col(ord).alias("o"))
+    known = base.select(F.col("id").alias("parent"), F.lit(True).alias("k"))
+    base = base.join(known, "parent", "left").select("id", F.when(F.col("k"), F.col("parent")).alias("parent"), "o")
+    base = base.withColumn("_pk", F.coalesce(F.concat(F.lit("="), F.col("parent").cast("string")), F.lit(""))).checkpoint(eager=True)
+    ranked = number_rows(base, ["_pk"], ["o", "id"], out="_at")
+    ranked = scan(ranked, ["_pk"], ["_at"], next={"after": F.col("id")})
+    first = base.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.min_by("id", F.struct("o", "id")).alias("child"))
+    links = ranked.join(first, "id", "left")
+    inner, up = F.col("parent").isNotNull(), F.lit(True)
+    entering = F.struct(F.lit(False).alias("left"), F.coalesce("child", "id").alias("to"), F.col("child").isNull().alias("to_left"), F.lit(1).alias("w"))
+    leaving = F.struct(up.alias("left"), F.when(inner, F.coalesce("after", "parent")).alias("to"), (inner & F.col("after").isNull()).alias("to_left"),
+                       F.lit(0).alias("w"))
+    steps = links.select("id", F.explode(F.array(entering, leaving)).alias("e")).select("id", "e.*")
+    now = steps.select("id", "left", "to", "to_left", F.col("w").cast("bigint").alias("entered"), (2 * F.col("w") - 1).cast("bigint").alias("net"),
+                       F.when(F.col("to").isNull(), F.col("id")).alias("root")).checkpoint(eager=True)
+    rounds = max(1, now.count()).bit_length() + 1
+    while not (open_ := now.where("to is not null")).isEmpty():
+        if not rounds:
+            raise ValueError("the parents of these nodes form a cycle")
+        ahead = now.select(F.col("id").alias("to"), F.col("left").alias("to_left"), F.col("to").alias("_to"), F.col("to_left").alias("_left"),
+                           F.col("entered").alias("_entered"), F.col("net").alias("_net"), F.col("root").alias("_root"))
+        moved = open_.join(ahead, ["to", "to_left"]).select("id", "left", F.col("_to").alias("to"), F.col("_left").alias("to_left"), (
+            F.col("entered") + F.col("_entered")).alias("entered"), (F.col("net") + F.col("_net")).alias("net"), F.col("_root").alias("root"))
+        now, rounds = now.where("to is null").unionByName(moved).checkpoint(eager=True), rounds - 1
+    at = lambda c, left: F.max(F.when(F.col("left") == left, F.col(c)))
+    sums = now.groupBy("id").agg(F.max("root").alias("root"), (-at("net", False)).alias("depth"), at("entered", False).alias("_from"),
+                                 (at("entered", False) - at("entered", True)).alias("size"))
+    whole = sums.where("id = root").select("root", F.col("_from").alias("_all"))
+    return sums.join(whole, "root").select("id", "root", "depth", (F.col("_all") - F.col("_from")).alias("preorder"), "size")
+
+
+def subtree_of(toured: DataFrame, tops: DataFrame, depth: int = -1) -> DataFrame:
+    """T-6 for any ids: ``(id, top, distance)`` of the nodes at or below each id of ``tops``, down to ``depth`` levels (-1: all)."""
+    spans = toured.join(tops.select("id").distinct(), "id").select(
+        "root", F.col("id").alias("top"), F.col("depth").alias("_top_depth"), F.col("preorder").alias("lo"), (F.col("preorder") + F.col("size")).alias("hi"))
+    held = inside(toured.select("root", "id", "depth", "preorder"), spans, ["root"], "preorder")
+    out = held.select("id", "top", (F.col("depth") - F.col("_top_depth")).alias("distance"))
+    return out if depth < 0 else out.where(F.col("distance") <= depth)
+
+
+def detached(nodes: DataFrame, toured: DataFrame, tops: DataFrame) -> DataFrame:
+    """T-7 for any ids: the nodes outside every subtree rooted at ``tops``."""
+    return nodes.join(subtree_of(toured, tops).select("id").distinct(), "id", "left_anti")
+
+
+def filtered(nodes: DataFrame, toured: DataFrame, keep: Column, prune: Column) -> DataFrame:
+    """F-7 for any ids: ``prune`` false drops a node and its whole subtree, ``keep`` false drops the node only."""
+    return detached(nodes, toured, nodes.where(~prune)).where(keep)
+
+
 def name_tree(col: Column | str) -> Column:
     """T-8: struct(parent, depth) of a dotted name (``a.b.c`` -> ``a.b``, 3)."""
     q = F.col(col) if isinstance(col, str) else col

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register, table
 from ..operators.marks import combined, marks, pair_marks
+from ..operators.spans import containing
 
 # Mark rules for HTML, in priority order (names with STA_/END_ are events).
 HTML_RULES = [
@@ -79,3 +80,19 @@ def q_html_depth(spark, sf):
     tags = marks(pages, HTML_RULES, key="page_id", text="html").withColumn(
         "name", F.lower(F.regexp_extract("text", "^</?([A-Za-z][A-Za-z0-9]*)", 1)))
     return pair_marks(tags, key="page_id", name="name").withColumn("level", F.col("level").cast("bigint"))
+
+
+@register("span_nesting", "WITH el AS (" + HTML_DEPTH_SQL + """),
+e AS (SELECT page_id, piece, start AS lo, span_end AS hi FROM el WHERE span_end IS NOT NULL)
+SELECT i.page_id, i.piece, o.piece AS enclosing,
+       row_number() OVER (PARTITION BY i.page_id, i.piece ORDER BY o.hi - o.lo, o.lo DESC, o.piece) AS distance
+FROM e i JOIN e o ON o.page_id = i.page_id AND o.lo <= i.lo AND i.hi <= o.hi AND o.hi - o.lo > i.hi - i.lo
+""")
+def q_span_nesting(spark, sf):
+    """J-4: elements in elements, by character offsets, to any depth."""
+    pages = table(spark, sf, "pages").select("page_id", "html")
+    tags = marks(pages, HTML_RULES, key="page_id", text="html").withColumn(
+        "name", F.lower(F.regexp_extract("text", "^</?([A-Za-z][A-Za-z0-9]*)", 1)))
+    spans = pair_marks(tags, key="page_id", name="name").where("span_end is not null").select(
+        "page_id", "piece", F.col("start").alias("lo"), F.col("span_end").alias("hi"))
+    return containing(spans, spans, ["page_id"], "piece")

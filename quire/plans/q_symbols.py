@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register, table
 from ..operators.blocks import blocks, classify_lines
+from ..operators.spans import innermost
 from ..operators.symbols import (attach_docs, check_unique, defined_in, docstring_lines, docstrings, enclosing, fields, imports, mentions,
                                  mentions_by_symbol, references, register_symbols, slots, submodules, symbols)
 from ..operators.tags import SYMBOL_KINDS, kind_lookup
@@ -279,6 +280,24 @@ def q_references(spark, sf):
     return references(with_offsets(scope_lines(table(spark, sf, "events"))))
 
 
+@register("mentions_in_symbols", with_tables(SYMBOLS_CTE + MENTIONS_CTE + """,
+fz AS (SELECT path, max(number) + 1 AS number, max_by(off + length(text), number) AS off FROM lx GROUP BY path),
+oo AS (SELECT path, number, off FROM lx UNION ALL SELECT path, number, off FROM fz),
+sy AS (SELECT s.path, s.qualname, s.line, a.off AS lo, z.off AS hi FROM syms s JOIN oo a ON a.path = s.path AND a.number = s.line
+       JOIN oo z ON z.path = s.path AND z.number = s.end_line)
+SELECT m.name, m.path, m."offset", arg_max(sy.qualname, (sy.lo - sy.hi, sy.lo, sy.qualname)) AS within
+FROM m LEFT JOIN sy ON sy.path = m.path AND sy.lo <= m."offset" AND m."offset" < sy.hi GROUP BY m.name, m.path, m."offset"
+""", "scope_lines", recursive=True))
+def q_mentions_in_symbols(spark, sf):
+    """J-3 by offsets: the innermost symbol whose characters hold a mention."""
+    lines = with_offsets(scope_lines(table(spark, sf, "events")))
+    offsets = lines.select("path", "number", "offset").unionByName(lines.groupBy("path").agg(
+        (F.max("number") + 1).alias("number"), F.max(F.col("offset") + F.length("text")).alias("offset")))
+    ends = [offsets.select("path", F.col("number").alias(n), F.col("offset").alias(o)) for n, o in (("line", "lo"), ("end_line", "hi"))]
+    spans = symbols(lines).select("path", "qualname", "line", "end_line").join(ends[0], ["path", "line"]).join(ends[1], ["path", "end_line"])
+    return innermost(mentions(lines).select("name", "path", "offset"), spans.select("path", "qualname", "lo", "hi"), ["path"], "offset", "qualname")
+
+
 def _block_state_sql() -> str:
     """The W-1 recursive state CTEs of BLOCKS_SQL, without its final SELECT."""
     body = BLOCKS_SQL

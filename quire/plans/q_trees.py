@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import register, table
 from ..operators.symbols import module_name
-from ..operators.trees import (ancestors, catalogue, children, detach, edges_dot, leaf_flags, name_tree, nest_tree,
-                               outline_numbered, path_parts, roots, siblings, siblings_of, subtree, tree_filter, walk, walk_by_parent)
+from ..operators.trees import (ancestors, catalogue, children, detach, detached, edges_dot, filtered, leaf_flags, name_tree, nest_tree,
+                               outline_numbered, path_parts, roots, siblings, siblings_of, subtree, subtree_of, tour, tree_filter, walk,
+                               walk_by_parent)
 from ..sources.derived import module_files, with_tables
 
 URL_PATH_SQL = r"""regexp_replace(regexp_replace(
@@ -226,3 +227,92 @@ def q_name_tree(spark, sf):
     names = module_files(table(spark, sf, "events")).select(module_name("path", "").alias("name")).distinct()
     tree = name_tree("name")
     return names.select("name", tree["parent"].alias("parent"), tree["depth"].alias("depth"))
+
+
+# Only direct parents are nodes, so roots stand at any depth of their paths.
+DIRECT_SQL = f"""
+WITH RECURSIVE files AS (SELECT DISTINCT {URL_PATH_SQL} AS id FROM pages WHERE {URL_PATH_SQL} <> ''),
+dirs AS (SELECT DISTINCT regexp_extract(id, '^(.*)/[^/]*$', 1) AS id FROM files WHERE contains(id, '/')),
+all_nodes AS (SELECT id, true AS is_file FROM files UNION ALL SELECT id, false FROM dirs WHERE id NOT IN (SELECT id FROM files)),
+nodes AS (SELECT a.id, p.id AS parent, string_split(a.id, '/')[-1] AS name, a.is_file
+          FROM all_nodes a LEFT JOIN all_nodes p ON p.id = regexp_extract(a.id, '^(.*)/[^/]*$', 1)),
+t AS (SELECT id, parent, name, is_file, id AS root, 0::BIGINT AS depth FROM nodes WHERE parent IS NULL
+      UNION ALL SELECT n.id, n.parent, n.name, n.is_file, t.root, t.depth + 1 FROM t JOIN nodes n ON n.parent = t.id),
+w AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY replace(id, '/', chr(1))) - 1 AS preorder FROM t)
+"""
+
+
+def direct_nodes(spark, sf):
+    return catalogue(url_paths(table(spark, sf, "pages").select("url")), full=False)
+
+
+@register("tree_walk_direct", DIRECT_SQL + """
+SELECT id, parent, name, depth, root, preorder, repeat('  ', CAST(depth AS INTEGER)) || name AS outline FROM w
+""")
+def q_tree_walk_direct(spark, sf):
+    """T-4, K-5 where roots are not first segments of their paths."""
+    return walk(direct_nodes(spark, sf))
+
+
+@register("nest_tree_direct", DIRECT_SQL + """,
+n AS (SELECT *, lag(depth) OVER x AS pd, COALESCE(lead(depth) OVER x, 0) AS nd FROM w WINDOW x AS (PARTITION BY root ORDER BY preorder))
+SELECT root, preorder, CASE WHEN pd >= depth THEN ',' ELSE '' END || '{"id":' || CAST(to_json(id) AS VARCHAR) || ',"value":{"name":'
+  || CAST(to_json(name) AS VARCHAR) || ',"is_file":' || CAST(is_file AS VARCHAR) || '},"children":'
+  || CASE WHEN nd > depth THEN '[' ELSE 'null}' || repeat(']}', CAST(depth - nd AS INTEGER)) END AS json
+FROM n
+""")
+def q_nest_tree_direct(spark, sf):
+    """K-3 where roots are not first segments of their paths."""
+    return nest_tree(direct_nodes(spark, sf), F.struct("name", "is_file"))
+
+
+# Ids that say nothing about their place: hashes of the paths, longest names first.
+HASHED_SQL = NODES_SQL.replace("WITH files", "WITH RECURSIVE files", 1) + """,
+o AS (SELECT md5(id) AS id, md5(parent) AS parent, CAST(-length(name) AS BIGINT) AS ord, name, is_file FROM nodes),
+t AS (SELECT id, id AS root, 0::BIGINT AS depth, [printf('%06d', ord + 100000) || id] AS k FROM o WHERE parent IS NULL
+      UNION ALL SELECT o.id, t.root, t.depth + 1, list_append(t.k, printf('%06d', o.ord + 100000) || o.id) FROM t JOIN o ON o.parent = t.id),
+up AS (SELECT id, id AS top, 0::BIGINT AS distance, parent AS at FROM o
+       UNION ALL SELECT up.id, o.id, up.distance + 1, o.parent FROM up JOIN o ON o.id = up.at)
+"""
+
+
+def hashed_nodes(spark, sf):
+    return url_nodes(spark, sf).select(F.md5("id").alias("id"), F.md5("parent").alias("parent"), (-F.length("name")).cast("bigint").alias("ord"),
+                                       "name", "is_file")
+
+
+@register("tree_tour", HASHED_SQL + """
+SELECT t.id, root, depth, row_number() OVER (PARTITION BY root ORDER BY k) - 1 AS preorder,
+       (SELECT count(*) FROM up WHERE up.top = t.id) AS size
+FROM t
+""")
+def q_tree_tour(spark, sf):
+    """Pre-order, depth and subtree size from ids and parents alone."""
+    return tour(hashed_nodes(spark, sf))
+
+
+@register("subtree_any_ids", HASHED_SQL + """
+SELECT up.id, top, distance FROM up JOIN o ON o.id = up.top WHERE o.name IN ('fr', 'en', 'a') OR o.parent IS NULL
+""")
+def q_subtree_any_ids(spark, sf):
+    """T-6: nested tops, one row for each top above a node."""
+    nodes = hashed_nodes(spark, sf)
+    return subtree_of(tour(nodes), nodes.where(F.col("name").isin("fr", "en", "a") | F.col("parent").isNull()))
+
+
+@register("detach_any_ids", HASHED_SQL + """
+SELECT id, name FROM o WHERE NOT EXISTS (SELECT 1 FROM up JOIN o p ON p.id = up.top WHERE up.id = o.id AND p.name = 'en')
+""")
+def q_detach_any_ids(spark, sf):
+    """T-7 on any ids."""
+    nodes = hashed_nodes(spark, sf)
+    return detached(nodes, tour(nodes), nodes.where("name = 'en'")).select("id", "name")
+
+
+@register("tree_filter_any_ids", HASHED_SQL + """
+SELECT id, name FROM o WHERE is_file AND NOT EXISTS (SELECT 1 FROM up JOIN o p ON p.id = up.top WHERE up.id = o.id AND p.name = 'fr')
+""")
+def q_tree_filter_any_ids(spark, sf):
+    """F-7 on any ids."""
+    nodes = hashed_nodes(spark, sf)
+    return filtered(nodes, tour(nodes), F.col("is_file"), F.col("name") != "fr").select("id", "name")
