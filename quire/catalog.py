@@ -32,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> None:
     """Import the query modules so that they register themselves."""
-    from .plans import q_lines, q_marks, q_sequence, q_symbols, q_tags, q_text, q_trees  # noqa: F401
+    from .plans import q_files, q_lines, q_marks, q_sequence, q_symbols, q_tags, q_text, q_trees  # noqa: F401

@@ -1,15 +1,11 @@
 """File sources (S-1, S-4).
 
-``scan_files`` reads a directory tree with Spark's ``binaryFile`` source.
-Spark's listing skips names starting with ``_`` or ``.`` (``__init__.py``),
-so ``read_manifest`` reads an explicit ``path`` table instead: the reads
-happen inside tasks (``mapInPandas``), spread over the cluster, from the
-shared file system the paths point to.
+``scan_files`` reads a directory tree, ``read_manifest`` the files that a ``path`` table names; both read
+inside tasks, from a file system that the executors share.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,18 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from .documents import scan_folder
 
 
 def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """S-1: ``(path, content)`` for every file under ``root``; ``path`` is
-    relative to the root; content decoded as UTF-8."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(root)
-    base = re.sub(r"^file:/*(?=/)", "", root).rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/*(?=/)", ""), "^" + re.escape(base), "")
-    return df.select(rel.alias("path"), F.decode("content", "UTF-8").alias("content"))
+    """S-1: ``(path, content)`` for every file under ``root``, hidden and private names included; ``path`` is
+    relative to the root; content decoded as UTF-8 (see :func:`quire.sources.documents.scan_folder`)."""
+    return scan_folder(spark, root, [glob] if glob else None).select("path", "content")
 
 
 #: Characters of content handed on at once.
