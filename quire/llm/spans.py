@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, short_batches
@@ -132,27 +133,71 @@ def _halves(hashes: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
 
 
+#: Runs a task compares among themselves before it sends them on.
+HELD_RUNS = 1 << 19
+
+
 def repeated_runs(rows: DataFrame, sentences: int, words: int) -> DataFrame:
-    """``doc_id, hashes``: per document the runs (low halves of their hashes) that a document with a smaller id has too."""
+    """``doc_id, row_key, hashes``: per document the runs (low halves of their hashes) that an earlier document has too.
+
+    A document is ``(doc_id, row_key)``, and documents are in that order, those without an id last.
+    A task first compares the runs it has itself: of a run in several of its documents, only the first one's goes on to be
+    compared, the others are repeats already and are dealt by document.  So a run that a third of all documents
+    share is one row a task, and one exchange serves for finding the first place and for marking the others.
+    """
+    def settled(parts):
+        docs = pa.Table.from_batches([d for d, _, _ in parts])
+        order = pc.sort_indices(docs, [("doc_id", "ascending"), ("row_key", "ascending")], null_placement="at_end").to_numpy()
+        sorted_docs = docs.take(pa.array(order))
+        rank = np.zeros(len(order), np.int64)
+        if len(order) > 1:
+            same = np.ones(len(order) - 1, bool)
+            for c in sorted_docs.columns:
+                a, b = c.slice(0, len(order) - 1).combine_chunks(), c.slice(1).combine_chunks()
+                alike = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+                same &= alike.to_numpy(zero_copy_only=False).astype(bool)
+            rank[order] = np.concatenate([[0], np.cumsum(~same)])
+        offsets = np.cumsum([0, *[len(d) for d, _, _ in parts]])
+        doc = np.concatenate([np.repeat(np.arange(len(counts)), counts) + at for (_, counts, _), at in zip(parts, offsets)])
+        halves = np.concatenate([h for _, _, h in parts])
+        by = np.lexsort((rank[doc], halves[:, 1], halves[:, 0]))
+        doc, halves = doc[by], halves[by]
+        if not len(doc):
+            return
+        new = np.concatenate([[True], (halves[1:] != halves[:-1]).any(axis=1)])
+        first = rank[doc][np.flatnonzero(new)][np.cumsum(new) - 1]
+        again = rank[doc] != first
+        kept = new | again          # a row that repeats an id and a text adds nothing
+        for i in range(0, len(kept), 1 << 16):
+            at = np.flatnonzero(kept[i:i + (1 << 16)]) + i
+            of = docs.take(pa.array(doc[at])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([of["doc_id"].combine_chunks(), of["row_key"].combine_chunks(), pa.array(halves[at, 0]), pa.array(halves[at, 1]),
+                                              pa.array(again[at])], names=["doc_id", "row_key", "high", "low", "again"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             counts, hashes = [], []
             for text in batch.column("text"):
                 mine = {h for _, _, h in runs_of(sentences_of(text.as_py() or ""), sentences, words)}
                 counts.append(len(mine))
                 hashes += mine
-            halves = _halves(hashes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(halves[:, 0]),
-                 pa.array(halves[:, 1])], names=["doc_id", "high", "low"])
+            held.append((batch.select(["doc_id", "row_key"]), counts, _halves(hashes)))
+            size += len(hashes)
+            if size >= HELD_RUNS:
+                yield from settled(held)
+                held, size = [], 0
+        if held:
+            yield from settled(held)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    runs = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, high long, low long")
-    shared = (runs.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-              .filter("n > 1").select("high", "low", "first"))
-    again = runs.join(shared, ["high", "low"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id").agg(F.collect_set("low").alias("hashes"))
+    runs = rows.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {kind}, row_key bigint, high bigint, low bigint, again boolean")
+    # repeats that are known are dealt by document, each a group of its own
+    runs = runs.select("doc_id", "row_key", "high", "low", F.when(F.col("again"), F.xxhash64("doc_id", "row_key")).alias("apart"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    first = F.min(own).over(Window.partitionBy("apart", "high", "low"))
+    again = runs.withColumn("first", first).filter(F.col("apart").isNotNull() | ~own.eqNullSafe(F.col("first")))
+    return again.groupBy("doc_id", "row_key").agg(F.collect_set("low").alias("hashes"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 3,
@@ -161,26 +206,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``text`` is what remains, ``removed`` the removed spans as character offsets
     of the input text.  Of a run found in several documents the one with the
-    smallest id keeps it; inside one document the earliest place does.  Only
-    hashes and ids are shuffled to find repeats (a run once per document); a
-    passage that many documents share is an ordinary skewed join key.  A
-    document's own list of repeated runs is no longer than the document.
+    smallest id keeps it (rows that share an id: the smallest hash of the text); inside one
+    document the earliest place does.  Only hashes and ids are shuffled to find
+    repeats, a run once per document, and of a run that many documents share
+    once per task.  A document's own list of repeated runs is no longer than the document.
 
     ``carry`` names further input columns to hand through in a struct ``rest``.
 
     * null text: stays null, no sentence; empty text: no sentence;
-    * null id: never first unless every document with the run lacks an id;
-    * repeated rows, or rows that share an id: one document, so a run they share
-      with each other only is kept in all of them;
+    * null id: never first unless every document with the run lacks an id, then the
+      smallest hash of the text is;
+    * repeated rows: rows with one id and one text are one document and get one answer, so a run
+      they share with each other only is kept in all of them; rows that share an id only are documents of their own;
+    * very long texts are cut and compared whole;
     * empty table: no rows.  Columns not named are ignored.
     """
     short_batches(docs.sparkSession)
     names = {f"r{i}": n for i, n in enumerate(carry or [])}
-    rows = pick(docs, doc_id=id_col, text=text_col, **names)
-    again = repeated_runs(rows, sentences, words).withColumnRenamed("doc_id", "again_id")
+    rows = pick(docs, doc_id=id_col, text=text_col, **names).withColumn("row_key", F.xxhash64("text"))
+    again = repeated_runs(rows, sentences, words).withColumnsRenamed({"doc_id": "again_id", "row_key": "again_key"})
     rest = [F.struct(*[F.col(a).alias(n) for a, n in names.items()]).alias("rest")] if names else []
-    joined = (rows.select("doc_id", "text", *rest)
-              .join(again, F.col("doc_id").eqNullSafe(F.col("again_id")), "left").drop("again_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("row_key") == F.col("again_key"))
+    joined = rows.select("doc_id", "row_key", "text", *rest).join(again, same, "left").drop("row_key", "again_id", "again_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

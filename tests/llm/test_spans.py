@@ -1,12 +1,20 @@
 import random
 
+import xxhash
+
 from quire.llm.spans import remove_repeats, runs_of, sentences_of
 
 
+def signed(text):
+    value = xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def brute(rows, sentences=3, words=20):
     """All rows at once: hash-free comparison of every run's folded sentences."""
     first, out = {}, []
     runs = []
+    rank = lambda doc, text: (doc is None, doc or 0, signed(text or ""))
     for n, (doc, text) in enumerate(rows):
         units = sentences_of(text or "")
         mine = []
@@ -18,13 +26,11 @@ def brute(rows, sentences=3, words=20):
         runs.append((units, mine))
         for _, _, key in mine:
             ids = first.setdefault(key, set())
-            ids.add(doc)
+            ids.add(rank(doc, text))
     for (doc, text), (units, mine) in zip(rows, runs):
         seen, gone = set(), set()
         for i, j, key in mine:
-            known = [d for d in first[key] if d is not None]
-            least = min(known) if known else None
-            if key in seen or doc != least:
+            if key in seen or rank(doc, text) != min(first[key]):
                 gone.update(range(i, j + 1))
             seen.add(key)
         kept = "".join(text[u[0]:u[1]] for n, u in enumerate(units) if n not in gone) if gone else text
@@ -59,7 +65,8 @@ def test_equals_brute_force(spark):
             parts += [rng.choice(passages), prose(rng.randint(0, 40))]
         rows.append((rng.choice([i, i, i, i, 7, None]), " ".join(parts)))
     rows += [(500, None), (501, ""), (502, "..."), (503, rows[0][1]), (503, rows[0][1]), (504, ("long words here, " * 20000))]
-    docs = spark.createDataFrame([(d, t, "x", 0) for d, t in rows], "doc_id long, text string, removed string, Text int")
+    rows += [(None, passages[0] + f" tail {i}") for i in range(30)] + [(7, passages[1] + f" tail {i}") for i in range(30)]
+    docs = spark.createDataFrame([(d, t, "x", 0) for d, t in rows], "doc_id long, text string, removed string, Text int").repartition(5)
     got = sorted(((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in remove_repeats(docs).collect()), key=key)
     assert got == sorted(brute(rows), key=key)
     assert sum(r[3] for r in got) > 200
