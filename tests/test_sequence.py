@@ -99,6 +99,78 @@ def test_stream_equals_batch_with_idle_keys(spark):
     assert {(r[0], p) for r in limited for p in range(r[2], r[3])} == {(r.k, p) for r in ends for p in range(r.start, r.end)}
 
 
+def test_pending_atoms_stay_few_and_are_final():
+    import random
+
+    from quire.streaming.sequence import Pending
+
+    rng = random.Random(21)
+    for rules in RULE_SETS + [{"All": "a+ b", "One": "a"}]:
+        c = Compiled(rules)
+        symbols = {a: n for n, a in enumerate([None, "", *c.atoms])}
+        machine = c.machine(symbols)
+        for _ in range(60):
+            atoms = [rng.choice(["a", "b", "c", "d", None, "a", "a"]) for _ in range(rng.randint(0, 30))]
+            pending, got, at = Pending(machine), [], 0
+            while at < len(atoms):
+                n = rng.randint(1, 4)
+                pending.add([symbols.get(a, 1) for a in atoms[at:at + n]])
+                got += list(pending.decided())
+                pending = Pending(machine, pending.state, pending.begun, pending.base, pending.runs)
+                at += n
+            got += list(pending.decided(ended=True))
+            assert [(list(rules)[r], s, e) for r, s, e in got] == _walk(rules, atoms)
+    c = Compiled({"All": "a+ b", "One": "a", "Two": "c c+"})
+    symbols = {a: n for n, a in enumerate([None, "", *c.atoms])}
+    for atom, runs in (("a", 1), ("c", 1)):
+        pending = Pending(c.machine(symbols))
+        for _ in range(1000):
+            pending.add([symbols[atom]] * 1000)
+            assert list(pending.decided()) == [] and len(pending.runs) == runs
+        assert pending.runs[0][1] == (1_000_000 if atom == "a" else 1)
+        pending.add([symbols["b"]])
+        assert list(pending.decided(True)) == ([(0, 0, 1_000_001)] if atom == "a" else [(2, 0, 1_000_000)])
+
+
+def test_typed_lines_stream_equals_batch(spark):
+    import random
+
+    from quire.operators.blocks import typed_lines
+    from quire.sources.lines import scan_lines
+    from quire.streaming.lines import typed_lines_stream
+
+    rng = random.Random(6)
+    parts = ["# -- one two \n", "#\t--- x\n", "# note\n", "  # note é\n", "x = 1\n", "\n", "#--\n", "# -\n"]
+    files = [(f"f{i}", "".join(rng.choice(parts) for _ in range(rng.choice([1, 3, 25])))) for i in range(15)]
+    lines = scan_lines(spark.createDataFrame(files, "path string, content string"))
+    rows = [(r.path, r.number, r.text) for r in lines.collect()]
+    src = tempfile.mkdtemp(prefix="quire-st2-")
+    # most lines in order, some early, some twice
+    batches = [[] for _ in range(6)]
+    for path, number, text in rows:
+        b = min(5, max(0, number // 5 + rng.choice([0, 0, 0, -1, 1])))
+        batches[b].append((path, number, text))
+        if rng.random() < 0.1:
+            batches[min(5, b + 1)].append((path, number, text))
+    for b, some in enumerate(batches):
+        rng.shuffle(some)
+        spark.createDataFrame(some, "path string, number long, text string").coalesce(1).write.parquet(os.path.join(src, f"b{b}"))
+    flat = tempfile.mkdtemp(prefix="quire-st2-flat-")
+    for b in range(6):
+        for f in os.listdir(os.path.join(src, f"b{b}")):
+            if f.endswith(".parquet"):
+                os.link(os.path.join(src, f"b{b}", f), os.path.join(flat, f"part-{b:03d}.parquet"))
+                os.utime(os.path.join(flat, f"part-{b:03d}.parquet"), (1000 + b, 1000 + b))
+    stream = spark.readStream.schema("path string, number long, text string").option("maxFilesPerTrigger", 1).parquet(flat)
+    q = (typed_lines_stream(stream).writeStream.outputMode("append").format("memory").queryName("st2_lines")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="quire-st2-ckpt-")).trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    names = ["path", "number", "text", "offset", "kind", "meta", "block_no", "starts"]
+    got = sorted(tuple(r) for r in spark.sql(f"SELECT {', '.join(names)} FROM st2_lines").collect())
+    want = sorted(tuple(r) for r in typed_lines(lines.drop("offset")).select(*names).collect())
+    assert got == want and len(got) == len(rows)
+
+
 def test_marks_stream_equals_batch(spark):
     rules = [("END_tag", "</[a-z]+>"), ("STA_tag", "<[a-z]+>"), ("word", r"\bx\b")]
     docs = spark.createDataFrame([(i, f"<a>x{i} x </a> é<b>" * i) for i in range(20)], "doc_id long, text string")
