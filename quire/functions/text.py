@@ -8,8 +8,10 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.blocks import MARKER_META
 
@@ -225,14 +227,42 @@ INLINE = [
 INLINE_ANY = "|".join(rx for _, rx in INLINE)
 
 
-def inline_spans(col: Column | str, levels: int = 3) -> Column:
+def inline_spans(col: Column | str, levels: int | None = None) -> Column:
     """E-9: array of ``struct(level, kind, start, end, text)`` for the inline spans of a line.
 
     The earliest start wins; ``text`` is what stands between the delimiters and
-    is searched again, ``levels`` deep.  ``start`` and ``end`` count characters
-    of the whole line, delimiters included.
+    is searched again, to any depth, or ``levels`` deep if that is given.  ``start`` and ``end`` count characters
+    of the whole line, delimiters included; a span stands before those within it.  Null text: null.
+
+    Any depth takes a stack, which built-in expressions do not have: texts go to Python in Arrow
+    batches.  With ``levels`` the expression is built-in and as large as it is deep.
     """
-    return _spans(_c(col), F.lit(0), 1, levels)
+    return _all_spans(_c(col)) if levels is None else _spans(_c(col), F.lit(0), 1, levels)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (
+    ("level", T.IntegerType()), ("kind", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("text", T.StringType()))])))
+def _all_spans(texts: pd.Series) -> pd.Series:
+    any_, each = re.compile(INLINE_ANY), [(name, re.compile(rx)) for name, rx in INLINE]
+
+    def spans(text):
+        if text is None:
+            return None
+        out, todo = [], [(text, 0, 1)]
+        while todo:
+            body, base, level = todo.pop()
+            below = []
+            for m in any_.finditer(body):
+                name, own = next((n, w) for n, rx in each if (w := rx.fullmatch(m[0])))
+                begin = base + m.start()
+                found = {"level": level, "kind": name, "start": begin, "end": begin + len(m[0]), "text": own[1]}
+                below.append((found, (own[1], begin + (2 if m[0].startswith(("**", "<<")) else 1), level + 1)))
+            out += [f for f, _ in below]
+            todo += [b for _, b in below]
+        # a span stands before those within it
+        return sorted(out, key=lambda f: (f["start"], f["level"]))
+
+    return texts.map(spans)
 
 
 def _spans(s: Column, base: Column, level: int, levels: int) -> Column:
@@ -298,28 +328,55 @@ def expand_tokens(col: Column | str, context: Column, on_missing: str = "error")
     return F.when(F.size(names) > 0, expanded).otherwise(s)
 
 
-_FIELD = re.compile(r"\{([A-Za-z_][A-Za-z0-9_.]*)\}")
+_FIELD = re.compile(r"\{((?:[A-Za-z_][A-Za-z0-9_.]*)?)\}")
+
 
+def apply_template(items: Column | str, template: str, sep: str = "", shape: str = "array") -> Column:
+    """E-13: render ``template`` once per value, joined by ``sep``; null renders nothing.
 
-def apply_template(items: Column | str, template: str, sep: str = "") -> Column:
-    """E-13: render ``template`` (``{field.path}`` placeholders) once per
-    element of an array of structs, joined; a null array renders nothing."""
+    ``shape`` says what ``items`` is: an ``array`` of structs, ``values`` (an array of plain values), a ``map``, or ``one``
+    struct or plain value.  ``{field.path}`` is a field of the value, ``{key}`` the key of a map's entry and ``{key.a}`` a field of
+    it, ``{value}`` its value; ``{}`` is the value itself, with ``{index}`` its place from 0.  A map is rendered in the
+    order of its keys.
+    """
     pieces = _FIELD.split(template)
 
-    def render(x: Column) -> Column:
-        parts = []
-        for i, p in enumerate(pieces):
-            if i % 2 == 0:
-                if p:
-                    parts.append(F.lit(p))
-            else:
-                v = x
-                for k in p.split("."):
-                    v = v.getField(k)
-                parts.append(F.coalesce(v.cast("string"), F.lit("")))
-        return F.concat(*parts) if parts else F.lit("")
-
-    return F.coalesce(F.array_join(F.transform(_c(items), render), sep), F.lit(""))
+    def render(fields):
+        def one(x: Column, i: Column) -> Column:
+            parts = []
+            for n, p in enumerate(pieces):
+                if n % 2 == 0:
+                    if p:
+                        parts.append(F.lit(p))
+                else:
+                    parts.append(F.coalesce(fields(x, i, p.split(".") if p else []).cast("string"), F.lit("")))
+            return F.concat(*parts) if parts else F.lit("")
+        return one
+
+    def path(v: Column, names: list[str]) -> Column:
+        for k in names:
+            v = v.getField(k)
+        return v
+
+    def plain(x: Column, i: Column, names: list[str]) -> Column:
+        return i if names == ["index"] else path(x, names)
+
+    def bare(x: Column, i: Column, names: list[str]) -> Column:
+        return i if names == ["index"] else path(x, names[1:] if names[:1] == ["value"] else names)
+
+    def entry(x: Column, i: Column, names: list[str]) -> Column:
+        if names == ["index"]:
+            return i
+        at = {"key": "key", "value": "value"}.get(names[0] if names else "value")
+        return path(x["value"], names) if at is None else path(x[at], names[1:])
+
+    c = _c(items)
+    if shape == "one":
+        c = F.when(c.isNotNull(), F.array(c))
+    if shape == "map":
+        c = F.array_sort(F.map_entries(c), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    how = {"array": plain, "values": bare, "map": entry, "one": bare}[shape]
+    return F.coalesce(F.array_join(F.transform(c, render(how)), sep), F.lit(""))
 
 
 # ---------------------------------------------------------------- E-14, A-7

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register, table
 from ..functions.export import filter_glob, merge_attributes, to_json_rows, weave
-from ..functions.text import (INLINE, INLINE_ANY, apply_template, attr_quote, block_meta, clamp, expand_tokens, get_json, inline_spans,
+from ..functions.text import (apply_template, attr_quote, block_meta, clamp, expand_tokens, get_json, inline_spans,
                               lerp, microformats, parse_groups, prel, split_list, steps, time_tuple, unescape_pattern)
 from ..operators.symbols import module_name
 from ..operators.tags import read_tags
@@ -57,7 +57,8 @@ def q_microformats(spark, sf):
 
 @register("expand_tokens", """
 SELECT p_partkey, 'Part ' || p_brand || ' of size ' || CAST(p_size AS VARCHAR) || ' (' || p_type || ')' AS label,
-       '<li>' || p_brand || ':' || CAST(p_size AS VARCHAR) || '</li><li>' || p_type || ':' || p_name || '</li>' AS items
+       '<li>' || p_brand || ':' || CAST(p_size AS VARCHAR) || '</li><li>' || p_type || ':' || p_name || '</li>' AS items,
+       'a=' || p_brand || ',b=' || p_type AS entries, '0 ' || p_brand || '; 1 ' || p_type AS words, '[' || p_name || ']' AS name
 FROM part
 """)
 def q_expand_tokens(spark, sf):
@@ -68,7 +69,10 @@ def q_expand_tokens(spark, sf):
                     F.struct(F.col("p_type").alias("name"), F.col("p_name").alias("value")))
     return p.select("p_partkey",
                     expand_tokens(F.lit("Part ${brand} of size ${size} (${part.type})"), ctx).alias("label"),
-                    apply_template(items, "<li>{name}:{value}</li>").alias("items"))
+                    apply_template(items, "<li>{name}:{value}</li>").alias("items"),
+                    apply_template(F.create_map(F.lit("b"), F.col("p_type"), F.lit("a"), F.col("p_brand")), "{key}={value}", ",", "map").alias("entries"),
+                    apply_template(F.array("p_brand", "p_type"), "{index} {}", "; ", "values").alias("words"),
+                    apply_template("p_name", "[{value}]", shape="one").alias("name"))
 
 
 @register("minmax_scale", """
@@ -162,25 +166,29 @@ def q_json_rows(spark, sf):
     return rows.select(F.from_json("json", "event_id bigint, user_id bigint, event_type string, value double, props string").alias("j")).select("j.*")
 
 
-def _inline_sql(levels: int = 3) -> str:
-    rx = INLINE_ANY
-    kinds = " ".join(f"WHEN regexp_matches(hit, '^(?:{r})$') THEN '{n}'" for n, r in INLINE)
-    inner = " ".join(f"WHEN regexp_matches(hit, '^(?:{r})$') THEN regexp_extract(hit, '{r}', 1)" for _, r in INLINE)
-    out = "WITH s0 AS (SELECT path, number, 0 AS base, text FROM nota_lines)"
-    for k in range(1, levels + 1):
-        out += f""",
-a{k} AS (SELECT path, number, base, regexp_extract_all(text, '{rx}') AS hits, regexp_split_to_array(text, '{rx}') AS gaps FROM s{k - 1}),
-u{k} AS (SELECT *, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i FROM a{k}),
-c{k} AS (SELECT path, number, hit, base + COALESCE(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
-           + COALESCE(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start FROM u{k}),
-f{k} AS (SELECT path, number, {k} AS level, CASE {kinds} END AS kind, CAST(start AS INTEGER) AS start,
-           CAST(start + length(hit) AS INTEGER) AS "end", CASE {inner} END AS text,
-           start + CASE WHEN regexp_matches(hit, '^([*][*]|<<)') THEN 2 ELSE 1 END AS inside FROM c{k}),
-s{k} AS (SELECT path, number, inside AS base, text FROM f{k})"""
-    return out + "\n" + "\nUNION ALL\n".join(f'SELECT path, number, level, kind, start, "end", text FROM f{k}' for k in range(1, levels + 1))
-
-
-@register("inline_spans", with_tables(_inline_sql(), "nota_lines"))
+#: To any depth; the fixed delimiters are written out here, so that the operator's are checked.
+INLINE_SQL = r"""
+SELECT path, number, level, kind, CAST(start AS INTEGER) AS start, CAST(start + length(hit) AS INTEGER) AS "end", text FROM sp WHERE level > 0
+"""
+INLINE_CTE = r"""WITH RECURSIVE sp AS (
+  SELECT path, number, 0 AS level, '' AS kind, 0::BIGINT AS start, '' AS hit, 0::BIGINT AS inside, text FROM nota_lines
+  UNION ALL
+  SELECT path, number, level + 1,
+         CASE WHEN starts_with(hit, '**') AND length(hit) > 4 THEN 'strong' WHEN starts_with(hit, '*') THEN 'emphasis' WHEN starts_with(hit, '_') THEN 'term'
+              WHEN starts_with(hit, '`') THEN 'code' WHEN starts_with(hit, '<<') THEN 'quote' WHEN contains(hit, ')[') THEN 'link' ELSE 'anchor' END,
+         start, hit, start + CASE WHEN starts_with(hit, '<<') OR (starts_with(hit, '**') AND length(hit) > 4) THEN 2 ELSE 1 END,
+         CASE WHEN starts_with(hit, '<<') OR (starts_with(hit, '**') AND length(hit) > 4) THEN substr(hit, 3, length(hit) - 4)
+              WHEN starts_with(hit, '[') AND contains(hit, ')[') THEN split_part(substr(hit, 2), ')[', 1) ELSE substr(hit, 2, length(hit) - 2) END
+  FROM (SELECT path, number, level, hit, inside + COALESCE(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
+                                            + COALESCE(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+        FROM (SELECT *, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i
+              FROM (SELECT path, number, level, inside,
+                      regexp_extract_all(text, '[*][*].+?[*][*]|[*].+?[*]|_.+?_|`.+?`|<<.+?>>|\[[^\]]*?\)\[[^\]]*\]|\[[^\]]+\]') AS hits,
+                      regexp_split_to_array(text, '[*][*].+?[*][*]|[*].+?[*]|_.+?_|`.+?`|<<.+?>>|\[[^\]]*?\)\[[^\]]*\]|\[[^\]]+\]') AS gaps
+                    FROM sp)))) """
+
+
+@register("inline_spans", with_tables(INLINE_CTE.replace("WITH RECURSIVE", "WITH") + INLINE_SQL, "nota_lines", recursive=True))
 def q_inline_spans(spark, sf):
     return nota_lines(table(spark, sf, "events")).select("path", "number", F.explode(inline_spans("text")).alias("x")).select(
         "path", "number", "x.*")

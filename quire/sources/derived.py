@@ -72,6 +72,7 @@ def nota_lines(events: DataFrame) -> DataFrame:
             .when((t == "view") & (e % 2 == 0), F.concat(F.lit("- [x] item "), i))
             .when(t == "view", F.concat(F.lit("- [ ] item "), i))
             .when((t == "click") & (e % 3 == 0), F.concat(F.lit("_t"), i, F.lit(" *e`c`* x_ <<q>>")))
+            .when((t == "click") & (e % 6 == 1), F.concat(F.lit("**s"), i, F.lit(" *e _t `c <<q [a]>>` t_ e* s** [l *m*)[u]")))
             .when((t == "click") & (e % 3 == 1), F.concat(F.lit("**s"), i, F.lit("** [a] [l)[t]")))
             .when(t == "click", F.concat(F.lit("- *b"), i, F.lit("* and `c`")))
             .when((t == "error") & (e % 4 == 0), F.lit("```"))
@@ -148,6 +149,8 @@ SELECT 'note' || CAST(user_id AS STRING) AS path,
             WHEN event_type = 'view' AND event_id % 2 = 0 THEN '- [x] item ' || CAST(event_id AS STRING)
             WHEN event_type = 'view' THEN '- [ ] item ' || CAST(event_id AS STRING)
             WHEN event_type = 'click' AND event_id % 3 = 0 THEN '_t' || CAST(event_id AS STRING) || ' *e`c`* x_ <<q>>'
+            WHEN event_type = 'click' AND event_id % 6 = 1
+              THEN '**s' || CAST(event_id AS STRING) || ' *e _t `c <<q [a]>>` t_ e* s** [l *m*)[u]'
             WHEN event_type = 'click' AND event_id % 3 = 1 THEN '**s' || CAST(event_id AS STRING) || '** [a] [l)[t]'
             WHEN event_type = 'click' THEN '- *b' || CAST(event_id AS STRING) || '* and `c`'
             WHEN event_type = 'error' AND event_id % 4 = 0 THEN repeat('`', 3)

@@ -51,6 +51,12 @@ def test_inline_spans_nested(spark):
     assert [(r.level, r.kind, r.start, r.end, r.text) for r in got] == [
         (1, "strong", 2, 7, "s"), (1, "quote", 8, 17, "q _t_"), (2, "term", 12, 15, "t"), (1, "link", 18, 25, "l"), (1, "anchor", 26, 29, "a")]
     assert _one(spark, inline_spans(F.col("s")), "none") == []
+    deep = "**a *b _c `d <<e [f]>>` c_ b* a**"
+    got = _one(spark, inline_spans(F.col("s")), deep)
+    assert [(x.level, x.kind) for x in got] == [(1, "strong"), (2, "emphasis"), (3, "term"), (4, "code"), (5, "quote"), (6, "anchor")]
+    assert [deep[x.start:x.end] for x in got][-1] == "[f]" and got[3].text == "d <<e [f]>>"
+    for text in (deep, "é **s** <<q _t_>> [l)[to] [a] *open", "_a *b* `c`_ *d _e_*", ""):
+        assert _one(spark, inline_spans(F.col("s"), 6), text) == _one(spark, inline_spans(F.col("s")), text)
 
 
 def test_escape_and_quote(spark):
@@ -102,3 +108,15 @@ def test_marks_reference_text(spark):
     # pieces tile the text exactly
     assert got[0][1] == 0 and got[-1][2] == len(text)
     assert all(a[2] == b[1] for a, b in zip(got, got[1:]))
+
+
+def test_templates_of_all_shapes(spark):
+    from quire.functions.text import apply_template
+
+    row = spark.sql("SELECT array(named_struct('a', 1, 'b', named_struct('c', 'x')), NULL) AS s, array('p', NULL, 'q') AS v, map('k2', 2, 'k1', 1) AS m, "
+                    "map('z', named_struct('c', 'y')) AS ms, named_struct('a', 7) AS o, 'text' AS t, CAST(NULL AS STRING) AS n, map() AS e")
+    got = row.select(apply_template("s", "{a}-{b.c}{index};").alias("s"), apply_template("v", "<{}>", ",", "values").alias("v"),
+                     apply_template("m", "{index}:{key}={value}", " ", "map").alias("m"), apply_template("ms", "{key}{c}{value.c}", shape="map").alias("ms"),
+                     apply_template("o", "{a}!", shape="one").alias("o"), apply_template("t", "{}{value}", shape="one").alias("t"),
+                     apply_template("n", "{}", shape="one").alias("n"), apply_template("e", "{key}", shape="map").alias("e")).first()
+    assert tuple(got) == ("1-x0;-1;", "<p>,<>,<q>", "0:k1=1 1:k2=2", "zyy", "7!", "texttext", "", "")
