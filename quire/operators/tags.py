@@ -101,6 +101,8 @@ _PLAIN = r"^([^\t]*)\t([^\t]*)\t(.*)\t([^\t\n]*)$"
 
 # Longest gram a pattern is looked up by.
 LONGEST_GRAM = 32
+#: Words of the filter that texts test their grams with, counters of the sketch of how common grams are.
+FILTER_WORDS, SKETCH = 1 << 11, 1 << 14
 
 
 def kind_lookup(df: DataFrame, code: str = "kind_code", kinds: list[tuple[str, str]] = TAG_KINDS) -> DataFrame:
@@ -176,41 +178,89 @@ def fragments_by_tag(frags: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("offset").isNotNull(), frag))).alias("fragments"))
 
 
+def _bit(*parts: Column) -> tuple[Column, Column]:
+    """Word and mask of a hash in a filter of ``FILTER_WORDS`` words of 64 bits."""
+    h = F.xxhash64(*parts)
+    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(FILTER_WORDS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The whole grams of ``size`` characters at its multiples."""
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s).{"), size.cast("string"), F.lit("}")), F.lit(0))
+
+
 def find_substrings(files: DataFrame, patterns: DataFrame, *, path: str = "path", content: str = "content",
-                    pattern: str = "pattern", pid: str = "pattern_id", within: str | None = None) -> DataFrame:
+                    pattern: str = "pattern", pid: str = "pattern_id", within: str | None = None, sample: float | None = None, prefilter: bool = False) -> DataFrame:
     """J-1 without paths: ``(path, pattern_id, line, column, offset, length)``, the first place of
     each pattern in each text, also where it spans lines.
 
     A pattern of length L is looked up by grams of ``g`` characters, the largest
     power of two with ``2g - 1 <= L`` (at most 32).  Texts list their grams at
-    multiples of ``g`` only; wherever a pattern lies, one of its first ``g``
-    grams falls on such a place.  So texts give len/g rows, patterns g rows, the
-    grams meet in an equi join, and the whole pattern is compared where they do.
-    Which ``g`` occur is a one-row aggregate of the patterns.  Empty patterns
-    and null texts match nothing; repeated patterns count once.  ``within``
-    names a column of both inputs that must be equal, too.
+    multiples of ``g`` only; wherever a pattern lies, for some ``r < g`` all its grams at ``r``, ``r + g``, ... fall on
+    such places.  For each ``r`` the pattern is listed under one of them: the first, or with ``sample`` the one that is
+    rarest in a sketch of ``SKETCH`` counters over that share of the texts, which pays where patterns of few
+    characters begin alike (any choice gives the same rows).  The grams meet in an equi join, and the
+    whole pattern is compared there.  With ``prefilter`` texts first drop the grams that are not in a filter of what
+    patterns are listed under: one row of ``FILTER_WORDS`` words of 64 bits, 16 KB, broadcast.  That pays where the
+    patterns are too many to broadcast, so that the texts' grams would be shuffled.
+
+    Patterns of one or two characters are looked up whole; a text lists its different characters or pairs only.
+
+    Empty patterns and null texts match nothing; repeated patterns count once.  Rows with one path and one text are one
+    text, and rows that share a path only are texts of their own, each with its places.
+    ``within`` names a column of both inputs that must be equal, too.
     """
     same = F.lit(0) if within is None else F.col(within)
     pats = patterns.select(F.col(pid).alias("pattern_id"), F.col(pattern).alias("_pat"), same.alias("_w")).where(F.length("_pat") > 0).distinct()
     gram = F.pow(F.lit(2), F.floor(F.log2((F.length("_pat") + 1) / 2))).cast("int")
-    pats = pats.withColumn("_g", F.least(F.lit(LONGEST_GRAM), gram))
-    texts = files.select(F.col(path).alias("path"), F.col(content).alias("_text"), same.alias("_w"))
-    sizes = pats.agg(F.collect_set("_g").alias("_sizes"))       # one row, at most six numbers
-    listed = texts.crossJoin(F.broadcast(sizes)).select("path", "_text", "_w", F.explode("_sizes").alias("_g"))
-    grams = listed.select("path", "_w", "_g", F.posexplode(F.regexp_extract_all(
-        "_text", F.concat(F.lit("(?s).{"), F.col("_g").cast("string"), F.lit("}")), F.lit(0))).alias("_i", "_gram"))
-    asked = pats.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).select(
-        "pattern_id", "_pat", "_w", "_g", "_r", F.expr("substring(_pat, _r + 1, _g)").alias("_gram"))
-    near = grams.join(asked, ["_w", "_g", "_gram"]).select("path", "pattern_id", "_pat", (F.col("_i") * F.col("_g") - F.col("_r")).alias("_at"))
-    near = near.where("_at >= 0").distinct()
-    texts = texts.drop("_w")
-    found = near.join(texts, "path").where(F.expr("substring(_text, _at + 1, length(_pat)) = _pat"))
-    first = found.groupBy("path", "pattern_id", "_pat").agg(F.min("_at").alias("_at"))
+    # negative: a short pattern, looked up whole among the different pieces of its length
+    pats = pats.withColumn("_g", F.when(F.length("_pat") <= 2, -F.length("_pat")).otherwise(F.least(F.lit(LONGEST_GRAM), gram)))
+    texts = files.select(F.col(path).alias("path"), F.col(content).alias("_text"), same.alias("_w")).where("_text is not null")
+    texts = texts.withColumn("_t", F.xxhash64("_text"))
+    sizes = pats.agg(F.collect_set("_g").alias("_sizes"))       # one row, at most eight numbers
+    places = F.when(F.col("_g") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length("_pat") - F.col("_g")))
+    listed = pats.withColumn("_at", F.explode(places)).withColumn("_gram", F.expr("substring(_pat, _at + 1, abs(_g))"))
+    if sample is None:
+        listed = listed.withColumn("_n", F.lit(0))
+    else:
+        bucket = F.pmod(F.xxhash64("_g", "_gram"), F.lit(SKETCH))
+        some = texts.sample(sample, seed=1).crossJoin(F.broadcast(sizes)).select("_text", F.explode("_sizes").alias("_g")).where("_g > 0")
+        seen = some.select("_g", F.explode(_grams(F.col("_text"), F.col("_g"))).alias("_gram")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        seen = seen.agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("_seen"))
+        listed = listed.crossJoin(F.broadcast(seen)).withColumn("_n", F.coalesce(F.try_element_at("_seen", bucket), F.lit(0)))
+    asked = listed.groupBy("pattern_id", "_pat", "_w", "_g", F.when(F.col("_g") > 0, F.expr("_at % _g")).otherwise(0).alias("_r")).agg(
+        F.min_by(F.struct("_at", "_gram"), F.struct("_n", "_at")).alias("_x")).select("pattern_id", "_pat", "_w", "_g", "_x.*")
+    spread = texts.crossJoin(F.broadcast(sizes)).withColumn("_g", F.explode("_sizes"))
+    letters = F.filter(F.array_distinct(F.split("_text", "")), lambda x: x != "")
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - 1, F.lit(1))), lambda i: F.substring("_text", i, F.lit(2))))
+    pieces = F.when(F.col("_g") > 0, _grams(F.col("_text"), F.abs("_g"))).when(F.col("_g") == -1, letters).otherwise(pairs)
+    if prefilter:
+        word, mask = _bit(F.col("_g"), F.col("_gram"))
+        bits = asked.groupBy(word.alias("w")).agg(F.bit_or(mask).alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("_b"))
+        bits = bits.select(F.transform(F.sequence(F.lit(0), F.lit(FILTER_WORDS - 1)), lambda w: F.coalesce(
+            F.try_element_at("_b", w), F.lit(0).cast("bigint"))).alias("_bits"))
+
+        def wanted(p: Column) -> Column:
+            word, mask = _bit(F.col("_g"), p["x"])
+            return F.get("_bits", word).bitwiseAND(mask) != 0
+
+        numbered = F.transform(pieces, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        spread = spread.crossJoin(F.broadcast(bits)).select("path", "_t", "_w", "_g", F.explode(F.filter(numbered, wanted)).alias("_p"))
+        grams = spread.select("path", "_t", "_w", "_g", F.col("_p.i").alias("_i"), F.col("_p.x").alias("_gram"))
+    else:
+        grams = spread.select("path", "_t", "_w", "_g", F.posexplode(pieces).alias("_i", "_gram"))
+    place = F.when(F.col("_g") > 0, F.col("_i") * F.col("_g") - F.col("_at")).otherwise(F.lit(0))
+    near = grams.join(asked, ["_w", "_g", "_gram"]).select("path", "_t", "pattern_id", "_pat", "_g", place.alias("_from"))
+    near = near.where("_from >= 0").distinct()
+    same_text = F.col("n.path").eqNullSafe(F.col("o.path")) & (F.col("n._t") == F.col("o._t"))
+    found = near.alias("n").join(texts.select("path", "_t", "_text").alias("o"), same_text).select("n.*", "o._text")
+    at = F.when(F.col("_g") < 0, F.expr("locate(_pat, _text) - 1")).when(F.expr("substring(_text, _from + 1, length(_pat)) = _pat"), F.col("_from"))
     head = F.expr("left(_text, _at)")
-    return first.join(texts, "path").select(
-        "path", "pattern_id", (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).cast("bigint").alias("line"),
-        F.length(F.substring_index(head, "\n", -1)).cast("bigint").alias("column"), F.col("_at").cast("bigint").alias("offset"),
-        F.length("_pat").cast("bigint").alias("length"))
+    place = F.struct(F.col("_at").cast("bigint").alias("offset"),
+                     (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).cast("bigint").alias("line"),
+                     F.length(F.substring_index(head, "\n", -1)).cast("bigint").alias("column"))
+    first = found.withColumn("_at", at).where("_at >= 0").groupBy("path", "_t", "pattern_id", "_pat").agg(F.min(place).alias("x"))
+    return first.select("path", "pattern_id", "x.line", "x.column", "x.offset", F.length("_pat").cast("bigint").alias("length"))
 
 
 def read_fragments(fragments: DataFrame, lines: DataFrame) -> DataFrame:

@@ -221,3 +221,25 @@ def test_pairs_by_name(spark):
     got = {r.start: (r.name, r.span_end) for r in pair_marks(tags, name="name", chunk_rows=3).collect()}
     assert got == {0: ("a", 10), 3: ("b", 14), 14: ("a", None), 17: ("a", 24)}
     assert json.loads(to_json_rows(docs.select("doc_id")).first()["json"]) == {"doc_id": 0}
+
+
+def test_substrings_of_texts_that_share_a_path(spark):
+    files = spark.createDataFrame([("a", "xx hello"), ("a", "hello yy"), ("a", "hello yy"), (None, "say hello"), ("b", "é" * 500 + "z")], "path string, content string")
+    pats = spark.createDataFrame([(0, "hello"), (1, "l"), (2, "yy"), (3, "z"), (4, "éz"), (5, "no"), (6, "o")], "pattern_id long, pattern string")
+    rows = sorted(((r.path or "", r.pattern_id, r.offset) for r in find_substrings(files, pats).collect()))
+    assert rows == sorted(((r.path or "", r.pattern_id, r.offset) for r in find_substrings(files, pats, sample=0.9, prefilter=True).collect()))
+    texts = {("a", "xx hello"), ("a", "hello yy"), ("", "say hello"), ("b", "é" * 500 + "z")}
+    want = sorted((p, i, t.index(x)) for p, t in texts for i, x in ((0, "hello"), (1, "l"), (2, "yy"), (3, "z"), (4, "éz"), (5, "no"), (6, "o")) if x in t)
+    assert rows == want
+
+
+def test_one_letter_does_not_explode_the_texts(spark):
+    files = spark.range(20).selectExpr("concat('f', id) AS path", "repeat('abcdefgh ', 20000) AS content")
+    found = find_substrings(files, spark.createDataFrame([(0, "e")], "pattern_id long, pattern string"))
+    plan = found._jdf.queryExecution()
+    assert found.count() == 20
+    assert {r.offset for r in found.collect()} == {4}
+    many = spark.range(3000).selectExpr("id AS pattern_id", "concat('pattern ', id, IF(id = 7, '', ' !')) AS pattern")
+    text = spark.createDataFrame([("t", "x pattern 7 y")], "path string, content string")
+    assert [r.pattern_id for r in find_substrings(text, many, prefilter=True).collect()] == [7] == [r.pattern_id for r in find_substrings(text, many).collect()]
+    assert "array_distinct" in plan.toString()
