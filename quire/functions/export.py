@@ -9,7 +9,7 @@ or file is ever gathered into one value; writing the rows of a path in
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +26,33 @@ BLOCK_TAGS = {
 }
 
 
-def to_json_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """K-1: one JSON object per row, nulls kept (structs nest, arrays stay arrays)."""
-    cols = list(cols or df.columns)
-    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
+def to_json_rows(df: DataFrame, cols: Sequence[str] | None = None, enums: Mapping[str, Sequence[tuple[str, str]]] | None = None,
+                 enum: str = "name", qualname: Column | None = None) -> DataFrame:
+    """K-1: one JSON object per row, nulls kept (structs nest, arrays stay arrays).
+
+    ``enums`` gives the ``(name, value)`` members of the enumeration that a column's codes belong to; a code is a name or a
+    value, and comes out as its ``name`` or its ``value``, whichever ``enum`` says (of several members with one value the first).
+    What is no member stays as it is.  ``qualname`` is added to each object under that name.
+    """
+    if enum not in ("name", "value"):
+        raise ValueError(f"enum is 'name' or 'value', not {enum!r}")
+    fields = []
+    for c in list(cols or df.columns):
+        out = F.col(c)
+        if c in (enums or {}):
+            members, known = {}, {}
+            for name, value in enums[c]:
+                members.setdefault(value, name)
+            for name, value in enums[c]:
+                shown = (members[value] if enum == "name" else value)
+                known.setdefault(value, shown)
+                known[name] = name if enum == "name" else value
+            table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else None
+            out = out if table is None else F.coalesce(F.try_element_at(table, F.col(c).cast("string")), F.col(c).cast("string"))
+        fields.append(out.alias(c))
+    if qualname is not None:
+        fields.append(qualname.alias("qualname"))
+    return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def weave(lines: DataFrame) -> DataFrame:

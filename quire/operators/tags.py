@@ -8,10 +8,11 @@ once, never once per tag.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extract, unescape
+from ..plans.scan import number_rows
 
 # Tag kind codes and names (fixed values of the tag format).
 TAG_KINDS = [
@@ -293,3 +294,12 @@ def tags_by_kind(tags: DataFrame) -> DataFrame:
     return tags.groupBy("kind").agg(F.count(F.lit(1)).alias("n_tags"),
                                     F.count_distinct("symbol").alias("n_symbols"),
                                     F.min("symbol").alias("first_symbol"), F.max("symbol").alias("last_symbol"))
+
+
+def kind_members(tags: DataFrame, order: tuple[str, ...] = ("symbol", "path", "pattern")) -> DataFrame:
+    """A-1: every tag with its place (from 0) within its kind, by ``order``; tags of no known kind are one group.
+
+    Numbered in range slices, so a kind that holds most of the tags is cut like any other sequence.
+    """
+    own = ["symbol", "path", "pattern", "kind"]
+    return number_rows(tags.select(*own), ["kind"], list(order), out="place").select("kind", "place", "symbol", "path", "pattern")

@@ -12,6 +12,7 @@ from ..operators.trees import nest_tree
 from ..session import ensure_checkpoint_dir
 from ..sources.derived import code_lines, scope_lines, with_tables
 from ..sources.documents import scan_folder, write_documents
+from ..sources.files import json_nodes
 from ..sources.lines import read_lines
 from .q_text import WEAVE_SQL
 from .q_trees import DIRECT_SQL, direct_nodes
@@ -65,3 +66,16 @@ def q_tree_documents(spark, sf):
     folder = fresh_folder(spark)
     write_documents(nest_tree(direct_nodes(spark, sf), F.struct("name")), folder, path="root", order="preorder", text="json", suffix=".json")
     return scan_folder(spark, folder).select("path", "content")
+
+
+@register("json_tree", DIRECT_SQL + """
+SELECT root || '.json' AS path, id, parent,
+       CASE WHEN parent IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY root, parent ORDER BY preorder) - 1 END AS ord, depth,
+       '{"is_file":' || CAST(is_file AS VARCHAR) || ',"name":' || CAST(to_json(name) AS VARCHAR) || '}' AS value
+FROM w
+""")
+def q_json_tree(spark, sf):
+    """S-4: the trees written as JSON files, parsed back to nodes of any depth without a schema."""
+    folder = fresh_folder(spark)
+    write_documents(nest_tree(direct_nodes(spark, sf), F.struct("name", "is_file")), folder, path="root", order="preorder", text="json", suffix=".json")
+    return json_nodes(scan_folder(spark, folder), "path", "content")

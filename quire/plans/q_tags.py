@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register, table
 from ..operators.blocks import blocks, classify_lines
-from ..operators.tags import find_fragments, find_substrings, read_fragments, read_tags, tags_by_kind
+from ..operators.tags import find_fragments, find_substrings, kind_members, read_fragments, read_tags, tags_by_kind
 from ..sources.derived import code_lines, scope_lines, tag_lines, with_tables
 from ..sources.lines import with_offsets
 
@@ -105,3 +105,15 @@ def q_read_fragments(spark, sf):
     bl = blocks(classify_lines(lines))
     out = read_fragments(bl.select("path", "block_no", "kind", "offset", "length", "line", "n_lines"), lines)
     return out.select("path", "block_no", "kind", "fragment_text")
+
+
+@register("kind_members", with_tables("""
+SELECT CASE string_split(value, chr(9))[4] WHEN 'c' THEN 'Class' WHEN 'f' THEN 'Function' END AS kind,
+       row_number() OVER (PARTITION BY string_split(value, chr(9))[4] ORDER BY string_split(value, chr(9))[1], string_split(value, chr(9))[2],
+                          string_split(value, chr(9))[3]) - 1 AS place,
+       string_split(value, chr(9))[1] AS symbol, string_split(value, chr(9))[2] AS path, string_split(value, chr(9))[3] AS pattern
+FROM tag_lines
+""", "scope_lines", "tag_lines"))
+def q_kind_members(spark, sf):
+    """A-1: the tags of each kind, one row a tag."""
+    return kind_members(read_tags(tag_lines(scope_lines(table(spark, sf, "events")))))

@@ -156,6 +156,18 @@ def q_weave(spark, sf):
     return weave(code_lines(table(spark, sf, "events")))
 
 
+@register("json_enums", """
+SELECT event_id, CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN '2' WHEN 'error' THEN 'E' ELSE event_type END AS event_type,
+       'user.' || user_id AS qualname FROM events
+""")
+def q_json_enums(spark, sf):
+    """K-1: an enumeration by value, and qualified names; read back by their fields."""
+    members = [("view", "1"), ("click", "2"), ("error", "E")]
+    rows = to_json_rows(table(spark, sf, "events"), ["event_id", "event_type"], {"event_type": members}, "value",
+                        F.concat(F.lit("user."), F.col("user_id").cast("string")))
+    return rows.select(F.from_json("json", "event_id bigint, event_type string, qualname string").alias("j")).select("j.*")
+
+
 @register("json_rows", """
 SELECT event_id, user_id, event_type, value, props FROM events
 """)

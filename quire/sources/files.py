@@ -86,3 +86,29 @@ def read_json_tree(spark: SparkSession, source: str) -> DataFrame:
                             *([F.col("_c.children").alias("children")] if "children" in fields else []))
         out = out.unionByName(level.drop("children"))
     return out
+
+
+def json_nodes(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """S-4 from a column: ``(key, id, parent, ord, depth, value)`` of the ``{id, value, children}`` trees in JSON text or bytes.
+
+    A text holds one tree or a list of them.  Texts are parsed once, to VARIANT, so no schema is inferred and a
+    node's value may have any type; ``value`` is JSON text, null if there is none or it is null.  Levels are taken one
+    after the other until one is empty, and checkpointed.  A null, empty or malformed text has no nodes.
+    """
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    whole = docs.select(F.col(key).alias("key"), F.try_parse_json(F.col(column).cast("string")).alias("v"))
+    roots = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    level = whole.where("v is not null").select("key", F.lit(None).cast("string").alias("parent"), F.posexplode(roots).alias("ord", "v"))
+    out, depth = None, 0
+    while True:
+        level = level.where(F.try_variant_get("v", "$.id", "string").isNotNull()).select(
+            "key", F.try_variant_get("v", "$.id", "string").alias("id"), "parent", F.col("ord").cast("bigint").alias("ord"),
+            F.lit(depth).cast("bigint").alias("depth"), F.nullif(F.to_json(F.try_variant_get("v", "$.value", "variant")), F.lit("null")).alias("value"),
+            F.try_variant_get("v", "$.children", "array<variant>").alias("children")).checkpoint(eager=True)
+        rows = level.drop("children")
+        out = rows if out is None else out.unionByName(rows)
+        below = level.where(F.size("children") > 0)
+        if below.isEmpty():
+            return out.withColumnRenamed("key", key)
+        level, depth = below.select("key", F.col("id").alias("parent"), F.posexplode("children").alias("ord", "v")), depth + 1

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import StringStartsWith
 
 from quire.sources.documents import FolderReader, scan_folder, write_documents
-from quire.sources.files import read_json_tree, read_manifest, scan_files
+from quire.sources.files import json_nodes, read_json_tree, read_manifest, scan_files
 from quire.sources.lines import line_of, position_of, read_lines, scan_lines
 
 
@@ -127,3 +127,29 @@ def test_files_read_in_ranges_give_the_same_lines(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", default)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_json_columns_of_any_depth_and_types(spark):
+    deep = {"id": "n34", "value": None}
+    for i in range(33, -1, -1):
+        deep = {"id": f"n{i}", "value": [i, {"a": "x"}][i % 2], "children": [deep] if i % 2 else [deep, {"id": f"side{i}", "children": []}]}
+    rows = [(1, json.dumps([deep, {"id": 7, "value": "t"}])), (2, json.dumps({"id": "one"})), (3, None), (4, ""), (5, "{bad"), (6, "[]"), (7, "3")]
+    got = json_nodes(spark.createDataFrame(rows, "doc long, content string"), "doc", "content").collect()
+    by = {(r.doc, r.id): (r.parent, r.ord, r.depth, r.value) for r in got}
+    assert len(got) == len(by) == 35 + 17 + 1 + 1
+    assert by[1, "n34"] == ("n33", 0, 34, None) and by[1, "side32"] == ("n32", 1, 33, None) and by[1, "7"] == (None, 1, 0, '"t"')
+    assert by[2, "one"] == (None, 0, 0, None) and by[1, "n0"][3] == "0" and by[1, "n1"][3] == '{"a":"x"}'
+    raw = spark.createDataFrame([(1, bytearray(json.dumps({"id": "é"}).encode()))], "doc long, content binary")
+    assert [r.id for r in json_nodes(raw, "doc", "content").collect()] == ["é"]
+
+
+def test_enumerations_by_name_or_value(spark):
+    from quire.functions.export import to_json_rows
+
+    rows = spark.createDataFrame([("red",), ("1",), ("2",), ("rouge",), ("other",), (None,)], "c string")
+    members = {"c": [("red", "1"), ("rouge", "1"), ("blue", "2")]}
+    shown = lambda how: [json.loads(r.json)["c"] for r in to_json_rows(rows, enums=members, enum=how).collect()]
+    assert shown("name") == ["red", "red", "blue", "rouge", "other", None]
+    assert shown("value") == ["1", "1", "2", "1", "other", None]
+    with pytest.raises(ValueError):
+        to_json_rows(rows, enum="both")
