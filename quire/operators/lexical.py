@@ -168,9 +168,11 @@ def _summed(rows: list[tuple[int, str]]) -> list[dict]:
                 continue
             level = ALL if reader.opens else before
             if not parts or parts[-1]["popped"] != level:
-                parts.append({"popped": level, "least": ALL, "stack": [], "fresh": False})
+                parts.append({"popped": level, "least": ALL, "stack": [], "fresh": False, "head": (number, len(code) - len(code.lstrip(" \t")))})
             part = parts[-1]
             indent = len(code) - len(code.lstrip(" \t"))
+            # the first statement of a part may belong to a declaration before it, which is not known yet
+            part["last"], part["body"] = number, number if part["fresh"] and part["stack"][-1].indent < indent else None
             part["least"] = min(part["least"], indent)
             part["stack"] = [s for s in part["stack"] if s.indent < indent] + ([reader.opens] if reader.opens else [])
             part["fresh"] = reader.opens is not None
@@ -180,12 +182,16 @@ def _summed(rows: list[tuple[int, str]]) -> list[dict]:
 
 def _put_together(maps: list[list[dict]]) -> list[dict]:
     """The state that each of a file's slices begins in, from the maps of its slices in order."""
-    mode, depth, stack, fresh, out = CODE, 0, [], False, []
+    mode, depth, stack, fresh, body, out = CODE, 0, [], False, None, []
     for each in maps:
-        out.append({"mode": mode, "pushed": depth, "stack": stack, "fresh": fresh})
+        out.append({"mode": mode, "pushed": depth, "stack": stack, "fresh": fresh, "body": body})
         found = each[mode]
         for part in found["parts"]:
             if part["popped"] >= depth:
+                at, indent = part["head"]
+                body = part["body"]
+                if part["last"] == at and fresh and stack[-1][4] < indent:
+                    body = at
                 stack = [s for s in stack if s[4] < part["least"]] + part["stack"]
                 fresh = part["fresh"]
         mode, depth = found["mode"], max(depth - found["popped"], 0) + found["pushed"]
@@ -235,7 +241,7 @@ def _listed(stacks: list[tuple[Scope, ...]], of: list[int]) -> pa.Array:
 
 def _final(batches):
     at, reader = None, Reader()
-    statement = body = None
+    body = None
     for batch in batches:
         numbers, texts, entries = (batch.column(c).to_pylist() for c in ("number", "text", "_entry"))
         starts, codes, closes, docs, says, decls, opens, stacks, of = [], [], [], [], [], [], [], [], []
@@ -244,12 +250,12 @@ def _final(batches):
             if key != at:
                 at, known = key, json.loads(entries[begin]) if entries[begin] else {}
                 known["stack"] = tuple(Scope(*s) for s in known.get("stack", ()))
-                reader, statement, body = Reader(**known), None, None
+                body = known.pop("body", None)
+                reader = Reader(**known)
             for i in range(begin, end):
                 start, code, closed, first, said = reader.line(numbers[i], texts[i] or "")
                 if start and code.strip():
-                    statement = numbers[i]
-                    body = statement if first else None
+                    body = numbers[i] if first else None
                 if reader.stack is not last:
                     last = reader.stack
                     stacks.append(last)

@@ -29,12 +29,16 @@ def test_slices_put_together_read_like_the_whole():
     for _ in range(150):
         texts = [rnd.choice(PARTS) for _ in range(rnd.randint(1, 40))]
         whole, _ = read(texts)
+        bodies = [None]         # before each line, the first statement of a body that it may go on with
+        for i, (start, code, _, first, _) in enumerate(whole):
+            bodies.append((i if first else None) if start and code.strip() else bodies[-1])
         for size in (1, 3, 7):
             slices = [list(enumerate(texts))[i:i + size] for i in range(0, len(texts), size)]
             states = _put_together([_summed(s) for s in slices])
             got = []
             for rows, state in zip(slices, states):
                 state = dict(state)
+                assert state.pop("body") == bodies[rows[0][0]]
                 reader = Reader(**state)
                 for number, text in rows:
                     got.append((*reader.line(number, text)[:4], reader.stack))
@@ -107,6 +111,10 @@ def test_slices_in_spark(spark, chunk_rows):
     got = {}
     for r in lexed_lines(lines).orderBy("path", "number").collect():
         got.setdefault(r.path, []).append((r.start, r.code, list(r.closes), [s.line for s in r.scopes]))
+    once = scan_lines(spark.createDataFrame(files, "path string, content string"))
+    names = ["path", "number", "first", "said", "open", "decl"]
+    key = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    assert key(lexed_lines(lines).select(*names).collect()) == key(lexed_lines(once).select(*names).collect())
     for path, content in files:
         texts = content.splitlines(keepends=True)
         whole, _ = read(texts)
