@@ -226,3 +226,54 @@ def with_digest(conversations: DataFrame, edits: DataFrame, conv: str = "conv_id
 def _key(conv: Column) -> Column:
     """As :func:`quire.plans.scan.with_key` has it."""
     return F.coalesce(F.concat(F.lit("="), conv.cast("string")), F.lit(""))
+
+
+#: Plain dynamic programme over rows and the last role; CRC-32 by its table, which a rule makes.
+REPAIR_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b:
+           CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS b
+          FROM conversations),
+harm AS (SELECT conv_id, turn, role, text,
+                xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS h FROM keyed, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+                   CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM harm),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i FROM damaged),
+marked AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+                  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                       WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                       WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault FROM numbered),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (before IS NOT NULL AND before || '-' || ini NOT IN ('s-u', 'u-a', 'a-u')) AS illegal, count(*) AS n
+         FROM marked GROUP BY conv_id),
+ins(p, q, k, made) AS (VALUES ('0', '0', 0, []), ('0', 'u', 1, ['user:']), ('0', 'a', 2, ['user:', 'assistant:']), ('s', 's', 0, []), ('s', 'u', 1, ['user:']),
+  ('s', 'a', 2, ['user:', 'assistant:']), ('u', 'u', 0, []), ('u', 'a', 1, ['assistant:']), ('a', 'a', 0, []), ('a', 'u', 1, ['user:'])),
+go(p, t, q) AS (VALUES ('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')),
+act(letter, t, cost) AS (VALUES ('K', '', 0), ('R', 'u', 1), ('R', 'a', 1), ('D', '', 2)),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, '0' AS st, 0 AS cost, '' AS audit, []::VARCHAR[] AS made FROM sums
+  UNION ALL
+  SELECT conv_id, i, st, cost, audit, made FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) AS rn FROM (
+      SELECT dp.conv_id, m.i, CASE WHEN letter = 'D' THEN ins.q ELSE go.q END AS st,
+             dp.cost + 5 * ins.k + act.cost + CASE WHEN letter <> 'D' AND m.fault = 'truncated' THEN 5 ELSE 0 END AS cost,
+             dp.audit || repeat('I', ins.k) || letter AS audit,
+             list_concat(dp.made, ins.made, CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [m.role || ':' || m.text]
+                                                 ELSE [CASE act.t WHEN 'u' THEN 'user:' ELSE 'assistant:' END || m.text] END) AS made
+      FROM dp JOIN marked m ON m.conv_id IS NOT DISTINCT FROM dp.conv_id AND m.i = dp.i + 1 JOIN ins ON ins.p = dp.st CROSS JOIN act
+      LEFT JOIN go ON go.p = ins.q AND go.t = CASE WHEN letter = 'K' THEN m.ini ELSE act.t END
+      WHERE letter = 'D' OR (go.q IS NOT NULL AND coalesce(m.fault, '') NOT IN ('blank', 'duplicate'))))
+  WHERE rn = 1),
+ends(st, k, made) AS (VALUES ('0', 0, []), ('a', 0, []), ('u', 1, ['assistant:']), ('s', 2, ['user:', 'assistant:'])),
+best AS (SELECT dp.conv_id, dp.cost + 5 * k AS cost, audit || repeat('I', k) AS audit, list_concat(dp.made, ends.made) AS made
+         FROM dp JOIN sums ON sums.conv_id IS NOT DISTINCT FROM dp.conv_id AND sums.n = dp.i JOIN ends ON ends.st = dp.st
+         QUALIFY row_number() OVER (PARTITION BY dp.conv_id ORDER BY dp.cost + 5 * k, audit || repeat('I', k)) = 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -103,7 +103,7 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.with_digest(contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-@register("op13_conversation_repair")
+@register("op13_conversation_repair", conversations.REPAIR_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged conversations with their faults and the cheapest edits that give a legal sequence of roles."""
     rows = table(spark, sf_dir, "conversations")
