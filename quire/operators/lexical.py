@@ -156,8 +156,8 @@ class Reader:
 
 
 def _summed(rows: list[tuple[int, str]]) -> list[dict]:
-    """For each mode a slice can begin in, where it ends and its scopes for each value of ``popped``."""
-    out = []
+    """For each mode a slice can begin in, where it ends and its scopes for each value of ``popped``; its characters."""
+    out, chars = [], sum(len(text) for _, text in rows)
     for mode in range(6):
         reader, parts = Reader(mode), []
         for number, text in rows:
@@ -176,16 +176,17 @@ def _summed(rows: list[tuple[int, str]]) -> list[dict]:
             part["least"] = min(part["least"], indent)
             part["stack"] = [s for s in part["stack"] if s.indent < indent] + ([reader.opens] if reader.opens else [])
             part["fresh"] = reader.opens is not None
-        out.append({"mode": reader.mode, "popped": reader.popped, "pushed": reader.pushed, "parts": parts})
+        out.append({"mode": reader.mode, "popped": reader.popped, "pushed": reader.pushed, "parts": parts, "chars": chars})
     return out
 
 
 def _put_together(maps: list[list[dict]]) -> list[dict]:
     """The state that each of a file's slices begins in, from the maps of its slices in order."""
-    mode, depth, stack, fresh, body, out = CODE, 0, [], False, None, []
+    mode, depth, stack, fresh, body, offset, out = CODE, 0, [], False, None, 0, []
     for each in maps:
-        out.append({"mode": mode, "pushed": depth, "stack": stack, "fresh": fresh, "body": body})
+        out.append({"mode": mode, "pushed": depth, "stack": stack, "fresh": fresh, "body": body, "offset": offset})
         found = each[mode]
+        offset += found["chars"]
         for part in found["parts"]:
             if part["popped"] >= depth:
                 at, indent = part["head"]
@@ -241,16 +242,16 @@ def _listed(stacks: list[tuple[Scope, ...]], of: list[int]) -> pa.Array:
 
 def _final(batches):
     at, reader = None, Reader()
-    body = None
+    body, offset = None, 0
     for batch in batches:
         numbers, texts, entries = (batch.column(c).to_pylist() for c in ("number", "text", "_entry"))
-        starts, codes, closes, docs, says, decls, opens, stacks, of = [], [], [], [], [], [], [], [], []
+        starts, codes, closes, docs, says, decls, opens, stacks, of, offsets = [], [], [], [], [], [], [], [], [], []
         last = None
         for key, begin, end in _runs(batch):
             if key != at:
                 at, known = key, json.loads(entries[begin]) if entries[begin] else {}
                 known["stack"] = tuple(Scope(*s) for s in known.get("stack", ()))
-                body = known.pop("body", None)
+                body, offset = known.pop("body", None), known.pop("offset", 0)
                 reader = Reader(**known)
             for i in range(begin, end):
                 start, code, closed, first, said = reader.line(numbers[i], texts[i] or "")
@@ -259,6 +260,8 @@ def _final(batches):
                 if reader.stack is not last:
                     last = reader.stack
                     stacks.append(last)
+                offsets.append(offset)
+                offset += len(texts[i] or "")
                 starts.append(start)
                 codes.append(code)
                 closes.append(closed)
@@ -268,11 +271,12 @@ def _final(batches):
                 says.append(said if body is not None else None)
                 of.append(len(stacks) - 1)
                 reader.enter()
-        kept = [c for c in batch.schema.names if c not in ("_entry",)]
+        kept = [c for c in batch.schema.names if c != "_entry"]
+        own = [] if "offset" in kept else [pa.array(offsets, pa.int64())]
         yield pa.record_batch([*[batch.column(c) for c in kept], pa.array(starts, pa.bool_()), pa.array(codes, pa.string()),
                                pa.array(decls, pa.bool_()), pa.array(closes, pa.list_(pa.int64())), pa.array(docs, pa.int64()),
-                               pa.array(says, pa.string()), pa.array(opens, pa.bool_()), _listed(stacks, of)],
-                              names=[*kept, "start", "code", "decl", "closes", "first", "said", "open", "scopes"])
+                               pa.array(says, pa.string()), pa.array(opens, pa.bool_()), _listed(stacks, of), *own],
+                              names=[*kept, "start", "code", "decl", "closes", "first", "said", "open", "scopes", *["offset"] * len(own)])
 
 
 def lexed_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -284,7 +288,7 @@ def lexed_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
       in, ``struct(line, name, kind, record, indent)``; ``closes``: lines of the declarations that end before it;
     * ``first``: for a line of the first statement in a declaration's body, the number of that statement's first
       line; ``said``: what the strings on such a line say, without quotes;
-    * ``open``: the line ends within a string.
+    * ``open``: the line ends within a string; ``offset``, unless the lines have it: characters of the file before it.
 
     Comments and blank lines close no scope.  ``class`` or ``def`` at the begin of a line within brackets
     ends those brackets, so a bracket that is never closed loses no later declaration.  An unclosed
@@ -303,4 +307,5 @@ def lexed_lines(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     entries = maps.groupBy(KEY).applyInArrow(_chain, f"{KEY} string, {CHUNK} bigint, _entry string")
     rows = dealt(df.join(entries, [KEY, CHUNK], "left"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_entry")
-    return rows.mapInArrow(_final, f"{kinds}, start boolean, code string, decl boolean, closes array<bigint>, first bigint, said string, open boolean, scopes {SCOPES}")
+    return rows.mapInArrow(_final, f"{kinds}, start boolean, code string, decl boolean, closes array<bigint>, first bigint, said string, open boolean, scopes {SCOPES}"
+                            + ("" if "offset" in rows.columns else ", offset bigint"))

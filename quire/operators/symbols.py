@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import starts
 from ..plans.scan import CHUNK, CHUNK_ROWS, chunk_by_position, scan
+from ..session import ensure_checkpoint_dir
 from .lexical import DECL, KEY, lexed_lines
 
 IMPORT = r"^import[ \t]+(.+?)[ \t]*$"
@@ -172,8 +173,7 @@ def mentions(lines: DataFrame, chunk_rows: int = CHUNK_ROWS, carry: tuple[str, .
     """Y-6: identifier occurrences in code, outside strings and comments, with type ``def`` (after class/def),
     ``asn`` (left of a single ``=`` where a statement begins) or ``ref``; keywords excluded.
 
-    ``(name, type, path, line, column, offset, length)`` and the columns named in ``carry``; ``lines``
-    needs ``offset``.  A line is tokenised once and its columns are one running sum, so long lines stay linear.
+    ``(name, type, path, line, column, offset, length)`` and the columns named in ``carry``.  A line is tokenised once and its columns are one running sum, so long lines stay linear.
     """
     df = lexed_lines(lines, chunk_rows)
     t = F.col("code")
@@ -226,19 +226,24 @@ def references(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     the mention (module level last), ``file`` for another one of the file, ``import`` for a name that an import
     of the file binds, ``global`` for a name that exactly one symbol of all files has; else null.
     Each step is an equi join against one row per key (the last declaration
-    wins), so a name that very many places use never meets all its namesakes.  ``lines`` needs ``offset``.
+    wins), so a name that very many places use never meets all its namesakes.  The lexed lines are
+    written once, to the checkpoint folder, and read for declarations, imports and mentions.
     """
     df = lexed_lines(lines, chunk_rows)
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.select("path", "number", "offset", "text", "code", "start", "decl", "scopes").checkpoint(eager=True)
     name = F.regexp_extract("code", DECL, 4)
     outer = F.coalesce(F.get("scopes", F.size("scopes") - 1)["line"], F.lit(-1).cast("bigint"))
     syms = df.where("decl").select("path", name.alias("name"), F.array_join(F.concat(_chain(), F.array(name)), ".").alias("qualname"),
                                    F.col("number").alias("line"), outer.alias("scope"))
-    last = F.max_by("qualname", "line").alias("qualname")
-    in_scope = syms.groupBy("path", "scope", "name").agg(last)
-    in_file = syms.groupBy("path", "name").agg(last).withColumnRenamed("qualname", "_file")
-    bound = bindings(lines, chunk_rows).groupBy("path", "name").agg(F.max_by("qualname", F.struct("number", "qualname")).alias("_import"))
+    # one aggregation of the declarations, from which the wider ones follow
+    base = syms.groupBy("path", "scope", "name").agg(F.max_by("qualname", "line").alias("qualname"), F.max("line").alias("_line"),
+                                                     F.max("qualname").alias("_most"), F.count(F.lit(1)).alias("_n"))
+    in_scope = base.select("path", "scope", "name", "qualname")
+    in_file = base.groupBy("path", "name").agg(F.max_by("qualname", "_line").alias("_file"))
+    bound = bindings(df, chunk_rows).groupBy("path", "name").agg(F.max_by("qualname", F.struct("number", "qualname")).alias("_import"))
     named = in_file.join(bound, ["path", "name"], "full")
-    anywhere = syms.groupBy("name").agg(F.max("qualname").alias("_global"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    anywhere = base.groupBy("name").agg(F.max("_most").alias("_global"), F.sum("_n").alias("_n")).where("_n = 1").drop("_n")
     around = F.concat(F.array(F.lit(-1).cast("bigint")), F.transform("scopes", lambda x: x["line"]))
     refs = mentions(df.withColumn("_open", around), chunk_rows, carry=("_open",)).where(F.col("type") == "ref")
     tries = refs.select("name", "path", "line", "column", F.posexplode("_open").alias("_depth", "scope"))

@@ -264,27 +264,33 @@ def find_substrings(files: DataFrame, patterns: DataFrame, *, path: str = "path"
     return first.select("path", "pattern_id", "x.line", "x.column", "x.offset", F.length("_pat").cast("bigint").alias("length"))
 
 
+def fragment_lines(fragments: DataFrame, lines: DataFrame) -> DataFrame:
+    """J-2 as rows: each fragment ``(path, line, n_lines, offset, length, ...)`` once per line it covers, with ``number`` and
+    ``piece``, what of the line lies in it (null if the file has no such line); in order of ``number`` the pieces are its text.
+
+    An equi join on ``(path, number)`` with the ``lines`` table: no file is read whole and no text gathered.
+    """
+    cover = fragments.withColumn("number", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("n_lines") - 1)))
+    ln = lines.select("path", "number", F.col("offset").alias("_lo"), F.col("text").alias("_t"))
+    lo = F.greatest(F.col("offset") - F.col("_lo"), F.lit(0))
+    hi = F.least(F.col("offset") + F.col("length") - F.col("_lo"), F.length("_t"))
+    return cover.join(ln, ["path", "number"], "left").select(*[F.col(c) for c in fragments.columns], "number", extract(F.col("_t"), lo, hi - lo).alias("piece"))
+
+
 def read_fragments(fragments: DataFrame, lines: DataFrame) -> DataFrame:
     """J-2: the text of each fragment ``(path, line, n_lines, offset, length)``.
 
-    Each fragment lists the line numbers it covers and is equi-joined to the
-    ``lines`` table on ``(path, number)`` -- no file is read whole -- then the
-    covered pieces are cut and joined in line order.  A fragment whose file
+    The pieces of :func:`fragment_lines` joined in line order, so a value is as large as its fragment.  Fragments are grouped by
+    all their columns, which must be comparable; equal ones come out as often as they went in.  A fragment whose file
     is missing keeps its own ``text`` (when given).
     """
-    fk = ["path", "offset", "length", "line", "n_lines"]
-    fr = fragments.select(*fk).distinct()
-    cover = fr.select(*fk, F.explode(F.sequence(F.col("line"), F.col("line") + F.col("n_lines") - 1)).alias("_n"))
-    ln = lines.select("path", F.col("number").alias("_n"), F.col("offset").alias("_lo"), F.col("text").alias("_t"))
-    parts = cover.join(ln, ["path", "_n"])
-    lo = F.greatest(F.col("offset") - F.col("_lo"), F.lit(0))
-    hi = F.least(F.col("offset") + F.col("length") - F.col("_lo"), F.length("_t"))
-    piece = extract(F.col("_t"), lo, hi - lo)
-    texts = parts.groupBy(*fk).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", piece.alias("p")))),
-                                 lambda x: x["p"]), "").alias("_read"))
-    keep = F.col("_read") if "text" not in fragments.columns else F.coalesce(F.col("_read"), F.col("text"))
-    return fragments.join(texts, fk, "left").withColumn("fragment_text", keep).drop("_read")
+    own = fragments.columns
+    piece = F.when(F.col("piece").isNotNull(), F.struct("number", "piece"))
+    texts = fragment_lines(fragments, lines).groupBy(*own).agg(
+        F.collect_set(piece).alias("_p"), (F.count(F.lit(1)) / F.count_distinct("number")).cast("int").alias("_copies"))
+    read = F.when(F.size("_p") > 0, F.array_join(F.transform(F.array_sort("_p"), lambda x: x["piece"]), ""))
+    keep = read if "text" not in own else F.coalesce(read, F.col("text"))
+    return texts.withColumn("_c", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*own, keep.alias("fragment_text"))
 
 
 def tags_by_kind(tags: DataFrame) -> DataFrame:

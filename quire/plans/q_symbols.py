@@ -246,12 +246,12 @@ SELECT name, CAST(count(*) FILTER (WHERE type = 'def') AS BIGINT) AS n_def,
 FROM m GROUP BY name
 """, "scope_lines", recursive=True))
 def q_mentions(spark, sf):
-    return mentions_by_symbol(mentions(with_offsets(scope_lines(table(spark, sf, "events")))))
+    return mentions_by_symbol(mentions(scope_lines(table(spark, sf, "events"))))
 
 
 @register("mention_rows", with_tables(LEX_SQL.format(src="scope_lines") + MENTIONS_CTE + "SELECT * FROM m", "scope_lines", recursive=True))
 def q_mention_rows(spark, sf):
-    return mentions(with_offsets(scope_lines(table(spark, sf, "events"))))
+    return mentions(scope_lines(table(spark, sf, "events")))
 
 
 @register("references", with_tables(SYMBOLS_CTE + MENTIONS_CTE + """,
@@ -277,7 +277,7 @@ FROM r LEFT JOIN near ON near.name = r.name AND near.path = r.path AND near.line
 LEFT JOIN fl ON fl.path = r.path AND fl.name = r.name LEFT JOIN fi ON fi.path = r.path AND fi.name = r.name LEFT JOIN gl ON gl.name = r.name
 """.replace("{imports}", _IMPORT_ROWS).replace("{module}", MODULE_SQL), "scope_lines", recursive=True))
 def q_references(spark, sf):
-    return references(with_offsets(scope_lines(table(spark, sf, "events"))))
+    return references(scope_lines(table(spark, sf, "events")))
 
 
 @register("mentions_in_symbols", with_tables(SYMBOLS_CTE + MENTIONS_CTE + """,
@@ -313,7 +313,7 @@ FROM m LEFT JOIN j ON j.path = m.path AND j.number = m.line WHERE m.type = 'asn'
 
 @register("defined_in", DEFINED_IN_SQL)
 def q_defined_in(spark, sf):
-    lines = with_offsets(code_lines(table(spark, sf, "events")))
+    lines = code_lines(table(spark, sf, "events"))
     asn = mentions(lines).where(F.col("type") == "asn").select("name", "path", "line")
     return defined_in(asn, classify_lines(lines)).select("name", "path", "line", "block_no", "block_kind")
 

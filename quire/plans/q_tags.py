@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register, table
 from ..operators.blocks import blocks, classify_lines
-from ..operators.tags import find_fragments, find_substrings, kind_members, read_fragments, read_tags, tags_by_kind
+from ..operators.tags import find_fragments, find_substrings, fragment_lines, kind_members, read_fragments, read_tags, tags_by_kind
 from ..sources.derived import code_lines, scope_lines, tag_lines, with_tables
 from ..sources.lines import with_offsets
 
@@ -117,3 +117,11 @@ FROM tag_lines
 def q_kind_members(spark, sf):
     """A-1: the tags of each kind, one row a tag."""
     return kind_members(read_tags(tag_lines(scope_lines(table(spark, sf, "events")))))
+
+
+@register("fragment_lines", READ_FRAGMENTS_SQL[:READ_FRAGMENTS_SQL.rindex("SELECT path, block_no, CASE")] + "SELECT path, block_no, number, text AS piece FROM j")
+def q_fragment_lines(spark, sf):
+    """J-2 as rows: the lines of every block."""
+    lines = with_offsets(code_lines(table(spark, sf, "events")))
+    bl = blocks(classify_lines(lines)).select("path", "block_no", "offset", "length", "line", "n_lines")
+    return fragment_lines(bl, lines).select("path", "block_no", "number", "piece")

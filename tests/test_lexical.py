@@ -38,7 +38,7 @@ def test_slices_put_together_read_like_the_whole():
             got = []
             for rows, state in zip(slices, states):
                 state = dict(state)
-                assert state.pop("body") == bodies[rows[0][0]]
+                assert state.pop("body") == bodies[rows[0][0]] and state.pop("offset") == sum(map(len, texts[:rows[0][0]]))
                 reader = Reader(**state)
                 for number, text in rows:
                     got.append((*reader.line(number, text)[:4], reader.stack))
@@ -112,8 +112,9 @@ def test_slices_in_spark(spark, chunk_rows):
     for r in lexed_lines(lines).orderBy("path", "number").collect():
         got.setdefault(r.path, []).append((r.start, r.code, list(r.closes), [s.line for s in r.scopes]))
     once = scan_lines(spark.createDataFrame(files, "path string, content string"))
-    names = ["path", "number", "first", "said", "open", "decl"]
+    names = ["path", "number", "first", "said", "open", "decl", "offset"]
     key = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    assert key(lexed_lines(lines.drop("offset")).select(*names).collect()) == key(lexed_lines(once).select(*names).collect())
     assert key(lexed_lines(lines).select(*names).collect()) == key(lexed_lines(once).select(*names).collect())
     for path, content in files:
         texts = content.splitlines(keepends=True)
