@@ -96,3 +96,46 @@ def test_links_of_wide_vectors(spark):
     own = vectors.cells(x)
     assert own.max() >= 1 << 31 and (own.astype(vectors.cell_type(8200)) == own).all()
     assert vectors.cell_type(8192) == "<i4" and vectors.cell_type(8193) == "<i8"
+
+
+def test_candidates_do_not_grow_with_the_rows():
+    """Vectors in random directions: pairs met, each once a cell, per vector."""
+    rng, met = np.random.default_rng(8), {}
+    for n in (4_000, 20_000, 60_000):
+        places = vectors.layout(n, 32)
+        own = vectors.cells(rng.normal(size=(n, 32)), vectors.TABLES_OF[len(places)], places)
+        assert own.shape == (n, vectors.TABLES_OF[len(places)] * (len(places) + 1))
+        assert own.max() < np.iinfo(vectors.cell_type(32, vectors.TABLES_OF[len(places)], places)).max
+        _, counts = np.unique(own, return_counts=True)
+        met[n] = int((counts * (counts - 1)).sum()) / n
+    assert len({len(vectors.layout(n, 32)) for n in met}) > 1
+    assert max(met.values()) < 1.5 * min(met.values()) and max(met.values()) < 2.5 * vectors.MOST_CANDIDATES, met
+
+
+def test_layouts():
+    assert vectors.layout(0, 64) == vectors.layout(16_384, 64) == (64, 64)
+    assert vectors.layout(20_000, 64) == (64, 64, 4) and len(vectors.layout(10 ** 6, 64)) == 4
+    assert vectors.layout(10 ** 9, 1) == (1,) * 6
+    sizes = [np.prod([2.0 * a for a in vectors.layout(n, 48)]) for n in (10 ** e for e in range(13))]
+    assert sizes == sorted(sizes)
+
+
+def test_finer_cells_find_the_same_links(spark):
+    """The layouts of a hundred thousand and a billion vectors, on rows with pairs near the threshold."""
+    rng = np.random.default_rng(16)
+    rows = []
+    for n in range(500):
+        x, z = rng.normal(size=(2, 64))
+        x /= np.linalg.norm(x)
+        z -= (z @ x) * x
+        cosine = rng.uniform(0.925, 0.95)
+        pair = cosine * x + (1 - cosine ** 2) ** 0.5 * z / np.linalg.norm(z)
+        rows += [(2 * n, x.tolist(), n % 2), (2 * n + 1, pair.tolist(), n % 2)]
+    there = sum(r[1] for r in brute(rows))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = {r[0]: r[1] for r in brute(rows)}
+    for expected in (10 ** 5, 10 ** 9):
+        got = vectors.embedding_groups(frame, expected=expected).collect()
+        found = sum(r.n_links for r in got)
+        assert len(got) == len(rows) and 0.995 * there <= found <= there, expected
+        assert all(r.n_links <= want[r.vec_id] for r in got)
