@@ -41,8 +41,12 @@ from .common import pick, short_batches
 #: Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:x-page:"
+NAMELESS_ID = "urn:x-place:"
 
+#: Captures a shard holds at least, and shards an index has at most: the driver's list of
+#: them, which every look-up task gets, stays at a few megabytes and shards grow instead.
 ROWS_PER_SHARD = 16_384
+MOST_SHARDS = 16_384
 ROWS_PER_BLOCK = 512
 MOST_FILE_BYTES = 1 << 30
 MOST_RANGE_BYTES = 4 << 20
@@ -83,10 +87,14 @@ def _header_text(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", value)
 
 
-def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
-    """One WARC record; with ``refers_to`` a revisit, whose block is the HTTP header alone."""
+def record(page_id: str | None, url: str, payload: bytes, digest: str, refers_to: str | None, date: str, place: str = "") -> bytes:
+    """One WARC record; with ``refers_to`` a revisit, whose block is the HTTP header alone.
+
+    A record without an id is named by its ``place`` in the archive.
+    """
+    name = NAMELESS_ID + place if page_id is None else RECORD_ID + page_id
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{RECORD_ID}{page_id}>",
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name}>",
             f"WARC-Target-URI: {_header_text(url)}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}",
             "Content-Type: application/http;msgtype=response"]
     block = http + payload
@@ -104,7 +112,7 @@ def parse_record(data: bytes) -> dict:
     block = rest[:int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     length = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    own = lambda name: fields[name][len(RECORD_ID) + 1:-1] if name in fields else None
+    own = lambda name: fields[name][len(RECORD_ID) + 1:-1] if fields.get(name, "").startswith("<" + RECORD_ID) else None
     revisit = fields["WARC-Type"] == "revisit"
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     sound = revisit or (len(payload) == length and base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest)
@@ -116,15 +124,19 @@ def parse_record(data: bytes) -> dict:
 def with_responses(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int) -> DataFrame:
     """Pages with their digest and, for those that revisit another page, that page's id.
 
-    Digests are folded before the shuffle; only groups of two or more are
-    joined back, so a payload shared by very many pages is a skewed join key.
+    Payloads are equal when SHA-1, SHA-256 and length agree: files are known
+    that differ and share a SHA-1.  Digests are folded before the shuffle; only
+    groups of two or more are joined back, so a payload shared by very many
+    pages is a skewed join key.
     """
     rows = pick(pages, page_id=id_col, url=url_col, html=payload_col).select(
         "page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
-    shared = (rows.filter(F.col("bytes") >= least_bytes).groupBy("sha", "bytes")
+    rows = (rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
+            .withColumn("sha256", F.unhex(F.sha2(F.col("html").cast("binary"), 256))))
+    same = ["sha", "sha256", "bytes"]
+    shared = (rows.filter(F.col("bytes") >= least_bytes).groupBy(*same)
               .agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    return rows.join(shared, ["sha", "bytes"], "left").select(
+    return rows.join(shared, same, "left").select(
         "page_id", "url", "html", "sha",
         F.when(F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id"))
         .cast("string").alias("refers_to"))
@@ -138,7 +150,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     the largest id is the response, the others are revisits of it.
 
     * null payload: empty; null url: empty key;
-    * null id: never the largest unless all ids of the group are null, then all are responses;
+    * null id: never the largest unless all ids of the group are null, then all are responses; read back as null;
     * repeated rows: one record each; those that share the largest id are all responses;
     * empty table: no file and no shard.  Other columns are ignored.
     """
@@ -162,9 +174,10 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
                     out.write(info)
                     at += len(info)
                 digest = base64.b32encode(bytes.fromhex(row["sha"])).decode()
-                data = _gzip(record(str(row["page_id"]), row["url"] or "", row["html"].encode(), digest, row["refers_to"], date))
+                page = None if row["page_id"] is None else str(row["page_id"])
+                data = _gzip(record(page, row["url"] or "", row["html"].encode(), digest, row["refers_to"], date, f"{name}:{at}"))
                 out.write(data)
-                rows.append({"key": row["key"], "page_id": str(row["page_id"]), "file": name, "offset": at, "length": len(data),
+                rows.append({"key": row["key"], "page_id": page, "file": name, "offset": at, "length": len(data),
                              "record_type": "response" if row["refers_to"] is None else "revisit", "payload_digest": digest})
                 at += len(data)
             yield pa.RecordBatch.from_pylist(rows, schema=_CAPTURE)
@@ -184,7 +197,7 @@ _CAPTURE = pa.schema([("key", pa.string()), ("page_id", pa.string()), ("file", p
 def write_index(captures: DataFrame, folder: str) -> tuple[tuple[str, str, str], ...]:
     """Sort the captures by key and write the shards; returns ``(first key, last key, file)`` of each.
 
-    The driver sees one row per shard, as it does per file of any table.
+    The driver sees one row per shard, at most ``MOST_SHARDS``.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +232,7 @@ def write_index(captures: DataFrame, folder: str) -> tuple[tuple[str, str, str],
             sparse.write("".join(json.dumps(d) + "\n" for d in directory).encode())
         yield pa.RecordBatch.from_pylist([{"first": first, "last": last, "file": name}])
 
-    shards = max(1, -(-captures.count() // ROWS_PER_SHARD))
+    shards = min(MOST_SHARDS, max(1, -(-captures.count() // ROWS_PER_SHARD)))
     order = ["key", "page_id", "file", "offset"]
     done = captures.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(
         write, "first string, last string, file string").collect()

@@ -27,7 +27,7 @@ def expected(rows, least=0):
         same = [j for j, _, h, _ in rows if (h or "") == (html or "") and j is not None]
         first = max(same, default=None) if len(data) >= least else i
         refers = first if first is not None and i != first else None
-        out.append((str(i), len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(),
+        out.append((None if i is None else str(i), len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(),
                     "response" if refers is None else "revisit", None if refers is None else str(refers)))
     return sorted(out, key=str)
 
@@ -42,7 +42,7 @@ def test_round_trip(spark, archive):
     records = warc.read_records(spark, written, warc.lookup(spark, written, keys)).collect()
     assert as_rows(records) == expected(ROWS) and all(r.sound for r in records)
     html = {str(i): (h or "").encode() for i, _, h, _ in ROWS if i is not None}
-    assert all(r.payload == html[r.page_id] for r in records if r.record_type == "response" and r.page_id != "None")
+    assert all(r.payload == html[r.page_id] for r in records if r.record_type == "response" and r.page_id is not None)
 
 
 def test_lookup_of_single_keys(spark, archive):
@@ -62,3 +62,29 @@ def test_least_bytes_and_empty(spark, archive):
     assert as_rows(warc.read_records(spark, written, warc.lookup(spark, written, keys)).collect()) == expected(ROWS, 9)
     none = warc.write_archive(pages.filter("false"), f"{folders.mktemp('c')}/w")
     assert none.shards == () and warc.read_records(spark, none, warc.lookup(spark, none, keys)).count() == 0
+
+
+def test_ids_of_text_and_payloads_that_share_a_sha1(spark, tmp_path):
+    """A null id is not the text ``None``; payloads are told apart by more than SHA-1 and length."""
+    pages = spark.createDataFrame([("None", "http://a.b/", "x"), (None, "http://a.c/", "y"), ("", "http://a.d/", "z"), (None, None, "")],
+                                  "page_id string, url string, html string")
+    written = warc.write_archive(pages, f"{tmp_path}/w")
+    keys = pages.select(warc.surt(F.col("url")).alias("key"))
+    records = warc.read_records(spark, written, warc.lookup(spark, written, keys)).collect()
+    assert sorted(((r.page_id, r.payload) for r in records), key=str) == sorted(
+        [("None", b"x"), (None, b"y"), ("", b"z"), (None, b"")], key=str)
+    plan = warc.with_responses(pages, "page_id", "url", "html", 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2(" in plan and "sha1(" in plan
+
+
+def test_shards_are_bounded(spark, archive, monkeypatch, tmp_path):
+    """With few shards allowed they grow, and every capture is still found."""
+    pages, written, _ = archive
+    monkeypatch.setattr(warc, "ROWS_PER_SHARD", 100)
+    monkeypatch.setattr(warc, "MOST_SHARDS", 3)
+    captures = spark.read.schema(warc.CAPTURE).parquet(f"{written.folder}/captures")
+    shards = warc.write_index(captures, f"file:{tmp_path}/i")
+    assert 1 < len(shards) <= 3
+    other = warc.Archive(f"file:{tmp_path}/i", shards)
+    keys = pages.select(warc.surt(F.col("url")).alias("key"))
+    assert warc.lookup(spark, other, keys).count() == len(ROWS)
