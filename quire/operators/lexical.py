@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -155,29 +155,43 @@ class Reader:
             self.popped = min(self.popped + 1, ALL)
 
 
-def _summed(rows: list[tuple[int, str]]) -> list[dict]:
-    """For each mode a slice can begin in, where it ends and its scopes for each value of ``popped``; its characters."""
-    out, chars = [], sum(len(text) for _, text in rows)
-    for mode in range(6):
-        reader, parts = Reader(mode), []
-        for number, text in rows:
-            before = reader.popped
-            start, code, _, _, _ = reader.line(number, text)
-            reader.stack = ()
-            if not (start and code.strip()):
-                continue
-            level = ALL if reader.opens else before
-            if not parts or parts[-1]["popped"] != level:
-                parts.append({"popped": level, "least": ALL, "stack": [], "fresh": False, "head": (number, len(code) - len(code.lstrip(" \t")))})
-            part = parts[-1]
-            indent = len(code) - len(code.lstrip(" \t"))
-            # the first statement of a part may belong to a declaration before it, which is not known yet
-            part["last"], part["body"] = number, number if part["fresh"] and part["stack"][-1].indent < indent else None
-            part["least"] = min(part["least"], indent)
-            part["stack"] = [s for s in part["stack"] if s.indent < indent] + ([reader.opens] if reader.opens else [])
-            part["fresh"] = reader.opens is not None
-        out.append({"mode": reader.mode, "popped": reader.popped, "pushed": reader.pushed, "parts": parts, "chars": chars})
-    return out
+class _Sum:
+    """Sums up a slice that is read piece by piece: none of its rows is kept."""
+
+    def __init__(self):
+        self.readers, self.parts, self.chars = [Reader(mode) for mode in range(6)], [[] for _ in range(6)], 0
+
+    def add(self, rows: Sequence[tuple[int, str]]) -> None:
+        self.chars += sum(len(text) for _, text in rows)
+        for reader, parts in zip(self.readers, self.parts):
+            for number, text in rows:
+                before = reader.popped
+                start, code, _, _, _ = reader.line(number, text)
+                reader.stack = ()
+                if not (start and code.strip()):
+                    continue
+                level = ALL if reader.opens else before
+                if not parts or parts[-1]["popped"] != level:
+                    parts.append({"popped": level, "least": ALL, "stack": [], "fresh": False, "head": (number, len(code) - len(code.lstrip(" \t")))})
+                part = parts[-1]
+                indent = len(code) - len(code.lstrip(" \t"))
+                # the first statement of a part may belong to a declaration before it, which is not known yet
+                part["last"], part["body"] = number, number if part["fresh"] and part["stack"][-1].indent < indent else None
+                part["least"] = min(part["least"], indent)
+                part["stack"] = [s for s in part["stack"] if s.indent < indent] + ([reader.opens] if reader.opens else [])
+                part["fresh"] = reader.opens is not None
+
+    def maps(self) -> list[dict]:
+        """For each mode a slice can begin in, where it ends and its scopes for each value of ``popped``; its characters."""
+        return [{"mode": reader.mode, "popped": reader.popped, "pushed": reader.pushed, "parts": parts, "chars": self.chars}
+                for reader, parts in zip(self.readers, self.parts)]
+
+
+def _summed(rows: Sequence[tuple[int, str]]) -> list[dict]:
+    """The maps of a slice that is there whole."""
+    summed = _Sum()
+    summed.add(rows)
+    return summed.maps()
 
 
 def _put_together(maps: list[list[dict]]) -> list[dict]:
@@ -210,10 +224,10 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
 
 
 def _maps(batches):
-    at, rows = None, []
+    at, summed = None, _Sum()
 
     def row():
-        return pa.RecordBatch.from_pylist([{KEY: at[0], CHUNK: at[1], "map": json.dumps(_summed(rows))}])
+        return pa.RecordBatch.from_pylist([{KEY: at[0], CHUNK: at[1], "map": json.dumps(summed.maps())}])
 
     for batch in batches:
         numbers, texts = batch.column("number").to_pylist(), batch.column("text").to_pylist()
@@ -221,8 +235,8 @@ def _maps(batches):
             if key != at:
                 if at is not None:
                     yield row()
-                at, rows = key, []
-            rows += zip(numbers[begin:end], (t or "" for t in texts[begin:end]))
+                at, summed = key, _Sum()
+            summed.add([(n, t or "") for n, t in zip(numbers[begin:end], texts[begin:end])])
     if at is not None:
         yield row()
 
@@ -244,12 +258,13 @@ def _final(batches):
     at, reader = None, Reader()
     body, offset = None, 0
     for batch in batches:
-        numbers, texts, entries = (batch.column(c).to_pylist() for c in ("number", "text", "_entry"))
+        numbers, texts, entries = batch.column("number").to_pylist(), batch.column("text").to_pylist(), batch.column("_entry")
         starts, codes, closes, docs, says, decls, opens, stacks, of, offsets = [], [], [], [], [], [], [], [], [], []
         last = None
         for key, begin, end in _runs(batch):
             if key != at:
-                at, known = key, json.loads(entries[begin]) if entries[begin] else {}
+                at, entry = key, entries[begin].as_py()
+                known = json.loads(entry) if entry else {}
                 known["stack"] = tuple(Scope(*s) for s in known.get("stack", ()))
                 body, offset = known.pop("body", None), known.pop("offset", 0)
                 reader = Reader(**known)

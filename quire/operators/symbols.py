@@ -186,7 +186,9 @@ def mentions(lines: DataFrame, chunk_rows: int = CHUNK_ROWS, carry: tuple[str, .
         "_asn": F.when(F.col("start") & t.rlike(r"^[ \t]*[A-Za-z_][A-Za-z0-9_]*[ \t]*=[^=]"),
                        F.length(F.regexp_extract(t, r"^([ \t]*)[A-Za-z_][A-Za-z0-9_]*[ \t]*=[^=]", 1)))})
     rows = rows.withColumn("_z", F.arrays_zip("_w", "_s", F.slice("_g", 1, F.size("_w")).alias("_h")))
-    toks = rows.select("path", "number", "offset", "_def", "_asn", *carry, F.explode("_z").alias("_x"))
+    # outer: from a plain explode Spark infers a filter on the array, below which the running sum is worked out a second time;
+    # no array is empty here
+    toks = rows.select("path", "number", "offset", "_def", "_asn", *carry, F.explode_outer("_z").alias("_x"))
     col = (F.col("_x._s") + F.length("_x._h")).cast("bigint")
     kind = F.when(col == F.col("_def"), F.lit("def")).when(col == F.col("_asn"), F.lit("asn")).otherwise(F.lit("ref"))
     return toks.where(~F.col("_x._w").isin(*KEYWORDS)).select(

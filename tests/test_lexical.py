@@ -1,13 +1,17 @@
 import ast
 import io
+import json
 import random
 import re
 import tokenize
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.lexical import Reader, _put_together, _summed, lexed_lines
+from quire.operators.lexical import KEY, Reader, _maps, _put_together, _summed, lexed_lines
+from quire.plans.scan import CHUNK
 from quire.sources.lines import scan_lines
 
 PARTS = ["class A:\n", "    def f(self,\n", "          x=1):\n", "        '''Doc\n", "class Fake:\n", "        '''\n", "    x = 'a \\\n", "b'\n", "(\n", ")\n",
@@ -47,6 +51,22 @@ def test_slices_put_together_read_like_the_whole():
             assert plain(got) == plain(whole)
 
 
+def test_a_slice_is_summed_up_without_its_rows_being_kept():
+    rnd = random.Random(11)
+    texts = [rnd.choice(PARTS) for _ in range(400)]
+    batch = lambda at, ts: pa.RecordBatch.from_pydict(
+        {KEY: ["=a"] * len(ts), CHUNK: pa.array([3] * len(ts), pa.int64()), "number": pa.array(range(at, at + len(ts)), pa.int64()), "text": ts})
+    got = [r for b in _maps(batch(i, texts[i:i + 7]) for i in range(0, len(texts), 7)) for r in b.to_pylist()]
+    assert got == [{KEY: "=a", CHUNK: 3, "map": json.dumps(_summed(list(enumerate(texts))))}]
+    long = "x = y  " + "z" * 2000 + "\n"
+    tracemalloc.start()
+    try:
+        assert len(list(_maps(batch(i, [long] * 500) for i in range(0, 10_000, 500)))) == 1
+        assert tracemalloc.get_traced_memory()[1] < 6 << 20        # all rows: 20 MB
+    finally:
+        tracemalloc.stop()
+
+
 SOURCE = '''"""Module
 def no(): pass
 """

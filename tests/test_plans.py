@@ -23,6 +23,13 @@ def test_exchanges_and_scans(spark, name):
     assert count("Scan") <= MOST[name][1]
 
 
+@pytest.mark.parametrize("name, steps", [("mention_rows", 1), ("mentions_in_symbols", 2)])
+def test_the_running_sum_of_a_line_is_worked_out_once(spark, name, steps):
+    catalog.load_all()
+    plan = catalog.QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[starts", plan)) <= steps, plan
+
+
 def test_fragments_read_back_as_often_as_asked(spark):
     lines = scan_lines(spark.createDataFrame([("a", "one\ntwo\nthree")], "path string, content string"))
     rows = [("a", 1, 5, 0, 2, "x"), ("a", 1, 5, 0, 2, "x"), ("a", 4, 3, 1, 1, None), ("gone", 0, 3, 0, 1, "own"), ("gone", 0, 3, 0, 1, None)]
